@@ -18,9 +18,9 @@ with N <= H has too few segments for that: it takes, besides the segments themse
 their one-deletion neighbourhoods, which stand for two units of the pigeonhole each, and
 meets the other sets of that kind (a pair is found if one of the two has enough segments).
 
-Verification is exact, on the shingles.  First each set is compared with one central
-member of each group it takes.  A group whose members those links already connect is
-done.  In the others the pairs that are not known to be connected are compared by parity
+Verification is exact, on the shingles.  Each set is compared with the central member that
+most of the groups it takes have, then with the central members of its other groups that
+are not in its component yet.  A group whose members those links connect is done.  In the others the pairs that are not known to be connected are compared by parity
 sketches, a lower bound on the difference, and what passes is verified.  Pairs inside a
 known component are skipped: they cannot change components.
 
@@ -341,24 +341,45 @@ def _open_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([int(p[0]) for p in pairs], pa.int64()), "b": pa.array([int(p[1]) for p in pairs], pa.int64())})
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) that ``labels`` (node, label) do not put into one component."""
+    left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    right = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    joined = pairs.join(left, "a", "left").join(right, "b", "left")
+    return joined.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``labels`` after ``links`` have joined components: only one edge for each pair of components is followed."""
+    left = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    right = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    links = scratch.save(links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct(), f"{name}-links")
+    over = components(links, scratch, name)
+    new = over.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    moved = labels.join(new, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
+    # nodes that had no label before are components of their own
+    fresh = over.join(labels.select("node"), "node", "left_anti")
+    return scratch.save(moved.union(fresh), f"{name}-labels")
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, label): the least node that ``edges`` (a, b) connect to each node that has an edge.
 
     Each round takes the least label among neighbours and then the label of the label; a
     round is a written table, so nothing depends on one executor.
     """
-    both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels-0")
+    both = scratch.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
     step = 0
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         moved = lower.join(jump, F.col("low") == F.col("_n")).select("node", F.least("low", "_l").alias("label"), (F.least("low", "_l") != F.col("label")).alias("changed"))
-        fresh = scratch.save(moved, f"labels-{step + 1}")
+        fresh = scratch.save(moved, f"{name}-{step + 1}")
         done = fresh.where("changed").limit(1).count() == 0
         labels, step = fresh.select("node", "label"), step + 1
-        scratch.drop(f"labels-{step - 1}")
+        scratch.drop(f"{name}-{step - 1}")
         if done:
             return labels
 
@@ -402,24 +423,24 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # a group none of whose members takes it needs no look
     heads = members.groupBy("sign").agg(F.max("probe").alias("taken"), F.max_by("set_id", F.struct("central", "set_id")).alias("head")).where("taken")
     heads = scratch.save(heads.select("sign", "head"), "heads")
-    star = members.where("probe").select("sign", "set_id").join(heads, "sign").where("set_id <> head").select(F.col("set_id").alias("a"), F.col("head").alias("b")).distinct()
+    star = members.where("probe").select("sign", "set_id").join(heads, "sign").where("set_id <> head").groupBy(F.col("set_id").alias("a"), F.col("head").alias("b")).agg(F.count(F.lit(1)).alias("often"))
     sizes = sets.select("set_id", "n")
     star = star.join(sizes.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
-    star = star.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")).select("a", "b")
-    links = scratch.save(_verified(star, sets), "links")
-
-    # what those links connect, two steps far; groups that they do not connect whole are open
-    near = links.groupBy("a").agg(F.min("b").alias("l1"))
-    far = near.join(near.select(F.col("a").alias("_a"), F.col("l1").alias("l2")), F.col("l1") == F.col("_a"), "left").select(F.col("a").alias("_id"), F.coalesce("l2", "l1").alias("_label"))
-    labelled = members.join(heads, "sign").join(far, F.col("set_id") == F.col("_id"), "left").withColumn("label", F.coalesce("_label", "set_id"))
+    star = star.where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
+    star = scratch.save(star.select("a", "b", F.row_number().over(W.partitionBy("a").orderBy(F.col("often").desc(), "b")).alias("turn")), "star")
+    # first the head that a set meets most often, then those of other components
+    labels = components(_verified(star.where("turn = 1").select("a", "b"), sets), scratch, "first")
+    labels = _merged(labels, _verified(_apart(star.where("turn > 1").select("a", "b"), labels), sets), scratch, "second")
+
+    # groups whose members those links do not connect are open
+    known = labels.select(F.col("node").alias("_id"), F.col("label").alias("_label"))
+    labelled = members.join(heads, "sign").join(known, F.col("set_id") == F.col("_id"), "left").withColumn("label", F.coalesce("_label", "set_id"))
     labelled = scratch.save(labelled.select("sign", "set_id", "below", "label", "probe"), "labelled")
     split = labelled.groupBy("sign").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("probe").alias("p")).where("x <> y AND p").select("sign")
     rest = labelled.join(split, "sign").join(sets.select("set_id", "n", "sketch", "sketch_below"), "set_id")
     rest = rest.select("sign", "set_id", "n", "label", "probe", F.when(F.col("below"), F.col("sketch_below")).otherwise(F.col("sketch")).alias("sketch"))
     pairs = rest.withColumn("bucket", F.pmod(F.xxhash64("sign"), F.lit(4 * buckets))).groupBy("bucket").applyInArrow(lambda t: _open_pairs(t), "a long, b long").distinct()
-    more = scratch.save(_verified(pairs, sets), "more-links")
-
-    labels = components(links.union(more), scratch)
+    labels = _merged(labels, _verified(pairs, sets), scratch, "third")
     named = nodes.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     named = named.join(least, "label").select(F.col("set_id").alias("_s"), "component")
