@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, substring_dedup, token_output, topk_search
+from threadloom.llm import license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_output, topk_search
 from threadloom.llm._common import Scratch, documents, ids_and_text
 
 
@@ -29,6 +29,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(ids_and_text(documents(spark, sf_dir)))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(ids_and_text(documents(spark, sf_dir))).drop("spans")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_units(ids_and_text(documents(spark, sf_dir))).drop("text")
 
@@ -65,6 +69,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ngram_join": op2_ngram_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_output": op5_token_output,
     "op6_sentencepiece": op6_sentencepiece,
