@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ class WordEncoder:
         self.pool = SpanPool(self._encode)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter((i for ids in got for i in ids), np.int32, int(lengths.sum())), lengths
 
@@ -66,6 +67,12 @@ class WordEncoder:
         return out, np.concatenate([[0], ends])
 
 
+@lru_cache(maxsize=4)
+def encoder(tokenizer_file: str) -> WordEncoder:
+    """One encoder, with its cache of words, for all tasks of a worker process."""
+    return WordEncoder(tokenizer_file)
+
+
 #: Columns of the files: part is the file's place in doc_id order, local the ids before the document in its file.
 LAYOUT = "doc_id long, n_tokens long, local long, part int, ids array<int>"
 
@@ -75,10 +82,10 @@ def encode_ordered(docs: DataFrame, tokenizer_file: str, parts: int, end_id: int
     ordered = ids_and_text(docs).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, part = WordEncoder(tokenizer_file), 0, TaskContext.get().partitionId()
+        coder, before, part = encoder(tokenizer_file), 0, TaskContext.get().partitionId()
         for batch in batches:
             for piece in slices(batch):
-                ids, offsets = encoder.encode(piece.column("text"), end_id)
+                ids, offsets = coder.encode(piece.column("text"), end_id)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 columns = [piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(offsets[:-1] + before), pa.array(np.full(len(piece), part, np.int32)), lists]
                 before += len(ids)
