@@ -9,6 +9,7 @@ from datetime import datetime, time, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from threadloom.functions.text import canonical_addr
 from threadloom.functions.vectors import knn
@@ -141,6 +142,7 @@ def rerank(results: DataFrame, text: Column, scorer: Callable[[list[str]], list[
     except Exception:  # noqa: BLE001  a scorer is remote and may fail in any way
         order = list(range(len(rows)))
     spark = results.sparkSession
-    picked = [tuple(rows[i][: len(results.columns)]) + (n + 1,) for n, i in enumerate(order[: max(0, min(top_n, len(rows)))])]
-    schema = results.schema.add("position", "integer")
+    names = results.columns
+    picked = [tuple(rows[i][: len(names)]) + (n + 1,) for n, i in enumerate(order[: max(0, min(top_n, len(rows)))])]
+    schema = StructType([*results.schema.fields, StructField("position", IntegerType())])
     return spark.createDataFrame(picked, schema)

@@ -17,6 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -28,7 +31,11 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a texts table in fewer splits than there are cores is dealt out once, larger ones stay as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:

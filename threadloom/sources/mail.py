@@ -22,6 +22,8 @@ MESSAGE = (
     "date timestamp, date_fabricated boolean, body string, folder string, filepath string, has_attachments boolean, size long, content_hash string, "
     "attachments array<struct<filename:string,content_type:string,size:long,payload:binary,content_hash:string>>, error string"
 )
+#: Lets Hadoop's local file system open names with a colon, as Maildir's flags have: no checksum files beside them.
+COLONS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Elements whose text is not shown, and elements that end a line.
 HIDDEN, BLOCKS = {"script", "style", "head", "title", "noscript", "template"}, set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer blockquote pre hr".split())
 
@@ -131,7 +133,7 @@ def parse(path: str, data: bytes) -> dict | None:
 
 def read_maildir(spark: SparkSession, root: str) -> DataFrame:
     """Files below cur or new folders, at any depth: path, modificationTime, length, content."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(r"/(?:cur|new)/[^/]+$"))
+    return spark.read.format("binaryFile").options(**COLONS).option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(r"/(?:cur|new)/[^/]+$"))
 
 
 def parse_mail(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:

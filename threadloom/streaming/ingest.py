@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from threadloom.sources.mail import parse_mail
+from threadloom.sources.mail import COLONS, parse_mail
 
 
 def watch_maildir(spark: SparkSession, root: str, target: str, checkpoint: str) -> StreamingQuery:
     """Parses new files below ``root`` as they come and appends messages, and failures, below ``target``."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(r"/(?:cur|new)/[^/]+$"))
+    files = spark.readStream.format("binaryFile").schema(schema).options(**COLONS).option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(r"/(?:cur|new)/[^/]+$"))
 
     def store(batch: DataFrame, number: int) -> None:
         parsed = parse_mail(batch).persist()
