@@ -124,15 +124,20 @@ class Words:
     starts, ends: byte positions in the slice's buffer.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None):
+        """cuts: a mask of bytes at which a word is cut, a new one beginning there."""
         solid = ~WHITE[data]
         before = np.ones(len(data), dtype=bool)
         before[1:] = ~solid[:-1]
+        if cuts is not None:
+            before |= cuts
         edges = offsets[:-1]
         before[edges[edges < len(data)]] = True
         self.starts = np.flatnonzero(solid & before)
         after = np.ones(len(data), dtype=bool)
         after[:-1] = ~solid[1:]
+        if cuts is not None:
+            after[:-1] |= cuts[1:]
         edges = offsets[1:] - 1
         after[edges[(edges >= 0) & (edges < len(data))]] = True
         self.ends = np.flatnonzero(solid & after) + 1

@@ -30,32 +30,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm._common import SpanPool, Words, buckets_for, ids_and_text, prefix, slices, text_buffer
+from threadloom.llm._common import LOWER, SpanPool, Words, buckets_for, ids_and_text, prefix, ragged, slices, text_buffer
 
 END_ID = 1
 ROW_INDEX_STRIDE, STRIPE_BYTES, BLOOM_FPP = 1000, 64 << 20, 0.01
 
 
+#: ASCII letters; and ASCII signs before which a word may be cut, since the tokenizer always cuts between a letter and them.
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_SPECIAL = b"<|"
+_JOINED = 20_000
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer file, one distinct run of non-white bytes at a time."""
+    """Ids of texts by a tokenizer file, one distinct run of non-white bytes at a time.
+
+    The tokenizer lower-cases, so runs are lower-cased (A-Z) first, and they are cut between
+    a letter and a sign; neither is done where a special token's string could begin.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
         self.pool = SpanPool(self._encode)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for ids in got for i in ids), np.int32, int(lengths.sum())), lengths
+        """Words of letters alone are one word to the tokenizer too: they go through it as lines, and come apart at word ends."""
+        plain = np.fromiter((w.isalpha() for w in words), bool, len(words))
+        lengths = np.zeros(len(words), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        where = np.flatnonzero(plain)
+        for k in range(0, len(where), _JOINED):
+            some = where[k : k + _JOINED]
+            line = b" ".join([words[i] for i in some.tolist()]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):  # another kind of vocabulary: one by one
+                plain[some] = False
+                continue
+            lengths[some] = np.diff(ends, prepend=0)
+            parts.append((some, ids))
+        where = np.flatnonzero(~plain)
+        if len(where):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([words[i].decode() for i in where.tolist()], add_special_tokens=False)]
+            lengths[where] = np.fromiter(map(len, got), np.int64, len(got))
+            parts.append((where, np.fromiter((i for ids in got for i in ids), np.int32, int(lengths[where].sum()))))
+        out = np.zeros(int(lengths.sum()), np.int32)
+        starts = np.cumsum(lengths) - lengths
+        for some, ids in parts:
+            out[ragged(starts[some], lengths[some])] = ids
+        return out, lengths
 
     def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with ``end_id`` at its end, and offsets (n + 1)."""
         data, offsets = text_buffer(text)
         n = len(offsets) - 1
-        words = Words(data, offsets)
+        if _SPECIAL in data.tobytes():
+            words = Words(data, offsets)
+        else:
+            cuts = np.zeros(len(data), dtype=bool)
+            cuts[1:] = _LETTER[data[:-1]] & _SIGN[data[1:]]
+            words = Words(LOWER[data], offsets, cuts)
         slots = self.pool.look_up(words.vocabulary.to_pylist())[words.codes] if len(words) else np.zeros(0, np.int64)
         ids, lengths = self.pool.expand(slots)
         per = prefix(lengths)[words.first]
