@@ -258,8 +258,11 @@ _SETS = "set_id long, n int, tokens array<long>, signs array<struct<sign:long,be
 
 
 def _sketches(tokens: np.ndarray, offsets: np.ndarray, top: np.ndarray) -> list[bytes]:
-    """Parities of the members' number in each of 64 to 4096 hash bins: differing bits bound the difference from below."""
-    bits = np.clip(top, 64, 4096)
+    """Parities of the members' number in each of 256 to 16384 hash bins: differing bits bound the difference from below.
+
+    With four bins for each member the bound comes within a tenth of the difference itself.
+    """
+    bits = np.clip(4 * top, 256, 16384)
     base = prefix(bits)
     owner = np.repeat(np.arange(len(top)), np.diff(offsets))
     at = base[owner] + ((mix64(tokens + _SEGMENT) >> _U(40)) % bits[owner].astype(np.uint64)).astype(np.int64)
