@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_output, topk_search
+from threadloom.llm import _induced, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_output, topk_search
 from threadloom.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -330,3 +330,24 @@ def test_pipeline_stages(spark):
     assert sizes[1] < sizes[0] and sizes[2] == sizes[1] and sizes[3] < sizes[2]
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert out.where("n_pieces > 0").count() == sizes[-1]
+
+
+def test_induced_sorting_recurses_and_spills(monkeypatch):
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        n, letters, width = int(rng.integers(1, 160)), int(rng.integers(1, 5)), int(rng.integers(1, 9))
+        text = rng.integers(1, letters + 1, n).astype(np.uint8)
+        text = np.append(np.tile(text[: n // 5 + 1], 6) if trial % 3 == 0 else text, 0).astype(np.uint8)
+        monkeypatch.setattr(_induced, "BLOCK", int(rng.choice([3, 7, 1 << 18])))
+        room = _induced.Room(int(rng.choice([40, 1 << 20])), None, int(rng.choice([2, 1 << 20])))
+        raw, found = text.tobytes(), []
+        for pos, lcp in _induced.suffixes(text, width, room):
+            found += zip(pos.tolist(), lcp.tolist(), strict=True)
+        assert sorted(p for p, _ in found) == list(range(len(text) - 1))
+        for (p, _), (q, common) in zip(found, found[1:], strict=False):
+            assert raw[p : p + width] >= raw[q : q + width]
+            assert common == next((k for k in range(width) if raw[p + k : p + k + 1] != raw[q + k : q + k + 1]), width)
+        seen, later = set(), _induced.later_windows(text, width, room)
+        for i in range(len(text) - width):
+            assert later[i] == (raw[i : i + width] in seen)
+            seen.add(raw[i : i + width])

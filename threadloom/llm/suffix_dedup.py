@@ -11,9 +11,10 @@ What a third of all documents repeat costs one entry for each map task.  A minim
 runs all have the same bytes is done; most have one run only.
 
 Sorting.  The bytes of the runs that are left (different runs with one minimizer) are
-fetched, and the suffixes of each shard are sorted by their first ``width`` bytes by prefix
-doubling of ranks; in each class of equal windows all but the earliest are marked.  A
-shard's memory is bounded by its bytes, and there are as many shards as the input needs.
+fetched and stream into their shard in document order.  The suffixes of a shard are put in
+order by external induced sorting (:mod:`threadloom.llm._induced`): disk-backed priority
+queues carry suffixes and common prefixes.  Neighbours that share ``width`` bytes are a
+class, of which all but the earliest are marked.  A shard may be larger than the memory.
 
 Defined results: a null or empty text has no bytes and loses none; documents rank by
 doc_id, null last; rows equal in doc_id and text are one document, rows with equal doc_id
@@ -23,6 +24,8 @@ and other texts are documents that rank by a hash; an empty table gives an empty
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm._common import Scratch, buckets_for, ids_and_text, mix64, prefix, ragged, slices, text_buffer
+from threadloom.llm._induced import Room, later_windows
 
 WIDTH, GRAM = 100, 32
 _U = np.uint64
@@ -188,47 +192,90 @@ def _classify(table: pa.Table) -> pa.Table:
     return _rows(doc[pick], mark[pick], need, e["pos"][pick], e["run"][pick], e["mini"][pick])
 
 
-def window_classes(text: np.ndarray, width: int) -> np.ndarray:
-    """Rank of each position's first ``width`` bytes among all: equal ranks, equal bytes.  Positions near the end are short."""
-    rank = text.astype(np.int64) + 1
-    size = 1
-    while size < width:
-        step = min(size, width - size)
-        other = np.zeros(len(rank), np.int64)
-        other[: max(0, len(rank) - step)] = rank[step:]
-        _, rank = np.unique(rank * (int(other.max(initial=0)) + 1) + other, return_inverse=True)
-        rank = rank + 1
-        size += step
-    return rank
-
-
-def _mark_shard(table: pa.Table, width: int) -> pa.Table:
-    """Windows of a shard of runs that equal one of an earlier run."""
-    data, offsets = text_buffer_binary(table["body"])
-    doc, mark, pos = table["doc_id"].to_numpy(), table["mark"].to_numpy().view(np.uint64), table["pos"].to_numpy().astype(np.int64)
-    length = np.diff(offsets) - width + 1
-    rank = window_classes(data, width) if len(data) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(doc)), length)
-    at = ragged(offsets[:-1], length)
-    inner = at - offsets[owner]
-    classes = rank[at]
-    order = np.lexsort((pos[owner] + inner, mark[owner], doc[owner], classes))
-    later = np.zeros(len(at), dtype=bool)
-    later[order[~_first_of_equal([classes], order)]] = True
-    gone = np.flatnonzero(later)
-    # neighbouring windows as runs again
-    head = np.ones(len(gone), dtype=bool)
-    head[1:] = (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]])
-    start = np.flatnonzero(head)
-    run = np.diff(np.append(start, len(gone)))
-    first = gone[start]
-    who = owner[first]
-    return _rows(doc[who], mark[who], np.zeros(len(who), dtype=bool), pos[who] + inner[first], run, np.zeros(len(who), np.uint64))
-
-
-def text_buffer_binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    blobs = column.to_pylist()
-    return np.frombuffer(b"".join(blobs), np.uint8), prefix(np.array([len(b) for b in blobs], np.int64))
+_RUN = np.dtype([("doc", "<i8"), ("mark", "<i8"), ("pos", "<i8"), ("size", "<i8")])
+
+
+def _room(folder: str) -> Room:
+    """The shared folder if it is mounted here, else the folders where this executor spills."""
+    path = folder.removeprefix("file://") if folder.startswith(("file:///", "/")) else folder.removeprefix("file:")
+    if os.path.isdir(path):
+        return Room(folder=path)
+    return Room(folder=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+
+
+class _Shard:
+    """Runs of one shard in document order; what exceeds the room's memory is on disk."""
+
+    def __init__(self, room: Room):
+        self.room, self.last = room, None
+        self.text, self.runs = (tempfile.SpooledTemporaryFile(room.memory, dir=room.folder) for _ in range(2))  # noqa: SIM115
+
+    def add(self, doc: list[int], mark: list[int], pos: list[int], body: list[bytes]) -> None:
+        held = []
+        for d, m, p, b in zip(doc, mark, pos, body, strict=True):
+            if (d, m, p) != self.last:  # rows repeat where documents do
+                self.last = (d, m, p)
+                held.append((d, m, p, len(b)))
+                self.text.write((np.frombuffer(b, np.uint8) + np.uint8(2)).tobytes() + b"\1")  # UTF-8 has no byte above 244
+        self.runs.write(np.array(held, _RUN).tobytes())
+
+    def _array(self, file: tempfile.SpooledTemporaryFile, dtype: np.dtype) -> np.ndarray:
+        size = file.tell()
+        file.seek(0)
+        if size <= self.room.memory:
+            return np.frombuffer(file.read(), dtype)
+        file.rollover()
+        file.flush()
+        return np.memmap(file._file, dtype, "r", shape=(size // dtype.itemsize,))
+
+    def repeats(self, width: int) -> Iterator[pa.Table]:
+        """Windows that equal one of an earlier run or place, as runs."""
+        if self.last is None:
+            return
+        self.text.write(b"\0")
+        later = later_windows(self._array(self.text, np.dtype(np.uint8)), width, self.room)
+        runs, start = self._array(self.runs, _RUN), 0
+        for a in range(0, len(runs), 1 << 15):
+            some = np.array(runs[a : a + (1 << 15)])
+            begin = start + prefix(some["size"] + 1)
+            start = int(begin[-1])
+            length = some["size"] - width + 1
+            owner = np.repeat(np.arange(len(some)), length)
+            at = ragged(begin[:-1], length)
+            keep = np.flatnonzero(later[at])
+            if not len(keep):
+                continue
+            at, owner = at[keep], owner[keep]
+            head = np.ones(len(at), dtype=bool)
+            head[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
+            first = np.flatnonzero(head)
+            who = owner[first]
+            run = np.diff(np.append(first, len(at)))
+            yield _rows(some["doc"][who], some["mark"][who].view(np.uint64), np.zeros(len(who), dtype=bool), some["pos"][who] + at[first] - begin[who], run, np.zeros(len(who), np.uint64))
+
+
+def _sort_shards(pieces: DataFrame, width: int, folder: str) -> DataFrame:
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room, shard, number = _room(folder), None, None
+        for batch in batches:
+            numbers = batch.column("shard").to_numpy()
+            cuts = np.flatnonzero(np.diff(numbers)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)], strict=True):
+                if a == b:
+                    continue
+                if numbers[a] != number:
+                    if shard is not None:
+                        for t in shard.repeats(width):
+                            yield from t.to_batches()
+                    shard, number = _Shard(room), numbers[a]
+                part = batch.slice(a, b - a)
+                shard.add(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "pos", "body")))
+        if shard is not None:
+            for t in shard.repeats(width):
+                yield from t.to_batches()
+
+    unsigned = F.col("mark").bitwiseXOR(F.lit(-(1 << 63)))
+    return pieces.repartition("shard").sortWithinPartitions("shard", "doc_id", unsigned, "pos").mapInArrow(run_, _FOUND)
 
 
 def _fetch(rows: DataFrame, shards: int, width: int) -> DataFrame:
@@ -249,7 +296,7 @@ def _fetch(rows: DataFrame, shards: int, width: int) -> DataFrame:
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return rows.mapInArrow(run_, "shard int, doc_id long, mark long, pos int, body binary").dropDuplicates(["doc_id", "mark", "pos"])
+    return rows.mapInArrow(run_, "shard int, doc_id long, mark long, pos int, body binary")
 
 
 def _cut(rows: DataFrame, width: int) -> DataFrame:
@@ -288,8 +335,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     found = scratch.save(_pack(base, buckets, width, gram).groupBy("bucket").applyInArrow(lambda t: _classify(t), _FOUND), "found")
     real = F.when(F.col("doc_id") != _LAST, F.col("doc_id"))
     wanted = found.where("need").groupBy(real.alias("_d")).agg(F.collect_list(F.struct("mark", "pos", "run", "mini")).alias("wanted"))
-    pieces = _fetch(base.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "wanted"), 4 * buckets, width)
-    sorted_ = scratch.save(pieces.groupBy("shard").applyInArrow(lambda t: _mark_shard(t, width), _FOUND), "sorted")
+    pieces = _fetch(base.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "wanted"), buckets, width)
+    sorted_ = scratch.save(_sort_shards(pieces, width, scratch.root.rsplit("/", 1)[0]), "sorted")
     gone = found.where("NOT need").select("doc_id", "mark", "pos", "run").union(sorted_.select("doc_id", "mark", "pos", "run"))
     gone = gone.groupBy(real.alias("_d")).agg(F.collect_list(F.struct("mark", "pos", "run")).alias("gone"))
     return _cut(base.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "text", "gone"), width)
