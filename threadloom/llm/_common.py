@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python worker; one longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: ASCII white space, [\x20\x09-\x0D].
 WHITE = np.zeros(256, dtype=bool)
@@ -95,6 +97,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
             start, total = i, 0
         total += n
     yield batch.slice(start)
+    release()
+
+
+@functools.cache
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Hands memory that is free back to the system: Python workers live on and serve later stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trimmer()) is not None:
+        trim(0)
 
 
 def _lengths(text: pa.Array) -> np.ndarray:
