@@ -34,10 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._common import Scratch, buckets_for, ids_and_text, mix64, prefix, ragged, slices, text_buffer
+from threadloom.llm._common import Scratch, buckets_for, ids_and_text, mix64, prefix, ragged, release, slices, text_buffer
 from threadloom.llm._induced import Room, later_windows
 
 WIDTH, GRAM = 100, 32
+PACK_BYTES = 1 << 20  # text hashed at once: its windows take some 100 times as much
 _U = np.uint64
 _STEP, _UNSTEP = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
@@ -114,7 +115,7 @@ _FOUND = "doc_id long, mark long, need boolean, pos array<int>, run array<int>,
 def _pack(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=PACK_BYTES):
                 data, offsets = text_buffer(part.column("text"))
                 doc, pos, length, mini, body = runs(data, offsets, width, gram)
                 marks = _marks(part.column("text"))
@@ -175,6 +176,7 @@ def _rows(doc: np.ndarray, mark: np.ndarray, need: np.ndarray, pos: np.ndarray,
 
 def _classify(table: pa.Table) -> pa.Table:
     """Of one bucket: runs that surely repeat, and earliest runs whose minimizer has other bytes too."""
+    release()
     e, owners = _unpack(table)
     doc, mark = owners["doc"][e["owner"]], owners["mark"][e["owner"]]
     sure = (e["mini"] == 0) & (e["body"] == 0)
@@ -233,6 +235,7 @@ class _Shard:
         if self.last is None:
             return
         self.text.write(b"\0")
+        release()
         later = later_windows(self._array(self.text, np.dtype(np.uint8)), width, self.room)
         runs, start = self._array(self.runs, _RUN), 0
         for a in range(0, len(runs), 1 << 15):
@@ -331,7 +334,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     """
     base = ids_and_text(docs)
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    buckets = buckets_for(docs, 12 << 20, least=64)
+    buckets = buckets_for(docs, 4 << 20, least=64)
     found = scratch.save(_pack(base, buckets, width, gram).groupBy("bucket").applyInArrow(lambda t: _classify(t), _FOUND), "found")
     real = F.when(F.col("doc_id") != _LAST, F.col("doc_id"))
     wanted = found.where("need").groupBy(real.alias("_d")).agg(F.collect_list(F.struct("mark", "pos", "run", "mini")).alias("wanted"))
