@@ -123,7 +123,8 @@ def _pack(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
                 order = np.lexsort((pos, marks[doc], ids[doc], body, mini))
                 first = _first_of_equal([mini, body], order)
                 # later ones are certain already; they travel with run 0 of a marker minimizer
-                bucket = (((mini >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+                # low bits: a minimizer is a least hash, so its high bits are mostly 0
+                bucket = (((mini & _U(0xFFFFFFFF)) * _U(buckets)) >> _U(32)).astype(np.int64)
                 entry = np.zeros(len(doc), _ENTRY)
                 entry["mini"], entry["body"], entry["owner"], entry["pos"], entry["run"] = mini, body, doc, pos, length
                 sure = np.zeros(len(doc), dtype=bool)
