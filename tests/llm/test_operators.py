@@ -270,6 +270,89 @@ def test_license_rules(spark, nothing, odd):
     assert license_scan.scan_licenses(odd).count() == 5
 
 
+APACHE = """Copyright 2020 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+GPL2_ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution."""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_standard_license_headers(spark):
+    headers = {
+        APACHE: "Apache-2.0", GPL2: "GPL-2-or-later", GPL3: "GPL-3-or-later", LGPL: "LGPL-2.1-or-later", GPL2_ONLY: "GPL-2", MPL: "MPL-2.0", MIT: "MIT", BSD2: "BSD-2-Clause", BSD3: "BSD-3-Clause",
+        "SPDX-License-Identifier: MIT\npackage main": "SPDX:mit",
+        "This file is not\nlicensed under the MIT License": "", "It is not released under the MIT License.": "",
+        "Released under the MIT License\n" + GPL3: "GPL-3-or-later MIT",
+    }
+    marks = ["", "// ", " * ", "# ", "dnl ", ";; ", "-- "]
+    texts = [(i, "\n".join(mark + line for line in text.split("\n")), want) for i, (text, want, mark) in enumerate((t, w, m) for t, w in headers.items() for m in marks)]
+    texts += [(len(texts) + i, text.replace("\n", "\r\n"), want) for i, (text, want) in enumerate(headers.items())]
+    df = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(df).collect()}
+    assert got == {i: want for i, _, want in texts}
+
+
 def test_mixing_targets_and_copies(spark, docs, nothing, odd):
     got = mixing.mix(mixing.sizes(docs)).collect()
     again = mixing.mix(mixing.sizes(docs.repartition(5))).collect()

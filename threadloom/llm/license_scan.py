@@ -1,11 +1,13 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised, and a known licence sentence becomes an
-identifier (with the version that it names).  The identifiers of a text in order are then
-matched against ordered rules, each a sequence of identifiers; a rule's match is consumed,
-so a longer rule wins over the shorter ones that it contains.
-
-Only texts with one of a few licence words are cut up: every known sentence holds one of
+A text is normalised, the ends of its sentences and lines are marked, and a known licence
+sentence becomes an identifier (with the version that it names).  It must begin where a
+sentence or line does, after a standard lead-in at most; inside it line ends, punctuation and
+comment signs are gaps, so wrapped and commented headers are met too.  The identifiers of a
+text in order are then matched against ordered rules, each a sequence of identifiers; a
+rule's match is consumed, so a longer rule wins over the shorter ones that it contains.
+
+Only texts with one of a few licence words are normalised: every known sentence holds one of
 them, so nothing is lost.  No shuffle, no Python on the executors.
 
 Defined results: a null or empty text has no identifiers and no licences; very long texts
@@ -14,6 +16,7 @@ and repeated rows are taken row by row; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,35 +25,60 @@ from pyspark.sql import functions as F
 #: A word of licence text: what every known sentence contains (a regular expression for Java and RE2).
 HINT = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|public domain|liab"
 
-#: Normalised licence sentences (lower case, other characters as one space), by identifier.
-#: A pattern's group, if it has one, is the version that follows the identifier.
+#: Parts of the patterns below.  A space is any gap (wrapped lines, punctuation and comment signs count as one), _ an optional one.
+_VERSION = r"([0-9]+(?:\.[0-9]+)?)"
+_V = r"v(?:ersion)?_" + _VERSION
+_LATER = r"or (?:at your option )?(?:any )?later"
+_THING = r"works?|programs?|files?|software|projects?|library|modules?|packages?|code|scripts?|documents?|documentation|repository|product|materials?|sources?|contents?|data|dataset"
+#: What may stand before a statement in its sentence: "this work is", "the contents of this file are", "(1)".
+_LEAD = rf"(?:(?:this|the|these|all) (?:contents? of )?(?:this |the )?(?:source )?(?:{_THING}) (?:is|are) )?"
+_UNDER = _LEAD + r"(?:also )?(?:released|licensed|distributed) under (?:the terms of )?"
+_FREE = r"(?:[^\s|~<>]+\x20){1,12}?(?:is|are) free software you can redistribute (?:it|them) and or modify (?:it|them) under the terms (?:and conditions )?of "
+_FSF = r" as published by the free software foundation"
+_ITEM = r"(?:[0-9a-z] )?"
+
+#: The families of the GNU licences.
+_GNU = {"gpl": r"gnu general public license", "lgpl": r"gnu (?:lesser|library) general public license", "agpl": r"gnu affero general public license"}
+
+
+def _gnu(name: str, words: str) -> dict[str, str]:
+    return {
+        f"{name}-later": rf"{_UNDER}the {words} {_V} {_LATER}",
+        name: rf"{_UNDER}the {words} {_V}",
+        f"{name}-free": rf"{_FREE}the {words}{_FSF}",
+        f"{name}-only": rf"{_FREE}the {words} {_V}{_FSF}",
+        f"{name}-of": rf"{_FREE}version {_VERSION} of the {words}{_FSF}",
+    }
+
+
+#: How known licence sentences begin (lower case, other characters as one space), by identifier.
+#: A sentence may go on after its pattern.  A pattern's group, if it has one, is the version that follows the identifier.
 SENTENCES: dict[str, str] = {
-    "spdx": r"spdx license identifier ([a-z0-9. +]+)",
-    "apache": r"licensed under the apache license version ([0-9]+(?:\.[0-9]+)?)",
+    "spdx": r"spdx license identifier ([a-z0-9.\s+]+)",
+    "apache": rf"(?:{_UNDER}|the asf licenses this file to you under )the apache (?:software )?license {_V}",
     "apache-file": r"you may not use this file except in compliance with the license",
-    "apache-copy": r"you may obtain a copy of the license at .*",
-    "apache-asis": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*",
-    "gpl": r"(?:this work is|this program is|this file is)? ?licensed under the gnu general public license version ([0-9]+(?:\.[0-9]+)?)",
-    "gpl-free": r".* free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "gpl-version": r"either version ([0-9]+) of the license or at your option any later version",
-    "gpl-hope": r"this program is distributed in the hope that it will be useful but without any warranty .*",
-    "lgpl": r"(?:this work is)? ?licensed under the gnu lesser general public license version ([0-9]+(?:\.[0-9]+)?)",
-    "mit": r"(?:released|licensed|distributed) under the mit license",
-    "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software .*",
-    "mit-notice": r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as-is": r"the software is provided as is without warranty of any kind .*",
-    "liability": r"in no event shall the .* be liable .*",
-    "bsd": r"(?:released|licensed|distributed) under the ([0-9]) clause bsd license",
+    "apache-copy": r"you may obtain a copy of the license at",
+    "apache-asis": r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+    **{k: v for name, words in _GNU.items() for k, v in _gnu(name, words).items()},
+    "gpl-version": rf"(?:either )?version {_VERSION} of the license {_LATER} version",
+    "gpl-exact": rf"(?:either )?version {_VERSION} of the license",
+    "gpl-hope": rf"(?:this (?:{_THING})|[^\s|~<>]+) is distributed in the hope that it will be useful but without any warranty",
+    "mit": rf"{_UNDER}the mit license",
+    "mit-grant": r"permission is hereby granted free of charge to any person obtaining a copy of this software",
+    "mit-notice": r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software",
+    "as-is": r"the software is provided as is without warranty of any kind",
+    "liability": r"in no event shall the (?:[^\s|~<>]+ ){1,40}?be liable",
+    "bsd": rf"{_UNDER}the ([0-9]) clause bsd license",
     "bsd-grant": r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": r"(?:[0-9]\.? )?redistributions of source code must retain the above copyright notice .*",
-    "bsd-binary": r"(?:[0-9]\.? )?redistributions in binary form must reproduce the above copyright notice .*",
-    "bsd-names": r"(?:[0-9]\.? )?neither the name of .* may be used to endorse or promote products .* written permission",
-    "isc-grant": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted .*",
-    "mpl": r"this source code form is subject to the terms of the mozilla public license v\.? ?([0-9]+(?:\.[0-9]+)?)",
+    "bsd-source": rf"{_ITEM}redistributions of source code must retain the above copyright notice",
+    "bsd-binary": rf"{_ITEM}redistributions in binary form must reproduce the above copyright notice",
+    "bsd-names": rf"{_ITEM}neither the names? of (?:[^\s|~<>]+ ){{1,40}}?may be used to endorse or promote products (?:[^\s|~<>]+ ){{1,20}}?written permission",
+    "isc-grant": r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted",
+    "mpl": rf"(?:this source code form is subject to the terms of the|the contents of this file are subject to the|{_UNDER}the) mozilla public license {_V}",
     "unlicense": r"this is free and unencumbered software released into the public domain",
-    "cc-by-nc": r"(?:this work is )?licensed under cc by nc ([0-9]+(?:\.[0-9]+)?)",
-    "cc-by-sa": r"(?:this work is )?licensed under cc by sa ([0-9]+(?:\.[0-9]+)?)",
-    "cc-by": r"(?:this work is )?licensed under cc by ([0-9]+(?:\.[0-9]+)?)",
+    "cc-by-nc": rf"{_UNDER}cc by nc {_VERSION}",
+    "cc-by-sa": rf"{_UNDER}cc by sa {_VERSION}",
+    "cc-by": rf"{_UNDER}cc by {_VERSION}",
 }
 
 
@@ -71,9 +99,10 @@ RULES: tuple[Rule, ...] = (
     Rule("Apache-*", ("apache", "apache-file", "apache-copy", "apache-asis")),
     Rule("Apache-*", ("apache", "apache-file")),
     Rule("Apache-*", ("apache",)),
-    Rule("GPL-*-or-later", ("gpl-free", "gpl-version")),
-    Rule("GPL-*", ("gpl",)),
-    Rule("LGPL-*", ("lgpl",)),
+    *(Rule(f"{name.upper()}-*-or-later", (f"{name}-free", "gpl-version")) for name in _GNU),
+    *(Rule(f"{name.upper()}-*-or-later", (f"{name}-later",)) for name in _GNU),
+    *(Rule(f"{name.upper()}-*", (f"{name}-free", "gpl-exact")) for name in _GNU),
+    *(Rule(f"{name.upper()}-*", (f"{name}{kind}",)) for kind in ("", "-only", "-of") for name in _GNU),
     Rule("MIT", ("mit",)),
     Rule("BSD-*-Clause", ("bsd",)),
     Rule("ISC", ("isc-grant",)),
@@ -86,14 +115,29 @@ RULES: tuple[Rule, ...] = (
 )
 
 
-def _identify(sentence: Column) -> Column:
-    """Identifier "name@version" of a normalised sentence, or null."""
-    found = F.lit(None).cast("string")
-    for name, pattern in reversed(SENTENCES.items()):
-        whole = f"^(?:{pattern})$"
-        version = F.regexp_extract(sentence, whole, 1) if "([" in pattern else F.lit("")
-        found = F.when(sentence.rlike(whole), F.concat(F.lit(f"{name}@"), F.replace(F.trim(version), F.lit(" "), F.lit("-")))).otherwise(found)
-    return found
+def _marked(text: Column) -> Column:
+    """Normal form of a text: words, with | for the end of a sentence and ~ for a line's end that does not go on in lower case."""
+    text = F.translate(text, "|~<>", "    ")
+    # an SPDX tag ends with its line, a colon at a line's end starts a list
+    text = F.regexp_replace(text, r"(?i)(SPDX-License-Identifier:[^\r\n]*)|:[ \t]*(?=\r?\n)", "$1 . ")
+    text = F.regexp_replace(text, r"(?m)^[ \t]*(?:dnl|DNL|rem|REM)[ \t]", "")
+    text = F.regexp_replace(text, r"\n[ \t]*(?:(?://+|/?\*+|#+|;+|%+|--+)[ \t]*)?([a-z])", " $1")
+    text = F.regexp_replace(F.regexp_replace(text, r"[.;!?]+(?=\s|$)", " | "), r"\n", " ~ ")
+    text = F.regexp_replace(F.lower(text), r"(?<![0-9])\.|\.(?![0-9])", "")
+    text = F.regexp_replace(F.concat(F.lit("| "), text, F.lit(" |")), r"[^a-z0-9.+|~]+", " ")
+    return F.replace(text, F.lit("licence"), F.lit("license"))
+
+
+def _whole(pattern: str) -> str:
+    gaps = re.sub("[ _]", lambda m: r"(?: [|~])* " if m[0] == " " else r"(?:(?: [|~])* )?", pattern)
+    return rf"(?<=[|~] )(?:{gaps})(?![a-z0-9.+])"
+
+
+def _identifiers(text: Column) -> Column:
+    """Identifiers "name@version" of the known sentences of a normal form, in order; a gap takes any line's or sentence's end."""
+    for name, pattern in SENTENCES.items():
+        text = F.regexp_replace(text, _whole(pattern), f"<{name}@{'$1' if '([' in pattern else ''}> |")
+    return F.transform(F.regexp_extract_all(text, F.lit("<([^>]*)>"), F.lit(1)), lambda x: F.replace(F.trim(x), F.lit(" "), F.lit("-")))
 
 
 def _sequence_pattern(rule: Rule) -> str:
@@ -113,14 +157,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     likely = F.when(text.rlike(HINT), text).otherwise(F.lit(""))
-    # a line that goes on in lower case continues the sentence
-    joined = F.regexp_replace(likely, r"\n[ \t]*([a-z])", " $1")
-    sentences = F.split(joined, r"[.;!?]+[ \t\n\r]+|[.;!?]+$|\n+", -1)
-    normal = F.transform(
-        F.filter(sentences, lambda s: s.rlike(HINT) | s.rlike(r"(?i)in compliance|software|version")),
-        lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.+]+", " "), r"(^|[^0-9])\.|\.([^0-9]|$)", "$1$2")),
-    )
-    ids = F.filter(F.transform(normal, _identify), lambda x: x.isNotNull())
+    ids = _identifiers(_marked(likely))
     kept = [c for c in docs.columns if c.lower() not in ("sentence_ids", "licenses", "n_licenses")]
     out = docs.select(*[F.col(f"`{c}`") for c in kept], F.array_join(ids, " ").alias("sentence_ids"))
     rest, found = F.concat(F.lit(" "), F.replace(F.col("sentence_ids"), F.lit(" "), F.lit("  ")), F.lit(" ")), []
