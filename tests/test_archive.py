@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 from datetime import datetime, timedelta
 
@@ -53,6 +54,17 @@ def test_arrival_and_linked_threads_differ(spark):
     assert linked["child"] == linked["root"] == "root" and linked["late"] == "late"
 
 
+def test_long_reply_chain_is_one_thread(spark):
+    names = [f"m{i:04d}" for i in range(1000)]
+    random.Random(3).shuffle(names)
+    rows = mails(spark, [(m, names[i - 1] if i else "", f"s{i}", "x@x.org", i) for i, m in enumerate(names)])
+    edges = threads.header_edges(rows).select(F.col("message_id").alias("a"), F.col("parent").alias("b"))
+    assert {r.root for r in threads.components(rows.select(F.col("message_id").alias("id")), edges).collect()} == {"m0000"}
+    assert {r.thread_id for r in threads.linked_threads(rows).collect()} == {names[0]}
+    arrival = {r.message_id: r.thread_id for r in threads.arrival_threads(rows).collect()}
+    assert len(arrival) == 1000 and set(arrival.values()) == {names[0]}
+
+
 def test_merge_and_diff(spark):
     a = spark.createDataFrame([(1, None), (2, "x")], "k long, s string")
     b = spark.createDataFrame([(1, None), (3, "y")], "k long, s string")

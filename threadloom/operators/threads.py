@@ -63,20 +63,25 @@ def header_edges(messages: DataFrame) -> DataFrame:
     return named.join(messages.select(F.col("message_id").alias("parent")).distinct(), "parent").select("message_id", "parent").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, root): least id connected with each node (id) by edges (a, b); lineage is cut by checkpoint() each round."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, root): least id connected with each node (id) by edges (a, b); lineage is cut by checkpoint() each round.
+
+    A round takes the least root's root among a node's neighbours, for the node and for its
+    root, then the root's root; rounds go on until no root moves, and grow with the logarithm
+    of a chain's length.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("root")).distinct().checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("_a")).agg(F.min("root").alias("near"))
-        low = labels.join(near, F.col("id") == F.col("_a"), "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
-        jump = labels.select(F.col("id").alias("_i"), F.col("root").alias("_r"))
-        fresh = low.join(jump, F.col("low") == F.col("_i"), "left").select("id", F.least("low", F.coalesce("_r", "low")).alias("new"), "root").checkpoint()
-        moved = fresh.where("new <> root").limit(1).count()
-        labels = fresh.select("id", F.col("new").alias("root"))
-        if not moved:
-            break
-    return labels
+    labels = nodes.select("id", F.col("id").alias("root"), F.col("id").alias("grand")).distinct().checkpoint()
+    while True:
+        near = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("_a")).agg(F.min("grand").alias("low"))
+        hooks = near.join(labels, F.col("_a") == F.col("id")).select(F.explode(F.array("id", "root")).alias("_a"), "low")
+        low = hooks.groupBy("_a").agg(F.min("low").alias("low"))
+        moved = labels.join(low, F.col("id") == F.col("_a"), "left").select("id", F.least("root", "grand", "low").alias("root"), F.col("root").alias("was")).checkpoint()
+        parents = moved.select(F.col("id").alias("_i"), F.col("root").alias("_r"))
+        fresh = moved.join(parents, F.col("root") == F.col("_i"), "left").select("id", "root", F.coalesce("_r", "root").alias("grand"))
+        if not moved.where("root <> was").limit(1).count():
+            return moved.select("id", "root")
+        labels = fresh.checkpoint()
 
 
 def linked_threads(messages: DataFrame) -> DataFrame:
