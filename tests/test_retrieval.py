@@ -33,6 +33,20 @@ def test_fetch_limit_and_dates():
         fusion.parse_bound("yesterday")
 
 
+def test_keyword_lane_filters_before_the_cut(spark):
+    units = spark.createDataFrame([(i, i // 2, "word " * (9 - i) + "x y z") for i in range(8)], "id long, thread long, t string")
+    folders = ["hot", "hot", "hot", "cold"]
+    owners = spark.createDataFrame([(i, folders[i // 2]) for i in range(8)], "thread_id long, folder string")
+    f = fusion.Filters(folders=("cold",))
+    lane = fusion.keyword_lane(units, "id", "word", 2, "t", threads=owners, filters=f)
+    assert [(r.id, r.rank) for r in lane.orderBy("rank").collect()] == [(6, 1), (7, 2)]
+    assert [r.id for r in fusion.hybrid_search([lane], None, None, owners, f, 10, 40).collect()] == [6, 7]
+    by_thread = spark.createDataFrame(list(enumerate(folders)), "thread_id long, folder string")
+    lane = fusion.keyword_lane(units, "id", "word", 1, "t", thread="thread", threads=by_thread, filters=f)
+    assert [(r.id, r.rank) for r in lane.collect()] == [(3, 1)]
+    assert {r.id for r in fusion.keyword_lane(units, "id", "word", 2, "t").collect()} == {0, 1}
+
+
 def test_best_per_thread(spark):
     rows = spark.createDataFrame([(1, "A", 0.3), (2, "A", 0.9), (3, "B", 0.5)], "id long, thread_id string, score double")
     assert {(r.thread_id, r.score) for r in keyword.best_per_thread(rows).collect()} == {("A", 0.9), ("B", 0.5)}

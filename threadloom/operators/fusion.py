@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, time, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -99,13 +99,27 @@ def evidence(chunks: DataFrame, thread: str, per_thread: int = EVIDENCE) -> Data
     return chunks.withColumn("place", place.cast("long")).where(F.col("place") <= per_thread)
 
 
-def keyword_lane(units: DataFrame, id_column: str, query: str, limit: int, *texts: str, thread: str | None = None) -> DataFrame:
-    """(id, rank) of threads by BM25; units below threads (chunks, attachments) count by their best."""
+def keyword_lane(
+    units: DataFrame, id_column: str, query: str, limit: int, *texts: str, thread: str | None = None, threads: DataFrame | None = None, filters: Filters | None = None
+) -> DataFrame:
+    """(id, rank) of threads by BM25; units below threads (chunks, attachments) count by their best.
+
+    With ``threads`` (thread_id and the columns that filters name), folders, days and attachments
+    hold before the cut; a sender does not.  Statistics are those of all units.
+    """
+    scored = bm25(units, id_column, query, *texts)
+    if thread is not None:
+        owners = units.select(F.col(id_column).alias("id"), F.col(thread).alias("_thread"))
+        if threads is None:
+            scored = top(scored, limit * OVERSAMPLE_CHUNK_TEXT)
+        scored = scored.join(owners, "id")
+    if threads is not None and filters is not None:
+        kept = apply_filters(threads, replace(filters, sender=None)).select(F.col("thread_id").alias("_kept"))
+        scored = scored.join(kept, F.col("id" if thread is None else "_thread") == F.col("_kept"), "left_semi")
     if thread is None:
-        return ranked(bm25(units, id_column, query, *texts), limit).select("id", "rank")
-    found = top(bm25(units, id_column, query, *texts), limit * OVERSAMPLE_CHUNK_TEXT)
-    owners = units.select(F.col(id_column).alias("id"), F.col(thread).alias("_thread"))
-    best = best_per_thread(found.join(owners, "id"), "_thread").select(F.col("_thread").alias("id"), "score")
+        return ranked(scored, limit).select("id", "rank")
+    found = top(scored, limit * OVERSAMPLE_CHUNK_TEXT)
+    best = best_per_thread(found, "_thread").select(F.col("_thread").alias("id"), "score")
     return ranked(best, limit).select("id", "rank")
 
 
@@ -118,7 +132,8 @@ def hybrid_search(keyword_lanes: Sequence[DataFrame], thread_vectors: DataFrame
     """Threads by fused rank: keyword lanes are fused and cut first, then fused with the vector lanes.
 
     ``keyword_lanes`` and ``thread_vectors`` are (id, rank); ``chunk_ranks`` is (thread_id, rank);
-    ``threads`` has thread_id and the columns that filters name.  Filters hold again after fusion.
+    ``threads`` has thread_id and the columns that filters name.  Filters hold again after fusion;
+    keyword lanes should have been cut after them (see :func:`keyword_lane`).
     """
     lexical = in_order(rrf(keyword_lanes), fetch)
     place = F.row_number().over(W.orderBy(F.col("score").desc(), "first_lane", "first_rank", "id"))

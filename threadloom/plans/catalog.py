@@ -218,9 +218,11 @@ def rrf_three_lane(spark, d):
 u AS (SELECT *, 0 AS lane FROM lex UNION ALL SELECT *, 1 FROM vl), g AS (SELECT id, sum(1.0 / (60 + rank)) AS score, min((lane, rank)) AS first FROM u GROUP BY id)
 SELECT g.id, source, lang, round(score, 9) AS score FROM g JOIN documents ON doc_id = id WHERE lang IN ('en', 'de') ORDER BY g.score DESC, first, g.id LIMIT 10""")
 def hybrid_search(spark, d):
-    words, vectors = _two_lanes(spark, d)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("thread_id"), "source", "lang", F.col("lang").alias("folder"))
-    found = fusion.hybrid_search([words], vectors, None, docs, fusion.Filters(folders=("en", "de")), 10, fusion.fetch_limit(10, 10, fusion.Filters(folders=("en",))))
+    docs, filters = table(spark, d, "documents"), fusion.Filters(folders=("en", "de"))
+    rows = docs.select(F.col("doc_id").alias("thread_id"), "source", "lang", F.col("lang").alias("folder"))
+    words = fusion.keyword_lane(docs, "doc_id", "license released", 40, "text", threads=rows, filters=filters)
+    vectors = fusion.vector_lane(table(spark, d, "embeddings"), "vec_id", "embedding", PROBE, 40)
+    found = fusion.hybrid_search([words], vectors, None, rows, filters, 10, fusion.fetch_limit(10, 10, filters))
     return found.select("id", "source", "lang", F.round("score", 9).alias("score"))
 
 
