@@ -1,3 +1,5 @@
+import hashlib
+import re
 from datetime import datetime
 
 import pytest
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.functions import vectors as V
 from threadloom.operators import chunking, fusion, keyword, lookups, rag
+from threadloom.plans import catalog
 
 
 def one(spark, column, **values):
@@ -73,6 +76,28 @@ def test_subjects_quotes_addresses(spark):
     assert one(spark, T.maildir_unique(F.col("s")), s="/m/INBOX/cur/1.2:2,ST") == "1.2"
 
 
+def stripped_by_hand(body):
+    hard = [r"-- $", r"(?i)-{2,}\s*Original Message\s*-{2,}\s*$", r"(?i)-{2,}\s*Forwarded message\s*-{2,}\s*$", r"(?i)Begin forwarded message:\s*$", r"On\b.*\bwrote:\s*$"]
+    kept = []
+    for line in body.splitlines():
+        if any(re.match(p, line) for p in hard):
+            break
+        if not line.lstrip().startswith(">"):
+            kept.append(line)
+    return "\n".join(kept).strip() or body
+
+
+def test_quotes_in_whole_bodies(spark, tmp_path):
+    lines = ["--", "-- ", "--  ", "-----ORIGINAL MESSAGE-----  ", "---Original  Message---", "--\tforwarded message --", "begin forwarded message:", "Begin forwarded message: see", "On wrote:", "Once he wrote:"]
+    lines += ["On " + "x" * 400 + " wrote:", "On Monday he rewrote:", " On Monday Bob wrote:", "\u3000> q", "\x1c> q", "> On a wrote:", "a\x0b> b", "a\x85-- ", "a\u2028-- \u2028b", ""]
+    bodies = [f"first\n> old\n\u00a0second \n{x}\nthird\r\n > older\rlast\u00a0" for x in lines] + lines + ["> a\n> b", " \n "]
+    df = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    assert {r.doc_id: r.x for r in df.select("doc_id", T.strip_quotes(F.col("text")).alias("x")).collect()} == {i: stripped_by_hand(b) for i, b in enumerate(bodies)}
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: hashlib.md5(stripped_by_hand(b.replace("\n", "\n> quoted\n") + "\n> quoted\n-- \nsignature").encode()).hexdigest() for i, b in enumerate(bodies)}
+    assert {r.doc_id: r.stripped for r in catalog.QUERIES["strip_quotes"](spark, str(tmp_path)).collect()} == want
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [0.0, 1.0])], "id long, v array<float>")
     assert [r.id for r in V.knn(df, "id", "v", [0.0, 1.0], 5).collect()] == [3, 1]

@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 #: Reply and forward prefixes of subjects.
 SUBJECT_PREFIX = r"^(?:(?:re|fwd|fw|aw|ant)[\s:\[\]]+)+"
 
+#: Ends of lines, and white space, as Python's str has them.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 #: Lines from which on a body is a signature or a quoted message.
-HARD_CUT = r"^(?:-- ?$|-{2,} ?Original Message ?-{2,}|-{2,} ?Forwarded message ?-{2,}|Begin forwarded message:|On .{1,300}wrote:\s*$)"
+HARD_CUT = (
+    rf"^(?:-- $|(?iu:-{{2,}}{SPACE}*(?:Original|Forwarded) message{SPACE}*-{{2,}}{SPACE}*$|Begin forwarded message:{SPACE}*$)"
+    rf"|On(?![\p{{L}}\p{{N}}_])(?:.*[^\p{{L}}\p{{N}}_])wrote:{SPACE}*$)"
+)
 
 #: What secrets look like, and what stands for them.
 SECRETS: tuple[tuple[str, str], ...] = (
@@ -60,11 +67,11 @@ def normalize_body(body: Column) -> Column:
 
 def strip_quotes(body: Column) -> Column:
     """Body without quoted lines and all from the first hard marker on; the body itself if nothing is left."""
-    lines = F.split(body, r"\r\n|\r|\n", -1)
+    lines = F.split(body, LINE_END, -1)
     cuts = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(HARD_CUT), i)), lambda i: i.isNotNull())
     end = F.coalesce(F.array_min(cuts), F.size(lines))
-    kept = F.filter(F.slice(lines, F.lit(1), end), lambda x: ~x.rlike(r"^\s*>"))
-    text = F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", ""))
+    kept = F.filter(F.slice(lines, F.lit(1), end), lambda x: ~x.rlike(rf"^{SPACE}*>"))
+    text = F.regexp_replace(F.array_join(kept, "\n"), rf"^{SPACE}+|{SPACE}+$", "")
     return F.when(F.length(text) > 0, text).otherwise(body)
 
 

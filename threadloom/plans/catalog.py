@@ -244,8 +244,8 @@ def filter_sender(spark, d):
 SELECT doc_id, CASE WHEN length(trim(first, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) > 0 AND NOT regexp_matches(first, '^\\s*>') THEN md5(trim(first, ' ' || chr(9) || chr(13) || chr(11) || chr(12)))
   ELSE md5(first || chr(10) || '> quoted' || chr(10) || '-- ' || chr(10) || 'signature') END AS stripped FROM q""")
 def strip_quotes(spark, d):
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.substring_index("text", "\n", 1).alias("first"))
-    body = F.concat("first", F.lit("\n> quoted\n-- \nsignature"))
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    body = F.concat(F.replace("text", F.lit("\n"), F.lit("\n> quoted\n")), F.lit("\n> quoted\n-- \nsignature"))
     return docs.select("doc_id", F.md5(T.strip_quotes(body)).alias("stripped"))
 
 
