@@ -205,6 +205,15 @@ def test_substring_dedup_matches_brute_force(docs, nothing, odd):
     assert substring_dedup.dedup_units(odd).count() == 5
 
 
+def test_substring_dedup_takes_units_without_spaces(spark):
+    units = ["\u4eba\u5de5\u667a\u80fd\u6b63\u5728\u6539\u53d8\u4e16\u754c", "\u0e1b\u0e23\u0e30\u0e40\u0e17\u0e28\u0e44\u0e17\u0e22\u0e21\u0e35\u0e0a\u0e32\u0e22", "https://example.com/a/very/long/path/with/many/parts", "QUJD" * 20 + "=="]
+    short = ["\u4eba\u5de5", "one two three four", "x" * 39]
+    df = spark.createDataFrame([(i, "\n".join([f"only in row {i} of this small table", *units, *short])) for i in (1, 2)], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.dedup_units(df).collect()}
+    assert (got[1].n_dropped, got[2].n_dropped) == (0, len(units))
+    assert got[2].text.split("\n")[1:] == short
+
+
 def test_token_output_round_trip(spark, docs, nothing, odd, tmp_path):
     from tokenizers import Tokenizer
 

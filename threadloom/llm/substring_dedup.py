@@ -6,7 +6,9 @@ of all rows hold costs one row for each map task.  The occurrence of the lowest
 (doc_id, then position) stays, all later ones go, and their offsets in the original text
 are returned.
 
-Units with fewer than ``min_words`` words stay: short ones repeat by chance in clean text.
+Units with fewer than ``min_words`` words stay, as short ones repeat by chance in clean text,
+unless they have ``min_chars`` code points: URLs, tables and encoded blocks have few spaces.
+In scripts written without spaces two code points count as a word.
 
 Defined results: a null or empty text has one empty unit, which stays; of rows with equal
 doc_id, each keeps the unit that they are the first to hold; a null doc_id ranks last; an
@@ -15,21 +17,33 @@ empty table gives an empty table; other columns pass through.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm._common import Scratch, ids_and_text
-from threadloom.llm._lines import cut_lines, squeeze_key, unit_digests
+from threadloom.llm._lines import cut_lines, long_enough, squeeze_key, unit_digests
+
+#: The least size of a unit, in words or in code points.
+MIN_WORDS, MIN_CHARS = 5, 40
+#: Thai, Lao, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
 
-MIN_WORDS = 5
+def wanted_unit(key: bytes, min_words: int, min_chars: int) -> bool:
+    words = key.count(b" ") + 1
+    if words >= min_words or long_enough(key, min_chars):
+        return True
+    return not key.isascii() and words + len(_UNSPACED.findall(key.decode("utf-8", "replace"))) // 2 > min_words
 
 
-def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without repeated lines, and n_lines, n_dropped, spans, kept_sha256."""
     base = ids_and_text(docs)
 
     def wanted(key: bytes) -> bool:
-        return key.count(b" ") + 1 >= min_words
+        return wanted_unit(key, min_words, min_chars)
 
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     units = scratch.save(unit_digests(base, squeeze_key, wanted).select("doc_id", "key"), "units")
