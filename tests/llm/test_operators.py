@@ -185,6 +185,16 @@ def test_line_runs_anti_join_and_compact(spark):
     assert {(bytes(r.key), r.n_docs, r.last_doc) for r in runs.totals().collect()} == {(b"a", 1, 1), (b"b", 2, 2), (b"c", 2, 4)}
 
 
+def test_line_runs_hold_each_key_once(spark):
+    from threadloom.llm._common import Scratch
+
+    runs = line_dedup.LineRuns(spark, Scratch(spark, "t"), fan_out=3)
+    for rows in ([(1, b"a"), (2, b"b")], [(3, b"b"), (4, b"c")], [(5, b"b"), (6, b"c")], [(7, b"a"), (8, b"d")]):
+        runs.add(spark.createDataFrame(rows, "doc_id long, key binary"))
+    assert sorted(bytes(r.key) for r in runs._read(runs.names()).collect()) == [b"a", b"b", b"c", b"d"]
+    assert {(bytes(r.key), r.n_docs, r.last_doc) for r in runs.totals().collect()} == {(b"a", 2, 7), (b"b", 3, 5), (b"c", 2, 6), (b"d", 1, 8)}
+
+
 def test_substring_dedup_matches_brute_force(docs, nothing, odd):
     key = lambda x: " ".join(words(lower(x)))
     seen = set()

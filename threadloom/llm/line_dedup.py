@@ -2,7 +2,8 @@
 
 The corpus' state is a set of runs, each a table (key, n_docs, last_doc) sorted by key.
 A batch of documents is reduced to its own run, merge-anti-joined with the keys of the
-runs that are there (what remains are the batch's new lines), and added at level 0.  When
+runs that are there (what remains are the batch's new lines), and added at level 0; its
+counts of known lines are written beside the runs as increments, as counts are sums.  When
 a level holds ``fan_out`` runs, they are merged into one run of the next level, so a key
 is rewritten a logarithmic number of times.  Runs live in the shared checkpoint folder;
 a lost executor costs only its tasks.
@@ -34,6 +35,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, scratch: Scratch, fan_out: int = FAN_OUT):
         self.spark, self.scratch, self.fan_out = spark, scratch, fan_out
         self.levels: list[list[str]] = []
+        self.increments: list[str] = []
         self.made = 0
 
     def _read(self, names: list[str]) -> DataFrame:
@@ -57,9 +59,18 @@ class LineRuns:
         return run.join(self._read(self.names()).select("key").hint("merge"), "key", "left_anti")
 
     def add(self, entries: DataFrame) -> None:
-        """Adds the run of a batch of (doc_id, key) rows, then compacts where a level is full."""
+        """Adds a batch of (doc_id, key) rows: new keys as a run, counts of known keys as increments; compacts full levels."""
         run = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        self._write(run, 0)
+        if self.names():
+            batch = f"batch-{self.made}"
+            run = self.scratch.save(run, batch)
+            known = f"more-{self.made}"
+            self.scratch.save(run.join(self._read(self.names()).select("key").hint("merge"), "key", "left_semi").select("key", "n_docs", "last_doc"), known)
+            self.increments.append(known)
+            self._write(self.new_keys(run), 0)
+            self.scratch.drop(batch)
+        else:
+            self._write(run, 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fan_out:
             self._compact(level)
@@ -76,8 +87,8 @@ class LineRuns:
         return self._read(names).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def totals(self) -> DataFrame:
-        """All runs as one: a row for each line."""
-        return self._merged(self.names())
+        """All runs and increments as one: a row for each line."""
+        return self._merged(self.names() + self.increments)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
@@ -100,7 +111,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     for batch in range(batches):
         runs.add(entries.where(F.col("batch") == batch))
     common = scratch.save(runs.totals().where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "common")
-    for name in runs.names():
+    for name in runs.names() + runs.increments:
         scratch.drop(name)
     gone = (
         entries.select("doc_id", "key").join(common, "key")
