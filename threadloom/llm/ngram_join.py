@@ -17,6 +17,8 @@ its signature.  A set takes the H + 1 cheapest; segments nobody shares are free.
 with N <= H has too few segments for that: it takes, besides the segments themselves,
 their one-deletion neighbourhoods, which stand for two units of the pigeonhole each, and
 meets the other sets of that kind (a pair is found if one of the two has enough segments).
+The exact segments of that space, empty ones included, let such partners meet already, so the
+neighbourhoods add no pair; the allocation by cost chooses among exact segments alone.
 
 Verification is exact, on the shingles.  Each set is compared with the central member that
 most of the groups it takes have, then with the central members of its other groups that
