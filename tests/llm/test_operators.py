@@ -195,29 +195,52 @@ def test_line_runs_hold_each_key_once(spark):
     assert {(bytes(r.key), r.n_docs, r.last_doc) for r in runs.totals().collect()} == {(b"a", 2, 7), (b"b", 3, 5), (b"c", 2, 6), (b"d", 1, 8)}
 
 
-def test_substring_dedup_matches_brute_force(docs, nothing, odd):
+def sentence_units(text):
+    """Pieces of a text, cut behind sentence and line ends and the white space after them."""
+    out, start, i = [], 0, 0
+    while i < len(text):
+        if text[i] in "\n。！？" or (text[i] in ".!?" and text[i + 1 : i + 2] in set(" \t\x0b\x0c\r")):
+            i += 1
+            while i < len(text) and text[i] in " \t\n\x0b\x0c\r":
+                i += 1
+            out.append(text[start:i])
+            start = i
+        else:
+            i += 1
+    return out + ([text[start:]] if start < len(text) else [])
+
+
+def test_substring_dedup_matches_brute_force(spark, docs, nothing, odd):
+    r = random.Random(11)
+    pool = [" ".join(r.choice(["alpha", "Beta", "gamma", "delta-x", "eps"]) for _ in range(r.randint(3, 30))) + r.choice([". ", "!\t", "?\n", "\n", ".x ", "。"]) for _ in range(40)]
+    rows = ROWS + [(100 + i, "".join(r.choice(pool) for _ in range(r.randint(1, 12))), "en", "a", 1) for i in range(60)]
     key = lambda x: " ".join(words(lower(x)))
-    seen = set()
-    got = {r.doc_id: r for r in substring_dedup.dedup_units(docs).collect()}
-    for i, text, *_ in sorted(ROWS, key=lambda r: r[0]):
+    seen, dropped = set(), 0
+    got = {r.doc_id: r for r in substring_dedup.dedup_units(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for i, text, *_ in sorted(rows, key=lambda r: r[0]):
         kept, spans, at = [], [], 0
-        for line in line_units(text):
-            k = key(line)
-            if len(k.split(" ")) >= substring_dedup.MIN_WORDS and k in seen:
-                spans.append(f"{at}-{at + len(line)}")
+        for unit in sentence_units(text or ""):
+            k = key(unit)
+            big = len(k.split(" ")) >= substring_dedup.MIN_WORDS or len(k) >= substring_dedup.MIN_CHARS
+            if big and k in seen:
+                spans.append(f"{at}-{at + len(unit)}")
             else:
-                kept.append(line)
-            if len(k.split(" ")) >= substring_dedup.MIN_WORDS:
+                kept.append(unit)
+            if big:
                 seen.add(k)
-            at += len(line) + 1
-        assert (got[i].text, got[i].spans) == ("\n".join(kept), ",".join(spans))
+            at += len(unit)
+        assert (got[i].text, got[i].spans, got[i].n_units) == ("".join(kept), ",".join(spans), len(sentence_units(text or ""))) or (text is None and got[i].text == "")
+        dropped += len(spans)
+    assert dropped > 50
     assert substring_dedup.dedup_units(nothing).count() == 0
-    assert substring_dedup.dedup_units(odd).count() == 5
+    got = substring_dedup.dedup_units(odd).collect()
+    assert len(got) == 5 and all(r.text == (t or "") for r, t in zip(sorted(got, key=lambda r: r.kept), ["some text here to keep as it is", "", *["again and again the same"] * 2, "again and again the same"], strict=False))
 
 
 def test_substring_dedup_takes_units_without_spaces(spark):
-    units = ["\u4eba\u5de5\u667a\u80fd\u6b63\u5728\u6539\u53d8\u4e16\u754c", "\u0e1b\u0e23\u0e30\u0e40\u0e17\u0e28\u0e44\u0e17\u0e22\u0e21\u0e35\u0e0a\u0e32\u0e22", "https://example.com/a/very/long/path/with/many/parts", "QUJD" * 20 + "=="]
-    short = ["\u4eba\u5de5", "one two three four", "x" * 39]
+    han, thai = "人工智能正在改变世界" * 4, "ประเทศไทยมีชาย" * 3
+    units = [han, thai, "https://example.com/" + "a/very/long/path" * 10, "QUJD" * 50 + "=="]
+    short = ["人工", "one two three four", "x" * 159, " ".join("w" * 15)]
     df = spark.createDataFrame([(i, "\n".join([f"only in row {i} of this small table", *units, *short])) for i in (1, 2)], "doc_id long, text string")
     got = {r.doc_id: r for r in substring_dedup.dedup_units(df).collect()}
     assert (got[1].n_dropped, got[2].n_dropped) == (0, len(units))

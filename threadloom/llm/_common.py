@@ -250,6 +250,17 @@ def own_columns(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names from ``stems`` that ``df`` does not have."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._common import LOWER, own_columns, slices, text_buffer
+from threadloom.llm._common import LOWER, free_names, own_columns, slices, text_buffer
 
 #: The white space [\x20\x09-\x0D].
 SPACES = b" \t\n\x0b\x0c\r"
@@ -71,39 +71,36 @@ def unit_digests(docs: DataFrame, key_of: Callable[[bytes], bytes], wanted: Call
 CUT = {"n_lines": pa.int64(), "n_dropped": pa.int64(), "spans": pa.string(), "kept_sha256": pa.string()}
 
 
-def cut_lines(docs: DataFrame, dropped: DataFrame, key_of: Callable[[bytes], bytes], wanted: Callable[[bytes], bool], once: bool = False) -> DataFrame:
+def cut_lines(docs: DataFrame, dropped: DataFrame, key_of: Callable[[bytes], bytes], wanted: Callable[[bytes], bool]) -> DataFrame:
     """``docs`` without the lines that ``dropped`` (doc_id, keys) names, and the columns of :data:`CUT`.
 
-    keys: digests whose lines go; once: a document also loses lines that repeat its own
-    earlier ones.  spans: "start-end" of each line that went, in code points
+    keys: digests whose lines go.  spans: "start-end" of each line that went, in code points
     of the original text, end exclusive, joined by commas.  Other columns pass through.
     """
     passed = own_columns(docs, list(CUT))
-    right = dropped.select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
-    joined = docs.select(*[F.col(f"`{c}`") for c in passed]).join(right, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    id_, keys_ = free_names(docs, "id", "keys")
+    right = dropped.select(F.col("doc_id").alias(id_), F.col("keys").alias(keys_))
+    joined = docs.select(*[F.col(f"`{c}`") for c in passed]).join(right, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left").drop(id_)
     place = [c.lower() for c in passed].index("text")
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[F.col(f"`{c}`") for c in passed]).dtypes)
     schema += ", n_lines long, n_dropped long, spans string, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, passed[place]):
                 texts, rows = [], []
-                for (whole, lines, low), gone in zip(raw_lines(part.column(place)), part.column("__keys").to_pylist(), strict=True):
+                for (whole, lines, low), gone in zip(raw_lines(part.column(place)), part.column(keys_).to_pylist(), strict=True):
                     rest, cut = whole, []
-                    if gone or once:
-                        gone, seen = set(gone or ()), set()
-                        kept, at = [], 0
+                    if gone:
+                        gone, kept, at = set(gone), [], 0
                         for line, low_line in zip(lines, low, strict=True):
                             size = len(line.decode("utf-8", "replace"))
                             key = key_of(low_line)
                             mark = digest(key) if wanted(key) else None
-                            if mark in gone or once and mark in seen:
+                            if mark in gone:
                                 cut.append(f"{at}-{at + size}")
                             else:
                                 kept.append(line)
-                            if mark:
-                                seen.add(mark)
                             at += size + 1
                         rest = b"\n".join(kept)
                     texts.append(rest)

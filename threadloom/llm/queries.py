@@ -126,16 +126,20 @@ FROM d GROUP BY doc_id
 """,
     "op4_substring_dedup": f"""
 WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '((?:[.!?][ \\t\\v\\f\\r]|[\\x{{3002}}\\x{{FF01}}\\x{{FF1F}}]|\\n)[ \\t\\n\\v\\f\\r]*)', '\\1' || chr(1), 'g'), chr(1)) AS u FROM documents
+), p AS (SELECT doc_id, unnest(u) AS unit, generate_subscripts(u, 1) AS i FROM l
 ), k AS (
-  SELECT doc_id, i, line, regexp_replace(translate(trim(line, {_SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS key,
-    sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS pos FROM l
+  SELECT doc_id, i, unit, regexp_replace(translate(trim(unit, {_SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS key,
+    CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(unit) AS pos FROM p WHERE length(unit) > 0
+), s AS (
+  SELECT *, length(key) - length(replace(key, ' ', '')) + 1 AS words,
+    length(regexp_replace(key, '[^\\x{{0E00}}-\\x{{0EFF}}\\x{{1000}}-\\x{{109F}}\\x{{1780}}-\\x{{17FF}}\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{20000}}-\\x{{3FFFF}}]', '', 'g')) AS dense FROM k
 ), d AS (
-  SELECT *, length(key) - length(replace(key, ' ', '')) + 1 >= {substring_dedup.MIN_WORDS} AND row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS gone FROM k
+  SELECT *, (words + dense // 2 >= {substring_dedup.MIN_WORDS} OR length(key) >= {substring_dedup.MIN_CHARS}) AND row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS gone FROM s
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-  coalesce(string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(line) AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (WHERE gone), '') AS spans,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM d GROUP BY doc_id
+SELECT t.doc_id, count(d.i) AS n_units, count(*) FILTER (WHERE gone) AS n_dropped,
+  coalesce(string_agg(CAST(pos AS VARCHAR) || '-' || CAST(pos + length(unit) AS VARCHAR), ',' ORDER BY i) FILTER (WHERE gone), '') AS spans,
+  sha256(coalesce(string_agg(unit, '' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM documents t LEFT JOIN d ON d.doc_id = t.doc_id GROUP BY t.doc_id
 """,
 }

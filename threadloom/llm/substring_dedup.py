@@ -1,55 +1,134 @@
-"""Substring dedup by hashing units: lines, or paragraphs.
+"""Substring dedup by hashing units: the sentences of lines, or lines that have none.
 
-Every unit is normalised (A-Z lower-cased, white space squeezed) and hashed; digests are
-grouped globally by an aggregation that combines on the map side, so a unit that a third
-of all rows hold costs one row for each map task.  The occurrence of the lowest rank
-(doc_id, then position) stays, all later ones go, and their offsets in the original text
-are returned.
+A text is cut behind line ends and behind sentence ends (. ! ? and white space, or an
+ideographic full stop), with the white space that follows.  Every unit is normalised (A-Z
+lower-cased, white space squeezed) and hashed; digests are grouped globally by an aggregation
+that combines on the map side, so a unit that a third of all rows hold costs one row for each
+map task.  The occurrence of the lowest rank (doc_id, then position) stays, all later ones go,
+and their offsets in the original text are returned; what stays is joined as it stood.
 
-Units with fewer than ``min_words`` words stay, as short ones repeat by chance in clean text,
-unless they have ``min_chars`` code points: URLs, tables and encoded blocks have few spaces.
-In scripts written without spaces two code points count as a word.
+Only units of ``min_words`` words or more are grouped: shorter ones repeat by chance in clean
+text.  A unit of ``min_chars`` code points counts whatever its words, as URLs, tables and
+encoded blocks have few spaces; in scripts without spaces two code points count as a word.
 
-Defined results: a null or empty text has one empty unit, which stays; of rows with equal
-doc_id, each keeps the unit that they are the first to hold; a null doc_id ranks last; an
-empty table gives an empty table; other columns pass through.
+Defined results: a null or empty text has no unit; of rows with equal doc_id, each keeps the
+unit that they are the first to hold; a null doc_id ranks last; very long texts are taken
+whole, one at a time; an empty table gives an empty table; other columns pass through, those
+named like a result column are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._common import Scratch, ids_and_text
-from threadloom.llm._lines import cut_lines, long_enough, squeeze_key, unit_digests
+from threadloom.llm._common import LOWER, Scratch, free_names, ids_and_text, own_columns, slices, text_buffer
+from threadloom.llm._lines import digest, long_enough, squeeze_key
 
 #: The least size of a unit, in words or in code points.
-MIN_WORDS, MIN_CHARS = 5, 40
+MIN_WORDS, MIN_CHARS = 16, 160
+#: What ends a unit (UTF-8; the ideographic full stop, exclamation and question mark are three bytes each).
+_END = re.compile(rb"(?:[.!?][ \t\x0b\x0c\r]|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|\n)[ \t\n\x0b\x0c\r]*")
 #: Thai, Lao, Burmese, Khmer, kana and Han.
-_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 
+#: Columns that :func:`dedup_units` adds.
+RESULT = {"n_units": pa.int64(), "n_dropped": pa.int64(), "spans": pa.string(), "kept_sha256": pa.string()}
 
-def wanted_unit(key: bytes, min_words: int, min_chars: int) -> bool:
+
+def units(text: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of the units of a text, which follow each other without gaps."""
+    start = 0
+    for m in _END.finditer(text):
+        yield start, m.end()
+        start = m.end()
+    if start < len(text):
+        yield start, len(text)
+
+
+def wanted_unit(key: bytes, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> bool:
     words = key.count(b" ") + 1
     if words >= min_words or long_enough(key, min_chars):
         return True
-    return not key.isascii() and words + len(_UNSPACED.findall(key.decode("utf-8", "replace"))) // 2 > min_words
+    return not key.isascii() and words + len(_UNSPACED.findall(key.decode("utf-8", "replace"))) // 2 >= min_words
 
 
-def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without repeated lines, and n_lines, n_dropped, spans, kept_sha256."""
-    base = ids_and_text(docs)
+def _texts(part: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+    """Each text, and the same in lower case (A-Z only)."""
+    data, offsets = text_buffer(part)
+    plain, low = data.tobytes(), LOWER[data].tobytes()
+    ends = offsets.tolist()
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield plain[a:b], low[a:b]
+
+
+def _digests(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """(doc_id, key): the distinct wanted units of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                ids, keys = [], []
+                for doc_id, (_, low) in zip(part.column("doc_id").to_pylist(), _texts(part.column("text")), strict=True):
+                    squeezed = (squeeze_key(low[a:b]) for a, b in units(low))
+                    found = {digest(k) for k in squeezed if wanted_unit(k, min_words, min_chars)}
+                    ids += [doc_id] * len(found)
+                    keys += found
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
 
-    def wanted(key: bytes) -> bool:
-        return wanted_unit(key, min_words, min_chars)
+    return docs.mapInArrow(run, "doc_id long, key binary")
 
+
+def _cut(docs: DataFrame, later: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """``docs`` without units whose digests ``later`` (doc_id, keys) names for them, and without a document's own repeats."""
+    passed = own_columns(docs, list(RESULT))
+    id_, keys_ = free_names(docs, "id", "keys")
+    right = later.select(F.col("doc_id").alias(id_), F.col("keys").alias(keys_))
+    kept = docs.select(*[F.col(f"`{c}`") for c in passed])
+    joined = kept.join(right, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left").drop(id_)
+    place = [c.lower() for c in passed].index("text")
+    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + ", n_units long, n_dropped long, spans string, kept_sha256 string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, passed[place]):
+                texts, rows = [], []
+                for (text, low), gone in zip(_texts(part.column(place)), part.column(keys_).to_pylist(), strict=True):
+                    gone, seen, rest, spans, n, at = set(gone or ()), set(), [], [], 0, 0
+                    for a, b in units(low):
+                        n += 1
+                        size = len(text[a:b].decode("utf-8", "replace"))
+                        key = squeeze_key(low[a:b])
+                        mark = digest(key) if wanted_unit(key, min_words, min_chars) else None
+                        if mark is not None and (mark in gone or mark in seen):
+                            spans.append(f"{at}-{at + size}")
+                        else:
+                            rest.append(text[a:b])
+                        seen.add(mark)
+                        at += size
+                    whole = b"".join(rest)
+                    texts.append(whole)
+                    rows.append((n, len(spans), ",".join(spans), hashlib.sha256(whole).hexdigest()))
+                columns = [part.column(i) for i in range(len(passed))]
+                columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
+                columns += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(RESULT.values())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*passed, *RESULT])
+
+    return joined.mapInArrow(run, schema)
+
+
+def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` without repeated units, and n_units, n_dropped, spans ("start-end" in code points) and kept_sha256."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    units = scratch.save(unit_digests(base, squeeze_key, wanted).select("doc_id", "key"), "units")
+    found = scratch.save(_digests(ids_and_text(docs), min_words, min_chars), "units")
     rank = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    firsts = units.groupBy("key").agg(F.min(rank).alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    firsts = found.groupBy("key").agg(F.min(rank).alias("first_doc"), F.count(F.lit(1)).alias("n"))
     # the first holder keeps the unit once; whether it repeats inside that document shows when it is cut
     firsts = scratch.save(firsts.where("n > 1").select("key", "first_doc"), "firsts")
-    later = units.join(firsts, "key").where(rank != F.col("first_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    return cut_lines(docs, later, squeeze_key, wanted, once=True)
+    later = found.join(firsts, "key").where(rank != F.col("first_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    return _cut(docs, later, min_words, min_chars)
