@@ -182,16 +182,28 @@ def test_line_runs_anti_join_and_compact(spark):
     assert [len(x) for x in runs.levels] == [1, 1]
     fresh = runs.new_keys(spark.createDataFrame([(b"c", 1, 9), (b"z", 1, 9)], "key binary, n_docs long, last_doc long"))
     assert [bytes(r.key) for r in fresh.collect()] == [b"z"]
+    # stored tables meet without a shuffle, and without a sort where their scans count as sorted
+    with line_dedup._ordered_scans(spark):
+        plan = runs.new_keys(spark.table(runs.names()[0]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == len(runs.names()) and "Exchange" not in plan and "Sort [" not in plan
+    assert "Exchange" not in runs.totals()._jdf.queryExecution().executedPlan().toString()
     assert {(bytes(r.key), r.n_docs, r.last_doc) for r in runs.totals().collect()} == {(b"a", 1, 1), (b"b", 2, 2), (b"c", 2, 4)}
 
 
+def test_line_dedup_goes_by_the_anti_join(docs, monkeypatch):
+    calls, own = [], line_dedup.LineRuns.new_keys
+    monkeypatch.setattr(line_dedup.LineRuns, "new_keys", lambda self, rows: calls.append(len(self.names())) or own(self, rows))
+    line_dedup.dedup_lines(docs).count()
+    assert len(calls) == line_dedup.BATCHES - 1 and min(calls) > 0
+
+
 def test_line_runs_hold_each_key_once(spark):
     from threadloom.llm._common import Scratch
 
     runs = line_dedup.LineRuns(spark, Scratch(spark, "t"), fan_out=3)
     for rows in ([(1, b"a"), (2, b"b")], [(3, b"b"), (4, b"c")], [(5, b"b"), (6, b"c")], [(7, b"a"), (8, b"d")]):
         runs.add(spark.createDataFrame(rows, "doc_id long, key binary"))
-    assert sorted(bytes(r.key) for r in runs._read(runs.names()).collect()) == [b"a", b"b", b"c", b"d"]
+    assert sorted(bytes(r.key) for n in runs.names() for r in spark.table(n).collect()) == [b"a", b"b", b"c", b"d"]
     assert {(bytes(r.key), r.n_docs, r.last_doc) for r in runs.totals().collect()} == {(b"a", 2, 7), (b"b", 3, 5), (b"c", 2, 6), (b"d", 1, 8)}
 
 
