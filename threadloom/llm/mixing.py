@@ -10,33 +10,35 @@ dual is convex; Newton steps, kept inside a bracket, find lambda for all sources
 each step one aggregation over the (source, size) histogram.
 
 Copies: rates become whole copies, 0 to ``most``.  A source is dealt by a hash of doc_id
-into blocks of bounded size; inside a block the documents go from long to short, and the
-words that rounding has added or lost so far are carried on to the next, so a block ends
-within about its shortest document of its share.  The result depends on doc_id, source
-and size only, so reruns agree.
-
-Defined results: a null or empty text has size 0 and rate 1 copy or less with 0 words;
-rows with the same doc_id, source and size get the same number of copies; an empty table
-gives an empty table; other columns pass through unless their names clash.
+and size into blocks of bounded size; inside a block the documents go from long to short, and
+the words that rounding has added or lost so far are carried on to the next, so a block ends
+within about its shortest document of its share.  Rows alike in doc_id, source and size are
+rounded as one sum and share its copies, so that they differ by one copy at most.  Sums that
+Newton's method takes are of decimals, which have no order, and the result depends on doc_id,
+source and size only, so reruns agree.
+
+Defined results: a null or empty text has size 0 and is taken once, as 0 words; a null doc_id
+or source is a value of its own; of rows alike in doc_id, source and size the first in the
+order of their texts' hash take the extra copy; very long texts count like others; an empty
+table gives an empty table; other columns pass through, whatever their names.  If Newton's
+method has not come close after ``STEPS`` steps, RuntimeError is raised.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm._common import Scratch
+from threadloom.llm._common import Scratch, free_names
 
 #: Fixed values of the mix.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2
 
 #: Rows of one block of the rounding; steps of Newton's method; residual at which they end, as a share of the target.
-BLOCK_ROWS, STEPS, CLOSE = 20_000, 60, 1e-7
+BLOCK_ROWS, STEPS, CLOSE = 2_000, 200, 1e-7
 
 
 def word_count(text):
@@ -64,6 +66,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return per.select("source", "source_size", "source_docs", target.alias("target"), "cap")
 
 
+def _exact(x: Column) -> Column:
+    """A term as a decimal: sums of these do not depend on their order."""
+    return F.round(x, 9).cast("decimal(38,9)")
+
+
 def solve(cells: DataFrame, goal: DataFrame, scratch: Scratch, most: int = MOST) -> DataFrame:
     """goal and lambda, scale: the rate of a document is least(most, exp(lambda * size / scale)).
 
@@ -82,9 +89,8 @@ def solve(cells: DataFrame, goal: DataFrame, scratch: Scratch, most: int = MOST)
         rate = F.when(exponent >= log_most, F.lit(float(most))).otherwise(F.exp(exponent))
         slope = F.when(exponent >= log_most, F.lit(0.0)).otherwise(F.exp(exponent) * z * z)
         sums = (
-            part.join(F.broadcast(state.select("source", "lam", "scale")) if step < 0 else state.select("source", "lam", "scale"), F.col("_s").eqNullSafe(F.col("source")))
-            .groupBy("source").agg(F.sum(F.col("n") * z * rate).alias("g"), F.sum(F.col("n") * slope).alias("h"))
-            .withColumnRenamed("source", "_s")
+            part.join(state.select("source", "lam", "scale"), F.col("_s").eqNullSafe(F.col("source"))).groupBy("source")
+            .agg(F.sum(_exact(F.col("n") * z * rate)).cast("double").alias("g"), F.sum(_exact(F.col("n") * slope)).cast("double").alias("h")).withColumnRenamed("source", "_s")
         )
         moved = state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left")
         want = F.col("target") / F.col("scale")
@@ -101,26 +107,25 @@ def solve(cells: DataFrame, goal: DataFrame, scratch: Scratch, most: int = MOST)
         state = scratch.save(moved.select(*[c for c in goal.columns], lam.alias("lam"), low.alias("low"), high.alias("high"), "scale", off.alias("off")), f"state-{step + 1}")
         scratch.drop(f"state-{step}")
         if not (state.agg(F.max("off")).first()[0] or 0.0) > CLOSE:
-            break
-    return state
+            return state
+    raise RuntimeError(f"Newton's method has not come within {CLOSE} of the targets after {STEPS} steps")
 
 
 def _round(group: pd.DataFrame, most: int) -> pd.DataFrame:
     group = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
-    size, n, rate = (group[c].to_numpy(float).tolist() for c in ("size", "n", "rate"))
+    size, n, rate = (group[c].tolist() for c in ("size", "n", "rate"))
     copies, carry = [], 0.0
     for s, k, r in zip(size, n, rate, strict=True):
-        words = s * k
-        c = min(most, max(0, int(np.floor(r + (carry / words if words else 0.0) + 0.5))))
-        carry += (r - c) * words
+        c = min(most * k, max(0, int(np.floor(r * k + (carry / s if s else 0.0) + 0.5))))
+        carry += (r * k - c) * s
         copies.append(c)
-    return group.assign(copies=np.asarray(copies, np.int64))[["doc_id", "source", "size", "copies"]]
+    return group.assign(total=np.asarray(copies, np.int64))[["doc_id", "source", "size", "total"]]
 
 
 def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, source, size, n, source_size, target, rate, copies) from rows (doc_id, source, size).
+    """(doc_id, source, size, n, source_size, target, rate, copies, more) from rows (doc_id, source, size).
 
-    n rows of the input had that doc_id, source and size; each is taken ``copies`` times.
+    n rows of the input had that doc_id, source and size; each is taken ``copies`` times, and ``more`` of them once more.
     """
     spark = sized.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -133,16 +138,17 @@ def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     capped = F.col("target") >= F.col("cap") * (1 - 1e-12)
     rate = F.when(capped & (F.col("size") > 0), F.lit(float(most))).when(exponent >= float(np.log(most)), F.lit(float(most))).otherwise(F.exp(F.coalesce(exponent, F.lit(0.0))))
     rated = rated.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)))
-    block = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("source_docs") / F.lit(block_rows))).cast("long"))
+    block = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("source_docs") / F.lit(block_rows))).cast("long"))
     dealt = rated.select("doc_id", "source", "size", "n", "rate", block.alias("block"))
 
     def rounded(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return _round(group, most)
 
-    copies = dealt.groupBy("source", "block").applyInPandas(rounded, "doc_id long, source string, size long, copies long")
-    back = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
+    copies = dealt.groupBy("source", "block").applyInPandas(rounded, "doc_id long, source string, size long, total long")
+    back = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "total")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
-    return rated.join(back, same).select("doc_id", "source", "size", "n", "source_size", "target", "rate", "copies")
+    each, more = F.floor(F.col("total") / F.col("n")), F.col("total") % F.col("n")
+    return rated.join(back, same).select("doc_id", "source", "size", "n", "source_size", "target", "rate", each.alias("copies"), more.alias("more"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -150,10 +156,19 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
 
 
+def _keys(doc_id: Column, source: Column, size: Column, names: list[str]) -> list[Column]:
+    """What rows are alike in, without nulls, so that a join and a window share one partitioning."""
+    parts = (F.coalesce(doc_id, F.lit(0).cast("long")), doc_id.isNull(), F.coalesce(source, F.lit("")), source.isNull(), size)
+    return [c.alias(n) for c, n in zip(parts, names, strict=True)]
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it."""
-    plan = mix(sizes(docs), **options).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "copies")
-    rows = docs.withColumn("__n", word_count(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__n") == F.col("__z"))
-    taken = rows.join(plan, same)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    *keys, each, extra, place, copy = free_names(docs, "doc", "no_doc", "source", "no_source", "words", "copies", "more", "place", "copy")
+    plan = mix(sizes(docs), **options).where("copies > 0 OR more > 0")
+    plan = plan.select(*_keys(F.col("doc_id"), F.col("source"), F.col("size"), keys), F.col("copies").alias(each), F.col("more").alias(extra))
+    rows = docs.select("*", *_keys(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")), keys))
+    taken = rows.join(plan, keys).withColumn(place, F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("text"))))
+    times = F.col(each) + F.when(F.col(place) <= F.col(extra), 1).otherwise(0)
+    counted = taken.withColumn(each, times).where(F.col(each) > 0)
+    return counted.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(each)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -53,8 +53,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(mixing.sizes(documents(spark, sf_dir)))
-    rows = plan.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+    rows = plan.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copies = F.col("copies") + F.when(F.col("again") <= F.col("more"), 1).otherwise(0)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "rate")
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
