@@ -431,7 +431,7 @@ def test_mixing_targets_and_copies(spark, docs, nothing, odd):
         assert r.target == pytest.approx(target[r.source]) and r.source_size == size[r.source] and 0 <= r.copies <= 2
     for s in names:
         taken = sum(r.size * (r.copies * r.n + r.more) for r in got if r.source == s)
-        assert abs(taken - target[s]) <= 10
+        assert abs(taken - target[s]) <= max(10, min(r.size for r in got if r.source == s and r.size))
     assert mixing.mix(mixing.sizes(nothing)).count() == 0
     assert mixing.mix_documents(nothing).count() == 0
     assert mixing.mix_documents(odd).columns == odd.columns
@@ -461,7 +461,7 @@ def test_topk_matches_brute_force(spark):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     q = topk_search.quantise(df)
     got = defaultdict(list)
-    for row in topk_search.top_k(q, q.where("vec_id % 100 = 0"), query_block=2, data_block=50).orderBy("query_id", "rank").collect():
+    for row in topk_search.top_k(q, q.where("vec_id % 100 = 0"), data_block=50, seed_rows=40).orderBy("query_id", "rank").collect():
         got[row.query_id].append((row.vec_id, row.score))
     exact = {i: [int(np.floor(1024 * float(np.float32(x)))) for x in v] for i, v in vectors if v is not None and not any(np.isnan(v))}
     for i in [k for k in exact if k % 100 == 0]:
@@ -473,6 +473,23 @@ def test_topk_matches_brute_force(spark):
     assert topk_search.top_k(few, few.where("vec_id = 0")).count() == 2
 
 
+def test_topk_ties_repeated_and_null_ids_and_large_components(spark):
+    same = [float(i % 3) for i in range(20)]
+    rows = [(100, same), (100, same), (100, [2.0] * 20), (None, [9.0] * 20), (200, [1e18] * 20), (201, [-1e18, 1.0]), (300, [5e9] * 20), (301, [3e8] * 20)] + [(i, same) for i in range(400, 499)] + [(500, [0.5] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = topk_search.quantise(df)
+    ids = [(i, [int(np.floor(1024 * x)) if abs(1024 * x) < 2**53 else int(1024 * x) for x in v] + [0] * (20 - len(v))) for i, v in rows if i is not None]
+    held = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = []
+    for n, (i, v) in enumerate(ids):
+        if i % 100 == 0:
+            found = sorted((-held(sum(a * b for a, b in zip(v, w))), j) for m, (j, w) in enumerate(ids) if m != n)[:10]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    for block, seeds in ((1 << 17, 2048), (7, 30)):
+        got = [tuple(r) for r in topk_search.top_k(q, q.where("vec_id % 100 = 0"), data_block=block, seed_rows=seeds).select("query_id", "rank", "vec_id", "score").collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
