@@ -122,13 +122,44 @@ def test_jaccard_components_match_brute_force(docs, nothing, odd):
     assert sorted(r.text or "" for r in ngram_join.keep_one(odd).collect()) == sorted(["some text here to keep as it is", "", "again and again the same", "again and again the same"])
 
 
-def test_poor_sets_meet_by_deletion():
+def test_jaccard_of_short_texts_and_large_open_groups(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 5)
+    r = random.Random(5)
+    texts = [" ".join(r.choice("pqrstuv") for _ in range(r.randint(5, 12))) for _ in range(120)]
+    base = [r.choice("abcdefgh") + str(i) for i in range(60)]
+    for i in range(40):
+        start = r.randint(0, 20)
+        texts.append(" ".join(base[start : start + 40]))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[130]), (3, texts[131]), (None, texts[0])]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = defaultdict(lambda: 10**9)
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least[find(i)], 10**9 if d is None else d)
+    want = Counter((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows))
+    got = Counter(tuple(r) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == want
+
+
+def test_poor_sets_meet_by_single_shingles_and_deletions():
     tokens = np.arange(1, 9, dtype=np.uint64) * np.uint64(977)
-    both = np.concatenate([tokens[:-1], tokens])
-    got = ngram_join.Signatures(both, np.array([0, 7, 15]), np.array([8, 8]))
-    owner, sign = got.deletions(np.array([True, True]))
-    exact_owner, exact = got.exact(np.array([True, True]))
-    assert set(sign[owner == 1]) & set(exact[exact_owner == 0])
+    got = ngram_join.Signatures(np.concatenate([tokens[:-1], tokens]), np.array([0, 7, 15]), np.array([8, 8]))
+    both = np.array([True, True])
+    owner, sign = got.singles(both)
+    assert len(set(sign[owner == 0]) & set(sign[owner == 1])) == 7
+    owner, sign = got.deletions(both)
+    exact_owner, exact = got.exact()
+    assert set(sign[owner == 1]) & (set(exact[exact_owner == 0]) | set(sign[owner == 0]))
 
 
 def test_suffix_dedup_matches_brute_force(docs, nothing, odd):

@@ -74,14 +74,21 @@ class Scratch:
             pass
 
 
+#: From here on a size is the optimizer's way to say that it knows none.
+UNKNOWN_SIZE = 1 << 60
+
+
 def size_hint(df: DataFrame) -> int:
-    """Bytes that the optimizer expects of ``df``; for files, their size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that the optimizer expects of ``df``; for files, their size; where it knows none, the bytes of the texts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN_SIZE:
+        return size
+    return df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
 
 
-def buckets_for(df: DataFrame, bytes_each: int, least: int = 12, most: int = 1 << 20) -> int:
+def buckets_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
     """Number of hash buckets, in proportion to the input, so that one bucket stays bounded."""
-    return int(max(least, min(most, size_hint(df) // bytes_each + 1)))
+    return int(max(least, size_hint(df) // bytes_each + 1))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):

@@ -14,21 +14,23 @@ percent, however many frequent passages the corpus has.
 
 Allocation by cost.  For those that stay, each segment costs the number of sets that share
 its signature.  A set takes the H + 1 cheapest; segments nobody shares are free.  A set
-with N <= H has too few segments for that: it takes, besides the segments themselves,
-their one-deletion neighbourhoods, which stand for two units of the pigeonhole each, and
-meets the other sets of that kind (a pair is found if one of the two has enough segments).
-The exact segments of that space, empty ones included, let such partners meet already, so the
-neighbourhoods add no pair; the allocation by cost chooses among exact segments alone.
+with N <= H has too few segments for that.  Its universe is cut finer: each of its shingles
+is a segment, of which it takes the H + 1 cheapest, and it meets the other sets of that kind
+there (a pair is found if one of the two has enough segments).  It also takes the one-deletion
+neighbourhoods of its segments, two units of the pigeonhole each; as the single shingles let
+such partners meet already, the neighbourhoods add no pair.
 
 Verification is exact, on the shingles.  Each set is compared with the central member that
 most of the groups it takes have, then with the central members of its other groups that
 are not in its component yet.  A group whose members those links connect is done.  In the others the pairs that are not known to be connected are compared by parity
 sketches, a lower bound on the difference, and what passes is verified.  Pairs inside a
-known component are skipped: they cannot change components.
+known component are skipped: they cannot change components.  A group of more than
+``GROUP_ROWS`` members is cut into parts, each two of which meet in a task of their own.
 
 Sets, shingles and signatures are 64-bit (shingles 52-bit) hashes.  Defined results: texts
-without words, or null, have the empty set and are alone; rows with equal doc_id are one
-node; a null doc_id never names a component unless all members are null; an empty table
+without words, or null, have the empty set and are alone; rows with equal doc_id are documents
+of their own, each with the component of its own text; a null doc_id never names a component
+unless all members are null; very long texts are taken whole, one at a time; an empty table
 gives an empty table.
 """
 
@@ -44,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm._common import LOWER, Scratch, Words, buckets_for, ids_and_text, mix64, prefix, ragged, slices, text_buffer
+from threadloom.llm._common import LOWER, Scratch, Words, buckets_for, free_names, ids_and_text, mix64, prefix, ragged, slices, text_buffer
 
 WORDS = 5
 _U = np.uint64
@@ -53,6 +55,10 @@ _SEGMENT, _MEMBER, _WHOLE = _U(0x8CB92BA72F3D8DD7), _U(0x2545F4914F6CDD1D), _U(0
 _LOW40 = _U((1 << 40) - 1)
 #: Rows of a slice: their number fits the 12 bits beside a 52-bit shingle.
 SLICE_ROWS = 4096
+#: Members of an open group that one task compares; larger groups are cut into parts.
+GROUP_ROWS = 2048
+#: Kinds of signatures: of segments, of single shingles, and of segments without one member; the last two for sets with too few segments.
+_EXACT, _SINGLE, _WITHOUT = 0, 1, 2
 
 
 def shingle_sets(text: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -127,16 +133,20 @@ class Signatures:
         self.tag = mix64((top[self.owner].astype(np.uint64) << _U(32)) + within.astype(np.uint64))
         self.filled = np.bincount(self.owner, self.counts > 0, len(n)).astype(np.int64)
 
-    def exact(self, empty: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(set, signature) of the segments that are not empty, or of all for the sets in ``empty``."""
+    def exact(self) -> tuple[np.ndarray, np.ndarray]:
+        """(set, signature) of the segments that are not empty."""
         pick = self.counts > 0
-        if empty is not None:
-            pick |= empty[self.owner]
         return self.owner[pick], mix64(self.sums[pick] + self.tag[pick])
 
-    def deletions(self, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(set, signature) of each segment of ``sets`` (a mask) without one of its members."""
+    def singles(self, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, signature) of each member of ``sets`` (a mask), a segment of its own."""
         pick = sets[self.owner[self.slot]]
+        owner = self.owner[self.slot[pick]]
+        return owner, mix64(self.member[pick] + self.tag[self.base[owner]])
+
+    def deletions(self, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, signature) of each segment of ``sets`` (a mask) without one of its members, if others are left."""
+        pick = sets[self.owner[self.slot]] & (self.counts[self.slot] > 1)
         slot = self.slot[pick]
         return self.owner[slot], mix64(self.sums[slot] - self.member[pick] + self.tag[slot])
 
@@ -256,7 +266,7 @@ def _meet(table: pa.Table) -> pa.Table:
 
 # ---- the sets that stay ----------------------------------------------------------------
 
-_SETS = "set_id long, n int, tokens array<long>, signs array<struct<sign:long,below:boolean,lacks:boolean>>, sketch binary, sketch_below binary"
+_SETS = "set_id long, n int, tokens array<long>, signs array<struct<sign:long,below:boolean,kind:int>>, sketch binary, sketch_below binary"
 
 
 def _sketches(tokens: np.ndarray, offsets: np.ndarray, top: np.ndarray) -> list[bytes]:
@@ -274,7 +284,7 @@ def _sketches(tokens: np.ndarray, offsets: np.ndarray, top: np.ndarray) -> list[
 
 
 def _expand(texts: DataFrame, words: int) -> DataFrame:
-    """Sets of texts (set_id, text) with all their signatures; lacks: from a set with too few segments."""
+    """Sets of texts (set_id, text) with all their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
@@ -282,23 +292,22 @@ def _expand(texts: DataFrame, words: int) -> DataFrame:
             ids, n = set_ids(tokens, offsets), np.diff(offsets)
             right = ids.view(np.int64) == part.column("set_id").to_numpy(zero_copy_only=False)
             top, low = bands(n)
-            owners, signs, below, lacking = [], [], [], []
+            owners, signs, below, kinds = [], [], [], []
             for level, tops in ((False, np.where(n > 2, top, 0)), (True, low)):
                 got = Signatures(tokens, offsets, tops)
                 poor = (tops > 0) & (got.filled <= limits(n, tops, level))
-                found = [(*got.exact(), False)]
+                found = [(*got.exact(), _EXACT)]
                 if poor.any():
-                    # neighbourhoods meet in a space of their own, where only such sets are
-                    found += [(*(x[k] for x in pair for k in [poor[pair[0]]]), True) for pair in (got.exact(poor), got.deletions(poor))]
-                for owner, sign, lacks in found:
+                    found += [(*got.singles(poor), _SINGLE), (*got.deletions(poor), _WITHOUT)]
+                for owner, sign, kind in found:
                     owners.append(owner)
-                    signs.append(mix64(sign + _WHOLE) if lacks else sign)
+                    signs.append(mix64(sign + _U(kind) * _WHOLE) if kind else sign)
                     below.append(np.full(len(owner), level))
-                    lacking.append(np.full(len(owner), lacks))
-            owner, sign, low_, lack = map(np.concatenate, (owners, signs, below, lacking))
+                    kinds.append(np.full(len(owner), kind, np.int32))
+            owner, sign, low_, kind = map(np.concatenate, (owners, signs, below, kinds))
             order = np.argsort(owner, kind="stable")
             at = prefix(np.bincount(owner, minlength=len(n)))
-            struct = pa.StructArray.from_arrays([pa.array(sign[order].view(np.int64)), pa.array(low_[order]), pa.array(lack[order])], names=["sign", "below", "lacks"])
+            struct = pa.StructArray.from_arrays([pa.array(sign[order].view(np.int64)), pa.array(low_[order]), pa.array(kind[order])], names=["sign", "below", "kind"])
             batch = pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.view(np.int64))),
@@ -320,30 +329,41 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(100 * both >= 75 * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
-_OPEN = "sign long, set_id long, n int, label long, probe boolean, sketch binary"
-
-
 def _open_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of one bucket of groups that may link and are not known to be connected."""
-    sign, ids, n, label = (table[c].to_numpy() for c in ("sign", "set_id", "n", "label"))
+    """Pairs of one bucket of (parts of) groups that may link and are not known to be connected.
+
+    A part's number is the same in all rows of a group that meets itself, and one of two in a group of two parts.
+    """
+    sign, ids, n, label, part, pair = (table[c].to_numpy() for c in ("sign", "set_id", "n", "label", "part", "pair"))
     probe = table["probe"].to_numpy()
     sketch = table["sketch"].to_pylist()
-    order = np.argsort(sign, kind="stable")
-    found = set()
-    for group in np.split(order, np.flatnonzero(np.diff(sign[order])) + 1):
+    order = np.lexsort((pair, sign))
+    found = [np.zeros((0, 2), np.int64)]
+    for group in np.split(order, np.flatnonzero((np.diff(sign[order]) != 0) | (np.diff(pair[order]) != 0)) + 1):
         size = len(sketch[group[0]])
         group = group[[len(sketch[i]) == size for i in group.tolist()]] if any(len(sketch[i]) != size for i in group.tolist()) else group
         bits = np.frombuffer(b"".join(sketch[i] for i in group.tolist()), np.uint64).reshape(len(group), -1)
+        two = len(np.unique(part[group])) > 1
         for k in np.flatnonzero(probe[group]).tolist():
             i = group[k]
             a, b = np.minimum(n[i], n[group]), np.maximum(n[i], n[group])
-            some = np.flatnonzero((label[group] != label[i]) & (4 * a >= 3 * b))
+            may = (label[group] != label[i]) & (4 * a >= 3 * b)
+            some = np.flatnonzero(may & (part[group] != part[i]) if two else may)
             if len(some):
                 apart = np.bitwise_count(bits[some] ^ bits[k]).sum(axis=1)
-                some = some[apart <= (n[i] + n[group[some]]) // 7]
-                found.update((min(x, ids[i]), max(x, ids[i])) for x in ids[group[some]].tolist())
-    pairs = sorted(found)
-    return pa.table({"a": pa.array([int(p[0]) for p in pairs], pa.int64()), "b": pa.array([int(p[1]) for p in pairs], pa.int64())})
+                near = ids[group[some[apart <= (n[i] + n[group[some]]) // 7]]]
+                found.append(np.stack([np.minimum(near, ids[i]), np.maximum(near, ids[i])], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def _in_parts(rows: DataFrame, buckets: int, most: int) -> DataFrame:
+    """Rows of open groups (with their group's size) dealt so that each two parts of a group meet once."""
+    parts = F.ceil(F.col("size") / F.lit(most)).cast("int")
+    own = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least(j, F.col("part")).cast("long") * F.col("parts") + F.greatest(j, F.col("part")))
+    dealt = rows.withColumn("parts", parts).withColumn("part", own).withColumn("pair", F.explode(others))
+    return dealt.withColumn("bucket", F.pmod(F.xxhash64("sign", "pair"), F.lit(buckets)))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -409,22 +429,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
         (F.coalesce("own", F.lit(0)) >= F.col("filled") - limit) | ((F.col("filled_below") > 0) & (F.coalesce("under", F.lit(0)) >= F.col("filled_below") - limit_low))
     )
     stays = scratch.save(stays.select("set_id", F.col("least").alias("_d")), "stays")
+    rows = scratch.save(rows.select("doc_id", "set_id", "n"), "rows")
+    scratch.drop("met")
     texts = base.join(stays, F.col("doc_id").eqNullSafe(F.col("_d"))).select("set_id", "text")
     sets = scratch.save(_expand(texts, words).dropDuplicates(["set_id"]), "sets")
 
     # groups of the sets that stay
-    signs = sets.select("set_id", "n", F.explode("signs").alias("s")).select("set_id", "n", "s.sign", "s.below", "s.lacks").distinct()
+    signs = sets.select("set_id", "n", F.explode("signs").alias("s")).select("set_id", "n", "s.sign", "s.below", "s.kind").distinct()
     signs = scratch.save(signs, "signs")
     counts = signs.groupBy("sign").agg(F.count(F.lit(1)).alias("cost")).where("cost > 1")
     members = signs.join(counts, "sign")
     top = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double")))).cast("long")
     most = F.when(F.col("below"), F.floor((F.col("n") + top / 2) / 7)).otherwise(F.floor(F.col("n") / 3))
-    own = W.partitionBy("set_id", "below", "lacks")
-    filled = signs.groupBy("set_id", "below", "lacks").agg(F.count(F.lit(1)).alias("filled"))
-    members = members.join(filled, ["set_id", "below", "lacks"])
+    own = W.partitionBy("set_id", "below", "kind")
+    filled = signs.groupBy("set_id", "below", "kind").agg(F.count(F.lit(1)).alias("filled"))
+    members = members.join(filled, ["set_id", "below", "kind"])
     # units to buy: H + 1, less the segments that nobody shares; neighbourhoods are taken whole
     members = members.withColumn("alone", F.col("filled") - F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("cost", "sign")))
-    members = scratch.save(members.withColumn("probe", F.col("lacks") | (F.col("place") <= most + 1 - F.col("alone"))).withColumn("central", 1 - F.col("alone") / F.col("filled")), "members")
+    members = scratch.save(members.withColumn("probe", (F.col("kind") == _WITHOUT) | (F.col("place") <= most + 1 - F.col("alone"))).withColumn("central", 1 - F.col("alone") / F.col("filled")), "members")
+    scratch.drop("signs")
     # a group none of whose members takes it needs no look
     heads = members.groupBy("sign").agg(F.max("probe").alias("taken"), F.max_by("set_id", F.struct("central", "set_id")).alias("head")).where("taken")
     heads = scratch.save(heads.select("sign", "head"), "heads")
@@ -436,15 +459,17 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # first the head that a set meets most often, then those of other components
     labels = components(_verified(star.where("turn = 1").select("a", "b"), sets), scratch, "first")
     labels = _merged(labels, _verified(_apart(star.where("turn > 1").select("a", "b"), labels), sets), scratch, "second")
+    scratch.drop("star")
 
     # groups whose members those links do not connect are open
     known = labels.select(F.col("node").alias("_id"), F.col("label").alias("_label"))
     labelled = members.join(heads, "sign").join(known, F.col("set_id") == F.col("_id"), "left").withColumn("label", F.coalesce("_label", "set_id"))
     labelled = scratch.save(labelled.select("sign", "set_id", "below", "label", "probe"), "labelled")
-    split = labelled.groupBy("sign").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("probe").alias("p")).where("x <> y AND p").select("sign")
+    scratch.drop("members")
+    split = labelled.groupBy("sign").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("probe").alias("p"), F.count(F.lit(1)).alias("size")).where("x <> y AND p").select("sign", "size")
     rest = labelled.join(split, "sign").join(sets.select("set_id", "n", "sketch", "sketch_below"), "set_id")
-    rest = rest.select("sign", "set_id", "n", "label", "probe", F.when(F.col("below"), F.col("sketch_below")).otherwise(F.col("sketch")).alias("sketch"))
-    pairs = rest.withColumn("bucket", F.pmod(F.xxhash64("sign"), F.lit(4 * buckets))).groupBy("bucket").applyInArrow(lambda t: _open_pairs(t), "a long, b long").distinct()
+    rest = rest.select("sign", "size", "set_id", "n", "label", "probe", F.when(F.col("below"), F.col("sketch_below")).otherwise(F.col("sketch")).alias("sketch"))
+    pairs = _in_parts(rest, 4 * buckets, GROUP_ROWS).groupBy("bucket").applyInArrow(lambda t: _open_pairs(t), "a long, b long").distinct()
     labels = _merged(labels, _verified(pairs, sets), scratch, "third")
     named = nodes.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
@@ -455,5 +480,6 @@ def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each component; rows without doc_id stay."""
-    gone = jaccard_components(docs, words).where("doc_id <> component_id").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__d"), "left_anti")
+    (gone_id,) = free_names(docs, "gone")
+    gone = jaccard_components(docs, words).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(gone_id), "left_anti")
