@@ -180,6 +180,27 @@ def test_suffix_dedup_matches_brute_force(docs, nothing, odd):
     assert suffix_dedup.remove_repeats(odd).count() == 5
 
 
+def test_suffix_dedup_of_long_texts_and_repeated_ids(spark, monkeypatch):
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(700))
+    noise = lambda n: "".join(r.choice("qrstuvwxyz ") for _ in range(n))
+    rows = [(1, noise(9000) + passage + noise(5000) + passage[:400]), (2, noise(200) + passage), (3, noise(50)), (4, noise(300) + passage[100:350] + "é" * 80), (4, "é" * 80)]
+    want, seen = Counter(), set()
+    mark = lambda t: __import__("xxhash").xxh3_64_intdigest(t.encode())
+    for i, t in sorted(rows, key=lambda x: (x[0], mark(x[1]))):
+        raw, cover = t.encode(), set()
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                cover |= set(range(p, p + 100))
+            seen.add(raw[p : p + 100])
+        want[i, len(raw), len(cover), hashlib.sha256(bytes(b for j, b in enumerate(raw) if j not in cover)).hexdigest()] += 1
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 1000)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.kept_sha256) for x in suffix_dedup.remove_repeats(df).collect()) == want
+    with pytest.raises(Exception, match="cannot be taken"):
+        suffix_dedup.remove_repeats(spark.createDataFrame([(2**63 - 1, "x")], "doc_id long, text string")).collect()
+
+
 def line_units(text):
     return (text or "").split("\n")
 

@@ -18,7 +18,9 @@ class, of which all but the earliest are marked.  A shard may be larger than the
 
 Defined results: a null or empty text has no bytes and loses none; documents rank by
 doc_id, null last; rows equal in doc_id and text are one document, rows with equal doc_id
-and other texts are documents that rank by a hash; an empty table gives an empty table.
+and other texts are documents that rank by a hash; a text of more than ``PACK_BYTES`` is
+hashed in pieces that overlap by a window; doc_id 2^63 - 1 stands for null inside and is
+refused; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from threadloom.llm._common import Scratch, buckets_for, ids_and_text, mix64, pr
 from threadloom.llm._induced import Room, later_windows
 
 WIDTH, GRAM = 100, 32
-PACK_BYTES = 1 << 20  # text hashed at once: its windows take some 100 times as much
+PACK_BYTES = 1 << 20  # text hashed at once, of long ones a piece: its windows take some 100 times as much
 _U = np.uint64
 _STEP, _UNSTEP = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
@@ -112,38 +114,54 @@ _PACKED = "bucket int, entries binary, owners binary"
 _FOUND = "doc_id long, mark long, need boolean, pos array<int>, run array<int>, mini array<long>"
 
 
-def _pack(docs: DataFrame, buckets: int, width: int, gram: int) -> DataFrame:
+def _pieces(text: pa.Array, width: int, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets, place of the first byte): all texts at once, or one long text in pieces; each window is in one of them."""
+    data, offsets = text_buffer(text)
+    if len(offsets) > 2 or len(data) <= 2 * limit:
+        yield data, offsets, 0
+        return
+    for start in range(0, max(1, len(data) - width + 1), limit):
+        piece = data[start : start + limit + width - 1]
+        yield piece, np.array([0, len(piece)]), start
+
+
+def _blobs(doc: np.ndarray, pos: np.ndarray, length: np.ndarray, mini: np.ndarray, body: np.ndarray, ids: np.ndarray, marks: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Runs of one slice, packed by bucket."""
+    order = np.lexsort((pos, marks[doc], ids[doc], body, mini))
+    first = _first_of_equal([mini, body], order)
+    # later ones are certain already; they travel with run 0 of a marker minimizer
+    # low bits: a minimizer is a least hash, so its high bits are mostly 0
+    bucket = (((mini & _U(0xFFFFFFFF)) * _U(buckets)) >> _U(32)).astype(np.int64)
+    entry = np.zeros(len(doc), _ENTRY)
+    entry["mini"], entry["body"], entry["owner"], entry["pos"], entry["run"] = mini, body, doc, pos, length
+    sure = np.zeros(len(doc), dtype=bool)
+    sure[order[~first]] = True
+    entry["body"][sure] = 0
+    entry["mini"][sure] = 0
+    sort = np.lexsort((doc, bucket))
+    entry, bucket = entry[sort], bucket[sort]
+    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+    keys, blobs, owners = bucket[heads].tolist(), [], []
+    edges = [*heads.tolist(), len(bucket)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        some = entry[a:b].copy()
+        who, some["owner"] = np.unique(some["owner"], return_inverse=True)
+        held = np.zeros(len(who), _OWNER)
+        held["doc"], held["mark"] = ids[who], marks[who]
+        blobs.append(b"".join(some[c].tobytes() for c in _ENTRY.names))
+        owners.append(held.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), pa.array(owners, pa.binary())], names=["bucket", "entries", "owners"])
+
+
+def _pack(docs: DataFrame, buckets: int, width: int, gram: int, limit: int) -> DataFrame:
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=PACK_BYTES):
-                data, offsets = text_buffer(part.column("text"))
-                doc, pos, length, mini, body = runs(data, offsets, width, gram)
+            for part in slices(batch, limit=limit):
                 marks = _marks(part.column("text"))
                 ids = part.column("doc_id").fill_null(_LAST).to_numpy()
-                order = np.lexsort((pos, marks[doc], ids[doc], body, mini))
-                first = _first_of_equal([mini, body], order)
-                # later ones are certain already; they travel with run 0 of a marker minimizer
-                # low bits: a minimizer is a least hash, so its high bits are mostly 0
-                bucket = (((mini & _U(0xFFFFFFFF)) * _U(buckets)) >> _U(32)).astype(np.int64)
-                entry = np.zeros(len(doc), _ENTRY)
-                entry["mini"], entry["body"], entry["owner"], entry["pos"], entry["run"] = mini, body, doc, pos, length
-                sure = np.zeros(len(doc), dtype=bool)
-                sure[order[~first]] = True
-                entry["body"][sure] = 0
-                entry["mini"][sure] = 0
-                sort = np.lexsort((doc, bucket))
-                entry, bucket = entry[sort], bucket[sort]
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                keys, blobs, owners = [], [], []
-                for b in np.flatnonzero(np.diff(edges)).tolist():
-                    some = entry[edges[b] : edges[b + 1]].copy()
-                    who, some["owner"] = np.unique(some["owner"], return_inverse=True)
-                    held = np.zeros(len(who), _OWNER)
-                    held["doc"], held["mark"] = ids[who], marks[who]
-                    keys.append(b)
-                    blobs.append(b"".join(some[c].tobytes() for c in _ENTRY.names))
-                    owners.append(held.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary()), pa.array(owners, pa.binary())], names=["bucket", "entries", "owners"])
+                for data, offsets, start in _pieces(part.column("text"), width, limit):
+                    doc, pos, length, mini, body = runs(data, offsets, width, gram)
+                    yield _blobs(doc, pos + start, length, mini, body, ids, marks, buckets)
 
     return docs.mapInArrow(run_, _PACKED)
 
@@ -333,10 +351,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     spans: "start-end" of each maximal removed run, in bytes, end exclusive, joined by commas.
     """
-    base = ids_and_text(docs)
+    refused = F.raise_error(F.lit(f"doc_id {_LAST} cannot be taken")).cast("long")
+    base = ids_and_text(docs).withColumn("doc_id", F.when(F.col("doc_id") == _LAST, refused).otherwise(F.col("doc_id")))
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     buckets = buckets_for(docs, 4 << 20, least=64)
-    found = scratch.save(_pack(base, buckets, width, gram).groupBy("bucket").applyInArrow(lambda t: _classify(t), _FOUND), "found")
+    found = scratch.save(_pack(base, buckets, width, gram, PACK_BYTES).groupBy("bucket").applyInArrow(lambda t: _classify(t), _FOUND), "found")
     real = F.when(F.col("doc_id") != _LAST, F.col("doc_id"))
     wanted = found.where("need").groupBy(real.alias("_d")).agg(F.collect_list(F.struct("mark", "pos", "run", "mini")).alias("wanted"))
     pieces = _fetch(base.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "wanted"), buckets, width)
