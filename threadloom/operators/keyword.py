@@ -1,61 +1,159 @@
-"""Keyword search: positional postings, BM25, phrases, one row for each thread, LIKE fallback.
+"""Keyword search on a written inverted index: BM25, phrases, one row for each thread, LIKE fallback.
 
-Postings carry the document's id and length, so ranking needs no join with texts.  Only
-terms of the query leave the scan; statistics over the whole table are one aggregate.
+Texts are read once, when the index is built; a query reads the postings of its terms alone.
+Postings stand by a hash of the term in partition folders and by term within files, so a
+query prunes folders and row groups; a term that many rows hold is cut over several files.
+They carry the row's id, its length and what else filters and threads need, so that
+scoring needs no join with texts.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import query_phrases, tokens
+from threadloom.functions.stem import query_phrases, terms
+from threadloom.sources.shared import fresh_dir
 
 #: BM25 parameters and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Bytes of postings that one bucket and one file hold, about.
+BUCKET_BYTES, LEAST_BUCKETS = 256 << 20, 16
 
 
-def tokenized(df: DataFrame, id_column: str, *texts: str) -> DataFrame:
-    """(id, tokens, length): the tokens of all text columns, one after the other."""
-    words = F.concat(*[tokens(F.coalesce(F.col(t), F.lit(""))) for t in texts])
-    return df.select(F.col(id_column).alias("id"), words.alias("tokens")).withColumn("length", F.size("tokens"))
+def postings(df: DataFrame, id_column: str, *texts: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, carried columns, length, term, tf, positions): a row for each row and term, and one with a null term for each row.
 
-
-def postings(df: DataFrame, id_column: str, *texts: str) -> DataFrame:
-    """(id, term, tf, positions, length): the inverted index of text columns."""
-    items = tokenized(df, id_column, *texts).select("id", "length", F.posexplode("tokens").alias("pos", "term"))
-    return items.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def _occurrences(words: Column, phrase: list[str]) -> Column:
-    """How often the phrase's tokens stand side by side; a look-ahead counts overlapping places too."""
-    line = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
-    return F.regexp_count(line, F.lit(f" (?={'  '.join(phrase)} )"))
-
-
-def bm25(df: DataFrame, id_column: str, query: str, *texts: str) -> DataFrame:
-    """(id, score) of the rows that hold a phrase of ``query``; a higher score is better.
-
-    One pass counts the phrases in each row (no explode, no shuffle of rows); document
-    frequencies and the mean length are one aggregate over the unfiltered table.
+    length: terms in all text columns.  Positions go on from column to column with a gap, so
+    that no phrase goes over its edge.  Null texts are empty.
     """
-    phrases = list(dict.fromkeys(tuple(p) for p in query_phrases(query)))
-    words = tokenized(df, id_column, *texts)
-    counts = [_occurrences(F.col("tokens"), list(p)).cast("double").alias(f"tf{i}") for i, p in enumerate(phrases)]
-    if not phrases:
-        return words.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    hits = words.select("id", "length", *counts)
-    stats = hits.agg(F.count(F.lit(1)).alias("rows"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))])
-    joined = hits.where(" OR ".join(f"tf{i} > 0" for i in range(len(phrases)))).crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        tf, df_ = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.greatest(F.log((F.col("rows") - df_ + 0.5) / (df_ + 0.5)), F.lit(IDF_FLOOR))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return joined.select("id", score.alias("score"))
+    rows = df.select(F.col(id_column).alias("id"), *carry, F.array(*[F.col(t) for t in texts]).alias("_texts"))
+    kept = ["id", *carry]
+    names = [*kept, "length", "term", "tf", "positions"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes) + ", length int, term string, tf int, positions array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                owner, length, found, tf, places = [], [], [], [], []
+                for i, columns in enumerate(part.column("_texts").to_pylist()):
+                    at, held, total = 0, {}, 0
+                    for text in columns:
+                        words = terms(text)
+                        for k, w in enumerate(words, at):
+                            held.setdefault(w, []).append(k)
+                        at += len(words) + 1
+                        total += len(words)
+                    owner += [i] * (len(held) + 1)
+                    length += [total] * (len(held) + 1)
+                    found += [None, *held]
+                    tf += [0, *map(len, held.values())]
+                    places += [[], *held.values()]
+                take = pa.array(owner, pa.int32())
+                columns = [part.column(c).take(take) for c in kept] + [pa.array(length, pa.int32()), pa.array(found, pa.string()), pa.array(tf, pa.int32()), pa.array(places, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _shifted(places: Column, step: int) -> Column:
+    return F.transform(places, lambda p: p - step)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Postings below ``path`` in ``buckets`` folders; ``rows`` and ``mean`` (terms a row) are those of all rows."""
+
+    spark: SparkSession
+    path: str
+    buckets: int
+    rows: int
+    mean: float
+
+    @classmethod
+    def build(cls, df: DataFrame, id_column: str, *texts: str, carry: Sequence[str] = (), path: str | None = None) -> KeywordIndex:
+        spark = df.sparkSession
+        path = path or fresh_dir(spark, "keyword-index")
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        buckets = max(LEAST_BUCKETS, min(size, 1 << 50) // BUCKET_BYTES) if size < 1 << 60 else LEAST_BUCKETS
+        raw = f"{path}/rows"
+        postings(df, id_column, *texts, carry=carry).write.mode("overwrite").parquet(raw)
+        found = spark.read.parquet(raw)
+        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+        # by range of (bucket, term, id): a hot term goes over several files, a rare one stays in one
+        terms_ = found.where("term IS NOT NULL").select("*", bucket).repartitionByRange(buckets, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+        terms_.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        rows, mean = found.where("term IS NULL").agg(F.count(F.lit(1)), F.avg("length")).first()
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(raw)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        return cls(spark, path, buckets, rows, mean or 0.0)
+
+    def postings(self, wanted: Sequence[str]) -> DataFrame:
+        """Postings of some terms: only their folders and row groups are read."""
+        rows = self.spark.read.parquet(f"{self.path}/postings") if self.rows else None
+        if rows is None:
+            raise ValueError("the index has no rows")
+        at = {_signed(xxhash.xxh64_intdigest(t.encode(), 42)) % self.buckets for t in wanted}  # as Spark's xxhash64
+        return rows.where(F.col("bucket").isin(sorted(at)) & F.col("term").isin(list(wanted))).drop("bucket")
+
+    def _phrase(self, found: DataFrame, phrase: Sequence[str]) -> DataFrame:
+        """Rows that hold the phrase, as postings with tf the number of its places."""
+        if len(phrase) == 1:
+            return found.where(F.col("term") == phrase[0]).drop("term", "positions")
+        kept = [c for c in found.columns if c not in ("term", "tf", "positions")]
+        words = list(dict.fromkeys(phrase))
+        places = [F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"_p{i}") for i, w in enumerate(words)]
+        rows = found.where(F.col("term").isin(words)).groupBy(*kept).agg(*places)
+        starts = F.col(f"_p{words.index(phrase[0])}")
+        for step, w in enumerate(phrase[1:], 1):
+            starts = F.array_intersect(starts, _shifted(F.col(f"_p{words.index(w)}"), step))
+        return rows.select(*kept, F.size(starts).alias("tf")).where("tf > 0")
+
+    def hits(self, query: str) -> list[DataFrame]:
+        """For each distinct phrase of a search text, the rows that hold it (id, carried columns, length, tf)."""
+        phrases = list(dict.fromkeys(tuple(p) for p in query_phrases(query)))
+        if not phrases or not self.rows:
+            return []
+        found = self.postings([*dict.fromkeys(t for p in phrases for t in p)])
+        return [self._phrase(found, p) for p in phrases]
+
+    def bm25(self, query: str) -> DataFrame:
+        """(id, carried columns, score) of the rows that hold a phrase of ``query``; a higher score is better."""
+        phrases = self.hits(query)
+        if not phrases:
+            return self.empty()
+        marked = reduce(DataFrame.unionByName, [h.withColumn("_phrase", F.lit(i)) for i, h in enumerate(phrases)])
+        # one row a phrase comes back: how many rows hold it
+        counts = {r[0]: r[1] for r in marked.groupBy("_phrase").agg(F.count(F.lit(1))).collect()}
+        weight = F.lit(0.0)
+        for i, n in counts.items():
+            weight = F.when(F.col("_phrase") == i, F.greatest(F.log(F.lit((self.rows - n + 0.5) / (n + 0.5))), F.lit(IDF_FLOOR))).otherwise(weight)
+        part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(self.mean)))
+        kept = [c for c in marked.columns if c not in ("length", "tf", "_phrase")]
+        return marked.groupBy(*kept).agg(F.round(F.sum(part), 9).alias("score"))
+
+    def empty(self) -> DataFrame:
+        known = self.spark.read.parquet(f"{self.path}/postings") if self.rows else self.spark.createDataFrame([], "id long, length int, term string, tf int, positions array<int>, bucket int")
+        return known.drop("length", "term", "tf", "positions", "bucket").withColumn("score", F.lit(0.0)).where(F.lit(False))
+
+
+def phrase_rows(index: KeywordIndex, phrase: str) -> DataFrame:
+    """(id, hits) of rows in which the phrase's terms stand side by side."""
+    words = " ".join(t for p in query_phrases(phrase) for t in p)
+    found = index.postings(words.split())
+    return index._phrase(found, words.split()).select("id", F.col("tf").cast("long").alias("hits"))
 
 
 def top(scored: DataFrame, limit: int) -> DataFrame:
@@ -73,19 +171,11 @@ def best_per_thread(scored: DataFrame, thread: str = "thread_id") -> DataFrame:
     return scored.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-def phrase_rows(df: DataFrame, id_column: str, phrase: str, *texts: str) -> DataFrame:
-    """(id, hits) of rows in which the phrase's tokens stand side by side."""
-    tokens_ = [t for p in query_phrases(phrase) for t in p]
-    return tokenized(df, id_column, *texts).select("id", _occurrences(F.col("tokens"), tokens_).cast("long").alias("hits")).where("hits > 0")
-
-
-def like_fallback(df: DataFrame, text: str, columns: list[str], newest: str, id_column: str, limit: int) -> DataFrame:
-    """Rows with ``text`` in one of the columns, newest first; % and _ in it are wild as in LIKE."""
-    match = F.lit(False)
-    for c in columns:
-        match = match | F.col(c).ilike(f"%{text}%")
-    return df.where(match).orderBy(F.col(newest).desc(), id_column).limit(limit)
+def like_match(text: str, columns: Sequence[str]) -> Column:
+    """Whether one of the columns contains ``text``, case aside; % and _ in it are wild as in LIKE."""
+    return reduce(lambda a, b: a | b, [F.col(c).ilike(f"%{text}%") for c in columns])
 
 
-def idf(rows: int, n: int) -> float:
-    return max(math.log((rows - n + 0.5) / (n + 0.5)), IDF_FLOOR)
+def like_fallback(df: DataFrame, text: str, columns: Sequence[str], newest: str, id_column: str, limit: int) -> DataFrame:
+    """Rows with ``text`` in one of the columns, newest first."""
+    return df.where(like_match(text, columns)).orderBy(F.col(newest).desc(), id_column).limit(limit)
