@@ -1,8 +1,9 @@
-"""Column functions on mail text: addresses, subjects, bodies, ids, secrets, query tokens."""
+"""Column functions on mail text: addresses, subjects, bodies, ids, secrets, lengths in tokens."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,8 +21,11 @@ HARD_CUT = (
     rf"|On(?![\p{{L}}\p{{N}}_])(?:.*[^\p{{L}}\p{{N}}_])wrote:{SPACE}*$)"
 )
 
-#: What secrets look like, and what stands for them.
+#: What secrets look like, and what stands for them; a first group stays.
 SECRETS: tuple[tuple[str, str], ...] = (
+    (r"sk-ant-[A-Za-z0-9_-]+", "[REDACTED]"),
+    (r"((?i:x-api-key)['\":=\s]+)[^\s,'\"}]+", "$1[REDACTED]"),
+    (r"((?i:authorization)['\":=\s]+(?i:bearer)\s+)[^\s,'\"}]+", "$1[REDACTED]"),
     (r"AKIA[0-9A-Z]{16}", "[key]"),
     (r"gh[pousr]_[A-Za-z0-9]{20,}", "[token]"),
     (r"sk-[A-Za-z0-9_-]{16,}", "[key]"),
@@ -86,24 +90,16 @@ def occurrence_id(message: Column, content: Column, filename: Column, slot: Colu
     return F.sha2(F.concat(message, zero, content, zero, filename, zero, slot.cast("string")), 256)
 
 
-def redact(text: Column) -> Column:
-    """Text with secrets and addresses replaced."""
+def redact(text: Column, secrets: Sequence[str] = ()) -> Column:
+    """Text with the caller's secrets, and what looks like secrets and addresses, replaced."""
+    for secret in secrets:
+        if secret:
+            text = F.replace(text, F.lit(secret), F.lit("[REDACTED]"))
     for pattern, mark in SECRETS:
         text = F.regexp_replace(text, pattern, mark)
     return text
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def query_phrases(query: str) -> list[list[str]]:
-    """Phrases of a search text: its ``[\\w@.-]+`` runs, each as the tokens it holds."""
-    found = [re.findall(r"[^\W_]+", run.lower()) for run in re.findall(r"[\w@.\-]+", query)]
-    return [p for p in found if p]
-
-
 def match_expression(query: str) -> str:
     """The same runs as quoted phrases joined by OR; "" if there are none."""
     return " OR ".join(f'"{run}"' for run in re.findall(r"[\w@.\-]+", query))
@@ -114,6 +110,11 @@ def maildir_flags(path: Column) -> Column:
     return F.regexp_extract(path, r":2,([^:/]*)$", 1)
 
 
+def is_trashed(path: Column) -> Column:
+    """Whether a file name has the flag T."""
+    return maildir_flags(path).contains("T")
+
+
 def maildir_unique(path: Column) -> Column:
     """File name before its flags."""
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r":2,[^:]*$", "")
@@ -122,3 +123,18 @@ def maildir_unique(path: Column) -> Column:
 def maildir_folder(path: Column) -> Column:
     """Folder above cur or new."""
     return F.regexp_extract(path, r"([^/]+(?:/[^/]+)*)/(?:cur|new)/[^/]+$", 1)
+
+
+#: A token of the default counter, with the white space before it.
+TOKEN = r"\s*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
+
+
+def estimate_tokens(text: Column) -> Column:
+    """Runs of letters and digits, and single other signs."""
+    return F.regexp_count(text, F.lit(TOKEN))
+
+
+def truncate_to_tokens(text: Column, limit: int) -> Column:
+    """Text up to the end of its ``limit``-th token."""
+    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.when(F.size(found) > limit, F.array_join(F.slice(found, 1, limit), "")).otherwise(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,3 +57,47 @@ def knn(df: DataFrame, id_column: str, vector: str, query: Sequence[float], k: i
     if not keep_zero:
         rows = rows.where(~is_zero(F.col(vector)))
     return rows.select(id_column, l2_distance(F.col(vector), query_literal(query)).alias("dist")).orderBy("dist", id_column).limit(k)
+
+
+def embed_query(backend: Callable[[list[str]], list[list[float]]], text: str, dim: int | None = None) -> list[float]:
+    """The vector of one search text; ValueError if it has another number of components than ``dim``."""
+    found = backend([text])
+    if len(found) != 1 or (dim is not None and len(found[0]) != dim):
+        raise ValueError(f"expected one vector of {dim} components, got {[len(v) for v in found]}")
+    return [float(x) for x in found[0]]
+
+
+def backfill_normalized(v: Column, tolerance: float = 1e-9) -> Column:
+    """Stored vectors made unit length, all but those of a length of ``tolerance`` at most."""
+    length = norm(v)
+    return F.when(length > tolerance, F.transform(doubles(v), lambda x: x / length)).otherwise(doubles(v))
+
+
+def fetch_vectors(vectors: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``vectors`` whose key is wanted."""
+    return vectors.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def thread_vectors(threads: DataFrame, chunks: DataFrame, prior: DataFrame | None, dim: int, backend: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """(thread_id, embedding, origin): the mean of a thread's chunks, else its earlier vector if that is not zero, else its subject's, else zero.
+
+    ``threads`` has thread_id and subject, ``chunks`` thread_id and embedding, ``prior`` thread_id and embedding.
+    """
+    means = mean_vector(chunks, ["thread_id"], "embedding").withColumnRenamed("embedding", "_mean")
+    rows = threads.select("thread_id", "subject").join(means, "thread_id", "left")
+    if prior is None:
+        rows = rows.withColumn("_prior", F.lit(None).cast("array<double>"))
+    else:
+        rows = rows.join(prior.where(~is_zero(F.col("embedding"))).select("thread_id", doubles(F.col("embedding")).alias("_prior")), "thread_id", "left")
+    zero = F.array_repeat(F.lit(0.0), dim)
+    first = F.coalesce("_mean", "_prior", zero)
+    origin = F.when(F.col("_mean").isNotNull(), "chunks").when(F.col("_prior").isNotNull(), "prior").otherwise("none")
+    found = rows.select("thread_id", "subject", l2_normalize(first).alias("embedding"), origin.alias("origin"))
+    if backend is None:
+        return found.drop("subject")
+    from threadloom.operators.chunking import embed
+
+    bare = found.where("origin = 'none'").select("thread_id", F.when(F.trim(F.coalesce("subject", F.lit(""))) == "", "(empty thread)").otherwise(F.col("subject")).alias("_text"))
+    named = embed(bare, "thread_id", "_text", backend, dim).select(F.col("key").alias("_k"), "embedding")
+    named = bare.select("thread_id").join(named, F.col("thread_id").cast("string") == F.col("_k")).select("thread_id", l2_normalize(F.col("embedding")).alias("embedding"), F.lit("subject").alias("origin"))
+    return found.where("origin <> 'none'").drop("subject").unionByName(named)

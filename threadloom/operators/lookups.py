@@ -24,10 +24,33 @@ def get_by_id(df: DataFrame, column: str, value) -> DataFrame:
     return df.where(F.col(column) == value).limit(1)
 
 
+def thread_of_message(entries: DataFrame, message_id: str) -> DataFrame:
+    """(thread_id) of a message, from the map (message_id, thread_id, filepath)."""
+    return entries.where(F.col("message_id") == message_id).select("thread_id").limit(1)
+
+
+def messages_of_thread(entries: DataFrame, thread_id: str) -> DataFrame:
+    return entries.where(F.col("thread_id") == thread_id).select("message_id", "filepath").orderBy("message_id")
+
+
+def paths_by_content(files: DataFrame, content_hash: str | None) -> DataFrame:
+    """(filepath) of indexed files with that content; an empty or missing hash has none."""
+    same = F.col("content_hash") == content_hash if content_hash else F.lit(False)
+    return files.where(same).select("filepath").orderBy("filepath")
+
+
+def is_indexed(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """(filepath, indexed) of the asked paths."""
+    known = files.select(F.col("filepath").alias("_f")).distinct().withColumn("indexed", F.lit(True))
+    return paths.join(known, F.col("filepath") == F.col("_f"), "left").select("filepath", F.coalesce("indexed", F.lit(False)).alias("indexed"))
+
+
 def find_contact(threads: DataFrame, query: str, limit: int = 10, addresses: str = "participants") -> DataFrame:
     """(email, names, threads): people whose name or address contains ``query``, in most threads first."""
-    people = threads.select("thread_id", F.explode(addresses).alias("who")).select("thread_id", canonical_addr(F.col("who")).alias("email"), display_name(F.col("who")).alias("name"))
+    people = threads.select("thread_id", F.posexplode(addresses).alias("at", "who")).select("thread_id", "at", canonical_addr(F.col("who")).alias("email"), display_name(F.col("who")).alias("name"))
     match = people.where((F.col("email") != "") & F.lower(F.concat_ws(" ", "name", "email")).contains(query.strip().lower()))
+    # a thread names a person once: by the first of its entries that matches
+    match = match.groupBy("thread_id", "email").agg(F.min_by("name", "at").alias("name"))
     found = match.groupBy("email").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("name") != "", F.col("name")))), ", ").alias("names"), F.countDistinct("thread_id").alias("threads"))
     return found.orderBy(F.col("threads").desc(), "email").limit(limit)
 

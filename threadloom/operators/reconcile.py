@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import is_trashed, maildir_unique
+from threadloom.operators.merge import move_paths
+
 #: Days before a tombstone is reaped, share of messages and floor of one batch.
 GRACE_DAYS, BATCH_PERCENT, BATCH_FLOOR = 7, 5.0, 10
 
@@ -27,16 +28,45 @@ def sweep(indexed: DataFrame, listing: DataFrame, tombstones: DataFrame) -> Data
     return rows.select("unique", "filepath", "new_path", action.alias("action"))
 
 
+def current_paths(stored: DataFrame, listing: DataFrame) -> DataFrame:
+    """(filepath, current): where each stored file is now, null if it is nowhere.
+
+    The same path counts first, then a file of the same unique name in the same folder, then one in
+    the sibling of new or cur.  ``listing`` is (path).
+    """
+    folder = lambda c: F.regexp_replace(c, r"/[^/]*$", "")
+    box = lambda c: F.regexp_replace(c, r"/(?:new|cur)/[^/]*$|/[^/]*$", "")
+    want = stored.select("filepath", maildir_unique(F.col("filepath")).alias("_u"), box(F.col("filepath")).alias("_b"))
+    have = listing.select("path", maildir_unique(F.col("path")).alias("_u"), box(F.col("path")).alias("_b"))
+    place = F.when(F.col("path") == F.col("filepath"), 0).when(folder(F.col("path")) == folder(F.col("filepath")), 1).otherwise(2)
+    found = want.join(have, ["_u", "_b"], "left")
+    return found.groupBy("filepath").agg(F.min_by("path", F.struct(place, "path")).alias("current"))
+
+
+def sweep_paths(stored: DataFrame, listing: DataFrame) -> DataFrame:
+    """One row: how many stored files have another path now, and how many have none; neither is marked."""
+    found = current_paths(stored, listing)
+    return found.agg(F.count_if(F.col("current") != F.col("filepath")).alias("renamed"), F.count_if(F.col("current").isNull()).alias("unreachable"))
+
+
+def handle_moved(indexed: DataFrame, tombstones: DataFrame, moves: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(indexed, tombstones) after file moves (src_path, dest_path) of indexed files.
+
+    The file keeps its identity under its new path; one that is flagged as trash gets a tombstone, one that is not loses its own.
+    """
+    known = moves.join(indexed.select(F.col("filepath").alias("src_path")), "src_path", "left_semi")
+    moved = move_paths(indexed, known.select(F.col("src_path").alias("old_path"), F.col("dest_path").alias("new_path")), "filepath")
+    marks = move_paths(tombstones, known.select(F.col("src_path").alias("old_path"), F.col("dest_path").alias("new_path")), "filepath")
+    now_trashed = known.where(is_trashed(F.col("dest_path"))).select(F.col("dest_path").alias("filepath"), now.alias("marked_at"))
+    alive = known.where(~is_trashed(F.col("dest_path"))).select(F.col("dest_path").alias("filepath"))
+    return moved, add_tombstones(marks.join(alive, "filepath", "left_anti"), now_trashed)
+
+
 def add_tombstones(old: DataFrame, fresh: DataFrame) -> DataFrame:
     """Tombstones (filepath, marked_at); the first mark counts."""
     return old.unionByName(fresh).groupBy("filepath").agg(F.min("marked_at").alias("marked_at"))
 
 
-def brake(total: int, percent: float = BATCH_PERCENT, floor: int = BATCH_FLOOR) -> int:
-    """Most messages that one reap may remove."""
-    return max(floor, math.floor(total * percent / 100))
-
-
 def reap(messages: DataFrame, tombstones: DataFrame, now: Column, grace_days: int = GRACE_DAYS, percent: float = BATCH_PERCENT, force: bool = False) -> DataFrame:
     """Messages that survive: those with a tombstone older than the grace go, unless they are too many at once."""
     due = tombstones.where(F.col("marked_at") <= now - F.make_interval(days=F.lit(grace_days))).select("filepath").distinct()
