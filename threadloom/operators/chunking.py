@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 CHUNK = "key string, chunk_id string, chunk_index int, text string, char_start int, char_end int, token_est int"
 _PARAGRAPH = re.compile(r"\S(?:.*?\S)?(?=\s*\n\s*\n|\s*\Z)", re.S)
+#: Fixed value: the end of a sentence.
 _SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)")
 _WORD = re.compile(r"\S+")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -23,7 +25,25 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 Span = tuple[int, int]
 
 
-@lru_cache(maxsize=1024)
+class Tokens:
+    """A text's tokens: how many any slice of it holds, in logarithmic time.
+
+    A slice that begins or ends inside a token counts what of the token it holds as one.
+    """
+
+    def __init__(self, source: str):
+        marks = [m.span() for m in _TOKEN.finditer(source)]
+        self.starts, self.ends = [a for a, _ in marks], [b for _, b in marks]
+
+    def count(self, start: int, end: int) -> int:
+        return max(0, bisect_left(self.starts, end) - bisect_right(self.ends, start))
+
+    def within(self, start: int, end: int) -> list[Span]:
+        """Tokens of a slice, cut at its edges."""
+        some = range(bisect_right(self.ends, start), bisect_left(self.starts, end))
+        return [(max(start, self.starts[i]), min(end, self.ends[i])) for i in some]
+
+
 def count_tokens(text: str) -> int:
     return len(_TOKEN.findall(text))
 
@@ -35,71 +55,61 @@ def _trim(source: str, span: Span) -> Span | None:
     return (start, start + len(body)) if body else None
 
 
-def _greedy(source: str, pieces: list[Span], limit: int, count: Callable[[str], int]) -> Iterator[Span]:
+def _joined(pieces: list[Span], limit: int, count: Callable[[int, int], int]) -> Iterator[Span]:
     """Neighbouring pieces joined while their slice holds at most ``limit`` tokens."""
-    start = end = None
-    for a, b in pieces:
-        if start is not None and count(source[start:b]) > limit:
-            yield start, end
-            start = None
-        start, end = (a if start is None else start), b
-    if start is not None:
-        yield start, end
-
-
-def _shorter(source: str, span: Span, limit: int, count: Callable[[str], int]) -> Iterator[Span]:
-    """Spans of at most ``limit`` tokens: by sentences, else words, else tokens."""
-    if count(source[span[0] : span[1]]) <= limit:
-        yield span
-        return
-    ends = [m.end() for m in _SENTENCE_END.finditer(source, *span)]
-    cuts = sorted({span[0], *ends, span[1]})
-    sentences = [s for s in (_trim(source, c) for c in zip(cuts, cuts[1:], strict=False)) if s]
-    for part in _greedy(source, sentences, limit, count):
-        if count(source[part[0] : part[1]]) <= limit:
-            yield part
-            continue
-        for few in _greedy(source, [m.span() for m in _WORD.finditer(source, *part)], limit, count):
-            if count(source[few[0] : few[1]]) <= limit:
-                yield few
-                continue
-            marks = [m.span() for m in _TOKEN.finditer(source, *few)]
-            step = max(1, limit - 8)
-            for i in range(0, len(marks), step):
-                yield marks[i][0], marks[min(i + step, len(marks)) - 1][1]
-
-
-def chunk_spans(source: str, target: int = 350, limit: int = 500, overlap: int = 60, count: Callable[[str], int] = count_tokens) -> list[Span]:
-    """Spans of the chunks of a text."""
+    at = 0
+    while at < len(pieces):
+        stop = at + 1
+        while stop < len(pieces) and count(pieces[at][0], pieces[stop][1]) <= limit:
+            stop += 1
+        yield pieces[at][0], pieces[stop - 1][1]
+        at = stop
+
+
+def _sentences(source: str, span: Span) -> list[Span]:
+    cuts = sorted({span[0], *(m.end() for m in _SENTENCE_END.finditer(source, *span)), span[1]})
+    return [s for s in (_trim(source, c) for c in zip(cuts, cuts[1:], strict=False)) if s]
+
+
+def _fitting(source: str, span: Span, limit: int, tokens: Tokens) -> list[Span]:
+    """Spans of at most ``limit`` tokens: by sentences, what is longer by words, what is longer still by tokens."""
+    parts = [span]
+    for cut in (lambda s: _sentences(source, s), lambda s: [m.span() for m in _WORD.finditer(source, *s)]):
+        parts = [p for s in parts for p in ([s] if tokens.count(*s) <= limit else _joined(cut(s), limit, tokens.count))]
+    step, out = max(1, limit - 8), []
+    for s in parts:
+        marks = tokens.within(*s) if tokens.count(*s) > limit else None
+        out += [s] if marks is None else [(marks[i][0], marks[min(i + step, len(marks)) - 1][1]) for i in range(0, len(marks), step)]
+    return out
+
+
+def chunk_spans(source: str, target: int = 350, limit: int = 500, overlap: int = 60) -> list[Span]:
+    """Spans of the chunks of a text: neighbouring spans up to ``target`` tokens or more, never over ``limit``.
+
+    A chunk begins again with the last spans of the one before, as many as ``overlap`` tokens hold, one at least,
+    never all of them; where they would push the next span over the limit they are left out.
+    """
     if not 0 < target <= limit or not 0 <= overlap < target:
         raise ValueError("0 < target <= limit and 0 <= overlap < target are needed")
-    spans = [s for m in _PARAGRAPH.finditer(source) for s in _shorter(source, m.span(), limit, count)]
-    groups: list[list[Span]] = []
-    open_: list[Span] = []
-    carried = 0
-
-    def close() -> None:
-        nonlocal open_, carried
-        groups.append(open_)
-        tail: list[Span] = []
-        for s in reversed(open_[1:]):  # never the whole group
-            if tail and count(source[s[0] : open_[-1][1]]) > overlap or not overlap:
-                break
-            tail.insert(0, s)
-        open_, carried = tail, len(tail)
-
-    for s in spans:
-        if open_ and count(source[open_[0][0] : s[1]]) > limit:
-            if len(open_) > carried:
-                close()
-            if open_ and count(source[open_[0][0] : s[1]]) > limit:  # what was carried over gives way
-                open_, carried = [], 0
-        open_.append(s)
-        if count(source[open_[0][0] : s[1]]) >= target:
-            close()
-    if len(open_) > carried:
-        groups.append(open_)
-    return [(g[0][0], g[-1][1]) for g in groups]
+    tokens = Tokens(source)
+    spans = [s for m in _PARAGRAPH.finditer(source) for s in _fitting(source, m.span(), limit, tokens)]
+    # a chunk is spans[first:stop]; fresh is the first span that no chunk holds yet
+    chunks, first, fresh = [], 0, 0
+    while fresh < len(spans):
+        if tokens.count(spans[first][0], spans[fresh][1]) > limit:
+            first = fresh
+        stop = fresh + 1
+        while stop < len(spans) and tokens.count(spans[first][0], spans[stop - 1][1]) < target and tokens.count(spans[first][0], spans[stop][1]) <= limit:
+            stop += 1
+        chunks.append((spans[first][0], spans[stop - 1][1]))
+        end = spans[stop - 1][1]
+        back = stop
+        if overlap and stop - first > 1:
+            back = stop - 1
+            while back - 1 > first and tokens.count(spans[back - 1][0], end) <= overlap:
+                back -= 1
+        first, fresh = back, stop
+    return chunks
 
 
 def chunk_key(key: str, index: int, text: str) -> str:
@@ -121,6 +131,26 @@ def chunk_messages(df: DataFrame, key: str, body: str, target: int = 350, limit:
     return df.selectExpr(f"CAST(`{key}` AS string) AS k", f"`{body}` AS t").mapInPandas(run, CHUNK)
 
 
+class TransientError(RuntimeError):
+    """A backend's failure that may pass: a lost connection, a server's error."""
+
+
+#: Tries of one request, and the shortest and longest wait between them in seconds.
+TRIES, WAIT, LONGEST_WAIT = 3, 2.0, 10.0
+
+
+def _retried(backend: Callable[[list[str]], list[list[float]]], texts: list[str], sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
+    """The backend's answer; after a failure that may pass it is asked again, each time after a longer wait."""
+    for attempt in range(1, TRIES + 1):
+        try:
+            return backend(texts)
+        except (TransientError, ConnectionError, TimeoutError):
+            if attempt == TRIES:
+                raise
+            sleep(min(LONGEST_WAIT, WAIT * 2 ** (attempt - 1)))
+    raise AssertionError
+
+
 def embed(df: DataFrame, key: str, text: str, backend: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 64) -> DataFrame:
     """(key, embedding) by a backend that takes lists of texts; its answer must have their number and ``dim`` components."""
 
@@ -128,7 +158,7 @@ def embed(df: DataFrame, key: str, text: str, backend: Callable[[list[str]], lis
         for b in batches:
             for i in range(0, len(b), batch):
                 part = b.iloc[i : i + batch]
-                got = backend([t or "" for t in part["t"]])
+                got = _retried(backend, [t or "" for t in part["t"]])
                 if len(got) != len(part) or any(len(v) != dim for v in got):
                     raise ValueError("the backend's answer has another size")
                 yield pd.DataFrame({"key": part["k"].tolist(), "embedding": got})

@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES = 50 << 20
+#: Fixed value: the name of an attachment without one.
+NAMELESS = "unnamed"
 MESSAGE = (
     "message_id string, in_reply_to string, references array<string>, subject string, from_addr string, to_addrs array<string>, cc_addrs array<string>, "
-    "date timestamp, date_fabricated boolean, body string, folder string, filepath string, has_attachments boolean, size long, content_hash string, "
+    "date timestamp, date_fabricated boolean, body string, folder string, filepath string, has_attachments boolean, size long, modified timestamp, content_hash string, "
     "attachments array<struct<filename:string,content_type:string,size:long,payload:binary,content_hash:string>>, error string"
 )
 #: Lets Hadoop's local file system open names with a colon, as Maildir's flags have: no checksum files beside them.
@@ -97,13 +99,31 @@ def _decoded(part) -> str:
         return data.decode("utf-8", "replace")
 
 
-def parse(path: str, data: bytes) -> dict | None:
-    """A message, or None if it has no id."""
+def folder_of(path: str, root: str | None = None) -> str:
+    """Folder of a file below its archive's root, without new or cur; only its last part where the root is unknown."""
+    found = re.search(r"^(.*)/(?:cur|new)/[^/]+$", path)
+    if not found:
+        return ""
+    base = re.sub(r"^file:(//)?", "", found[1])
+    if root is not None:
+        top = re.sub(r"^file:(//)?", "", root).rstrip("/")
+        if base == top:
+            return ""
+        if base.startswith(top + "/"):
+            return base[len(top) + 1 :]
+    return base.rpartition("/")[2]
+
+
+def parse(path: str, data: bytes, root: str | None = None) -> dict | None:
+    """A message, or None if it has no id.
+
+    The body is the first text/plain part, or the first text/html part as text where that is empty.
+    """
     mail = email.message_from_bytes(data, policy=email.policy.compat32)
     message_id = _id(mail["Message-ID"])
     if not message_id:
         return None
-    plain = html = None
+    texts: dict[str, str] = {}
     attachments = []
     for part in mail.walk():
         if part.is_multipart():
@@ -111,22 +131,21 @@ def parse(path: str, data: bytes) -> dict | None:
         name, kind = part.get_filename(), part.get_content_type()
         if name or "attachment" in str(part.get("Content-Disposition") or "").lower():
             body = part.get_payload(decode=True) or b""
-            attachments.append({"filename": _header(name) if name else "", "content_type": kind, "size": len(body), "payload": body, "content_hash": hashlib.sha256(body).hexdigest()})
-        elif kind == "text/plain" and plain is None:
-            plain = _decoded(part)
-        elif kind == "text/html" and html is None:
-            html = _decoded(part)
+            shown = (_header(name) if name else "") or NAMELESS
+            attachments.append({"filename": shown, "content_type": kind, "size": len(body), "payload": body, "content_hash": hashlib.sha256(body).hexdigest()})
+        elif kind in ("text/plain", "text/html") or not mail.is_multipart():
+            texts.setdefault("text/html" if kind == "text/html" else "text/plain", _decoded(part))
     try:
         date = email.utils.parsedate_to_datetime(str(mail["Date"]))
         date = date.replace(tzinfo=timezone.utc) if date.tzinfo is None else date.astimezone(timezone.utc)
     except (TypeError, ValueError):
         date = None
-    folder = re.search(r"([^/]+(?:/[^/]+)*)/(?:cur|new)/[^/]+$", path)
+    body = texts.get("text/plain", "").strip() or html_text(texts.get("text/html", ""))
     return {
         "message_id": message_id, "in_reply_to": _id(mail["In-Reply-To"]), "references": [r for r in map(_id, str(mail["References"] or "").split()) if r],
         "subject": _header(mail["Subject"]) or "(no subject)", "from_addr": next(iter(_addresses(mail.get_all("From"))), ""), "to_addrs": _addresses(mail.get_all("To")),
-        "cc_addrs": _addresses(mail.get_all("Cc")), "date": date, "date_fabricated": date is None, "body": (plain if plain is not None else html_text(html or "")).strip(),
-        "folder": folder[1].rpartition("/")[2] if folder else "", "filepath": path, "has_attachments": bool(attachments), "size": len(data),
+        "cc_addrs": _addresses(mail.get_all("Cc")), "date": date, "date_fabricated": date is None, "body": body.strip(),
+        "folder": folder_of(path, root), "filepath": path, "has_attachments": bool(attachments), "size": len(data),
         "content_hash": hashlib.sha256(data).hexdigest(), "attachments": attachments,
     }
 
@@ -136,25 +155,31 @@ def read_maildir(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").options(**COLONS).option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(r"/(?:cur|new)/[^/]+$"))
 
 
-def parse_mail(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Rows of :data:`MESSAGE`; files that are too large or have no id are rows with an error only."""
+def parse_mail(files: DataFrame, max_bytes: int = MAX_BYTES, root: str | None = None) -> DataFrame:
+    """Rows of :data:`MESSAGE`; files that are too large or have no id are rows with an error only; a negative ``max_bytes`` is the default, 0 none.
+
+    ``root``: the archive's top folder, below which folders are named.
+    """
+    max_bytes = MAX_BYTES if max_bytes < 0 else max_bytes
     names = [x.split()[0] for x in re.findall(r"(\w+ (?:array<struct<.*?>>|array<string>|\w+))(?:, |$)", MESSAGE)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
+            for path, content, modified in zip(b["path"], b["content"], b["modified"], strict=True):
                 if content is None:
                     got = {"filepath": path, "error": "oversized"}
                 else:
                     try:
-                        got = parse(path, bytes(content)) or {"filepath": path, "error": "no message id"}
+                        got = parse(path, bytes(content), root) or {"filepath": path, "error": "no message id"}
+                        got["modified"] = modified
                     except Exception as e:  # noqa: BLE001  one bad file is one bad row
                         got = {"filepath": path, "error": f"parse: {e}"[:300]}
                 rows.append({n: got.get(n) for n in names})
             frame = pd.DataFrame(rows, columns=names)
-            frame["date"] = pd.to_datetime(frame["date"], utc=True)
+            for c in ("date", "modified"):
+                frame[c] = pd.to_datetime(frame[c], utc=True)
             yield frame
 
-    content = F.when(F.lit(max_bytes <= 0) | (F.col("length") <= max_bytes), F.col("content"))
-    return files.select("path", content.alias("content")).mapInPandas(run, MESSAGE)
+    content = F.when(F.lit(max_bytes == 0) | (F.col("length") <= max_bytes), F.col("content"))
+    return files.select("path", content.alias("content"), F.col("modificationTime").alias("modified")).mapInPandas(run, MESSAGE)
