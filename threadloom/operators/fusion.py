@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from datetime import datetime, time, timezone
+from email.utils import parseaddr
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from threadloom.functions.text import canonical_addr
 from threadloom.functions.vectors import knn
-from threadloom.operators.keyword import best_per_thread, bm25, ranked, top
+from threadloom.operators.keyword import KeywordIndex, best_per_thread, ranked, top
 
 #: The fusion constant, and how much more is fetched than asked for.
 RRF_K, OVERSAMPLE, OVERSAMPLE_FILTERED, OVERSAMPLE_CHUNKS, OVERSAMPLE_CHUNK_TEXT = 60, 2, 4, 3, 10
+CANDIDATES, TOP_N = 20, 10
 EVIDENCE, EVIDENCE_POOL = 3, 200
 
 
@@ -44,10 +46,12 @@ def parse_bound(value: str, upper: bool = False) -> datetime:
 
 
 def matches_sender(senders: Column, wanted: str) -> Column:
-    """A full address must be equal in canonical form; a domain or a part of a name must be contained."""
-    if "@" in wanted and not wanted.startswith("@"):
-        return F.exists(senders, lambda s: canonical_addr(s) == wanted.strip().lower())
-    return F.exists(senders, lambda s: F.lower(s).contains(wanted.strip().lower()))
+    """A full address (``a@b`` or ``Name <a@b>``) must be equal in canonical form; a domain or a part of a name must be contained."""
+    wanted = wanted.strip()
+    address = parseaddr(wanted)[1].strip().lower()
+    if "@" in address and not wanted.startswith("@"):
+        return F.exists(senders, lambda s: canonical_addr(s) == address)
+    return F.exists(senders, lambda s: F.lower(s).contains(wanted.lower()))
 
 
 def condition(filters: Filters) -> Column:
@@ -66,6 +70,10 @@ def condition(filters: Filters) -> Column:
     return found
 
 
+def without_sender(filters: Filters) -> Filters:
+    return replace(filters, sender=None)
+
+
 def apply_filters(threads: DataFrame, filters: Filters) -> DataFrame:
     return threads.where(condition(filters)) if filters.any() else threads
 
@@ -90,7 +98,7 @@ def lift_chunks(chunks: DataFrame, thread: str) -> DataFrame:
 
 
 def in_order(fused: DataFrame, limit: int) -> DataFrame:
-    return fused.orderBy(F.col("score").desc(), "first_lane", "first_rank", "id").limit(limit)
+    return fused.orderBy(F.round("score", 12).desc(), "first_lane", "first_rank", "id").limit(limit)
 
 
 def evidence(chunks: DataFrame, thread: str, per_thread: int = EVIDENCE) -> DataFrame:
@@ -99,27 +107,22 @@ def evidence(chunks: DataFrame, thread: str, per_thread: int = EVIDENCE) -> Data
     return chunks.withColumn("place", place.cast("long")).where(F.col("place") <= per_thread)
 
 
-def keyword_lane(
-    units: DataFrame, id_column: str, query: str, limit: int, *texts: str, thread: str | None = None, threads: DataFrame | None = None, filters: Filters | None = None
-) -> DataFrame:
+def keyword_lane(index: KeywordIndex, query: str, limit: int, thread: str | None = None, threads: DataFrame | None = None, filters: Filters | None = None) -> DataFrame:
     """(id, rank) of threads by BM25; units below threads (chunks, attachments) count by their best.
 
-    With ``threads`` (thread_id and the columns that filters name), folders, days and attachments
-    hold before the cut; a sender does not.  Statistics are those of all units.
+    ``thread``: the carried column that names a unit's thread; without it units are threads.  With
+    ``threads`` (thread_id and the columns that filters name), folders, days and attachments hold
+    before the cut; a sender does not.  Statistics are those of all units.
     """
-    scored = bm25(units, id_column, query, *texts)
-    if thread is not None:
-        owners = units.select(F.col(id_column).alias("id"), F.col(thread).alias("_thread"))
-        if threads is None:
-            scored = top(scored, limit * OVERSAMPLE_CHUNK_TEXT)
-        scored = scored.join(owners, "id")
-    if threads is not None and filters is not None:
-        kept = apply_filters(threads, replace(filters, sender=None)).select(F.col("thread_id").alias("_kept"))
-        scored = scored.join(kept, F.col("id" if thread is None else "_thread") == F.col("_kept"), "left_semi")
+    scored = index.bm25(query)
+    owner = thread or "id"
+    if threads is not None and filters is not None and without_sender(filters).any():
+        kept = apply_filters(threads, without_sender(filters)).select(F.col("thread_id").alias("_kept"))
+        scored = scored.join(kept, F.col(owner) == F.col("_kept"), "left_semi")
     if thread is None:
         return ranked(scored, limit).select("id", "rank")
     found = top(scored, limit * OVERSAMPLE_CHUNK_TEXT)
-    best = best_per_thread(found, "_thread").select(F.col("_thread").alias("id"), "score")
+    best = best_per_thread(found, thread).select(F.col(thread).alias("id"), "score")
     return ranked(best, limit).select("id", "rank")
 
 
@@ -146,18 +149,40 @@ def hybrid_search(keyword_lanes: Sequence[DataFrame], thread_vectors: DataFrame
     return in_order(rrf(lanes).join(kept, F.col("id") == F.col("thread_id")), limit)
 
 
+def evidence_of(chunks: DataFrame, threads: DataFrame, per_thread: int = EVIDENCE) -> DataFrame:
+    """(thread_id, evidence): the first ranked chunks of the given threads, as an array in order of rank."""
+    wanted = chunks.join(threads.select("thread_id").distinct(), "thread_id", "left_semi")
+    kept = [c for c in chunks.columns if c not in ("thread_id", "rank")]
+    rows = evidence(wanted, "thread_id", per_thread)
+    parts = rows.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("rank", *kept))).alias("evidence"))
+    return parts.select("thread_id", "evidence")
+
+
+def candidate_text(subject: Column, chunk: Column, snippet: Column) -> Column:
+    """What a re-ranker reads of a thread: its subject, and its best chunk or else its snippet."""
+    return F.concat(F.lit("Subject: "), F.coalesce(subject, F.lit("")), F.lit("\n\n"), F.coalesce(chunk, snippet, F.lit("")))
+
+
+@dataclass(frozen=True)
+class Reranker:
+    """A scorer of (query, texts) and how many candidates it is given."""
+
+    score: Callable[[str, list[str]], list[float]] = field(repr=False)
+    candidates: int = CANDIDATES
+
+
 def rerank(results: DataFrame, text: Column, scorer: Callable[[list[str]], list[float]], top_n: int) -> DataFrame:
-    """The rows of a bounded result, by a scorer's judgement; in their own order if it fails."""
-    rows = results.withColumn("_text", text).limit(1000).collect()
+    """The rows of a result that a limit bounds, by a scorer's judgement; in their own order if it fails."""
+    rows = results.withColumn("_text", text).collect()
+    scores: list[float | None]
     try:
-        scores = scorer([r["_text"] for r in rows])
+        scores = [float(x) for x in scorer([r["_text"] for r in rows])]
         if len(scores) != len(rows):
             raise ValueError("a score for each row is needed")
         order = sorted(range(len(rows)), key=lambda i: -scores[i])
     except Exception:  # noqa: BLE001  a scorer is remote and may fail in any way
-        order = list(range(len(rows)))
-    spark = results.sparkSession
+        order, scores = list(range(len(rows))), [None] * len(rows)
     names = results.columns
-    picked = [tuple(rows[i][: len(names)]) + (n + 1,) for n, i in enumerate(order[: max(0, min(top_n, len(rows)))])]
-    schema = StructType([*results.schema.fields, StructField("position", IntegerType())])
-    return spark.createDataFrame(picked, schema)
+    picked = [(*(rows[i][c] for c in names), scores[i], n + 1) for n, i in enumerate(order[: max(0, min(top_n, len(rows)))])]
+    schema = StructType([*results.schema.fields, StructField("rerank_score", DoubleType()), StructField("position", IntegerType())])
+    return results.sparkSession.createDataFrame(picked, schema)
