@@ -3,8 +3,10 @@ import random
 import zipfile
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from threadloom.functions.vectors import thread_vectors
 from threadloom.operators import attachments, merge, queue, reconcile, threads
 from threadloom.sources.mail import html_text, parse, parse_mail, read_maildir
 from threadloom.sources.snapshot import Snapshots
@@ -19,6 +21,12 @@ def test_parse_prefers_plain_text():
     assert (got["message_id"], got["references"], got["body"], got["from_addr"], got["folder"]) == ("m1@x", ["m0@x"], "plain text", "Alé <Al@x.org>", "INBOX")
     assert got["date"].hour == 10 and [a["filename"] for a in got["attachments"]] == ["a.txt"]
     assert parse("/x/cur/1", b"Subject: no id\n\n") is None
+    empty_plain = MAIL.replace(b" plain text ", b"  ")
+    assert parse("/root/Archive/2024/cur/1:2,S", empty_plain, "/root")["body"] == "hi"
+    assert parse("file:///root/Archive/2024/cur/1:2,S", MAIL, "/root")["folder"] == "Archive/2024" and parse("/root/cur/1", MAIL, "/root")["folder"] == ""
+    nameless = parse("/x/cur/1", MAIL.replace(b"; name=a.txt", b"").replace(b"; filename=a.txt", b""))
+    assert [a["filename"] for a in nameless["attachments"]] == ["unnamed"]
+    assert parse("/x/cur/1", b"Message-ID: <z>\nContent-Type: text/calendar\n\nBEGIN")["body"] == "BEGIN"
     assert html_text("<head><title>t</title></head><p>a&amp;b</p><script>x</script><p>c</p>") == "a&b\n\nc"
 
 
@@ -92,10 +100,37 @@ def test_extract(spark):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Hello</w:t></w:r></w:p></w:body></w:document>')
-    assert attachments.extract_one(data.getvalue(), None, "a.docx") == ("success", "docx", "Hello", None)
+    assert attachments.extract_one(data.getvalue(), None, "a.docx") == ("success", "docx", "Hello", None, False)
     assert attachments.extract_one(b"%PDF", "application/pdf", "a.pdf")[0] == "unsupported"
     assert attachments.extract_one(b"broken", None, "a.docx")[0] == "failed"
     assert attachments.extract_one(b"  ", "text/plain", None)[0] == "empty"
+    assert attachments.extract_one(b"x", "image/x-odd", None)[1:4:2] == ("image", "OCR disabled") and attachments.extract_one(b"x", None, "a.png")[0] == "unsupported"
+    assert attachments.extract_one(b"y" * 200_001, "text/plain", None)[4]
+
+
+def test_xlsx_sheets_go_by_their_relations():
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda *rows: f'<worksheet xmlns="{main}"><sheetData>' + "".join("<row>" + "".join(f"<c><v>{v}</v></c>" for v in row) + "</row>" for row in rows) + "</sheetData></worksheet>"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="B" r:id="r2"/><sheet name="A" r:id="r1"/><sheet name="none" r:id="r3"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in (1, 2, 3)) + "</Relationships>")
+        z.writestr("xl/worksheets/sheet1.xml", sheet((1, 2), (3,)))
+        z.writestr("xl/worksheets/sheet2.xml", sheet((9,)))
+        z.writestr("xl/worksheets/sheet3.xml", sheet())
+    assert attachments.xlsx_text(data.getvalue()) == "[Sheet: B]\n9\n[Sheet: A]\n1\t2\n3"
+
+
+def test_attachments_are_planned_and_applied(spark):
+    now = F.lit("2024-02-01").cast("timestamp")
+    part = "array<struct<filename:string,content_type:string,size:long,payload:binary,content_hash:string>>"
+    rows = spark.createDataFrame([("m1", "t", [("a.txt", "text/plain", 1, b"one", "h1"), ("b.txt", "text/plain", 1, b"two", "h2")]), ("m2", "t", [("c.txt", "text/plain", 1, b"one", "h1")])], f"message_id string, thread_id string, attachments {part}")
+    cache = spark.createDataFrame([("h2", "success", "text", "two", None, False), ("h1", "failed", "text", "", "e", False)], attachments.EXTRACTED).withColumn("extracted_at", F.lit("2024-01-01").cast("timestamp"))
+    occurrences, todo = attachments.prepare(rows, cache, now)
+    assert [r.content_hash for r in todo.collect()] == ["h1"]
+    stored, fresh = attachments.apply(occurrences, cache, attachments.extract(todo), now)
+    assert sorted((r.message_id, r.filename, r.status, r.text) for r in stored.collect()) == [("m1", "a.txt", "success", "one"), ("m1", "b.txt", "success", "two"), ("m2", "c.txt", "success", "one")]
+    assert fresh.count() == 2 and fresh.where("status = 'failed'").count() == 0
 
 
 def test_snapshots(spark, tmp_path):
@@ -105,6 +140,36 @@ def test_snapshots(spark, tmp_path):
         assert s.write({"t": spark.range(n)}) == n
     s.vacuum(1)
     assert s.read("t").count() == 3 and not (tmp_path / "snap" / "v=1").exists()
+    # a writer that died has left a folder without a pointer: readers pass it by, the next writer goes on behind it
+    (tmp_path / "snap" / "v=9").mkdir()
+    assert s.current() == 3 and s.write({"u": spark.range(1)}, carry=True) == 10
+    assert s.read("t").count() == 3 and s.read("u").count() == 1
+
+
+def test_merge_unites_people_and_follows_dates(spark):
+    columns = "thread_id string, subject string, display_subject string, folder string, message_ids array<string>, participants array<string>, date_first timestamp_ntz, date_last timestamp_ntz, snippet string, has_attachments boolean"
+    day = lambda n: datetime(2024, 1, n)
+    old = spark.createDataFrame([("t", "s", "Re: s", "INBOX", ["b"], ["Bob <b@x.org>", "list"], day(5), day(6), "old", False)], columns)
+    new = spark.createDataFrame([("t", "s", "S", "Sent", ["a"], ["B@x.org", "LIST ", "c@x.org"], day(1), day(2), "new", True)], columns)
+    got = merge.merge_threads(old, new).first()
+    assert (got.message_ids, got.participants, got.folder) == (["b", "a"], ["Bob <b@x.org>", "list", "c@x.org"], "INBOX")
+    assert (got.display_subject, got.snippet, got.date_first, got.date_last, got.has_attachments) == ("S", "old", day(1), day(6), True)
+
+
+def test_chunk_without_a_vector_is_an_error(spark):
+    columns = "message_id string, attachment_id string, chunk_id string"
+    old, new = spark.createDataFrame([("m", None, "a")], columns), spark.createDataFrame([("m", None, "a"), ("m", "x", "b")], columns)
+    assert {(r.chunk_id, r.change) for r in merge.diff_chunks(old, new, spark.createDataFrame([("b",)], "chunk_id string")).collect()} == {("a", "keep"), ("b", "insert")}
+    with pytest.raises(Exception, match="no embedding for chunk b"):
+        merge.diff_chunks(old, new, spark.createDataFrame([("z",)], "chunk_id string")).collect()
+
+
+def test_thread_vectors_fall_back(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", " "), ("d", "z")], "thread_id string, subject string")
+    chunks = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0])], "thread_id string, embedding array<float>")
+    prior = spark.createDataFrame([("a", [9.0, 0.0]), ("b", [0.0, 2.0]), ("c", [0.0, 0.0])], "thread_id string, embedding array<float>")
+    got = {r.thread_id: (r.origin, [round(x, 3) for x in r.embedding]) for r in thread_vectors(rows, chunks, prior, 2, lambda texts: [[3.0, 4.0] if t == "(empty thread)" else [1.0, 0.0] for t in texts]).collect()}
+    assert got == {"a": ("chunks", [0.707, 0.707]), "b": ("prior", [0.0, 1.0]), "c": ("subject", [0.6, 0.8]), "d": ("subject", [1.0, 0.0])}
 
 
 def test_entry_without_corpus_operators():

@@ -1,5 +1,6 @@
 import hashlib
 import re
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.functions import vectors as V
 from threadloom.operators import chunking, fusion, keyword, lookups, rag
-from threadloom.plans import catalog
+from threadloom.operators.keyword import KeywordIndex
+from threadloom.plans import catalog, mailbox
 
 
 def one(spark, column, **values):
@@ -41,13 +43,14 @@ def test_keyword_lane_filters_before_the_cut(spark):
     folders = ["hot", "hot", "hot", "cold"]
     owners = spark.createDataFrame([(i, folders[i // 2]) for i in range(8)], "thread_id long, folder string")
     f = fusion.Filters(folders=("cold",))
-    lane = fusion.keyword_lane(units, "id", "word", 2, "t", threads=owners, filters=f)
+    index = KeywordIndex.build(units, "id", "t", carry=("thread",))
+    lane = fusion.keyword_lane(index, "word", 2, threads=owners, filters=f)
     assert [(r.id, r.rank) for r in lane.orderBy("rank").collect()] == [(6, 1), (7, 2)]
     assert [r.id for r in fusion.hybrid_search([lane], None, None, owners, f, 10, 40).collect()] == [6, 7]
     by_thread = spark.createDataFrame(list(enumerate(folders)), "thread_id long, folder string")
-    lane = fusion.keyword_lane(units, "id", "word", 1, "t", thread="thread", threads=by_thread, filters=f)
+    lane = fusion.keyword_lane(index, "word", 1, thread="thread", threads=by_thread, filters=f)
     assert [(r.id, r.rank) for r in lane.collect()] == [(3, 1)]
-    assert {r.id for r in fusion.keyword_lane(units, "id", "word", 2, "t").collect()} == {0, 1}
+    assert {r.id for r in fusion.keyword_lane(index, "word", 2).collect()} == {0, 1}
 
 
 def test_best_per_thread(spark):
@@ -57,10 +60,42 @@ def test_best_per_thread(spark):
 
 def test_phrases_and_bm25(spark):
     df = spark.createDataFrame([(1, "mail to alice@example.com today"), (2, "alice at example dot com"), (3, "b b b"), (4, None)], "id long, t string")
-    assert [r.id for r in keyword.bm25(df, "id", "alice@example.com", "t").collect()] == [1]
-    assert {r.id: r.hits for r in keyword.phrase_rows(df, "id", "b b", "t").collect()} == {3: 2}
-    assert keyword.bm25(df, "id", "!!!", "t").count() == 0
+    index = KeywordIndex.build(df, "id", "t")
+    assert [r.id for r in index.bm25("alice@example.com").collect()] == [1]
+    assert {r.id: r.hits for r in keyword.phrase_rows(index, "b b").collect()} == {3: 2}
+    assert index.bm25("!!!").count() == 0 and index.bm25("nowhere").count() == 0
+    assert (index.rows, index.mean) == (4, 14 / 4)
     assert T.match_expression("hello world") == '"hello" OR "world"' and T.match_expression("!!!") == ""
+    none = KeywordIndex.build(df.where("id < 0"), "id", "t")
+    assert none.bm25("alice").count() == 0
+
+
+def test_index_agrees_with_sqlite(spark):
+    """Stems, folding, phrases and BM25 against SQLite's own full-text index with the same tokenizer."""
+    import random
+    import sqlite3
+
+    r = random.Random(4)
+    pool = "Running runs runner cafés Café naïve relational conditional hopping hopeful goodness licenses licensed license flies fly happily happiness the of x1 2fa b-c alice@example.com".split()
+    rows = [(i, " ".join(r.choice(pool) for _ in range(r.randint(0, 30))), " ".join(r.choice(pool) for _ in range(r.randint(0, 4)))) for i in range(200)]
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("CREATE VIRTUAL TABLE t USING fts5(a, b, tokenize='porter unicode61')")
+    except sqlite3.OperationalError:
+        pytest.skip("this SQLite has no FTS5")
+    con.executemany("INSERT INTO t(rowid, a, b) VALUES (?, ?, ?)", rows)
+    index = KeywordIndex.build(spark.createDataFrame(rows, "id long, a string, b string"), "id", "a", "b")
+    for query in ("run", "cafe licensing", "alice@example.com", "x1 2FA", "b-c happy", "relate hope fly"):
+        want = {i: -score for i, score in con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (T.match_expression(query),))}
+        got = {x.id: x.score for x in index.bm25(query).collect()}
+        assert got.keys() == want.keys(), query
+        assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in got), query
+
+
+def test_index_reads_only_its_terms(spark):
+    df = spark.createDataFrame([(i, f"word{i} common text") for i in range(50)], "id long, t string")
+    plan = KeywordIndex.build(df, "id", "t").postings(["word7"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,word7)" in plan
 
 
 def test_subjects_quotes_addresses(spark):
@@ -138,3 +173,52 @@ def test_rag_helpers(spark):
     results = spark.createDataFrame([(1, "x"), (2, "y")], "id long, t string")
     assert [r.id for r in fusion.rerank(results, F.col("t"), lambda texts: [0.1, 0.9], 1).collect()] == [2]
     assert [r.id for r in fusion.rerank(results, F.col("t"), lambda texts: [], 5).collect()] == [1, 2]
+    many = spark.range(1500).withColumn("t", F.lit("x"))
+    assert fusion.rerank(many, F.col("t"), lambda texts: list(range(len(texts))), 5000).count() == 1500
+    assert rag.meaningful("HR Q1 it IT will Will the") == ["hr", "q1", "it", "will"]
+    with pytest.raises(ValueError):
+        rag.summarize("x", lambda p: "y", "actions")
+    with pytest.raises(ValueError, match="empty"):
+        rag.summarize("x", lambda p: " ", "action-items")
+
+
+def test_sender_filter_is_canonical(spark):
+    df = spark.createDataFrame([(1, ["Bob <Bob@X.org>"]), (2, ["bobby@x.org"]), (3, ["Ann <ann@y.org>"])], "id long, senders array<string>")
+    ids = lambda wanted: {r.id for r in df.where(fusion.matches_sender(F.col("senders"), wanted)).collect()}
+    assert ids("Robert <bob@x.ORG>") == {1} and ids("bob@x.org") == {1} and ids("@x.org") == {1, 2} and ids("ann") == {3}
+
+
+def test_context_cuts_the_last_chunk(spark):
+    rows = spark.createDataFrame([("t", 1, 0, 0, 30, "a" * 30), ("t", 2, 1, 30, 90, "b" * 60), ("t", 3, 2, 90, 99, "c" * 9)], "thread_id string, rank int, chunk_index int, char_start int, char_end int, text string")
+    got = rag.context(rows, "thread_id", 100).first().context
+    assert got == "[chunk 0 chars 0-30]\n" + "a" * 30 + "\n\n[chunk 1 chars 30-90]\n" + "b" * 25
+
+
+def test_mailbox_searches(spark):
+    box = mailbox.mailbox(spark, "/root/testdata/sf0.001")
+    with pytest.raises(ValueError, match="unknown mode"):
+        box.search_emails("x", mode="fuzzy")
+    assert box.search_emails("qui", mode="keyword", limit=500).count() <= 50
+    assert box.search_emails("qui", from_name="nobody of that name").count() == 0
+    assert box.keyword_search("!!!").count() == 0
+    broken = replace(box, thread_index=replace(box.thread_index, path="/nowhere/at/all"))
+    assert broken._thread_lane("opic 3", 5, fusion.Filters()).count() > 0
+    assert rag.ask_mailbox(box, "qui", catalog.PROBE, lambda p: "an answer", fusion.Filters(folders=("none",))) == ("", [])
+    assert rag.summarize_thread(box, "no such id", lambda p: "x") is None
+    assert rag.resolve_thread(box, "the topic thread", catalog.PROBE).count() == 1
+    with pytest.raises(ValueError, match="expected one vector"):
+        V.embed_query(lambda t: [[1.0]], "x", 2)
+
+
+def test_embedding_retries_what_may_pass():
+    calls, waits = [], []
+
+    def backend(texts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise chunking.TransientError("busy")
+        return [[1.0]]
+
+    assert chunking._retried(backend, ["x"], waits.append) == [[1.0]] and waits == [2.0, 4.0]
+    with pytest.raises(ZeroDivisionError):
+        chunking._retried(lambda t: 1 // 0, ["x"], waits.append)

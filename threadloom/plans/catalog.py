@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as T
 from threadloom.functions import vectors as V
 from threadloom.operators import attachments, chunking, fusion, keyword, lookups, merge, queue, rag, reconcile, threads
+from threadloom.operators.keyword import KeywordIndex
 from threadloom.sources.mail import html_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-TEXT_TABLES = ("documents", "pages")
-
-
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -31,11 +29,22 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; a texts table in fewer splits than there are cores is dealt out once, larger ones stay as they are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in TEXT_TABLES and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_BUILT: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build):
+    """What ``build`` makes of the tables of a folder, made at the first call of a session: an index, a mailbox."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    return once(spark, sf_dir, "documents", lambda: KeywordIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text", carry=("source", "lang")))
 
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +87,15 @@ def thread_participants(spark, d):
     return found.select("thread_id", F.array_join("participants", "; ").alias("participants"))
 
 
-@query(f"""WITH {MAIL} SELECT thread_id, string_agg('From: ' || from_addr || chr(10) || 'Date: ' || strftime(date, '%Y-%m-%d %H:%M:%S') || chr(10) || substr(body, 1, 500), chr(10) || chr(10) ORDER BY date, message_id) AS text
-FROM mail GROUP BY thread_id""")
+BLOCK = "'From: ' || from_addr || chr(10) || 'Date: ' || strftime(date, '%Y-%m-%dT%H:%M:%S') || '+00:00' || chr(10) || substr(body, 1, {})"
+BODIES = f"""people AS (SELECT thread_id, list(who ORDER BY m) AS participants FROM (SELECT thread_id, addr, min((date, message_id)) AS m, arg_min(from_addr, (date, message_id)) AS who FROM mail GROUP BY thread_id, addr) GROUP BY thread_id),
+bodies AS (SELECT thread_id, 'Subject: ' || regexp_replace(lower(arg_min(subject, (date, message_id))), '^re: ', '') || chr(10) || 'Participants: ' || array_to_string(any_value(participants), ', ') || chr(10) || chr(10) ||
+  string_agg({BLOCK.format(500)} || chr(10), chr(10) ORDER BY date, message_id) AS body_text FROM mail JOIN people USING (thread_id) GROUP BY thread_id)"""
+
+
+@query(f"WITH {MAIL}, {BODIES} SELECT thread_id, body_text AS text FROM bodies")
 def thread_embedding_text(spark, d):
-    return threads.embedding_text(mail(spark, d))
+    return threads.embedding_text(mail(spark, d).withColumn("addresses", F.array("from_addr")))
 
 
 @query(f"WITH {THREADS} SELECT thread_id, display_subject, date_last FROM threads WHERE folder = 'INBOX' ORDER BY date_last DESC, thread_id LIMIT 20 OFFSET 5")
@@ -116,38 +130,46 @@ def find_contact(spark, d):
     return lookups.find_contact(rows, "Example")
 
 
-BM25 = """t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
-s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
-h AS (SELECT id, len(w) AS dl, len(list_filter(w, lambda x: x = 'license')) AS a, len(list_filter(w, lambda x: x = 'released')) AS b FROM t),
-f AS (SELECT count(*) FILTER (WHERE a > 0) AS fa, count(*) FILTER (WHERE b > 0) AS fb FROM h),
-bm AS (SELECT id, greatest(ln((n - fa + 0.5) / (fa + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / mean)) + greatest(ln((n - fb + 0.5) / (fb + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / mean)) AS score
-  FROM h, s, f WHERE a > 0 OR b > 0)"""
+TERMS = "regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+')"
 
 
-@query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, id LIMIT 10")
+def bm25_sql(name: str, units: str, forms: list[str]) -> str:
+    """CTEs that score units (id, owner, text), the last one ``name`` (id, owner, score); a form is a pattern of the words of one stem."""
+    n, k = name, range(len(forms))
+    counts = ", ".join(f"len(list_filter(w, lambda x: regexp_full_match(x, '{f}'))) AS a{i}" for i, f in enumerate(forms))
+    score = " + ".join(f"greatest(ln((n - f{i} + 0.5) / (f{i} + 0.5)), 1e-6) * a{i} * 2.2 / (a{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i in k)
+    return f"""{n}_t AS (SELECT id, owner, {TERMS} AS w FROM {units}), {n}_s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM {n}_t),
+{n}_h AS (SELECT id, owner, len(w) AS dl, {counts} FROM {n}_t), {n}_f AS (SELECT {", ".join(f"count(*) FILTER (WHERE a{i} > 0) AS f{i}" for i in k)} FROM {n}_h),
+{n} AS (SELECT id, owner, round({score}, 9) AS score FROM {n}_h, {n}_s, {n}_f WHERE {" OR ".join(f"a{i} > 0" for i in k)})"""
+
+
+#: Words of the stems that the searches below meet.
+LICENSE, RELEASED = "licens(e|es|ed|ing)?", "releas(e|es|ed|ing)?"
+BM25 = bm25_sql("bm", "(SELECT doc_id AS id, source AS owner, text FROM documents)", [LICENSE, RELEASED])
+
+
+@query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY score DESC, id LIMIT 10")
 def bm25_top10(spark, d):
-    found = keyword.bm25(table(spark, d, "documents"), "doc_id", "license released", "text")
-    return keyword.top(found.withColumn("score", F.round("score", 6)), 10)
+    return keyword.top(document_index(spark, d).bm25("license released"), 10).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {BM25}, r AS (SELECT id, source, round(score, 6) AS score, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, id) AS p FROM bm JOIN documents ON doc_id = id) SELECT id, source, score FROM r WHERE p = 1")
+@query(f"WITH {BM25}, r AS (SELECT id, owner AS source, round(score, 6) AS score, row_number() OVER (PARTITION BY owner ORDER BY score DESC, id) AS p FROM bm) SELECT id, source, score FROM r WHERE p = 1")
 def bm25_best_per_thread(spark, d):
-    docs = table(spark, d, "documents")
-    found = keyword.bm25(docs, "doc_id", "license released", "text").withColumn("score", F.round("score", 6))
-    return keyword.best_per_thread(found.join(docs.select(F.col("doc_id").alias("id"), "source"), "id"), "source")
+    found = keyword.best_per_thread(document_index(spark, d).bm25("license released"), "source")
+    return found.select("id", "source", F.round("score", 6).alias("score"))
 
 
-@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term, doc_id AS id FROM documents)
-SELECT id, term, count(*) AS tf FROM t WHERE term IN ('license', 'released', 'apache', 'copyright') GROUP BY ALL""")
+@query(f"""WITH t AS (SELECT doc_id AS id, unnest({TERMS}) AS w FROM documents), s AS (SELECT id, CASE WHEN regexp_full_match(w, '{LICENSE}') THEN 'licens' WHEN regexp_full_match(w, '{RELEASED}') THEN 'releas'
+  WHEN regexp_full_match(w, 'apaches?') THEN 'apach' WHEN regexp_full_match(w, 'copyright(s|ed|ing)?') THEN 'copyright' END AS term FROM t)
+SELECT id, term, CAST(count(*) AS INTEGER) AS tf FROM s WHERE term IS NOT NULL GROUP BY ALL""")
 def postings_terms(spark, d):
-    return keyword.postings(table(spark, d, "documents"), "doc_id", "text").where(F.col("term").isin("license", "released", "apache", "copyright")).select("id", "term", "tf")
+    return document_index(spark, d).postings(["licens", "releas", "apach", "copyright"]).select("id", "term", "tf")
 
 
-@query("""WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
-e AS (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM t)
+@query(f"""WITH t AS (SELECT doc_id AS id, {TERMS} AS w FROM documents), e AS (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM t)
 SELECT id, count(*) AS hits FROM e WHERE w[i] = 'under' AND w[i + 1] = 'the' AND w[i + 2] = 'mit' GROUP BY id""")
 def phrase_match(spark, d):
-    return keyword.phrase_rows(table(spark, d, "documents"), "doc_id", "under the MIT", "text")
+    return keyword.phrase_rows(document_index(spark, d), "under the MIT")
 
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE text ILIKE '%license%' OR source ILIKE '%license%' ORDER BY n_chars DESC, doc_id LIMIT 25")
@@ -199,8 +221,7 @@ KW = f"{BM25}, kw AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS
 
 
 def _two_lanes(spark, d):
-    docs = table(spark, d, "documents")
-    return fusion.keyword_lane(docs, "doc_id", "license released", 40, "text"), fusion.vector_lane(table(spark, d, "embeddings"), "vec_id", "embedding", PROBE, 40)
+    return fusion.keyword_lane(document_index(spark, d), "license released", 40), fusion.vector_lane(table(spark, d, "embeddings"), "vec_id", "embedding", PROBE, 40)
 
 
 @query(f"WITH {KW}, u AS (SELECT *, 0 AS lane FROM kw UNION ALL SELECT *, 1 FROM vl) SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY id")
@@ -214,13 +235,14 @@ def rrf_three_lane(spark, d):
     return fusion.rrf([*_two_lanes(spark, d), fusion.lift_chunks(_chunk_ranks(spark, d), "thread_id")]).select("id", F.round("score", 9).alias("score"))
 
 
-@query(f"""WITH {KW}, lex AS (SELECT id, row_number() OVER (ORDER BY rank) AS rank FROM (SELECT id, rank FROM kw ORDER BY rank LIMIT 40)),
+@query(f"""WITH {BM25}, {DIST}, lex AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm JOIN documents ON doc_id = id WHERE lang IN ('en', 'de') QUALIFY rank <= 40),
+vl AS (SELECT vec_id AS id, row_number() OVER (ORDER BY dist, vec_id) AS rank FROM d QUALIFY rank <= 40),
 u AS (SELECT *, 0 AS lane FROM lex UNION ALL SELECT *, 1 FROM vl), g AS (SELECT id, sum(1.0 / (60 + rank)) AS score, min((lane, rank)) AS first FROM u GROUP BY id)
-SELECT g.id, source, lang, round(score, 9) AS score FROM g JOIN documents ON doc_id = id WHERE lang IN ('en', 'de') ORDER BY g.score DESC, first, g.id LIMIT 10""")
+SELECT g.id, source, lang, round(score, 9) AS score FROM g JOIN documents ON doc_id = id WHERE lang IN ('en', 'de') ORDER BY round(g.score, 12) DESC, first, g.id LIMIT 10""")
 def hybrid_search(spark, d):
     docs, filters = table(spark, d, "documents"), fusion.Filters(folders=("en", "de"))
     rows = docs.select(F.col("doc_id").alias("thread_id"), "source", "lang", F.col("lang").alias("folder"))
-    words = fusion.keyword_lane(docs, "doc_id", "license released", 40, "text", threads=rows, filters=filters)
+    words = fusion.keyword_lane(document_index(spark, d), "license released", 40, threads=rows, filters=filters)
     vectors = fusion.vector_lane(table(spark, d, "embeddings"), "vec_id", "embedding", PROBE, 40)
     found = fusion.hybrid_search([words], vectors, None, rows, filters, 10, fusion.fetch_limit(10, 10, filters))
     return found.select("id", "source", "lang", F.round("score", 9).alias("score"))
@@ -240,9 +262,11 @@ def filter_sender(spark, d):
     return full.union(rows.where(fusion.matches_sender(F.col("senders"), "syst"))).select("thread_id").distinct()
 
 
-@query("""WITH q AS (SELECT doc_id, substr(text, 1, position(chr(10) IN text || chr(10)) - 1) AS first FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN length(trim(first, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) > 0 AND NOT regexp_matches(first, '^\\s*>') THEN md5(trim(first, ' ' || chr(9) || chr(13) || chr(11) || chr(12)))
-  ELSE md5(first || chr(10) || '> quoted' || chr(10) || '-- ' || chr(10) || 'signature') END AS stripped FROM q""")
+# each line of a text is followed by a quoted one, and a signature ends it: what is left are the lines that no rule drops, trimmed
+@query("""WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, text, lines, list_position(list_transform(lines, lambda x: regexp_matches(x, '^(-- |(?i:-{2,}[ \t]*(original|forwarded) message[ \t]*-{2,}[ \t]*)|(?i:begin forwarded message:[ \t]*)|On( .*)? wrote:[ \t]*)$')), true) AS cut FROM l),
+k AS (SELECT doc_id, text, trim(array_to_string(list_filter(CASE WHEN coalesce(cut, 0) > 0 THEN lines[1:cut - 1] ELSE lines END, lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS kept FROM c)
+SELECT doc_id, md5(CASE WHEN length(kept) > 0 THEN kept ELSE replace(text, chr(10), chr(10) || '> quoted' || chr(10)) || chr(10) || '> quoted' || chr(10) || '-- ' || chr(10) || 'signature' END) AS stripped FROM k""")
 def strip_quotes(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
     body = F.concat(F.replace("text", F.lit("\n"), F.lit("\n> quoted\n")), F.lit("\n> quoted\n-- \nsignature"))
@@ -289,19 +313,11 @@ def _linked_mail(spark, d) -> DataFrame:
 
 @query(f"WITH {MAIL} SELECT message_id, first_value(message_id) OVER (PARTITION BY thread_id ORDER BY date, message_id) AS thread_id FROM mail")
 def linked_threads(spark, d):
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     return threads.linked_threads(_linked_mail(spark, d))
 
 
 @query()
 def arrival_threads(spark, d):
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     return threads.arrival_threads(_linked_mail(spark, d))
 
 
@@ -414,7 +430,8 @@ def recall_mrr(spark, d):
 def _redacted_sql() -> str:
     expression = "text"
     for pattern, mark in T.SECRETS:
-        expression = f"regexp_replace({expression}, '{pattern}', '{mark}', 'g')"
+        quoted, put = pattern.replace("'", "''"), mark.replace("$1", "\\1")
+        expression = f"regexp_replace({expression}, '{quoted}', '{put}', 'g')"
     return f"SELECT doc_id, md5({expression}) AS redacted FROM documents"
 
 
@@ -423,10 +440,11 @@ def redact_secrets(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN date_diff('day', ts, TIMESTAMP '2024-01-20') < 7 WHEN event_id % 3 = 1 THEN true ELSE false END AS stands FROM events""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN coalesce(TIMESTAMP '2024-01-20 12:30:00' < ts + INTERVAL 7 DAY, false) WHEN 1 THEN event_id % 2 = 0 WHEN 2 THEN true WHEN 3 THEN event_id % 2 = 0 ELSE false END AS stands FROM events""")
 def cache_short_circuit(spark, d):
-    rows = table(spark, d, "events").withColumn("status", F.element_at(F.array(F.lit("failed"), F.lit("success"), F.lit("other")), (F.col("event_id") % 3 + 1).cast("int")))
-    return rows.select("event_id", attachments.cache_stands(F.col("status"), F.col("ts"), F.lit("2024-01-20").cast("timestamp_ntz")).alias("stands"))
+    rows = table(spark, d, "events").withColumn("status", F.element_at(F.array(*map(F.lit, ("failed", "success", "empty", "unsupported", "other"))), (F.col("event_id") % 5 + 1).cast("int")))
+    text, error = F.when(F.col("event_id") % 2 == 0, "text"), F.when(F.col("event_id") % 2 == 1, attachments.NO_OCR)
+    return rows.select("event_id", attachments.cache_stands(F.col("status"), F.col("ts"), F.lit("2024-01-20 12:30:00").cast("timestamp_ntz"), text, error, ocr=True).alias("stands"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_name, list_distinct(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]+')) AS w FROM part)
@@ -436,10 +454,14 @@ def subject_overlap_pick(spark, d):
     return found.select("p_partkey", "p_name", "overlap")
 
 
-@query()
+@query("""WITH r AS (SELECT source AS thread_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, '[chunk 0 chars 0-' || length(text) || ']' AS head, text FROM documents WHERE text IS NOT NULL AND length(text) < 700),
+s AS (SELECT *, 2000 - coalesce(sum(length(head) + length(text) + 2) OVER (PARTITION BY thread_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - length(head) - 2 AS room FROM r)
+SELECT thread_id, md5(string_agg(head || chr(10) || substr(text, 1, CAST(room AS BIGINT)), chr(10) || chr(10) ORDER BY rank)) AS context FROM s WHERE room > 0 GROUP BY thread_id""")
 def rag_context(spark, d):
-    rows = table(spark, d, "documents").select(F.col("source").alias("thread_id"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("rank"), F.lit(0).alias("chunk_index"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
-    return rag.context(rows, "thread_id")
+    docs = table(spark, d, "documents").where("text IS NOT NULL AND length(text) < 700")
+    place = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
+    rows = docs.select(F.col("source").alias("thread_id"), place.alias("rank"), F.lit(0).alias("chunk_index"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), "text")
+    return rag.context(rows, "thread_id").withColumn("context", F.md5("context"))
 
 
 @query()
