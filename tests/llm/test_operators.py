@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.llm import _induced, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_output, topk_search
+from threadloom.llm import _common, _induced, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_output, topk_search
 from threadloom.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,6 +89,42 @@ def test_quality_matches_brute_force(docs, nothing, odd):
     assert quality.score_quality(odd).count() == 5
 
 
+def quality_by_hand(text, rules=quality.RepetitionRules()):
+    """(kept, dup_line_frac, dup_line_char_frac, top_ngram_frac, dup_ngram_frac)"""
+    w = words(text)
+    total = max(1, sum(map(len, w)))
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    later = [x for i, x in enumerate(lines) if x in lines[:i]]
+    line_frac, line_chars = len(later) / max(1, len(lines)), sum(len(y) for x in later for y in words(x)) / total
+    grams = {n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for n in range(2, 11)}
+    top = {n: max((c * sum(map(len, g)) for g, c in grams[n].items() if c > 1), default=0) / total for n in rules.top_ngram}
+    dup = {}
+    for n in rules.dup_ngram:
+        cover = {i + k for i in range(len(w) - n + 1) if grams[n][tuple(w[i : i + n])] > 1 for k in range(n)}
+        dup[n] = sum(len(w[i]) for i in cover) / total
+    cover = {i + k for i in range(len(w) - 2) if grams[3][tuple(w[i : i + 3])] > 1 for k in range(3)}
+    bad = len(w) < rules.min_words or 100 * len(cover) > rules.max_repeat_percent * len(w) or line_frac > rules.dup_lines or line_chars > rules.dup_line_chars
+    bad = bad or any(top[n] > v for n, v in rules.top_ngram.items()) or any(dup[n] > v for n, v in rules.dup_ngram.items())
+    return not bad, line_frac, line_chars, max(top.values()), max(dup.values())
+
+
+def test_quality_verdict_matches_brute_force(spark):
+    r = random.Random(8)
+    pool = ["é" * r.randint(1, 3) + str(i) for i in range(40)]
+    texts = [t for _, t, *_ in ROWS]
+    for _ in range(120):
+        lines = [" ".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 14))]
+        texts.append("\n".join(r.choice(lines) if r.random() < 0.3 else x for x in lines) + " " + " ".join(str(r.random()) for _ in range(r.randint(0, 120))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = Counter()
+    for x in quality.score_quality(df).collect():
+        want = quality_by_hand(texts[x.doc_id])
+        assert x.kept == want[0], x.failed_rule
+        assert (x.dup_line_frac, x.dup_line_char_frac, x.top_ngram_frac, x.dup_ngram_frac) == pytest.approx(want[1:])
+        kept[x.kept] += 1
+    assert min(kept.values()) > 20
+
+
 def test_ngram_coverage_by_hand():
     text = " ".join(["p q r s t u v"] * 2 + [f"w{i}" for i in range(60)])
     got = quality.measure(pa.array([text]), quality.RepetitionRules())
@@ -327,6 +363,70 @@ def test_token_output_round_trip(spark, docs, nothing, odd, tmp_path):
     assert token_output.with_crc(token_output.token_table(odd, file, str(tmp_path / "odd"))).count() == 5
 
 
+def test_token_files_have_stripes_and_skip_row_groups(spark, tmp_path, monkeypatch):
+    import pyarrow.orc
+
+    monkeypatch.setattr(token_output, "ROW_INDEX_STRIDE", 1000)
+    monkeypatch.setattr(token_output, "STRIPE_BYTES", 10_000)
+    r = random.Random(1)
+    rows = [(3 * i, " ".join(r.choice(["alpha", "beta", "<|endoftext|>", "漢字", "a.b,c"]) for _ in range(60))) for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    file, path = tokenizer_path("word_bpe_49k.json"), str(tmp_path / "orc")
+    whole = {x.doc_id: x for x in token_output.token_table(df, file, path, bytes_each=1 << 30).collect()}
+    files = list((tmp_path / "orc").glob("*.orc"))
+    assert max(pyarrow.orc.ORCFile(f).nstripes for f in files) > 1
+
+    def scanned(frame):
+        rows_ = frame.collect()
+        leaves = frame._jdf.queryExecution().executedPlan().collectLeaves()
+        scans = [leaves.apply(i) for i in range(leaves.size()) if "FileScan orc" in leaves.apply(i).toString()]
+        return rows_, sum(x.metrics().apply("numOutputRows").value() for x in scans)
+
+    ids = [300, 301, 21_000]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got, read = scanned(token_output.read_documents(spark, path, ids))
+        assert {x.doc_id: x for x in got} == {i: whole[i] for i in (300, 21_000)}
+        assert 2 <= read <= 4000  # some row groups of a thousand out of eight thousand rows
+        # no row group can hold these: beyond all statistics, and within them but in no Bloom filter
+        assert scanned(token_output.read_documents(spark, path, [10**9]))[1] == 0
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(f.stat().st_size for f in files) // 3))
+        assert token_output.read_orc(spark, path).rdd.getNumPartitions() > len(files)
+        assert {x.doc_id: x for x in token_output.read_orc(spark, path).collect()} == whole
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Texts above the slice size, one with copies of a passage, through each operator on texts."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(6)
+    words_ = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(4000)]
+    long_ = "\n".join(" ".join(r.choice(words_) for _ in range(30)) for _ in range(14_000))
+    assert len(long_) > _common.SLICE_BYTES
+    texts = {1: long_, 2: long_ + "\nReleased under the MIT License.", 3: "short " + long_[:150]}
+    df = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id long, text string, source string")
+    n = {i: len(words(t)) for i, t in texts.items()}
+    assert {x.doc_id: (x.n_words, x.n_dup_lines) for x in quality.score_quality(df).collect()} == {i: (n[i], 0) for i in texts}
+    sets = {i: len(set(zip(*(words(t)[k:] for k in range(5))))) for i, t in texts.items()}
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(df).collect()} == {1: (sets[1], 1), 2: (sets[2], 1), 3: (sets[3], 3)}
+    assert {x.doc_id: x.n_dropped for x in line_dedup.dedup_lines(df).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {x.doc_id: x.n_dropped for x in substring_dedup.dedup_units(df).collect()} == {1: 0, 2: 14_000, 3: 0}
+    removed = {x.doc_id: x.n_removed for x in suffix_dedup.remove_repeats(df).collect()}
+    assert removed == {1: 0, 2: len(long_), 3: 150}
+    assert {x.doc_id: x.licenses for x in license_scan.scan_licenses(df).collect()} == {1: "", 2: "MIT", 3: ""}
+    assert {x.doc_id: x.size for x in mixing.sizes(df).collect()} == n
+    coded = sentencepiece_codec.encode_pieces(df, tokenizer_path("piece_bpe_32k.model"))
+    assert coded.where("decoded = text").count() == 3
+    file = tokenizer_path("word_bpe_49k.json")
+    ids = Tokenizer.from_file(file).encode(long_, add_special_tokens=False).ids + [1]
+    got = token_output.with_crc(token_output.token_table(df, file, str(tmp_path / "orc"))).where("doc_id = 1").first()
+    assert (got.n_tokens, got.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_sentencepiece_viterbi_and_round_trip(docs, nothing, odd):
     file = tokenizer_path("piece_bpe_32k.model")
     table = sentencepiece_codec.load_pieces(file)
@@ -615,19 +715,78 @@ def test_topk_ties_repeated_and_null_ids_and_large_components(spark):
         assert sorted(got) == sorted(want)
 
 
-def test_pipeline_stages(spark):
+def lines_by_hand(rows):
+    strip = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(list)
+    for n, (i, text) in enumerate(rows):
+        for key in {strip(x) for x in line_units(text)}:
+            if len(key) >= 40:
+                holders[key].append((-1 if i is None else i, n))
+    out = []
+    for i, text in rows:
+        keep = [x for x in line_units(text) if len(holders[strip(x)]) < 5 or max(holders[strip(x)])[0] == (-1 if i is None else i)]
+        out.append((i, "\n".join(keep)))
+    return out
+
+
+def one_of_each_by_hand(rows):
+    sets = []
+    for _, text in rows:
+        w = words(lower(text))
+        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(n)] = min(i, least.get(find(n), i))
+    gone = {i for n, (i, _) in enumerate(rows) if i is not None and i != least[find(n)]}
+    return [(i, t) for i, t in rows if i not in gone]
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path, nothing):
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    sizes = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, "/root/testdata/sf0.001")
-        assert out.columns == docs.columns, name
-        docs = spark.createDataFrame(out.collect(), out.schema)
-        sizes.append(docs.count())
-    assert sizes[1] < sizes[0] and sizes[2] == sizes[1] and sizes[3] < sizes[2]
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, "")
-    assert out.where("n_pieces > 0").count() == sizes[-1]
+    r = random.Random(12)
+    common = "This line stands in many of the documents of the small test corpus."
+    rows = []
+    for i in range(70):
+        lines = [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(r.randint(5, 12))) for _ in range(r.randint(6, 12))]
+        if i % 3 == 0:
+            lines.insert(2, common if i % 2 else common.upper())
+        rows.append((i, "\n".join(lines)))
+    rows += [(100 + i, t + " more") for i, (_, t) in enumerate(rows[:12])] + [(7, rows[7][1]), (None, rows[20][1]), (None, rows[21][1] + " x"), (200, None), (201, ""), (202, "too short"), (203, "again and again " * 60)]
+    data = [(i, t, "en", ["a", None, "b"][n % 3], None if t is None else len(t)) for n, (i, t) in enumerate(rows)]
+    folder = str(tmp_path / "sf")
+    spark.createDataFrame(data, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    want = [(i, t) for i, t in rows if quality_by_hand(t)[0]]
+    docs, stages = spark.read.parquet(f"{folder}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    check = lambda frame, rows_: sorted(((x.doc_id is None, x.doc_id or 0, x.text) for x in frame.collect())) == sorted((i is None, i or 0, t) for i, t in rows_)
+    for name, by_hand in (("quality rules", lambda x: x), ("line dedup", lines_by_hand), ("n-gram Jaccard join", one_of_each_by_hand)):
+        want = by_hand(want)
+        out = stages[name](spark, docs, folder)
+        assert out.columns == docs.columns and check(out, want), name
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    assert 30 < len(want) < len(rows) - 15
+    assert all(x.n_chars == len(x.text) for x in docs.collect())
+    mixed = Counter((x.doc_id, x.text) for x in stages["mixing to target weights"](spark, docs, folder).collect())
+    kept = Counter(want)
+    assert set(mixed) <= set(kept) and all(n <= 2 * kept[k] for k, n in mixed.items())
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((x.doc_id, x.decoded) for x in got) == mixed
+    assert all(x.n_pieces == len(x.piece_ids) for x in got)
+    nothing.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_induced_sorting_recurses_and_spills(monkeypatch):

@@ -3,15 +3,16 @@
 Texts are encoded, range-partitioned and sorted by doc_id, and written as ORC.  ORC's
 integer columns are run-length encoded; each stripe has a row index (least and largest
 doc_id every ``row_index_stride`` rows) and a Bloom filter on doc_id, so a reader of some
-documents skips files, stripes and row groups by metadata, and stripes are read in
-parallel.  A document's position in the whole stream of ids is its file's base plus its
+documents (:func:`read_documents`) skips files, stripes and row groups by metadata, and the
+stripes of a file can be read in parallel.  A document's position in the whole stream of ids is its file's base plus its
 position in the file; bases are prefix sums over one row for each file.
 
 Encoding works on distinct words: the tokenizer maps white space away, so the ids of a
 text are those of its white-space-free runs, and each distinct run is encoded once per
 cache.  Special-token strings in a text are treated as the tokenizer treats them.
 
-Defined results: a null or empty text has only the end id; rows with equal doc_id follow
+Defined results: a null or empty text has only the end id; very long texts are taken whole,
+one at a time; rows with equal doc_id follow
 each other in any order of theirs; a null doc_id comes first; an empty table gives an
 empty file set and an empty result.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from threadloom.llm._common import LOWER, SpanPool, Words, buckets_for, ids_and_text, prefix, ragged, slices, text_buffer
 
 END_ID = 1
-ROW_INDEX_STRIDE, STRIPE_BYTES, BLOOM_FPP = 1000, 64 << 20, 0.01
+ROW_INDEX_STRIDE, STRIPE_BYTES, STRIPE_CHECK_ROWS, BLOOM_FPP = 1000, 4 << 20, 250, 0.01
 
 
 #: ASCII letters; and ASCII signs before which a word may be cut, since the tokenizer always cuts between a letter and them.
@@ -137,26 +138,43 @@ def encode_ordered(docs: DataFrame, tokenizer_file: str, parts: int, end_id: int
     return ordered.mapInArrow(run, LAYOUT)
 
 
+def _bases(path: str) -> str:
+    return f"{path.rstrip('/')}-bases"
+
+
 def write_orc(rows: DataFrame, path: str) -> None:
-    """Writes rows of :data:`LAYOUT`, one file for each partition."""
+    """Writes rows of :data:`LAYOUT`, one file of several stripes for each partition, and once for all readers each file's base, beside it.
+
+    Bases are prefix sums over one row for each file.
+    """
     writer = rows.write.mode("overwrite").option("compression", "zstd")
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP, "orc.row.index.stride": ROW_INDEX_STRIDE, "orc.stripe.size": STRIPE_BYTES}
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP, "orc.row.index.stride": ROW_INDEX_STRIDE, "orc.stripe.size": STRIPE_BYTES, "orc.rows.between.memory.checks": STRIPE_CHECK_ROWS}
     writer.options(**options).orc(path)
+    spark = rows.sparkSession
+    totals = spark.read.schema(LAYOUT).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("t"))
+    bases = totals.select("part", (F.sum("t").over(W.orderBy("part")) - F.col("t")).alias("base"))
+    bases.coalesce(1).write.mode("overwrite").parquet(_bases(path))
 
 
 def read_orc(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): start is the number of ids of all documents before.
 
-    Files' bases are prefix sums over one row for each file, so the broadcast table has as
-    many rows as there are files; it is read from the columns part and n_tokens alone.
+    The broadcast table of bases has as many rows as there are files.
     """
-    table = spark.read.schema(LAYOUT).orc(path)
-    totals = table.groupBy("part").agg(F.sum("n_tokens").alias("t"))
-    base = totals.select(F.col("part").alias("_p"), (F.sum("t").over(W.orderBy("part")) - F.col("t")).alias("base"))
+    return _started(spark, spark.read.schema(LAYOUT).orc(path), path)
+
+
+def _started(spark: SparkSession, table: DataFrame, path: str) -> DataFrame:
+    base = spark.read.schema("part int, base long").parquet(_bases(path)).select(F.col("part").alias("_p"), "base")
     joined = table.join(F.broadcast(base), F.col("part") == F.col("_p"))
     return joined.select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
+    """As :func:`read_orc` for some documents: files, stripes and row groups whose statistics or Bloom filters exclude them are not read."""
+    return _started(spark, spark.read.schema(LAYOUT).orc(path).where(F.col("doc_id").isin([int(i) for i in doc_ids])), path)
+
+
 def token_table(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = END_ID, bytes_each: int = 24 << 20) -> DataFrame:
     """Writes the ids of ``docs`` to ``path`` as ORC and returns what :func:`read_orc` reads back."""
     write_orc(encode_ordered(docs, tokenizer_file, buckets_for(docs, bytes_each), end_id), path)
