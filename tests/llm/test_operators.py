@@ -368,6 +368,7 @@ def test_token_files_have_stripes_and_skip_row_groups(spark, tmp_path, monkeypat
 
     monkeypatch.setattr(token_output, "ROW_INDEX_STRIDE", 1000)
     monkeypatch.setattr(token_output, "STRIPE_BYTES", 10_000)
+    monkeypatch.setattr(token_output, "STRIPE_CHECK_ROWS", 250)
     r = random.Random(1)
     rows = [(3 * i, " ".join(r.choice(["alpha", "beta", "<|endoftext|>", "漢字", "a.b,c"]) for _ in range(60))) for i in range(8000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -227,22 +227,23 @@ class SpanPool:
         if len(self.slots) > self.most:
             self._clear()
         slots = self.slots
-        found = [slots.get(w, -1) for w in words]
-        new = [w for w, s in zip(words, found, strict=True) if s < 0]
-        if new:
+        found = list(map(slots.get, words))
+        missing = [i for i, s in enumerate(found) if s is None]
+        if missing:
+            new = [words[i] for i in missing]
             flat, lengths = self.encode(new)
             if self.used + len(flat) > len(self.flat):
                 grown = np.zeros(2 * (self.used + len(flat)), np.int32)
                 grown[: self.used] = self.flat[: self.used]
                 self.flat = grown
             self.flat[self.used : self.used + len(flat)] = flat
+            n = len(self.starts)
             self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.used += len(flat)
-            n = len(slots)
-            for i, w in enumerate(new):
-                slots[w] = n + i
-            found = [slots[w] for w in words]
+            slots.update(zip(new, range(n, n + len(new)), strict=True))
+            for k, i in enumerate(missing, n):
+                found[i] = k
         return np.asarray(found, np.int64)
 
     def expand(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

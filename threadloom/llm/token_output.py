@@ -20,6 +20,7 @@ empty file set and an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from threadloom.llm._common import LOWER, SpanPool, Words, buckets_for, ids_and_text, prefix, ragged, slices, text_buffer
 
 END_ID = 1
-ROW_INDEX_STRIDE, STRIPE_BYTES, STRIPE_CHECK_ROWS, BLOOM_FPP = 1000, 4 << 20, 250, 0.01
+ROW_INDEX_STRIDE, STRIPE_BYTES, STRIPE_CHECK_ROWS, BLOOM_FPP = 1000, 8 << 20, 1000, 0.01
 
 
 #: ASCII letters; and ASCII signs before which a word may be cut, since the tokenizer always cuts between a letter and them.
@@ -43,6 +44,8 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN = np.zeros(256, dtype=bool)
 _SIGN[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _SPECIAL = b"<|"
+#: A word of ASCII and Latin-1 letters (UTF-8; the signs for times and division are none).
+_PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 _JOINED = 20_000
 
 
@@ -64,8 +67,11 @@ class WordEncoder:
         self.pool = SpanPool(self._encode)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of letters alone are one word to the tokenizer too: they go through it as lines, and come apart at word ends."""
-        plain = np.fromiter((w.isalpha() for w in words), bool, len(words))
+        """Words of letters alone are one word to the tokenizer too: they go through it as lines, and come apart at word ends.
+
+        Each has one end at least, so as many ends as words means one end each.
+        """
+        plain = np.fromiter((_PLAIN(w) is not None for w in words), bool, len(words))
         lengths = np.zeros(len(words), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         where = np.flatnonzero(plain)
