@@ -2,6 +2,13 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages it is written
 as Parquet and read again.
+
+Defined results: a null, empty or short text fails the quality rules and goes; rows with a null
+doc_id stay in the near-duplicate stage, and a null source is a source of its own in the mix;
+repeated rows are rows of their own until the near-duplicate stage, which keeps all rows of the
+smallest doc_id of a group; texts of any length are taken whole; an empty table gives an empty
+table.  All stages but the last return the columns of documents, whatever these are besides
+doc_id, text and source.
 """
 
 from __future__ import annotations
