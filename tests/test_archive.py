@@ -41,6 +41,12 @@ def test_maildir_batch_and_stream(spark, tmp_path):
     assert all(r.error == "oversized" for r in parse_mail(read_maildir(spark, str(tmp_path / "mail")), max_bytes=3).collect())
     watch_maildir(spark, str(tmp_path / "mail"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out" / "messages")).count() == 1
+    # a flag is set: the file has another name, and is a move, not a message
+    (box / "1:2,S").rename(box / "1:2,RS")
+    (box / "3:2,").write_bytes(MAIL.replace(b"m1@x", b"m3@x"))
+    watch_maildir(spark, str(tmp_path / "mail"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    assert sorted(r.message_id for r in spark.read.parquet(str(tmp_path / "out" / "messages")).collect()) == ["m1@x", "m3@x"]
+    assert [(r.old_path[-5:], r.new_path[-6:]) for r in spark.read.parquet(str(tmp_path / "out" / "moved")).collect()] == [("1:2,S", "1:2,RS")]
 
 
 def test_windowed_counts_plan(spark):

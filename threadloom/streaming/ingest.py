@@ -2,20 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from threadloom.functions.text import maildir_unique
 from threadloom.sources.mail import COLONS, parse_mail
 
 
+def _box(path: Column) -> Column:
+    return F.regexp_replace(path, r"/(?:new|cur)/[^/]*$", "")
+
+
+def split_moves(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fresh files, moves): a file whose unique name is known in its mailbox under another path has moved (old_path, new_path).
+
+    ``known`` is (filepath); files known under their own path are neither.
+    """
+    had = known.select(F.col("filepath").alias("old_path"), maildir_unique(F.col("filepath")).alias("_u"), _box(F.col("filepath")).alias("_b"))
+    named = files.select(F.col("path").alias("new_path"), maildir_unique(F.col("path")).alias("_u"), _box(F.col("path")).alias("_b"))
+    met = named.join(had, ["_u", "_b"])
+    fresh = files.join(met.select(F.col("new_path").alias("path")).distinct(), "path", "left_anti")
+    # of several earlier paths the last one in order is where the file came from
+    return fresh, met.where("old_path <> new_path").groupBy("new_path").agg(F.max("old_path").alias("old_path")).select("old_path", "new_path")
+
+
 def watch_maildir(spark: SparkSession, root: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Parses new files below ``root`` as they come and appends messages, and failures, below ``target``."""
+    """Parses new files below ``root`` as they come and appends messages, failures and moves below ``target``.
+
+    A file that was only renamed (a flag, new to cur) is not parsed again: its move is written for
+    :func:`threadloom.operators.merge.move_paths`.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).options(**COLONS).option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(r"/(?:cur|new)/[^/]+$"))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def earlier(number: int) -> DataFrame | None:
+        """Paths of all batches before this one: a batch that is run again does not meet itself."""
+        found = None
+        for folder, column in (("messages", "filepath"), ("moved", "new_path")):
+            if system.exists(hadoop(f"{target}/{folder}")):
+                rows = spark.read.parquet(f"{target}/{folder}").where(F.col("batch") < number).select(F.col(column).alias("filepath"))
+                found = rows if found is None else found.union(rows)
+        return found
 
     def store(batch: DataFrame, number: int) -> None:
-        parsed = parse_mail(batch).persist()
+        known = earlier(number)
+        if known is not None:
+            batch, moves = split_moves(batch, known)
+            moves.write.mode("overwrite").parquet(f"{target}/moved/batch={number}")
+        parsed = parse_mail(batch, root=root).persist()
         parsed.where("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{target}/messages/batch={number}")
         parsed.where("error IS NOT NULL").select("filepath", "error").write.mode("overwrite").parquet(f"{target}/failed/batch={number}")
         parsed.unpersist()
