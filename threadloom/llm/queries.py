@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, substring_dedup, suffix_dedup, token_output, topk_search
+from threadloom.llm import code_compression, license_scan, line_dedup, mixing, ngram_join, quality, sentencepiece_codec, sharding, substring_dedup, suffix_dedup
+from threadloom.llm import token_alignment, token_output, topk_search
 from threadloom.llm._common import Scratch, documents, ids_and_text
 
 
@@ -67,6 +68,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(ids_and_text(documents(spark, sf_dir))).drop("text", "spans")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place_documents(documents(spark, sf_dir))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") + F.col("n_b") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ngram_join": op2_ngram_join,
@@ -78,6 +93,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
     "op10_line_dedup": op10_line_dedup,
+    "op11_sharding": op11_sharding,
+    "op12_alignment": op12_alignment,
+    "op13_codes": op13_codes,
 }
 
 _SPACES = r"chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -144,3 +162,41 @@ SELECT t.doc_id, count(d.i) AS n_units, count(*) FILTER (WHERE gone) AS n_droppe
 FROM documents t LEFT JOIN d ON d.doc_id = t.doc_id GROUP BY t.doc_id
 """,
 }
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of op13 one after the other: x are parts, c0, c1, .. codebooks, a0, a1, .. assignments."""
+    assign = """a{i} AS MATERIALIZED (
+  SELECT vec_id, p, list_min(list(d))::BIGINT AS d, list_position(list(d ORDER BY e), list_min(list(d)))::BIGINT - 1 AS e FROM (
+    SELECT x.vec_id, x.p, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda q: (q[1] - q[2]) * (q[1] - q[2])))::BIGINT AS d
+    FROM x JOIN c{i} c ON c.p = x.p) GROUP BY vec_id, p
+)"""
+    update = """c{j} AS MATERIALIZED (
+  SELECT p, e, list(coalesce((s - ((s % n) + n) % n) // n, o) ORDER BY pos) AS v FROM (
+    SELECT u.p, u.e, u.pos, u.o, m.n, m.s FROM (SELECT p, e, unnest(v) AS o, generate_subscripts(v, 1) AS pos FROM c{i}) u LEFT JOIN (
+      SELECT p, e, pos, sum(z)::BIGINT AS s, count(*) AS n FROM (
+        SELECT a.p, a.e, unnest(x.v) AS z, generate_subscripts(x.v, 1) AS pos FROM a{i} a JOIN x USING (vec_id, p)) GROUP BY p, e, pos
+    ) m ON m.p = u.p AND m.e = u.e AND m.pos = u.pos) GROUP BY p, e
+)"""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(assign.format(i=i))
+        if i < rounds:
+            steps.append(update.format(i=i, j=i + 1))
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, p, i, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM k, range({parts}) r(p)
+), c0 AS MATERIALIZED (SELECT p, i AS e, v FROM x WHERE i < {entries}
+), {", ".join(steps)}
+, f AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id
+), l AS (SELECT label, sum(error)::BIGINT AS label_error FROM f JOIN k USING (vec_id) GROUP BY label
+), h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT f.vec_id, f.code, f.error, l.label_error, h.codebooks_sha256 FROM f JOIN k USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM k.label, h
+"""
+
+
+ORACLE_SQL["op13_codes"] = _codes_sql()
