@@ -46,7 +46,16 @@ def test_maildir_batch_and_stream(spark, tmp_path):
     (box / "3:2,").write_bytes(MAIL.replace(b"m1@x", b"m3@x"))
     watch_maildir(spark, str(tmp_path / "mail"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert sorted(r.message_id for r in spark.read.parquet(str(tmp_path / "out" / "messages")).collect()) == ["m1@x", "m3@x"]
-    assert [(r.old_path[-5:], r.new_path[-6:]) for r in spark.read.parquet(str(tmp_path / "out" / "moved")).collect()] == [("1:2,S", "1:2,RS")]
+    moves = lambda: {(r.old_path.rpartition("/INBOX/")[2], r.new_path.rpartition("/INBOX/")[2]) for r in spark.read.parquet(str(tmp_path / "out" / "moved")).collect()}
+    assert moves() == {("cur/1:2,S", "cur/1:2,RS")}
+    # each further move starts where the one before ended, whatever the order of the names
+    (tmp_path / "mail" / "INBOX" / "new").mkdir()
+    (box / "1:2,RS").rename(tmp_path / "mail" / "INBOX" / "new" / "1")
+    watch_maildir(spark, str(tmp_path / "mail"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    (tmp_path / "mail" / "INBOX" / "new" / "1").rename(box / "1:2,FS")
+    watch_maildir(spark, str(tmp_path / "mail"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    assert moves() == {("cur/1:2,S", "cur/1:2,RS"), ("cur/1:2,RS", "new/1"), ("new/1", "cur/1:2,FS")}
+    assert spark.read.parquet(str(tmp_path / "out" / "messages")).count() == 2
 
 
 def test_windowed_counts_plan(spark):
@@ -68,6 +77,21 @@ def test_arrival_and_linked_threads_differ(spark):
     assert linked["child"] == linked["root"] == "root" and linked["late"] == "late"
 
 
+def test_undated_messages_are_the_newest(spark):
+    rows = mails(spark, [("root", "", "Plan", "x@x.org", 0), ("reply", "root", "Re: Plan", "y@x.org", 1)]).withColumn("body", F.col("message_id")).withColumn("from_addr", F.get("addresses", 0))
+    lost = rows.where("message_id = 'reply'").withColumns({"message_id": F.lit("bare"), "date": F.lit(None).cast("timestamp_ntz"), "subject": F.lit("Undated"), "folder": F.lit("Junk"), "body": F.lit("late")})
+    got = threads.thread_rows(rows.unionByName(lost).withColumns({"thread_id": F.lit("t"), "has_attachments": F.lit(False)})).first()
+    assert (got.display_subject, got.folder, got.message_ids, got.snippet, got.date_last) == ("Plan", "INBOX", ["root", "reply", "bare"], "late", datetime(2024, 1, 2))
+    three = mails(spark, [("a", "", "Hi", "x@x.org", 0), ("c", "b", "Re: Hi", "x@x.org", 1), ("b", "", "Hi", "x@x.org", 2)])
+    three = three.withColumn("date", F.when(F.col("message_id") == "c", F.lit(None).cast("timestamp_ntz")).otherwise(F.col("date")))
+    assert {r.message_id: r.thread_id for r in threads.arrival_threads(three).collect()} == {"a": "a", "c": "a", "b": "a"}
+
+
+def test_distinct_people_keep_first_forms(spark):
+    df = spark.createDataFrame([(["Bob <b@x.org>", "list", "B@x.org (b)", "LIST ", "c@x.org", None],), ([],)], "p array<string>")
+    assert [r.x for r in df.select(threads.distinct_people(F.col("p")).alias("x")).collect()][0][:3] == ["Bob <b@x.org>", "list", "c@x.org"]
+
+
 def test_long_reply_chain_is_one_thread(spark):
     names = [f"m{i:04d}" for i in range(1000)]
     random.Random(3).shuffle(names)

@@ -89,9 +89,14 @@ def stem(word: str) -> str:
     return word
 
 
+def words(text: str | None) -> list[str]:
+    """A text's runs of letters and digits, folded, in order."""
+    return _TERM.findall(fold(text or ""))
+
+
 def terms(text: str | None) -> list[str]:
-    """Stems of a text's runs of letters and digits, in order."""
-    return [stem(t) for t in _TERM.findall(fold(text or ""))]
+    """Stems of a text's words, in order."""
+    return [stem(t) for t in words(text)]
 
 
 def query_phrases(query: str) -> list[list[str]]:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Reply and forward prefixes of subjects.
-SUBJECT_PREFIX = r"^(?:(?:re|fwd|fw|aw|ant)[\s:\[\]]+)+"
-
 #: Ends of lines, and white space, as Python's str has them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = rf"[{SPACES}]"
+
+#: Reply and forward prefixes of subjects.
+SUBJECT_PREFIX = rf"^(?:(?:re|fwd|fw|aw|ant)[:\[\]{SPACES}]+)+"
 
 #: Lines from which on a body is a signature or a quoted message.
 HARD_CUT = (
@@ -35,32 +35,36 @@ SECRETS: tuple[tuple[str, str], ...] = (
 )
 
 
-def canonical_addr(address: Column) -> Column:
-    """Lower-case address of ``Name <a@b>`` or ``a@b``; "" where there is no @."""
-    inner = F.regexp_extract(address, r"<([^<>]*)>\s*$", 1)
-    bare = F.lower(F.trim(F.when(inner != "", inner).otherwise(address)))
-    return F.when(bare.contains("@"), bare).otherwise(F.lit(""))
+def trimmed(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
 
 
-def display_name(address: Column) -> Column:
-    """Name of ``Name <a@b>`` without quotes, or ""."""
-    return F.trim(F.regexp_replace(F.regexp_extract(address, r"^(.*)<[^<>]*>\s*$", 1), '"', ""))
+def _uncommented(address: Column) -> Column:
+    """A header's address without comments in parentheses, nested ones once."""
+    inner = F.regexp_replace(address, r"\([^()]*\)", "")
+    return trimmed(F.regexp_replace(inner, r"\([^()]*\)", ""))
 
 
-def clean_id(value: Column) -> Column:
-    """Message id without white space and angle brackets at its ends."""
-    return F.trim(F.regexp_replace(F.trim(value), r"^[<>]+|[<>]+$", ""))
+def canonical_addr(address: Column) -> Column:
+    """Lower-case address of ``Name <a@b>``, ``a@b`` or ``a@b (Name)``; of a list the first; "" where there is no @."""
+    plain = _uncommented(address)
+    inner = F.regexp_extract(plain, r"(?s)^.*<([^<>]*)>", 1)
+    bare = F.lower(trimmed(F.when(plain.rlike(r"<[^<>]*>"), inner).otherwise(F.split(plain, "[,;]", 2)[0])))
+    return F.when(bare.contains("@"), bare).otherwise(F.lit(""))
 
 
-def split_references(value: Column) -> Column:
-    """Ids of a References header, in order."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"\s+"), clean_id), lambda x: x != "")
+def display_name(address: Column) -> Column:
+    """Name of ``Name <a@b>`` without quotes, or of ``a@b (Name)``, or ""."""
+    named = F.regexp_extract(_uncommented(address), r"(?s)^(.*)<[^<>]*>", 1)
+    comment = F.when(~address.rlike(r"<[^<>]*>"), F.regexp_extract(address, r"\(([^()]*)\)", 1)).otherwise(F.lit(""))
+    return trimmed(F.regexp_replace(F.when(trimmed(named) != "", named).otherwise(comment), '"', ""))
 
 
 def normalize_subject(subject: Column) -> Column:
     """Lower case, without reply and forward prefixes, white space squeezed."""
-    bare = F.regexp_replace(F.trim(F.lower(subject)), SUBJECT_PREFIX, "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    bare = F.regexp_replace(trimmed(F.lower(subject)), SUBJECT_PREFIX, "")
+    return trimmed(F.regexp_replace(bare, rf"{SPACE}+", " "))
 
 
 def normalize_body(body: Column) -> Column:
@@ -100,11 +104,6 @@ def redact(text: Column, secrets: Sequence[str] = ()) -> Column:
     return text
 
 
-def match_expression(query: str) -> str:
-    """The same runs as quoted phrases joined by OR; "" if there are none."""
-    return " OR ".join(f'"{run}"' for run in re.findall(r"[\w@.\-]+", query))
-
-
 def maildir_flags(path: Column) -> Column:
     """Letters after the last ``:2,`` of a file name."""
     return F.regexp_extract(path, r":2,([^:/]*)$", 1)
@@ -120,11 +119,6 @@ def maildir_unique(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r":2,[^:]*$", "")
 
 
-def maildir_folder(path: Column) -> Column:
-    """Folder above cur or new."""
-    return F.regexp_extract(path, r"([^/]+(?:/[^/]+)*)/(?:cur|new)/[^/]+$", 1)
-
-
 #: A token of the default counter, with the white space before it.
 TOKEN = r"\s*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"
 

@@ -30,6 +30,11 @@ def l2_distance(v: Column, query: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(doubles(v), doubles(query), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
 
 
+def is_comparable(v: Column, dim: int) -> Column:
+    """Whether a vector has ``dim`` finite components."""
+    return v.isNotNull() & (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+
 def query_literal(vector: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
@@ -51,9 +56,10 @@ def mean_vector(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
 def knn(df: DataFrame, id_column: str, vector: str, query: Sequence[float], k: int, keep_zero: bool = False) -> DataFrame:
     """(id, dist) of the k nearest by Euclidean distance, ties by id.
 
-    A zero vector is nearer to a unit query than most real ones, so it is left out unless ``keep_zero``.
+    A zero vector is nearer to a unit query than most real ones, so it is left out unless ``keep_zero``.  Vectors that are null, of
+    another length than the query, or hold null or non-finite components have no distance and are left out.
     """
-    rows = df.where(F.col(vector).isNotNull())
+    rows = df.where(is_comparable(F.col(vector), len(query)))
     if not keep_zero:
         rows = rows.where(~is_zero(F.col(vector)))
     return rows.select(id_column, l2_distance(F.col(vector), query_literal(query)).alias("dist")).orderBy("dist", id_column).limit(k)

@@ -114,9 +114,10 @@ def keyword_lane(index: KeywordIndex, query: str, limit: int, thread: str | None
     ``threads`` (thread_id and the columns that filters name), folders, days and attachments hold
     before the cut; a sender does not.  Statistics are those of all units.
     """
-    scored = index.bm25(query)
     owner = thread or "id"
-    if threads is not None and filters is not None and without_sender(filters).any():
+    filtered = threads is not None and filters is not None and without_sender(filters).any()
+    scored = index.bm25(query) if filtered else index.top_k(query, limit if thread is None else limit * OVERSAMPLE_CHUNK_TEXT)
+    if filtered:
         kept = apply_filters(threads, without_sender(filters)).select(F.col("thread_id").alias("_kept"))
         scored = scored.join(kept, F.col(owner) == F.col("_kept"), "left_semi")
     if thread is None:

@@ -1,31 +1,43 @@
-"""Keyword search on a written inverted index: BM25, phrases, one row for each thread, LIKE fallback.
+"""Keyword search on a written inverted index: BM25, phrases, top-k by tiers, one row for each thread, LIKE fallback.
 
-Texts are read once, when the index is built; a query reads the postings of its terms alone.
-Postings stand by a hash of the term in partition folders and by term within files, so a
-query prunes folders and row groups; a term that many rows hold is cut over several files.
-They carry the row's id, its length and what else filters and threads need, so that
-scoring needs no join with texts.
+An index is a list of segments below one folder, published by a manifest a version.  A segment holds
+
+* ``postings``: a row for each text and term, in partition folders by a hash of the term, sorted by term, tier and id.
+  A tier is a step of the term's weight in the row (frequency against length); tier 0 is the best.
+* ``terms``: for each term and tier the number of postings and the highest weight, so that counting needs no postings;
+* ``forward``: for each row its length and terms, in folders by a hash of the id;
+* ``dead``: ids whose rows in earlier segments no longer count, and ``lost``: how many postings of a term each
+  earlier segment lost by that.
+
+:meth:`KeywordIndex.update` writes one segment from the new rows and the forward rows of the ids that they replace; rows,
+mean length and document frequencies are kept up by sums, so scores are those of a fresh build.  When ``FAN`` segments at
+the end have one level they are merged, which leaves out dead rows; so there are some FAN segments a level.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.stem import query_phrases, terms
+from threadloom.functions.stem import query_phrases, stem, words
 from threadloom.sources.shared import fresh_dir
 
 #: BM25 parameters and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-#: Bytes of postings that one bucket and one file hold, about.
-BUCKET_BYTES, LEAST_BUCKETS = 256 << 20, 16
+#: Bytes of texts that one bucket and one task hold, about; from LARGE on hot terms are cut over files by range.
+BUCKET_BYTES, LEAST_BUCKETS, TASK_BYTES, LARGE = 256 << 20, 8, 2 << 20, 1 << 30
+#: Segments of one level that are merged; tiers of a term; postings that a search reads without looking at tiers; terms whose counts an index remembers; ids that a search names in a filter.
+FAN, TIERS, SMALL, REMEMBERED, NAMED = 4, 16, 100_000, 10_000, 1000
 
 
 def postings(df: DataFrame, id_column: str, *texts: str, carry: Sequence[str] = ()) -> DataFrame:
@@ -34,31 +46,56 @@ def postings(df: DataFrame, id_column: str, *texts: str, carry: Sequence[str] =
     length: terms in all text columns.  Positions go on from column to column with a gap, so
     that no phrase goes over its edge.  Null texts are empty.
     """
-    rows = df.select(F.col(id_column).alias("id"), *carry, F.array(*[F.col(t) for t in texts]).alias("_texts"))
+    rows = df.select(F.col(id_column).alias("id"), *[F.col(f"`{c}`") for c in carry], F.array(*[F.col(t) for t in texts]).alias("_texts"))
     kept = ["id", *carry]
     names = [*kept, "length", "term", "tf", "positions"]
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes) + ", length int, term string, tf int, positions array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, int] = {}  # of a word, the number of its stem
+        stems: dict[str, int] = {}
+        known: list[str] = []
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                owner, length, found, tf, places = [], [], [], [], []
+                if len(codes) > 1 << 19:
+                    codes, stems, known = {}, {}, []
+                found, lengths, total = [], np.zeros(len(part), np.int64), []
                 for i, columns in enumerate(part.column("_texts").to_pylist()):
-                    at, held, total = 0, {}, 0
+                    at = 0
                     for text in columns:
-                        words = terms(text)
-                        for k, w in enumerate(words, at):
-                            held.setdefault(w, []).append(k)
-                        at += len(words) + 1
-                        total += len(words)
-                    owner += [i] * (len(held) + 1)
-                    length += [total] * (len(held) + 1)
-                    found += [None, *held]
-                    tf += [0, *map(len, held.values())]
-                    places += [[], *held.values()]
-                take = pa.array(owner, pa.int32())
-                columns = [part.column(c).take(take) for c in kept] + [pa.array(length, pa.int32()), pa.array(found, pa.string()), pa.array(tf, pa.int32()), pa.array(places, pa.list_(pa.int32()))]
+                        got = words(text)
+                        for w in got:
+                            if w not in codes:
+                                s = stem(w)
+                                if s not in stems:
+                                    stems[s] = len(known)
+                                    known.append(s)
+                                codes[w] = stems[s]
+                        found += [codes[w] for w in got]
+                        total.append((i, at, len(got)))
+                        at += len(got) + 1
+                        lengths[i] += len(got)
+                runs = np.array(total, np.int64).reshape(-1, 3)
+                count = runs[:, 2]
+                owner = np.repeat(runs[:, 0], count)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count - runs[:, 1], count)
+                term = np.array(found, np.int64)
+                order = np.lexsort((term, owner))  # stable: places stay in order
+                owner, place, term = owner[order], place[order], term[order]
+                first = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(term) != 0))) if len(owner) else np.zeros(0, np.int64)
+                edges = np.append(first, len(owner))
+                rows_of = np.concatenate([np.arange(len(part)), owner[first]])
+                take = pa.array(rows_of)
+                used, inverse = np.unique(term[first], return_inverse=True)
+                texts_ = pa.array([known[c] for c in used.tolist()], pa.string()).take(pa.array(inverse))
+                nothing = len(part)
+                offsets = np.concatenate([np.zeros(nothing, np.int64), edges]).astype(np.int32)
+                columns = [part.column(c).take(take) for c in kept]
+                columns += [
+                    pa.array(lengths[rows_of], pa.int32()), pa.concat_arrays([pa.nulls(nothing, pa.string()), texts_]), pa.array(np.concatenate([np.zeros(nothing, np.int64), np.diff(edges)]), pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(place, pa.int32())),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, schema)
@@ -72,88 +109,407 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _weight(tf: Column, length: Column, mean: float) -> Column:
+    """The share of its greatest weight that a term has in a row."""
+    return tf / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes that the optimizer expects, or 0 where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+@dataclass(frozen=True)
+class Segment:
+    """One batch of rows: folder, level (how often it was merged), mean length when written, whether it has tombstones."""
+
+    name: str
+    level: int
+    mean: float
+    dead: bool
+
+
 @dataclass(frozen=True)
 class KeywordIndex:
-    """Postings below ``path`` in ``buckets`` folders; ``rows`` and ``mean`` (terms a row) are those of all rows."""
+    """Segments below ``path`` in ``buckets`` folders each; ``rows`` and ``total`` (terms) are those of all rows that count."""
 
     spark: SparkSession
     path: str
     buckets: int
     rows: int
-    mean: float
+    total: int
+    version: int
+    segments: tuple[Segment, ...]
+    id_column: str
+    texts: tuple[str, ...]
+    carry: tuple[str, ...]
+    schema: str
+    _counts: dict = field(default_factory=dict, repr=False, compare=False)
+
+    @property
+    def mean(self) -> float:
+        return self.total / self.rows if self.rows else 0.0
+
+    # ---- writing ------------------------------------------------------------------------
 
     @classmethod
     def build(cls, df: DataFrame, id_column: str, *texts: str, carry: Sequence[str] = (), path: str | None = None) -> KeywordIndex:
+        """An index of ``df`` alone, at a new path; columns named in ``carry`` stand in postings."""
         spark = df.sparkSession
-        path = path or fresh_dir(spark, "keyword-index")
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        buckets = max(LEAST_BUCKETS, min(size, 1 << 50) // BUCKET_BYTES) if size < 1 << 60 else LEAST_BUCKETS
-        raw = f"{path}/rows"
-        postings(df, id_column, *texts, carry=carry).write.mode("overwrite").parquet(raw)
-        found = spark.read.parquet(raw)
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-        # by range of (bucket, term, id): a hot term goes over several files, a rare one stays in one
-        terms_ = found.where("term IS NOT NULL").select("*", bucket).repartitionByRange(buckets, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
-        terms_.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        rows, mean = found.where("term IS NULL").agg(F.count(F.lit(1)), F.avg("length")).first()
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(raw)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        return cls(spark, path, buckets, rows, mean or 0.0)
+        kept = df.select(F.col(id_column).alias("id"), *[F.col(f"`{c}`") for c in carry])
+        schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes)
+        buckets = max(LEAST_BUCKETS, _size(df) // BUCKET_BYTES)
+        empty = cls(spark, path or fresh_dir(spark, "keyword-index"), buckets, 0, 0, 0, (), id_column, tuple(texts), tuple(carry), schema)
+        return empty.update(df)
 
-    def postings(self, wanted: Sequence[str]) -> DataFrame:
-        """Postings of some terms: only their folders and row groups are read."""
-        rows = self.spark.read.parquet(f"{self.path}/postings") if self.rows else None
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> KeywordIndex:
+        """The last published version below ``path``."""
+        paths = spark._jvm.org.apache.hadoop.fs.Path
+        folder = paths(f"{path}/manifest")
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        versions = [int(n) for n in names if n.isdigit()]
+        if not versions:
+            raise FileNotFoundError(f"no index in {path}")
+        text = spark.read.text(f"{path}/manifest/{max(versions)}").first()["value"]
+        held = json.loads(text)
+        segments = tuple(Segment(**s) for s in held.pop("segments"))
+        return cls(spark, path, segments=segments, **{k: tuple(v) if isinstance(v, list) else v for k, v in held.items()})
+
+    def _publish(self) -> KeywordIndex:
+        """Writes the manifest of this version; of two writers of one version the second fails."""
+        held = {k: getattr(self, k) for k in ("buckets", "rows", "total", "version", "id_column", "texts", "carry", "schema")}
+        held["segments"] = [vars(s) for s in self.segments]
+        paths = self.spark._jvm.org.apache.hadoop.fs.Path
+        fresh, final = paths(f"{self.path}/draft-{uuid.uuid4().hex}"), paths(f"{self.path}/manifest/{self.version}")
+        files = fresh.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(final.getParent())
+        out = files.create(fresh, False)
+        out.write(bytearray(json.dumps(held).encode()))
+        out.close()
+        if files.exists(final) or not files.rename(fresh, final):
+            raise OSError(f"version {self.version} of the index is published already")
+        return self
+
+    def _at(self, segment: Segment | str, table: str) -> str:
+        return f"{self.path}/{segment if isinstance(segment, str) else segment.name}/{table}"
+
+    def _id_bucket(self, c: str = "id") -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+
+    def _write(self, name: str, found: DataFrame, size: int, mean: float) -> None:
+        """postings, terms and forward of a segment from rows as :func:`postings` makes them (written ones: they are read thrice)."""
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        tier = F.least(F.floor(TIERS * (1 - _weight(F.col("tf"), F.col("length"), mean))), F.lit(TIERS - 1)).cast("int")
+        rows = found.where("term IS NOT NULL").withColumns({"bucket": bucket, "tier": tier})
+        if size >= LARGE:
+            # by range of (bucket, term, tier, id): a hot term goes over several files, a rare one stays in one
+            rows = rows.repartitionByRange(max(self.buckets, size // BUCKET_BYTES), "bucket", "term", "tier", "id")
+        else:
+            rows = rows.repartition(self.buckets, "bucket")
+        rows.sortWithinPartitions("bucket", "term", "tier", "id").write.partitionBy("bucket").parquet(self._at(name, "postings"))
+        weight = _weight(F.col("tf"), F.col("length"), mean)
+        terms = found.where("term IS NOT NULL").withColumn("tier", tier).groupBy("term", "tier").agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("most"))
+        terms.repartition(max(1, size // BUCKET_BYTES), "term").sortWithinPartitions("term", "tier").write.parquet(self._at(name, "terms"))
+        forward = found.groupBy("id", "length").agg(F.collect_list("term").alias("terms"), F.count_if(F.col("term").isNull()).alias("rows"))
+        forward.withColumn("id_bucket", self._id_bucket()).repartition(self.buckets, "id_bucket").sortWithinPartitions("id_bucket", "id").write.partitionBy("id_bucket").parquet(self._at(name, "forward"))
+
+    def _remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def update(self, rows: DataFrame | None = None, deleted: DataFrame | None = None) -> KeywordIndex:
+        """The index after ``rows`` (columns as at :meth:`build`) take the place of those with their ids, and rows of ``deleted`` (id) go.
+
+        Reads the new rows, and of earlier segments the forward folders and tombstones that the touched ids may be in.
+        This version stays as it is: readers of it go on.
+        """
+        name = f"segment-{self.version + 1}-{uuid.uuid4().hex[:8]}"
+        added = gone = (0, 0)
+        touched, mean = None, self.mean or 1.0
+        if self.segments:
+            parts = [r.select(F.col(c).alias("id")) for r, c in ((rows, self.id_column), (deleted, "id")) if r is not None]
+            if not parts:
+                return self
+            ids = self._at(name, "touched")
+            reduce(DataFrame.union, parts).where("id IS NOT NULL").distinct().write.parquet(ids)
+            touched = self.spark.read.schema(self._id_schema()).parquet(ids)
+        if rows is not None:
+            raw, size = self._at(name, "rows"), _size(rows)
+            if TASK_BYTES < size < LARGE:  # a small table may be one split
+                rows = rows.repartition(size // TASK_BYTES + 1)
+            postings(rows, self.id_column, *self.texts, carry=self.carry).write.parquet(raw)
+            found = self.spark.read.schema(f"{self.schema}, length int, term string, tf int, positions array<int>").parquet(raw)
+            n, total = found.where("term IS NULL").agg(F.count(F.lit(1)), F.sum("length")).first()
+            added = (n, total or 0)
+            if n and self.rows <= 10 * n:
+                mean = (total or 0) / n or 1.0
+            self._write(name, found, size, mean)
+            self._remove(raw)
+        if touched is not None:
+            gone = self._bury(name, touched)
+            self._remove(self._at(name, "touched"))
         if rows is None:
-            raise ValueError("the index has no rows")
+            self._write_nothing(name)
+        segments = (*self.segments, Segment(name, 0, mean, touched is not None))
+        grown = replace(self, rows=self.rows + added[0] - gone[0], total=self.total + added[1] - gone[1], version=self.version + 1, segments=segments, _counts={})
+        return grown._merged()._publish()
+
+    def _id_schema(self) -> str:
+        return self.schema.split(", `")[0]
+
+    def _write_nothing(self, name: str) -> None:
+        none = self.spark.createDataFrame([], f"{self.schema}, length int, term string, tf int, positions array<int>")
+        self._write(name, none, 0, 1.0)
+
+    def _forward(self, buckets: list[int] | None = None) -> DataFrame:
+        """(id, length, terms, rows, at) of all segments that count, at being the segment's place."""
+        found = None
+        for at, segment in enumerate(self.segments):
+            rows = self.spark.read.schema(f"{self._id_schema()}, length int, terms array<string>, rows long, id_bucket int").parquet(self._at(segment, "forward"))
+            if buckets is not None:
+                rows = rows.where(F.col("id_bucket").isin(buckets))
+            rows = rows.drop("id_bucket").withColumn("at", F.lit(at))
+            found = rows if found is None else found.union(rows)
+        return self._living(found)
+
+    def _dead(self) -> DataFrame | None:
+        """(dead_id, until): rows of that id in segments before ``until`` no longer count."""
+        found = None
+        for at, segment in enumerate(self.segments):
+            if segment.dead:
+                rows = self.spark.read.schema(self._id_schema()).parquet(self._at(segment, "dead")).select(F.col("id").alias("dead_id"), F.lit(at).alias("until"))
+                found = rows if found is None else found.union(rows)
+        return None if found is None else found.groupBy("dead_id").agg(F.max("until").alias("until"))
+
+    def _living(self, rows: DataFrame) -> DataFrame:
+        dead = self._dead()
+        return rows if dead is None else rows.join(dead, (F.col("id") == F.col("dead_id")) & (F.col("at") < F.col("until")), "left_anti")
+
+    def _bury(self, name: str, touched: DataFrame) -> tuple[int, int]:
+        """Writes dead and lost of a new segment; (rows, terms) that no longer count."""
+        buckets = sorted(r[0] for r in touched.select(self._id_bucket().alias("b")).distinct().collect())  # at most one row a bucket
+        old = self._forward(buckets).join(touched, "id", "left_semi")
+        held = self._at(name, "old")
+        old.write.parquet(held)
+        old = self.spark.read.schema(f"{self._id_schema()}, length int, terms array<string>, rows long, at int").parquet(held)
+        old.select("id").distinct().write.parquet(self._at(name, "dead"))
+        names = F.create_map(*[F.lit(x) for i, s in enumerate(self.segments) for x in (i, s.name)])
+        old.select(names[F.col("at")].alias("segment"), F.explode("terms").alias("term")).groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n")).coalesce(max(1, self.buckets // 8)).write.parquet(self._at(name, "lost"))
+        n, total = old.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("length"))).first()
+        self._remove(held)
+        return n or 0, total or 0
+
+    def _merged(self) -> KeywordIndex:
+        """While the last ``FAN`` segments have one level, they become one of the next level."""
+        held = self
+        while len(held.segments) >= FAN and len({s.level for s in held.segments[-FAN:]}) == 1:
+            held = held.merge(len(held.segments) - FAN)
+        return held
+
+    def merge(self, start: int = 0) -> KeywordIndex:
+        """Segments from ``start`` on as one, without rows that no longer count; not yet published."""
+        merged = self.segments[start:]
+        name = f"segment-{self.version}-{uuid.uuid4().hex[:8]}"
+        raw = self._at(name, "rows")
+        columns = [c.strip("`") for c in (x.split(" ")[0] for x in self.schema.split(", "))]
+        kept = self._living(self._postings(range(start, len(self.segments)))).drop("tier", "at", "bucket").select(*columns, "length", "term", "tf", "positions")
+        # one row without a term for each text, as postings() makes them
+        each = self._forward().where(F.col("at") >= start).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_r"))
+        carried = {c: kept.schema[c].dataType for c in columns[1:]}
+        bare = each.select("id", *[F.lit(None).cast(t).alias(c) for c, t in carried.items()], "length", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.lit(None).cast("array<int>").alias("positions"))
+        kept.unionByName(bare).write.parquet(raw)
+        found = self.spark.read.schema(f"{self.schema}, length int, term string, tf int, positions array<int>").parquet(raw)
+        size = _size(found)
+        self._write(name, found, size, self.mean or 1.0)
+        self._remove(raw)
+        older = [s.name for s in self.segments[:start]]
+        dead = bool(older) and any(s.dead for s in merged)
+        if dead:
+            tombs = [self.spark.read.schema(self._id_schema()).parquet(self._at(s, "dead")) for s in merged if s.dead]
+            reduce(DataFrame.union, tombs).distinct().write.parquet(self._at(name, "dead"))
+            lost = [self.spark.read.schema(LOST).parquet(self._at(s, "lost")) for s in merged if s.dead]
+            reduce(DataFrame.union, lost).where(F.col("segment").isin(older)).groupBy("segment", "term").agg(F.sum("n").alias("n")).write.parquet(self._at(name, "lost"))
+        level = max(s.level for s in merged) + 1
+        return replace(self, segments=(*self.segments[:start], Segment(name, level, self.mean or 1.0, dead)), _counts={})
+
+    def compact(self) -> KeywordIndex:
+        """The next version, of one segment."""
+        return self if len(self.segments) < 2 else replace(self, version=self.version + 1).merge()._publish()
+
+    # ---- reading ------------------------------------------------------------------------
+
+    def _schema(self) -> str:
+        return f"{self.schema}, length int, term string, tf int, positions array<int>, tier int, bucket int"
+
+    def _postings(self, places) -> DataFrame:
+        found = None
+        for at in places:
+            rows = self.spark.read.schema(self._schema()).parquet(self._at(self.segments[at], "postings")).withColumn("at", F.lit(at))
+            found = rows if found is None else found.union(rows)
+        return found if found is not None else self.spark.createDataFrame([], f"{self._schema()}, at int")
+
+    def _read(self, wanted: Sequence[str]) -> DataFrame:
+        """Postings of some terms that count, with tier: only their folders and row groups are read."""
         at = {_signed(xxhash.xxh64_intdigest(t.encode(), 42)) % self.buckets for t in wanted}  # as Spark's xxhash64
-        return rows.where(F.col("bucket").isin(sorted(at)) & F.col("term").isin(list(wanted))).drop("bucket")
+        rows = self._postings(range(len(self.segments))).where(F.col("bucket").isin(sorted(at)) & F.col("term").isin(list(wanted)))
+        return self._living(rows).drop("bucket", "at")
+
+    def postings(self, wanted: Sequence[str]) -> DataFrame:
+        """Postings of some terms."""
+        return self._read(wanted).drop("tier")
+
+    def tiers(self, wanted: Sequence[str]) -> dict[str, list[tuple[int, int, float]]]:
+        """For each term, (tier, postings, highest weight) from the best tier on; from the dictionaries alone, and remembered.
+
+        Postings count rows that tombstones have taken since; :meth:`frequencies` does not.
+        """
+        self._look_up(wanted)
+        return {t: self._counts[t][1] for t in wanted}
+
+    def frequencies(self, wanted: Sequence[str]) -> dict[str, int]:
+        """How many rows hold each term, from the dictionaries alone."""
+        self._look_up(wanted)
+        return {t: self._counts[t][0] for t in wanted}
+
+    def _look_up(self, wanted: Sequence[str]) -> None:
+        missing = [t for t in dict.fromkeys(wanted) if t not in self._counts]
+        if not missing:
+            return
+        if len(self._counts) > REMEMBERED:
+            kept = {t: self._counts[t] for t in wanted if t in self._counts}
+            self._counts.clear()
+            self._counts.update(kept)
+        found = None
+        for at, segment in enumerate(self.segments):
+            rows = self.spark.read.schema("term string, tier int, n long, most double").parquet(self._at(segment, "terms")).withColumn("at", F.lit(at))
+            found = rows if found is None else found.union(rows)
+            if segment.dead:
+                lost = self.spark.read.schema(LOST).parquet(self._at(segment, "lost")).where(F.col("segment").isin([s.name for s in self.segments]))
+                found = found.union(lost.select("term", F.lit(-1).alias("tier"), -F.col("n"), F.lit(0.0), F.lit(at)))
+        counts = {t: [0, {}] for t in missing}
+        for r in found.where(F.col("term").isin(missing)).collect() if found is not None else ():  # a few rows a term and segment
+            held = counts[r["term"]]
+            held[0] += r["n"]
+            if r["tier"] >= 0:
+                # the weight that the mean length of today gives at most
+                drift = min(1.0, self.segments[r["at"]].mean / self.mean) if self.mean else 1.0
+                rest = (1 - r["most"]) / r["most"] * drift
+                n, most = held[1].get(r["tier"], (0, 0.0))
+                held[1][r["tier"]] = (n + r["n"], max(most, 1 / (1 + rest)))
+        self._counts.update({t: (n, sorted((tier, *x) for tier, x in tiers.items())) for t, (n, tiers) in counts.items()})
 
     def _phrase(self, found: DataFrame, phrase: Sequence[str]) -> DataFrame:
         """Rows that hold the phrase, as postings with tf the number of its places."""
         if len(phrase) == 1:
             return found.where(F.col("term") == phrase[0]).drop("term", "positions")
         kept = [c for c in found.columns if c not in ("term", "tf", "positions")]
-        words = list(dict.fromkeys(phrase))
-        places = [F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"_p{i}") for i, w in enumerate(words)]
-        rows = found.where(F.col("term").isin(words)).groupBy(*kept).agg(*places)
-        starts = F.col(f"_p{words.index(phrase[0])}")
+        words_ = list(dict.fromkeys(phrase))
+        places = [F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"_p{i}") for i, w in enumerate(words_)]
+        rows = found.where(F.col("term").isin(words_)).groupBy(*kept).agg(*places)
+        starts = F.col(f"_p{words_.index(phrase[0])}")
         for step, w in enumerate(phrase[1:], 1):
-            starts = F.array_intersect(starts, _shifted(F.col(f"_p{words.index(w)}"), step))
+            starts = F.array_intersect(starts, _shifted(F.col(f"_p{words_.index(w)}"), step))
         return rows.select(*kept, F.size(starts).alias("tf")).where("tf > 0")
 
-    def hits(self, query: str) -> list[DataFrame]:
+    def _idf(self, n: int) -> float:
+        return max(float(np.log((self.rows - n + 0.5) / (n + 0.5))), IDF_FLOOR)
+
+    def hits(self, query: str) -> list[tuple[tuple[str, ...], DataFrame]]:
         """For each distinct phrase of a search text, the rows that hold it (id, carried columns, length, tf)."""
         phrases = list(dict.fromkeys(tuple(p) for p in query_phrases(query)))
         if not phrases or not self.rows:
             return []
         found = self.postings([*dict.fromkeys(t for p in phrases for t in p)])
-        return [self._phrase(found, p) for p in phrases]
+        return [(p, self._phrase(found, p)) for p in phrases]
 
     def bm25(self, query: str) -> DataFrame:
         """(id, carried columns, score) of the rows that hold a phrase of ``query``; a higher score is better."""
         phrases = self.hits(query)
         if not phrases:
             return self.empty()
-        marked = reduce(DataFrame.unionByName, [h.withColumn("_phrase", F.lit(i)) for i, h in enumerate(phrases)])
-        # one row a phrase comes back: how many rows hold it
-        counts = {r[0]: r[1] for r in marked.groupBy("_phrase").agg(F.count(F.lit(1))).collect()}
+        counts = {i: n for i, n in enumerate(self.frequencies([p[0] for p, _ in phrases]).values())} if all(len(p) == 1 for p, _ in phrases) else None
+        marked = reduce(DataFrame.unionByName, [h.withColumn("_phrase", F.lit(i)) for i, (_, h) in enumerate(phrases)])
+        if counts is None:
+            # phrases of several terms stand in no dictionary; one row a phrase comes back: how many rows hold it
+            counts = {r[0]: r[1] for r in marked.groupBy("_phrase").agg(F.count(F.lit(1))).collect()}
         weight = F.lit(0.0)
         for i, n in counts.items():
-            weight = F.when(F.col("_phrase") == i, F.greatest(F.log(F.lit((self.rows - n + 0.5) / (n + 0.5))), F.lit(IDF_FLOOR))).otherwise(weight)
-        part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(self.mean)))
+            weight = F.when(F.col("_phrase") == i, F.lit(self._idf(n))).otherwise(weight)
+        part = weight * (K1 + 1) * _weight(F.col("tf"), F.col("length"), self.mean)
         kept = [c for c in marked.columns if c not in ("length", "tf", "_phrase")]
         return marked.groupBy(*kept).agg(F.round(F.sum(part), 9).alias("score"))
 
+    def top_k(self, query: str, limit: int) -> DataFrame:
+        """The ``limit`` best rows of :meth:`bm25`, ties by id; of hot terms only the tiers that can matter are read.
+
+        The best tiers give the limit-th score so far.  Tiers are then read down to where all that is unread of
+        the query's terms together stays below it: rows first met there cannot come up.  What rows met above have further
+        down is added by their ids.  Phrases of several terms are read whole.
+        """
+        phrases = list(dict.fromkeys(tuple(p) for p in query_phrases(query)))
+        asked = [p[0] for p in phrases]
+        if not self.rows or not phrases or any(len(p) > 1 for p in phrases) or limit < 1:
+            return top(self.bm25(query), max(limit, 0))
+        tiers, counts = self.tiers(asked), self.frequencies(asked)
+        if sum(counts.values()) <= SMALL:
+            return top(self.bm25(query), limit)
+        weights = {t: self._idf(counts[t]) * (K1 + 1) for t in asked}
+        cut = {}
+        for t in asked:
+            cut[t], seen = 0, 0
+            while cut[t] < len(tiers[t]) and seen < max(4 * limit, 256):
+                seen += tiers[t][cut[t]][1]
+                cut[t] += 1
+        unread = lambda t: weights[t] * tiers[t][cut[t]][2] if cut[t] < len(tiers[t]) else 0.0
+        best = [r["score"] for r in self._scored(asked, weights, self._upper(tiers, cut)).orderBy(F.col("score").desc()).limit(limit).select("score").collect()]
+        floor = best[-1] if len(best) == limit else 0.0
+        while sum(map(unread, asked)) >= floor - 1e-8 and any(cut[t] < len(tiers[t]) for t in asked):
+            # the term that gives away most of the bound for each posting read
+            t = max((t for t in asked if cut[t] < len(tiers[t])), key=lambda t: unread(t) / (1 + tiers[t][cut[t]][1]))
+            cut[t] += 1
+        upper = self._upper(tiers, cut)
+        if len(asked) == 1 or upper is None or all(cut[t] == len(tiers[t]) for t in asked):
+            return top(self._scored(asked, weights, upper), limit)
+        hope = self._scored(asked, weights, upper).where(F.col("score") >= floor - 1e-8 - sum(map(unread, asked))).select(F.col("id").alias("_id"))
+        some = [r["_id"] for r in hope.limit(NAMED + 1).collect()]
+        if len(some) <= NAMED:
+            return top(self._scored(asked, weights, F.col("id").isin(some)), limit)
+        return top(self._scored(asked, weights, None, hope.distinct()), limit)
+
+    def _upper(self, tiers: dict, cut: dict[str, int]) -> Column | None:
+        """The tiers above the cuts."""
+        found = [(F.col("term") == t) & (F.col("tier") <= tiers[t][cut[t] - 1][0]) for t in cut if cut[t]]
+        return reduce(lambda a, b: a | b, found) if found else None
+
+    def _scored(self, asked: Sequence[str], weights: dict[str, float], where: Column | None, ids: DataFrame | None = None) -> DataFrame:
+        rows = self._read(asked)
+        if where is not None:
+            rows = rows.where(where)
+        if ids is not None:
+            rows = rows.join(ids, F.col("id") == F.col("_id"), "left_semi")
+        weight = F.lit(0.0)
+        for t, w in weights.items():
+            weight = F.when(F.col("term") == t, F.lit(w)).otherwise(weight)
+        kept = [c for c in rows.columns if c not in ("length", "term", "tf", "positions", "tier")]
+        return rows.groupBy(*kept).agg(F.round(F.sum(weight * _weight(F.col("tf"), F.col("length"), self.mean)), 9).alias("score"))
+
     def empty(self) -> DataFrame:
-        known = self.spark.read.parquet(f"{self.path}/postings") if self.rows else self.spark.createDataFrame([], "id long, length int, term string, tf int, positions array<int>, bucket int")
-        return known.drop("length", "term", "tf", "positions", "bucket").withColumn("score", F.lit(0.0)).where(F.lit(False))
+        return self.spark.createDataFrame([], f"{self.schema}, score double")
+
+
+#: Postings of a term that a segment lost to tombstones.
+LOST = "segment string, term string, n long"
 
 
 def phrase_rows(index: KeywordIndex, phrase: str) -> DataFrame:
-    """(id, hits) of rows in which the phrase's terms stand side by side."""
-    words = " ".join(t for p in query_phrases(phrase) for t in p)
-    found = index.postings(words.split())
-    return index._phrase(found, words.split()).select("id", F.col("tf").cast("long").alias("hits"))
+    """(id, hits) of rows in which the phrase's terms stand side by side; none for a phrase without terms."""
+    asked = [t for p in query_phrases(phrase) for t in p]
+    if not asked:
+        return index.empty().select("id", F.lit(0).cast("long").alias("hits"))
+    return index._phrase(index.postings(list(dict.fromkeys(asked))), asked).select("id", F.col("tf").cast("long").alias("hits"))
 
 
 def top(scored: DataFrame, limit: int) -> DataFrame:

@@ -68,11 +68,6 @@ def counts_by_status(jobs: DataFrame, status: str, domain: list[str]) -> DataFra
     return known.join(found, F.col("status") == F.col("_s"), "left").select("status", F.coalesce("n", F.lit(0)).alias("count"))
 
 
-def result_row(subject: Column, display_subject: Column, text: Column) -> list[Column]:
-    """display_subject, else subject; null text as ""."""
-    return [F.coalesce(F.nullif(display_subject, F.lit("")), subject).alias("display_subject"), F.coalesce(text, F.lit("")).alias("snippet")]
-
-
 def stage_percentiles(timings: DataFrame, stage: str, value: str) -> DataFrame:
     """(stage, p50, p95, max): linear interpolation; stages without a value have 0."""
     return timings.groupBy(F.col(stage).alias("stage")).agg(

@@ -81,8 +81,10 @@ def pick_by_subject(candidates: DataFrame, query: str, subject: str, order: str)
 
 
 def ask(question: str, contexts: DataFrame, thread: str, model: Callable[[str], str], max_threads: int = 5) -> tuple[str, list[str]]:
-    """(answer, sources) over a bounded number of contexts, in their order."""
+    """(answer, sources) over a bounded number of contexts, in their order; none, no answer."""
     rows = contexts.select(F.col(thread).alias("id"), wrapped(F.col("context"), F.col(thread).cast("string")).alias("block")).limit(clamp(max_threads, 5, 1, MOST_THREADS)).collect()
+    if not rows:
+        return "", []
     answer = model("\n\n".join([NOTICE, *(r["block"] for r in rows), f"Question: {question}"]))
     if not answer.strip():
         raise ValueError("the model's answer is empty")
@@ -95,10 +97,7 @@ def ask_mailbox(mailbox, question: str, vector: Sequence[float], model: Callable
     options = {"filters": filters} if filters is not None else {}
     found = mailbox.hybrid_search(question, vector, limit=limit, with_evidence=True, reranker=reranker, **options)
     place = ["position"] if "position" in found.columns else [F.col("score").desc(), "first_lane", "first_rank", "thread_id"]
-    made = thread_context(found).orderBy(*place)
-    if not made.limit(1).count():
-        return "", []
-    return ask(question, made, "thread_id", model, limit)
+    return ask(question, thread_context(found).orderBy(*place), "thread_id", model, limit)
 
 
 def summarize(context_text: str, model: Callable[[str], str], style: str = "brief") -> str:

@@ -7,16 +7,15 @@ only what a limit bounds comes to the driver, for a re-ranker.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.stem import query_phrases
 from threadloom.functions.vectors import embed_query, knn
-from threadloom.operators import fusion, lookups
+from threadloom.operators import fusion, lookups, merge, threads
 from threadloom.operators.fusion import Filters, Reranker
 from threadloom.operators.keyword import KeywordIndex, like_fallback
 from threadloom.operators.rag import clamp
@@ -41,9 +40,28 @@ class Mailbox:
         """Threads by keyword; where the index cannot be read, those whose subject, people or body contain the text, newest first."""
         try:
             return fusion.keyword_lane(self.thread_index, query, limit, threads=self.threads, filters=filters)
-        except (AnalysisException, ValueError):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.like_lane(query, limit, filters)
 
+    def upsert(self, messages: DataFrame) -> Mailbox:
+        """The mailbox after new messages of known or new threads: only their threads are made anew, and only these are indexed."""
+        touched = messages.select("thread_id").distinct()
+        grown = merge.upsert_threads(self.threads.join(touched, "thread_id", "left_semi"), messages)
+        kept = self.threads.join(touched, "thread_id", "left_anti")
+        return replace(self, threads=kept.unionByName(grown), thread_index=self.thread_index.update(indexed(grown)))
+
+    def reap(self, messages: DataFrame, removed: DataFrame, dim: int, backend: Callable[[list[str]], list[list[float]]] | None = None) -> Mailbox:
+        """The mailbox without the messages of ``removed`` (message_id), out of all ``messages``: threads that lose some are made anew
+        in rows, vectors and keyword index, threads that lose all go, as do chunks of removed messages (the column message_id)."""
+        gone = removed.select("message_id").distinct()
+        touched = messages.join(gone, "message_id", "left_semi").select("thread_id").distinct()
+        left, vectors = threads.reap_threads(self.threads, messages, removed, self.chunks, self.thread_vectors, dim, backend)
+        fresh = left.join(touched, "thread_id", "left_semi")
+        index = self.thread_index.update(indexed(fresh), touched.select(F.col("thread_id").alias("id")))
+        return replace(self, threads=left, thread_vectors=vectors, chunks=self.chunks.join(gone, "message_id", "left_anti"), thread_index=index)
+
     def like_lane(self, query: str, limit: int, filters: Filters) -> DataFrame:
         rows = self.threads.where(fusion.condition(fusion.without_sender(filters))).withColumn("_people", F.array_join("participants", " "))
         found = like_fallback(rows, query, ["subject", "body_text", "_people"], "date_last", "thread_id", limit)
@@ -125,9 +143,9 @@ class Mailbox:
         return self.hybrid_search(query, vector, filters, limit, reranker=reranker)
 
 
-def has_terms(query: str) -> bool:
-    """Whether a search text has anything to look up."""
-    return bool(query_phrases(query))
+def indexed(rows: DataFrame) -> DataFrame:
+    """Threads as their keyword index takes them, with the people in one text."""
+    return rows.withColumn("_people", F.array_join("participants", " "))
 
 
 def rendered(results: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import canonical_addr, normalize_subject, truncate_to_tokens
+from threadloom.functions.text import canonical_addr, normalize_subject, trimmed, truncate_to_tokens
 from threadloom.functions.vectors import thread_vectors
 from threadloom.sources.shared import shared_dir
 
@@ -25,37 +25,42 @@ from threadloom.sources.shared import shared_dir
 SUBJECT_DAYS, SUBJECT_CANDIDATES, EMBED_CHARS, SNIPPET_CHARS, BODY_CHARS, BODY_TOKENS = 60, 10, 500, 200, 2000, 4000
 
 
+def moment() -> Column:
+    """What orders messages: the date, then the id; a message without a date is the newest, as one that comes in now."""
+    return F.struct(F.col("date").isNull().alias("undated"), "date", "message_id")
+
+
 def participants(messages: DataFrame, key: str, addresses: str, keep_nameless: bool = False, out: str = "participants") -> DataFrame:
     """(key, participants): one display form for each canonical address, in order of first use.
 
     Entries without an address are dropped, or kept as people of their own.
     """
     people = messages.select(key, "date", "message_id", F.posexplode(addresses).alias("at", "who")).withColumn("addr", person_key(F.col("who"), keep_nameless)).where("addr <> ''")
-    first = people.groupBy(key, "addr").agg(F.min(F.struct("date", "message_id", "at", "who")).alias("f"))
+    first = people.groupBy(key, "addr").agg(F.min(F.struct(moment().alias("m"), "at", "who")).alias("f"))
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("f")), lambda s: s["who"]).alias(out))
 
 
 def person_key(who: Column, keep_nameless: bool = True) -> Column:
     """What makes two entries one person: the canonical address, or else the entry itself, trimmed and in lower case."""
     address = canonical_addr(who)
-    return F.when(address != "", address).otherwise(F.lower(F.trim(who)) if keep_nameless else F.lit(""))
+    return F.when(address != "", address).otherwise(F.lower(trimmed(who)) if keep_nameless else F.lit(""))
 
 
 def distinct_people(entries: Column) -> Column:
     """An array of people without later entries of one person; entries without an address stay."""
-    earlier = lambda i: F.transform(F.slice(entries, F.lit(1), i), lambda x: person_key(x))
-    return F.filter(entries, lambda who, i: ~F.array_contains(earlier(i), person_key(who)))
+    keys = F.transform(entries, lambda x: person_key(x))
+    # each key once, in order of first use; the entry is the one at the key's first place
+    return F.transform(F.array_distinct(keys), lambda k: F.element_at(entries, F.array_position(keys, k).cast("int")))
 
 
 def rollup(messages: DataFrame, key: str = "thread_id") -> DataFrame:
     """One row for each thread: dates, ids in order, subject of its oldest message, snippet of its newest, attachments."""
-    moment = F.struct("date", "message_id")
     return messages.groupBy(key).agg(
         F.min("date").alias("date_first"), F.max("date").alias("date_last"), F.count(F.lit(1)).alias("messages"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(moment)), lambda s: s["message_id"]), ",").alias("message_ids"),
-        F.min_by("subject", moment).alias("display_subject"),
-        F.max_by(F.replace(F.substring("body", 1, SNIPPET_CHARS), F.lit("\n"), F.lit(" ")), moment).alias("snippet"),
-        F.max("has_attachments").alias("has_attachments"), F.min_by("folder", moment).alias("folder"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(moment())), lambda s: s["message_id"]), ",").alias("message_ids"),
+        F.min_by("subject", moment()).alias("display_subject"),
+        F.max_by(F.replace(F.substring("body", 1, SNIPPET_CHARS), F.lit("\n"), F.lit(" ")), moment()).alias("snippet"),
+        F.max("has_attachments").alias("has_attachments"), F.min_by("folder", moment()).alias("folder"),
     )
 
 
@@ -66,7 +71,7 @@ def message_block(chars: int) -> Column:
 
 
 def _blocks(messages: DataFrame, key: str, chars: int, end: str, between: str, out: str) -> DataFrame:
-    parts = messages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("date", "message_id", message_block(chars).alias("t")))).alias("p"))
+    parts = messages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(moment().alias("m"), message_block(chars).alias("t")))).alias("p"))
     return parts.select(key, F.array_join(F.transform("p", lambda s: F.concat(s["t"], F.lit(end))), between).alias(out))
 
 
@@ -75,7 +80,7 @@ def embedding_text(messages: DataFrame, key: str = "thread_id", chars: int = EMB
 
     ``messages`` has from_addr, date, message_id, body, subject and addresses; the subject is the oldest message's, normalised.
     """
-    subject = messages.groupBy(key).agg(normalize_subject(F.min_by("subject", F.struct("date", "message_id"))).alias("_subject"))
+    subject = messages.groupBy(key).agg(normalize_subject(F.min_by("subject", moment())).alias("_subject"))
     people = participants(messages, key, "addresses", out="_people")
     text = F.concat(F.lit("Subject: "), "_subject", F.lit("\nParticipants: "), F.coalesce(F.array_join("_people", ", "), F.lit("")), F.lit("\n\n"), "_blocks")
     joined = _blocks(messages, key, chars, "\n", "\n", "_blocks").join(subject, key).join(people, key, "left")
@@ -169,7 +174,7 @@ def linked_threads(messages: DataFrame) -> DataFrame:
     """(message_id, thread_id): messages that headers connect; the thread is named by its oldest message."""
     found = components(messages.select(F.col("message_id").alias("id")), header_edges(messages).select(F.col("message_id").alias("a"), F.col("parent").alias("b")))
     rows = messages.join(found, F.col("message_id") == F.col("id")).select("message_id", "date", "root")
-    name = rows.groupBy("root").agg(F.min_by("message_id", F.struct("date", "message_id")).alias("thread_id"))
+    name = rows.groupBy("root").agg(F.min_by("message_id", moment()).alias("thread_id"))
     return rows.join(name, "root").select("message_id", "thread_id")
 
 
@@ -202,9 +207,10 @@ def subject_candidates(threads: DataFrame, messages: DataFrame, days: int = SUBJ
 
     ``threads`` has thread_id, norm_subject, folder, date_last and people (canonical addresses), ``messages`` norm_subject, folder, date and people.
     """
-    near = messages.select("message_id", "norm_subject", "folder", F.col("date").alias("_at"), F.col("people").alias("_who")).join(threads, ["norm_subject", "folder"])
-    newest = W.partitionBy("message_id").orderBy(F.col("date_last").desc(), "thread_id")
-    near = near.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= most)
+    # a subject's newest threads are the same for all its messages: ranked before the join, a message meets ``most`` rows
+    newest = W.partitionBy("norm_subject", "folder").orderBy(F.col("date_last").desc(), "thread_id")
+    few = threads.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= most)
+    near = messages.select("message_id", "norm_subject", "folder", F.col("date").alias("_at"), F.col("people").alias("_who")).join(few, ["norm_subject", "folder"])
     apart = F.abs(F.unix_timestamp(F.col("_at").cast("timestamp")) - F.unix_timestamp(F.col("date_last").cast("timestamp")))
     fits = near.where(F.arrays_overlap("people", "_who") & (apart <= days * 86400))
     return fits.groupBy("message_id").agg(F.min_by("thread_id", "_place").alias("thread_id"))
@@ -214,9 +220,11 @@ def arrival_threads(messages: DataFrame) -> DataFrame:
     """(message_id, thread_id) by the ordered fold; ``arrival`` orders messages, ``addresses`` lists their people.
 
     A message's subject ties it only to the next ones of its folder and subject within ``SUBJECT_DAYS``: a thread's last date
-    is a message's date, so over a longer gap no fallback reaches.
+    is a message's date, so over a longer gap no fallback reaches.  A message without a date has the newest date of all.
     """
     rows = messages.withColumn("norm_subject", normalize_subject(F.col("subject"))).withColumn("people", F.filter(F.transform("addresses", canonical_addr), lambda x: x != ""))
+    newest = rows.agg(F.max("date").alias("_newest"))  # one row
+    rows = rows.crossJoin(F.broadcast(newest)).withColumn("date", F.coalesce("date", "_newest", F.lit("1970-01-01").cast(rows.schema["date"].dataType))).drop("_newest")
     series = W.partitionBy("folder", "norm_subject").orderBy("date", "message_id")
     before = rows.select(F.col("message_id").alias("a"), F.lag("message_id").over(series).alias("b"), "date", F.lag("date").over(series).alias("was"))
     near = before.where(F.col("b").isNotNull() & (F.col("date") <= F.col("was") + F.make_dt_interval(days=F.lit(SUBJECT_DAYS)))).select("a", "b")

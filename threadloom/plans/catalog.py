@@ -150,7 +150,7 @@ BM25 = bm25_sql("bm", "(SELECT doc_id AS id, source AS owner, text FROM document
 
 @query(f"WITH {BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY score DESC, id LIMIT 10")
 def bm25_top10(spark, d):
-    return keyword.top(document_index(spark, d).bm25("license released"), 10).select("id", F.round("score", 6).alias("score"))
+    return document_index(spark, d).top_k("license released", 10).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {BM25}, r AS (SELECT id, owner AS source, round(score, 6) AS score, row_number() OVER (PARTITION BY owner ORDER BY score DESC, id) AS p FROM bm) SELECT id, source, score FROM r WHERE p = 1")

@@ -50,9 +50,8 @@ def mailbox(spark, d) -> search.Mailbox:
         vectors = table(spark, d, "embeddings").select(F.concat(F.lit("c"), "vec_id").alias("thread_id"), "embedding")
         store.write({"threads": threads.thread_rows(messages(spark, d)), "chunks": chunk_table(spark, d), "attachments": attachment_table(spark, d), "thread_vectors": vectors})
         rows = store.read("threads")
-        people = rows.withColumn("_people", F.array_join("participants", " "))
         return search.Mailbox(
-            rows, KeywordIndex.build(people, "thread_id", "subject", "_people", "body_text"), store.read("thread_vectors"), store.read("chunks"),
+            rows, KeywordIndex.build(search.indexed(rows), "thread_id", "subject", "_people", "body_text"), store.read("thread_vectors"), store.read("chunks"),
             KeywordIndex.build(store.read("chunks"), "chunk_id", "text", carry=("thread_id",)), KeywordIndex.build(store.read("attachments"), "attachment_id", "filename", "content_type", carry=("thread_id",)),
         )
 
@@ -199,6 +198,22 @@ def upsert_threads(spark, d):
     return merged.select("thread_id", "date_first", "date_last", "message_ids", "snippet", "has_attachments", "participants", "senders", F.md5("body_text").alias("body_text"))
 
 
+REAPED = "CAST(substr(thread_id, 2) AS BIGINT) % 5 = 0"
+
+
+@query(f"""WITH {GROWN}, rest AS (SELECT thread_id, regexp_replace(lower(arg_min(subject, (date, message_id))), '^re: ', '') AS subject FROM whole WHERE NOT {REAPED} GROUP BY thread_id),
+who AS (SELECT thread_id, string_agg(who, ' ' ORDER BY m) AS people FROM (SELECT thread_id, arg_min(from_addr, date) AS who, min(date) AS m FROM whole GROUP BY thread_id, addr) GROUP BY thread_id),
+units AS (SELECT thread_id AS id, thread_id AS owner, subject || ' ' || people || ' ' || body_text AS text FROM rest JOIN who USING (thread_id) JOIN grown USING (thread_id)), {bm25_sql("k", "units", FORMS)}
+SELECT id AS thread_id, round(score, 6) AS score FROM k""")
+def index_upsert(spark, d):
+    """An index of threads as they began, then their later messages, then threads that go."""
+    rows = messages(spark, d)
+    before = threads.thread_rows(rows.where(_early(rows)))
+    box = search.Mailbox(before, KeywordIndex.build(search.indexed(before), "thread_id", "subject", "_people", "body_text")).upsert(rows)
+    index = box.thread_index.update(deleted=rows.where(REAPED).select(F.col("thread_id").alias("id")).distinct())
+    return index.bm25(QUESTION).select(F.col("id").alias("thread_id"), F.round("score", 6).alias("score"))
+
+
 GONE = "(CAST(substr(thread_id, 2) AS BIGINT) % 5 = 0 OR (CAST(substr(thread_id, 2) AS BIGINT) % 3 = 0 AND message_id LIKE '%-0'))"
 
 

@@ -2,62 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom.functions.text import maildir_unique
 from threadloom.sources.mail import COLONS, parse_mail
 
 
+#: A file as the watch sees it, and what it makes of it: fresh, or moved from ``old_path``.
+FILE = "path string, modificationTime timestamp, length long, content binary"
+SEEN = f"{FILE}, old_path string, fresh boolean"
+
+
 def _box(path: Column) -> Column:
     return F.regexp_replace(path, r"/(?:new|cur)/[^/]*$", "")
 
 
-def split_moves(files: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fresh files, moves): a file whose unique name is known in its mailbox under another path has moved (old_path, new_path).
+def _identify(key: tuple, files: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Files of one (mailbox, unique name): the first is fresh, each other path is a move from the present one."""
+    present = state.get[0] if state.exists else None
+    for part in files:
+        part = part.sort_values(["modificationTime", "path"], kind="stable")
+        rows = []
+        for path in part["path"]:
+            rows.append((None if present in (None, path) else present, present is None, present != path))
+            present = path
+        part["old_path"], part["fresh"] = [r[0] for r in rows], [r[1] for r in rows]
+        yield part[[r[2] for r in rows]]
+    state.update((present,))
 
-    ``known`` is (filepath); files known under their own path are neither.
-    """
-    had = known.select(F.col("filepath").alias("old_path"), maildir_unique(F.col("filepath")).alias("_u"), _box(F.col("filepath")).alias("_b"))
-    named = files.select(F.col("path").alias("new_path"), maildir_unique(F.col("path")).alias("_u"), _box(F.col("path")).alias("_b"))
-    met = named.join(had, ["_u", "_b"])
-    fresh = files.join(met.select(F.col("new_path").alias("path")).distinct(), "path", "left_anti")
-    # of several earlier paths the last one in order is where the file came from
-    return fresh, met.where("old_path <> new_path").groupBy("new_path").agg(F.max("old_path").alias("old_path")).select("old_path", "new_path")
+
+def identify(files: DataFrame) -> DataFrame:
+    """A stream of files as :data:`SEEN`: state holds the present path of each unique name in its mailbox, so a batch meets its own names alone."""
+    named = files.withColumns({"_b": _box(F.col("path")), "_u": maildir_unique(F.col("path"))})
+    return named.groupBy("_b", "_u").applyInPandasWithState(_with_content, SEEN, "path string", "append", GroupStateTimeout.NoTimeout)
+
+
+def _with_content(key: tuple, files: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    for part in _identify(key, (f.drop(columns=["_b", "_u"]) for f in files), state):
+        part.loc[~part["fresh"], "content"] = None  # what only moved is not read again
+        yield part
 
 
 def watch_maildir(spark: SparkSession, root: str, target: str, checkpoint: str) -> StreamingQuery:
     """Parses new files below ``root`` as they come and appends messages, failures and moves below ``target``.
 
-    A file that was only renamed (a flag, new to cur) is not parsed again: its move is written for
-    :func:`threadloom.operators.merge.move_paths`.
+    A file that was only renamed (a flag, new to cur) is not parsed again: its move from its present path is written
+    for :func:`threadloom.operators.merge.move_paths`.  A name that a file had before and takes again is no
+    new file to the source: :func:`threadloom.operators.reconcile.sweep_paths` heals that.
     """
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).options(**COLONS).option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(r"/(?:cur|new)/[^/]+$"))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    system = hadoop(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def earlier(number: int) -> DataFrame | None:
-        """Paths of all batches before this one: a batch that is run again does not meet itself."""
-        found = None
-        for folder, column in (("messages", "filepath"), ("moved", "new_path")):
-            if system.exists(hadoop(f"{target}/{folder}")):
-                rows = spark.read.parquet(f"{target}/{folder}").where(F.col("batch") < number).select(F.col(column).alias("filepath"))
-                found = rows if found is None else found.union(rows)
-        return found
+    files = spark.readStream.format("binaryFile").schema(FILE).options(**COLONS).option("recursiveFileLookup", True).load(root).where(F.col("path").rlike(r"/(?:cur|new)/[^/]+$"))
 
     def store(batch: DataFrame, number: int) -> None:
-        known = earlier(number)
-        if known is not None:
-            batch, moves = split_moves(batch, known)
-            moves.write.mode("overwrite").parquet(f"{target}/moved/batch={number}")
-        parsed = parse_mail(batch, root=root).persist()
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        batch.where("NOT fresh").select("old_path", F.col("path").alias("new_path")).write.mode("overwrite").parquet(f"{target}/moved/batch={number}")
+        parsed = parse_mail(batch.where("fresh"), root=root).persist(StorageLevel.DISK_ONLY)
         parsed.where("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{target}/messages/batch={number}")
         parsed.where("error IS NOT NULL").select("filepath", "error").write.mode("overwrite").parquet(f"{target}/failed/batch={number}")
         parsed.unpersist()
+        batch.unpersist()
 
-    return files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return identify(files).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, window: str = "1 day", late: str = "1 day") -> DataFrame:
