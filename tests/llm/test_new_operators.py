@@ -239,3 +239,17 @@ def test_bounds_spare_full_scans():
         scans.append(n)
         assert np.array_equal(code, np.argmin(code_compression._distances(x, books, 0), axis=1))
     assert scans[-1] < 1500
+
+
+# mixing --------------------------------------------------------------------------------------------------
+
+
+def test_mixing_keeps_large_ids_beside_null_ones(spark):
+    from threadloom.llm import mixing
+
+    big = [None, (1 << 53) + 1, (1 << 53) + 3, 1, -(1 << 62) - 1, (1 << 63) - 1]
+    rows = spark.createDataFrame([(i, "a b c", s) for i in big for s in ("x", None)], "doc_id long, text string, source string").coalesce(1)
+    plan = mixing.mix(mixing.sizes(rows)).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in plan) == Counter((i, s) for i in big for s in ("x", None))
+    taken = mixing.mix_documents(rows).collect()
+    assert {r["doc_id"] for r in taken} <= set(big) and len(taken) == sum(r["copies"] * r["n"] + r["more"] for r in plan)

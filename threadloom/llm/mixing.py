@@ -27,7 +27,8 @@ method has not come close after ``STEPS`` steps, RuntimeError is raised.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,15 +112,16 @@ def solve(cells: DataFrame, goal: DataFrame, scratch: Scratch, most: int = MOST)
     raise RuntimeError(f"Newton's method has not come within {CLOSE} of the targets after {STEPS} steps")
 
 
-def _round(group: pd.DataFrame, most: int) -> pd.DataFrame:
-    group = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
-    size, n, rate = (group[c].tolist() for c in ("size", "n", "rate"))
+def _round(group: pa.Table, most: int) -> pa.Table:
+    """Whole copies of each row of a block; Arrow keeps ids beyond 2^53 beside null ones."""
+    order = pc.sort_indices(group, sort_keys=[("size", "descending"), ("doc_id", "ascending")], null_placement="at_end")
+    group = group.take(order)
     copies, carry = [], 0.0
-    for s, k, r in zip(size, n, rate, strict=True):
+    for s, k, r in zip(*(group.column(c).to_pylist() for c in ("size", "n", "rate")), strict=True):
         c = min(most * k, max(0, int(np.floor(r * k + (carry / s if s else 0.0) + 0.5))))
         carry += (r * k - c) * s
         copies.append(c)
-    return group.assign(total=np.asarray(copies, np.int64))[["doc_id", "source", "size", "total"]]
+    return group.select(["doc_id", "source", "size"]).append_column("total", pa.array(copies, pa.int64()))
 
 
 def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -141,10 +143,10 @@ def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     block = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("source_docs") / F.lit(block_rows))).cast("long"))
     dealt = rated.select("doc_id", "source", "size", "n", "rate", block.alias("block"))
 
-    def rounded(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def rounded(group: pa.Table) -> pa.Table:
         return _round(group, most)
 
-    copies = dealt.groupBy("source", "block").applyInPandas(rounded, "doc_id long, source string, size long, total long")
+    copies = dealt.groupBy("source", "block").applyInArrow(rounded, "doc_id long, source string, size long, total long")
     back = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "total")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
     each, more = F.floor(F.col("total") / F.col("n")), F.col("total") % F.col("n")
