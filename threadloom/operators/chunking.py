@@ -1,7 +1,8 @@
 """Deterministic chunks: paragraphs, cut by sentence, word or token where too long, packed with overlap.
 
-A chunk is a slice of its source: ``source[start:end] == text``.  Token counts come from a
-pluggable counter; the default counts runs of letters and digits and single other signs.
+A chunk is a slice of its source: ``source[start:end] == text``.  Token counts come from a counter that can be
+given: :class:`Tokens` counts runs of letters and digits and single other signs, :class:`TokenizerCounter`
+the tokens of a tokenizer file.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ import re
 import time
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from threadloom.sources.shared import spread
+
 CHUNK = "key string, chunk_id string, chunk_index int, text string, char_start int, char_end int, token_est int"
 _PARAGRAPH = re.compile(r"\S(?:.*?\S)?(?=\s*\n\s*\n|\s*\Z)", re.S)
 #: Fixed value: the end of a sentence.
@@ -44,6 +48,75 @@ class Tokens:
         return [(max(start, self.starts[i]), min(end, self.ends[i])) for i in some]
 
 
+class TokenizerCounter:
+    """Makes counts of a text's slices in tokens of a tokenizer that cuts texts into words first.
+
+    ``file``: a JSON file of the tokenizers library with a pre-tokenizer.  A word's tokens do not depend on its neighbours, so
+    distinct words are encoded once and kept; a slice counts by sums of whole words, and its first and last word
+    by what of them it holds: at its start a word stands without the space before it.  Counts are those of the slice encoded alone.
+    """
+
+    #: Words kept.
+    MOST = 200_000
+
+    def __init__(self, file: str):
+        self.file = file
+
+    def __call__(self, source: str) -> TokenizerMarks:
+        return TokenizerMarks(source, *_tokenizer(self.file))
+
+
+@lru_cache(maxsize=4)
+def _tokenizer(file: str):
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(file)
+    made.encode_special_tokens = True
+    if made.pre_tokenizer is None:
+        raise ValueError(f"{file}: a tokenizer that cuts words first is needed")
+    return made, {}
+
+
+class TokenizerMarks:
+    """Counts of one text's slices; see :class:`TokenizerCounter`."""
+
+    def __init__(self, source: str, tokenizer, known: dict[str, int]):
+        self.source, self.tokenizer, self.known = source, tokenizer, known
+        spans = [span for _, span in tokenizer.pre_tokenizer.pre_tokenize_str(source)]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+        counts = self._counts([source[a:b] for a, b in spans])
+        self.before = [0]
+        for n in counts:
+            self.before.append(self.before[-1] + n)
+
+    def _counts(self, words: list[str]) -> list[int]:
+        if len(self.known) > TokenizerCounter.MOST:
+            self.known.clear()
+        missing = [w for w in dict.fromkeys(words) if w not in self.known]
+        if missing:
+            self.known.update((w, len(e.ids)) for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True))
+        return [self.known[w] for w in words]
+
+    def count(self, start: int, end: int) -> int:
+        first, last = bisect_right(self.ends, start), bisect_left(self.starts, end) - 1
+        if last < first:
+            return 0
+        if first == last:
+            return self._counts([self.source[start:end]])[0]
+        head = self.before[first + 1] - self.before[first] if self.starts[first] >= start else self._counts([self.source[start : self.ends[first]]])[0]
+        tail = self.before[last + 1] - self.before[last] if self.ends[last] <= end else self._counts([self.source[self.starts[last] : end]])[0]
+        return head + self.before[last] - self.before[first + 1] + tail
+
+    def within(self, start: int, end: int) -> list[Span]:
+        """Tokens of a slice: their characters, without those that a token shares with the one before."""
+        out: list[Span] = []
+        for a, b in self.tokenizer.encode(self.source[start:end], add_special_tokens=False).offsets:
+            a = max(a, out[-1][1] - start if out else 0)
+            if b > a:
+                out.append((start + a, start + b))
+        return out
+
+
 def count_tokens(text: str) -> int:
     return len(_TOKEN.findall(text))
 
@@ -71,7 +144,15 @@ def _sentences(source: str, span: Span) -> list[Span]:
     return [s for s in (_trim(source, c) for c in zip(cuts, cuts[1:], strict=False)) if s]
 
 
-def _fitting(source: str, span: Span, limit: int, tokens: Tokens) -> list[Span]:
+def _within_limit(source: str, span: Span, limit: int, tokens) -> list[Span]:
+    """A span of whole tokens, halved while it holds more than ``limit`` of them by itself: cut words may have more tokens than they had."""
+    if span[1] - span[0] < 2 or tokens.count(*span) <= limit:
+        return [span]
+    middle = (span[0] + span[1]) // 2
+    return [p for s in ((span[0], middle), (middle, span[1])) for t in [_trim(source, s)] if t for p in _within_limit(source, t, limit, tokens)]
+
+
+def _fitting(source: str, span: Span, limit: int, tokens) -> list[Span]:
     """Spans of at most ``limit`` tokens: by sentences, what is longer by words, what is longer still by tokens."""
     parts = [span]
     for cut in (lambda s: _sentences(source, s), lambda s: [m.span() for m in _WORD.finditer(source, *s)]):
@@ -79,19 +160,28 @@ def _fitting(source: str, span: Span, limit: int, tokens: Tokens) -> list[Span]:
     step, out = max(1, limit - 8), []
     for s in parts:
         marks = tokens.within(*s) if tokens.count(*s) > limit else None
-        out += [s] if marks is None else [(marks[i][0], marks[min(i + step, len(marks)) - 1][1]) for i in range(0, len(marks), step)]
+        if marks is None:
+            out.append(s)
+            continue
+        cut = [_trim(source, (marks[i][0], marks[min(i + step, len(marks)) - 1][1])) for i in range(0, len(marks), step)]
+        out += [p for c in cut if c for p in _within_limit(source, c, limit, tokens)]
     return out
 
 
-def chunk_spans(source: str, target: int = 350, limit: int = 500, overlap: int = 60) -> list[Span]:
+def chunk_spans(source: str, target: int = 350, limit: int = 500, overlap: int = 60, counter: Callable = Tokens) -> list[Span]:
     """Spans of the chunks of a text: neighbouring spans up to ``target`` tokens or more, never over ``limit``.
 
     A chunk begins again with the last spans of the one before, as many as ``overlap`` tokens hold, one at least,
     never all of them; where they would push the next span over the limit they are left out.
     """
+    return [span for span, _ in _chunks(source, target, limit, overlap, counter)]
+
+
+def _chunks(source: str, target: int, limit: int, overlap: int, counter: Callable) -> list[tuple[Span, int]]:
+    """Spans of the chunks, and how many tokens each holds."""
     if not 0 < target <= limit or not 0 <= overlap < target:
         raise ValueError("0 < target <= limit and 0 <= overlap < target are needed")
-    tokens = Tokens(source)
+    tokens = counter(source)
     spans = [s for m in _PARAGRAPH.finditer(source) for s in _fitting(source, m.span(), limit, tokens)]
     # a chunk is spans[first:stop]; fresh is the first span that no chunk holds yet
     chunks, first, fresh = [], 0, 0
@@ -109,26 +199,29 @@ def chunk_spans(source: str, target: int = 350, limit: int = 500, overlap: int =
             while back - 1 > first and tokens.count(spans[back - 1][0], end) <= overlap:
                 back -= 1
         first, fresh = back, stop
-    return chunks
+    return [(c, tokens.count(*c)) for c in chunks]
 
 
 def chunk_key(key: str, index: int, text: str) -> str:
     return hashlib.sha256(b"\0".join([key.encode(), str(index).encode(), text.encode()])).hexdigest()
 
 
-def chunk_messages(df: DataFrame, key: str, body: str, target: int = 350, limit: int = 500, overlap: int = 60) -> DataFrame:
-    """Rows of :data:`CHUNK` for each message."""
+def chunk_messages(df: DataFrame, key: str, body: str, target: int = 350, limit: int = 500, overlap: int = 60, counter: Callable = Tokens) -> DataFrame:
+    """Rows of :data:`CHUNK` for each message; one without a key has no chunk ids and is left out.
+
+    ``counter``: :class:`Tokens`, a :class:`TokenizerCounter`, or what makes such objects of a text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, text in zip(b["k"], b["t"], strict=True):
-                for i, (start, end) in enumerate(chunk_spans(text or "", target, limit, overlap)):
+                for i, ((start, end), n) in enumerate(_chunks(text or "", target, limit, overlap, counter)):
                     piece = text[start:end]
-                    rows.append((k, chunk_key(k, i, piece), i, piece, start, end, count_tokens(piece)))
+                    rows.append((k, chunk_key(k, i, piece), i, piece, start, end, n))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHUNK.split(", ")])
 
-    return df.selectExpr(f"CAST(`{key}` AS string) AS k", f"`{body}` AS t").mapInPandas(run, CHUNK)
+    return spread(df.selectExpr(f"CAST(`{key}` AS string) AS k", f"`{body}` AS t").where("k IS NOT NULL")).mapInPandas(run, CHUNK)
 
 
 class TransientError(RuntimeError):

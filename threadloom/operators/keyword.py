@@ -30,12 +30,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.stem import query_phrases, stem, words
-from threadloom.sources.shared import fresh_dir
+from threadloom.sources.shared import LARGE, expected_bytes, fresh_dir, spread
 
 #: BM25 parameters and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-#: Bytes of texts that one bucket and one task hold, about; from LARGE on hot terms are cut over files by range.
-BUCKET_BYTES, LEAST_BUCKETS, TASK_BYTES, LARGE = 256 << 20, 8, 2 << 20, 1 << 30
+#: Bytes of texts that one bucket holds, about; hot terms of tables beyond LARGE are cut over files by range.
+BUCKET_BYTES, LEAST_BUCKETS = 256 << 20, 8
 #: Segments of one level that are merged; tiers of a term; postings that a search reads without looking at tiers; terms whose counts an index remembers; ids that a search names in a filter.
 FAN, TIERS, SMALL, REMEMBERED, NAMED = 4, 16, 100_000, 10_000, 1000
 
@@ -114,12 +114,6 @@ def _weight(tf: Column, length: Column, mean: float) -> Column:
     return tf / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
 
 
-def _size(df: DataFrame) -> int:
-    """Bytes that the optimizer expects, or 0 where it knows none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
-
-
 @dataclass(frozen=True)
 class Segment:
     """One batch of rows: folder, level (how often it was merged), mean length when written, whether it has tombstones."""
@@ -159,7 +153,7 @@ class KeywordIndex:
         spark = df.sparkSession
         kept = df.select(F.col(id_column).alias("id"), *[F.col(f"`{c}`") for c in carry])
         schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes)
-        buckets = max(LEAST_BUCKETS, _size(df) // BUCKET_BYTES)
+        buckets = max(LEAST_BUCKETS, expected_bytes(df) // BUCKET_BYTES)
         empty = cls(spark, path or fresh_dir(spark, "keyword-index"), buckets, 0, 0, 0, (), id_column, tuple(texts), tuple(carry), schema)
         return empty.update(df)
 
@@ -237,10 +231,8 @@ class KeywordIndex:
             reduce(DataFrame.union, parts).where("id IS NOT NULL").distinct().write.parquet(ids)
             touched = self.spark.read.schema(self._id_schema()).parquet(ids)
         if rows is not None:
-            raw, size = self._at(name, "rows"), _size(rows)
-            if TASK_BYTES < size < LARGE:  # a small table may be one split
-                rows = rows.repartition(size // TASK_BYTES + 1)
-            postings(rows, self.id_column, *self.texts, carry=self.carry).write.parquet(raw)
+            raw, size = self._at(name, "rows"), expected_bytes(rows)
+            postings(spread(rows), self.id_column, *self.texts, carry=self.carry).write.parquet(raw)
             found = self.spark.read.schema(f"{self.schema}, length int, term string, tf int, positions array<int>").parquet(raw)
             n, total = found.where("term IS NULL").agg(F.count(F.lit(1)), F.sum("length")).first()
             added = (n, total or 0)
@@ -322,7 +314,7 @@ class KeywordIndex:
         bare = each.select("id", *[F.lit(None).cast(t).alias(c) for c, t in carried.items()], "length", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.lit(None).cast("array<int>").alias("positions"))
         kept.unionByName(bare).write.parquet(raw)
         found = self.spark.read.schema(f"{self.schema}, length int, term string, tf int, positions array<int>").parquet(raw)
-        size = _size(found)
+        size = expected_bytes(found)
         self._write(name, found, size, self.mean or 1.0)
         self._remove(raw)
         older = [s.name for s in self.segments[:start]]

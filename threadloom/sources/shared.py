@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+#: Tables of this many bytes have splits of their own; below, text work is spread over tasks of so many bytes.
+LARGE, TASK_BYTES = 1 << 30, 1 << 20
+
+
+def expected_bytes(df: DataFrame) -> int:
+    """Bytes that the optimizer expects of ``df``, 0 where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over enough tasks for work on its texts: a small file is one split, whatever its texts cost."""
+    size = expected_bytes(df)
+    return df.repartition(size // TASK_BYTES + 1) if TASK_BYTES < size < LARGE else df
