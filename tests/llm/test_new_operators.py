@@ -136,8 +136,9 @@ def brute_alignment(rows):
     return Counter((i, len(a), len(b), len(g), len(k), sum(count[p] == most[p[1]] for p in k), sum(count[p] for p in k), ";".join(g)) for i, a, b, g, k in found)
 
 
-def test_alignment(spark, docs):
-    for block_bytes in (200, 4 << 20):
+def test_alignment(spark, docs, monkeypatch):
+    for block_bytes, few in ((200, 0), (4 << 20, 400_000)):
+        monkeypatch.setattr(token_alignment, "BROADCAST_PAIRS", few)
         rows = token_alignment.align_tokens(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), block_bytes).collect()
         assert Counter(tuple(r) for r in rows) == brute_alignment([(i, t) for i, t, *_ in texts()])
 
