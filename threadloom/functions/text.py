@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,19 +22,23 @@ HARD_CUT = (
     rf"|On(?![\p{{L}}\p{{N}}_])(?:.*[^\p{{L}}\p{{N}}_])wrote:{SPACE}*$)"
 )
 
-#: What secrets look like, and what stands for them; a first group stays.
-SECRETS: tuple[tuple[str, str], ...] = (
-    (r"sk-ant-[A-Za-z0-9_-]+", "[REDACTED]"),
-    (r"((?i:x-api-key)['\":=\s]+)[^\s,'\"}]+", "$1[REDACTED]"),
-    (r"((?i:authorization)['\":=\s]+(?i:bearer)\s+)[^\s,'\"}]+", "$1[REDACTED]"),
-    (r"AKIA[0-9A-Z]{16}", "[key]"),
-    (r"gh[pousr]_[A-Za-z0-9]{20,}", "[token]"),
-    (r"sk-[A-Za-z0-9_-]{16,}", "[key]"),
-    (r"[Bb]earer [A-Za-z0-9._~+/=-]{8,}", "Bearer [token]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[email]"),
-    (r"(?i:password|passwd|secret|api_key|token)\s*[=:]\s*[^\s,;]+", "[secret]"),
+#: What secrets look like, and what stands for them; a first group stays.  Last, signs of which a text with such a
+#: secret has one, in lower case: texts without them are not searched.
+SECRETS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+    (r"sk-ant-[A-Za-z0-9_-]+", "[REDACTED]", ("sk-ant-",)),
+    (r"((?i:x-api-key)['\":=\s]+)[^\s,'\"}]+", "$1[REDACTED]", ("x-api-key",)),
+    (r"((?i:authorization)['\":=\s]+(?i:bearer)\s+)[^\s,'\"}]+", "$1[REDACTED]", ("authorization",)),
+    (r"AKIA[0-9A-Z]{16}", "[key]", ("akia",)),
+    (r"gh[pousr]_[A-Za-z0-9]{20,}", "[token]", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    (r"sk-[A-Za-z0-9_-]{16,}", "[key]", ("sk-",)),
+    (r"[Bb]earer [A-Za-z0-9._~+/=-]{8,}", "Bearer [token]", ("bearer ",)),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[email]", ("@",)),
+    (r"(?i:password|passwd|secret|api_key|token)\s*[=:]\s*[^\s,;]+", "[secret]", ("password", "passwd", "secret", "api_key", "token")),
 )
 
+#: An address is sought from the start of its run of letters, or from where the one before ended, not from each letter anew.
+RUN_START = r"(?:\G|(?<![A-Za-z0-9._%+-]))"
+
 
 def trimmed(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
@@ -94,13 +99,21 @@ def occurrence_id(message: Column, content: Column, filename: Column, slot: Colu
     return F.sha2(F.concat(message, zero, content, zero, filename, zero, slot.cast("string")), 256)
 
 
+def _replacing(where: Column, pattern: str, mark: str):
+    return lambda t: F.when(where, F.regexp_replace(t, pattern, mark)).otherwise(t)
+
+
 def redact(text: Column, secrets: Sequence[str] = ()) -> Column:
     """Text with the caller's secrets, and what looks like secrets and addresses, replaced."""
     for secret in secrets:
         if secret:
             text = F.replace(text, F.lit(secret), F.lit("[REDACTED]"))
-    for pattern, mark in SECRETS:
-        text = F.regexp_replace(text, pattern, mark)
+    low = F.lower(text)
+    for pattern, mark, signs in SECRETS:
+        marked = reduce(lambda a, b: a | b, [low.contains(sign) for sign in signs])
+        sought = RUN_START + pattern if mark == "[email]" else pattern
+        # the text so far is bound once: named twice in a plain expression, each pattern would double it
+        text = F.get(F.transform(F.array(text), _replacing(marked, sought, mark)), 0)
     return text
 
 

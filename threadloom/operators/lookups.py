@@ -45,16 +45,25 @@ def is_indexed(files: DataFrame, paths: DataFrame) -> DataFrame:
     return paths.join(known, F.col("filepath") == F.col("_f"), "left").select("filepath", F.coalesce("indexed", F.lit(False)).alias("indexed"))
 
 
-def find_contact(threads: DataFrame, query: str, limit: int = 10, addresses: str = "participants") -> DataFrame:
-    """(email, names, threads): people whose name or address contains ``query``, in most threads first."""
-    people = threads.select("thread_id", F.posexplode(addresses).alias("at", "who")).select("thread_id", "at", canonical_addr(F.col("who")).alias("email"), display_name(F.col("who")).alias("name"))
-    match = people.where((F.col("email") != "") & F.lower(F.concat_ws(" ", "name", "email")).contains(query.strip().lower()))
+def people(threads: DataFrame, addresses: str = "participants") -> DataFrame:
+    """(thread_id, at, email, name, label): a row for each entry with an address; label is what searches look in."""
+    rows = threads.select("thread_id", F.posexplode(addresses).alias("at", "who")).select("thread_id", "at", canonical_addr(F.col("who")).alias("email"), display_name(F.col("who")).alias("name"))
+    return rows.where("email <> ''").withColumn("label", F.lower(F.concat_ws(" ", "name", "email")))
+
+
+def ranked_contacts(match: DataFrame, limit: int) -> DataFrame:
+    """(email, names, threads) of rows of :func:`people`, those in most threads first."""
     # a thread names a person once: by the first of its entries that matches
     match = match.groupBy("thread_id", "email").agg(F.min_by("name", "at").alias("name"))
     found = match.groupBy("email").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("name") != "", F.col("name")))), ", ").alias("names"), F.countDistinct("thread_id").alias("threads"))
     return found.orderBy(F.col("threads").desc(), "email").limit(limit)
 
 
+def find_contact(threads: DataFrame, query: str, limit: int = 10, addresses: str = "participants") -> DataFrame:
+    """(email, names, threads): people whose name or address contains ``query``, in most threads first."""
+    return ranked_contacts(people(threads, addresses).where(F.col("label").contains(query.strip().lower())), limit)
+
+
 def stats(threads: DataFrame, messages: DataFrame) -> DataFrame:
     """One row: threads, messages, earliest and latest date."""
     a = threads.agg(F.count(F.lit(1)).alias("threads"), F.min("date_first").alias("earliest"), F.max("date_last").alias("latest"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import canonical_addr, display_name
+from threadloom.operators.lookups import people, ranked_contacts
 from threadloom.sources.shared import expected_bytes, fresh_dir, spread
 
 #: Bytes of rows in a folder, fewest folders, trigrams of a pattern that are looked up, candidates that are named in a filter.
@@ -112,7 +112,12 @@ class SubstringIndex:
 
 
 def contact_index(threads: DataFrame, addresses: str = "participants") -> SubstringIndex:
-    """An index of people (thread_id, at, email, name) by what :func:`find_contact` looks in, one row a thread and entry."""
-    people = threads.select("thread_id", F.posexplode(addresses).alias("at", "who")).select("thread_id", "at", canonical_addr(F.col("who")).alias("email"), display_name(F.col("who")).alias("name"))
-    named = people.where("email <> ''").withColumn("label", F.concat_ws(" ", "name", "email"))
-    return SubstringIndex.build(named.withColumn("entry", F.xxhash64("thread_id", "at", "email")), "entry", ["label"])
+    """An index of :func:`threadloom.operators.lookups.people`."""
+    return SubstringIndex.build(people(threads, addresses).withColumn("entry", F.xxhash64("thread_id", "at", "email")), "entry", ["label"])
+
+
+def find_contact(index: SubstringIndex, query: str, limit: int = 10) -> DataFrame:
+    """As :func:`threadloom.operators.lookups.find_contact`, from a :func:`contact_index`."""
+    wanted = query.strip().lower()
+    near = index.search(re.sub(r"([%_\\])", "_", wanted))  # a wild card finds itself too
+    return ranked_contacts(near.where(F.col("label").contains(wanted)), limit)

@@ -12,9 +12,9 @@ from threadloom.functions import text as T
 from threadloom.functions import vectors as V
 from threadloom.operators import attachments, fusion, lookups, merge, queue, rag, reconcile, search, threads
 from threadloom.operators.keyword import KeywordIndex
-from threadloom.plans.catalog import BLOCK, BODIES, DIST, MAIL, PROBE, bm25_sql, mail, once, query, table
+from threadloom.plans.catalog import BLOCK, BODIES, DIST, MAIL, PROBE, REDACTED, bm25_sql, mail, once, query, table
 from threadloom.sources.mail import parse_mail
-from threadloom.sources.shared import fresh_dir
+from threadloom.sources.shared import fresh_dir, spread
 from threadloom.sources.snapshot import Snapshots
 from threadloom.streaming.ingest import windowed_counts
 
@@ -488,7 +488,7 @@ def summarize_thread(spark, d):
     return spark.createDataFrame([("c7", answer == "short")], "thread_id string, found boolean")
 
 
-@query("SELECT doc_id, md5(replace(replace(text, 'the', '[REDACTED]'), 'x', 'x')) AS redacted FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '@|AKIA|gh[pousr]_|sk-|[Bb]earer |(?i:password|passwd|secret|api_key|token|x-api-key|authorization)')")
+@query(REDACTED.replace("FROM documents", "FROM (SELECT doc_id, replace(text, 'the', '[REDACTED]') AS text FROM documents)"))
 def redact_given(spark, d):
-    plain = table(spark, d, "documents").where("text IS NOT NULL AND NOT text RLIKE '@|AKIA|gh[pousr]_|sk-|[Bb]earer |(?i:password|passwd|secret|api_key|token|x-api-key|authorization)'")
-    return plain.select("doc_id", F.md5(T.redact(F.col("text"), ["the", ""])).alias("redacted"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.md5(T.redact(F.col("text"), ["the", ""])).alias("redacted"))
