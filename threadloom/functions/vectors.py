@@ -53,8 +53,8 @@ def mean_vector(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return parts.select(*keys, F.transform("p", lambda s: s["m"]).alias(vector))
 
 
-def knn(df: DataFrame, id_column: str, vector: str, query: Sequence[float], k: int, keep_zero: bool = False) -> DataFrame:
-    """(id, dist) of the k nearest by Euclidean distance, ties by id.
+def knn(df: DataFrame, id_column: str, vector: str, query: Sequence[float], k: int, keep_zero: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, columns of ``carry``, dist) of the k nearest by Euclidean distance, ties by id.
 
     A zero vector is nearer to a unit query than most real ones, so it is left out unless ``keep_zero``.  Vectors that are null, of
     another length than the query, or hold null or non-finite components have no distance and are left out.
@@ -62,7 +62,7 @@ def knn(df: DataFrame, id_column: str, vector: str, query: Sequence[float], k: i
     rows = df.where(is_comparable(F.col(vector), len(query)))
     if not keep_zero:
         rows = rows.where(~is_zero(F.col(vector)))
-    return rows.select(id_column, l2_distance(F.col(vector), query_literal(query)).alias("dist")).orderBy("dist", id_column).limit(k)
+    return rows.select(id_column, *carry, l2_distance(F.col(vector), query_literal(query)).alias("dist")).orderBy("dist", id_column).limit(k)
 
 
 def embed_query(backend: Callable[[list[str]], list[list[float]]], text: str, dim: int | None = None) -> list[float]:

@@ -1,12 +1,14 @@
 """Searches over one mailbox: keyword, semantic and hybrid, with filters, evidence and re-ranking.
 
-A mailbox is a snapshot's tables and three keyword indexes.  Each search is one DataFrame;
-only what a limit bounds comes to the driver, for a re-ranker.
+A mailbox is a snapshot's tables, three keyword indexes and, if wanted, cells of its vectors.  The lanes of a search
+run side by side; each is cut to a few rows of ids and ranks, and only these come together.  Texts
+are read last, for what is shown.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -19,15 +21,42 @@ from threadloom.operators import fusion, lookups, merge, threads
 from threadloom.operators.fusion import Filters, Reranker
 from threadloom.operators.keyword import KeywordIndex, like_fallback
 from threadloom.operators.rag import clamp
+from threadloom.operators.vector_index import VectorIndex
 
 #: The most threads that one search returns, and the modes of a search.
 MOST_RESULTS, MODES = 50, ("hybrid", "semantic", "keyword")
 
 
+#: Where a chunk is.
+PLACE = ("thread_id", "chunk_index", "char_start", "char_end")
+
+
+def side_by_side(lanes: Sequence[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """Lanes that a limit bounds to few rows, run at the same time and held as local rows."""
+
+    def held(lane: Callable[[], DataFrame]) -> DataFrame:
+        df = lane()
+        return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+    if len(lanes) == 1:
+        return [held(lanes[0])]
+    with ThreadPoolExecutor(len(lanes)) as pool:
+        return list(pool.map(held, lanes))
+
+
+def _fused(lanes: Sequence[DataFrame], limit: int) -> DataFrame:
+    """(id, score, first_lane, first_rank, rank) of the best of some lanes."""
+    place = F.row_number().over(W.orderBy(F.round("score", 12).desc(), "first_lane", "first_rank", "id"))
+    return fusion.in_order(fusion.rrf(lanes), limit).withColumn("rank", place.cast("long"))
+
+
 @dataclass(frozen=True)
 class Mailbox:
     """threads (thread_id and what :func:`threadloom.operators.threads.thread_rows` makes), thread_vectors (thread_id, embedding),
-    chunks (chunk_id, thread_id, chunk_index, char_start, char_end, text, embedding), and indexes on threads, chunks and attachments."""
+    chunks (chunk_id, thread_id, chunk_index, char_start, char_end, text, embedding), and indexes on threads, chunks and attachments.
+
+    thread_cells, chunk_cells: vector indexes of the same vectors (that of chunks carries :data:`PLACE`), which spare a scan.
+    """
 
     threads: DataFrame
     thread_index: KeywordIndex
@@ -35,6 +64,8 @@ class Mailbox:
     chunks: DataFrame | None = None
     chunk_index: KeywordIndex | None = None
     attachment_index: KeywordIndex | None = None
+    thread_cells: VectorIndex | None = None
+    chunk_cells: VectorIndex | None = None
 
     def _thread_lane(self, query: str, limit: int, filters: Filters) -> DataFrame:
         """Threads by keyword; where the index cannot be read, those whose subject, people or body contain the text, newest first."""
@@ -68,14 +99,16 @@ class Mailbox:
         place = F.row_number().over(W.orderBy(F.col("date_last").desc(), "thread_id"))
         return found.select(F.col("thread_id").alias("id"), place.cast("long").alias("rank"))
 
-    def lexical(self, query: str, limit: int, filters: Filters) -> DataFrame:
-        """(id, score, first_lane, first_rank, rank): keyword lanes of threads, chunks and attachments, fused and cut."""
-        lanes = [self._thread_lane(query, limit, filters)]
+    def _lexical_lanes(self, query: str, limit: int, filters: Filters) -> list[Callable[[], DataFrame]]:
+        lanes = [lambda: self._thread_lane(query, limit, filters)]
         for index in (self.chunk_index, self.attachment_index):
             if index is not None:
-                lanes.append(fusion.keyword_lane(index, query, limit, thread="thread_id", threads=self.threads, filters=filters))
-        place = F.row_number().over(W.orderBy(F.round("score", 12).desc(), "first_lane", "first_rank", "id"))
-        return fusion.in_order(fusion.rrf(lanes), limit).withColumn("rank", place.cast("long"))
+                lanes.append(lambda index=index: fusion.keyword_lane(index, query, limit, thread="thread_id", threads=self.threads, filters=filters))
+        return lanes
+
+    def lexical(self, query: str, limit: int, filters: Filters) -> DataFrame:
+        """(id, score, first_lane, first_rank, rank): keyword lanes of threads, chunks and attachments, fused and cut."""
+        return _fused(side_by_side(self._lexical_lanes(query, limit, filters)), limit)
 
     def _results(self, ranked: DataFrame, filters: Filters, limit: int) -> DataFrame:
         """Threads of a fused lane that the filters keep, best first."""
@@ -86,30 +119,47 @@ class Mailbox:
         found = self.lexical(query, fusion.fetch_limit(limit, 0, filters), filters)
         return self._results(found, filters, limit)
 
+    def _near(self, vector: Sequence[float], limit: int) -> DataFrame:
+        """(thread_id, dist) of the nearest threads."""
+        if self.thread_cells is not None:
+            return self.thread_cells.knn(vector, limit).select("thread_id", "dist")
+        return knn(self.thread_vectors, "thread_id", "embedding", vector, limit)
+
     def semantic_search(self, vector: Sequence[float], filters: Filters = Filters(), limit: int = 10) -> DataFrame:
         """By Euclidean distance to the threads' vectors; score is the negative distance."""
-        near = knn(self.thread_vectors, "thread_id", "embedding", vector, fusion.fetch_limit(limit, 0, filters))
+        near = self._near(vector, fusion.fetch_limit(limit, 0, filters))
         found = near.select(F.col("thread_id").alias("id"), (-F.col("dist")).alias("score"), F.lit(0).alias("first_lane"), F.lit(0).alias("first_rank"))
         return self._results(found, filters, limit)
 
     def chunk_lane(self, vector: Sequence[float], limit: int) -> DataFrame:
-        """Chunks by distance, with rank."""
-        near = knn(self.chunks, "chunk_id", "embedding", vector, limit)
-        ranked = near.select("chunk_id", F.row_number().over(W.orderBy("dist", "chunk_id")).cast("long").alias("rank"))
-        return self.chunks.drop("embedding").join(ranked, "chunk_id")
+        """(thread_id, rank, chunk_id, chunk_index, char_start, char_end) of the nearest chunks."""
+        near = self.chunk_cells.knn(vector, limit) if self.chunk_cells is not None else knn(self.chunks, "chunk_id", "embedding", vector, limit, carry=PLACE)
+        return near.select("thread_id", F.row_number().over(W.orderBy("dist", "chunk_id")).cast("long").alias("rank"), "chunk_id", *PLACE[1:])
+
+    def _evidence(self, chunks: DataFrame, wanted: DataFrame, per_thread: int = fusion.EVIDENCE) -> DataFrame:
+        """(thread_id, evidence) of few ranked chunks for wanted threads; texts of those alone are read."""
+        picked = fusion.evidence(chunks.join(wanted.select("thread_id").distinct(), "thread_id", "left_semi"), "thread_id", per_thread).drop("place").collect()  # chunks of one lane
+        rows = self.chunks.sparkSession.createDataFrame(picked, chunks.schema)
+        texts = self.chunks.where(F.col("chunk_id").isin([r["chunk_id"] for r in picked])).select("chunk_id", "text")
+        return fusion.evidence_of(rows.join(texts, "chunk_id").select("thread_id", "rank", "chunk_id", *PLACE[1:], "text"), wanted, per_thread)
 
     def hybrid_search(self, query: str, vector: Sequence[float], filters: Filters = Filters(), limit: int = 10, with_evidence: bool = False, reranker: Reranker | None = None) -> DataFrame:
         """Keyword lanes fused with thread and chunk vectors; evidence: the chunks of the chunk lane, three a thread at most."""
         candidates = reranker.candidates if reranker else 0
         fetch = fusion.fetch_limit(limit, candidates, filters)
-        lanes = [self.lexical(query, fetch, filters).select("id", "rank"), fusion.vector_lane(self.thread_vectors, "thread_id", "embedding", vector, fetch)]
-        chunks = None
+        place = F.row_number().over(W.orderBy("dist", "thread_id")).cast("long")
+        jobs = [*self._lexical_lanes(query, fetch, filters), lambda: self._near(vector, fetch).select(F.col("thread_id").alias("id"), place.alias("rank"))]
         if self.chunks is not None:
-            chunks = self.chunk_lane(vector, fetch * fusion.OVERSAMPLE_CHUNKS)
-            lanes.append(fusion.lift_chunks(chunks, "thread_id"))
-        found = self._results(fusion.rrf(lanes), filters, max(limit, candidates))
+            jobs.append(lambda: self.chunk_lane(vector, fetch * fusion.OVERSAMPLE_CHUNKS))
+        lanes = side_by_side(jobs)
+        chunks = lanes.pop() if self.chunks is not None else None
+        fused = [_fused(lanes[:-1], fetch).select("id", "rank"), lanes[-1]]
+        if chunks is not None:
+            fused.append(fusion.lift_chunks(chunks, "thread_id"))
+        found = self._results(fusion.rrf(fused), filters, max(limit, candidates))
         if chunks is not None and (with_evidence or reranker):
-            best = fusion.evidence_of(chunks.select("thread_id", "rank", "chunk_id", "chunk_index", "char_start", "char_end", "text"), found)
+            found = side_by_side([lambda: found])[0]  # as many rows as asked for
+            best = self._evidence(chunks, found)
             found = found.join(best, "thread_id", "left").orderBy(F.round("score", 12).desc(), "first_lane", "first_rank", "thread_id")
         if reranker is None:
             return found
@@ -119,7 +169,7 @@ class Mailbox:
 
     def evidence_for(self, thread_ids: DataFrame, vector: Sequence[float], per_thread: int = fusion.EVIDENCE, pool: int = fusion.EVIDENCE_POOL) -> DataFrame:
         """(thread_id, evidence) of given threads, from the ``pool`` nearest chunks of all."""
-        return fusion.evidence_of(self.chunk_lane(vector, pool).select("thread_id", "rank", "chunk_id", "chunk_index", "char_start", "char_end", "text"), thread_ids, per_thread)
+        return self._evidence(side_by_side([lambda: self.chunk_lane(vector, pool)])[0], thread_ids, per_thread)
 
     def search_emails(
         self, query: str, mode: str = "hybrid", folders: Sequence[str] = (), from_addr: str | None = None, from_name: str | None = None, date_from: str | None = None, date_to: str | None = None,
