@@ -15,6 +15,11 @@ QUERIES = ["run", "cafe licensing", "alice@example.com", "x1 happy run", "nowher
 POOL = "Running runs runner cafés Café naïve relational conditional hopping hopeful goodness licenses licensed license flies fly happily happiness the of x1 2fa b-c alice@example.com".split()
 
 
+@pytest.fixture(autouse=True)
+def few_folders(monkeypatch):
+    monkeypatch.setattr(keyword, "LEAST_BUCKETS", 2)
+
+
 def said(r, n):
     return " ".join(r.choice(POOL) for _ in range(n))
 
@@ -73,9 +78,9 @@ def test_updates_equal_a_fresh_build(spark):
 def test_an_update_reads_its_own_folders(spark):
     rows = {i: ("o", f"word{i} common", "") for i in range(400)}
     index = KeywordIndex.build(fresh(spark, rows), "id", "a", "b", carry=("owner",))
-    plan = index._forward([3]).join(spark.range(1).select(F.col("id")), "id", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    plan = index._forward([1]).join(spark.range(1).select(F.col("id")), "id", "left_semi")._jdf.queryExecution().executedPlan().toString()
     assert "postings" not in plan and "PartitionFilters: [isnotnull(id_bucket" in plan
-    files = {p for p in index._forward([3]).inputFiles() if "id_bucket=3" in p}
+    files = {p for p in index._forward([1]).inputFiles() if "id_bucket=1" in p}
     assert len(files) <= 2
 
 
@@ -114,3 +119,32 @@ def test_empty_indexes_and_phrases(spark):
     assert (bare.rows, bare.mean) == (2, 0.0)
     assert bare.bm25("alice").count() == 0 and keyword.phrase_rows(bare, "a b").count() == 0 and keyword.phrase_rows(bare, "!!").count() == 0
     assert query_phrases("!!") == [] and bare.update(spark.createDataFrame([(2, "alice")], "id long, t string")).bm25("alice").count() == 1
+
+
+def test_mailbox_is_kept_up(spark):
+    """Upserts and reaps leave rows, vectors, chunks and keyword index as if the mailbox had been made of what is left."""
+    from datetime import datetime, timedelta
+
+    from threadloom.operators import search, threads
+
+    day = datetime(2024, 1, 1)
+    data = [(f"m{i}", f"t{i % 4}", f"Re: topic {i % 4}", "INBOX", "Al <a@x.org>", ["Al <a@x.org>"], day + timedelta(days=i), f"body word{i} common", False) for i in range(12)]
+    mails = spark.createDataFrame(data, "message_id string, thread_id string, subject string, folder string, from_addr string, addresses array<string>, date timestamp_ntz, body string, has_attachments boolean")
+    chunks = mails.selectExpr("concat('k', message_id) AS chunk_id", "message_id", "thread_id", "0 AS chunk_index", "0 AS char_start", "9 AS char_end", "body AS text", "array(cast(substr(message_id, 2) AS double), 1D) AS embedding")
+    vectors = spark.createDataFrame([(f"t{i}", [1.0, float(i)]) for i in range(4)], "thread_id string, embedding array<double>")
+
+    def box_of(rows):
+        made = threads.thread_rows(rows)
+        return search.Mailbox(made, KeywordIndex.build(search.indexed(made), "thread_id", "subject", "_people", "body_text"), vectors, chunks)
+
+    early = mails.where("cast(substr(message_id, 2) AS int) < 7")
+    box = box_of(early).upsert(mails)
+    assert {r.thread_id: len(r.message_ids) for r in box.threads.collect()} == {f"t{i}": 3 for i in range(4)}
+    assert [r.id for r in box.thread_index.bm25("word11").collect()] == ["t3"]
+    gone = mails.where("thread_id = 't1' OR message_id = 'm3'").select("message_id")
+    left = box.reap(mails, gone, 2)
+    whole = box_of(mails.join(gone, "message_id", "left_anti"))
+    assert {r.thread_id for r in left.threads.collect()} == {"t0", "t2", "t3"} and left.chunks.where("message_id = 'm3' OR thread_id = 't1'").count() == 0
+    assert left.thread_index.rows == 3 and left.thread_index.bm25("word3 word1").count() == 0
+    assert {r.id for r in left.thread_index.bm25("common word7").collect()} == {r.id for r in whole.thread_index.bm25("common word7").collect()}
+    assert {r.thread_id for r in left.thread_vectors.collect()} == {"t0", "t2", "t3"}

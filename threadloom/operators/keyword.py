@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -203,12 +204,14 @@ class KeywordIndex:
             rows = rows.repartitionByRange(max(self.buckets, size // BUCKET_BYTES), "bucket", "term", "tier", "id")
         else:
             rows = rows.repartition(self.buckets, "bucket")
-        rows.sortWithinPartitions("bucket", "term", "tier", "id").write.partitionBy("bucket").parquet(self._at(name, "postings"))
+        rows = rows.sortWithinPartitions("bucket", "term", "tier", "id").write.partitionBy("bucket")
         weight = _weight(F.col("tf"), F.col("length"), mean)
         terms = found.where("term IS NOT NULL").withColumn("tier", tier).groupBy("term", "tier").agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("most"))
-        terms.repartition(max(1, size // BUCKET_BYTES), "term").sortWithinPartitions("term", "tier").write.parquet(self._at(name, "terms"))
+        terms = terms.repartition(max(1, size // BUCKET_BYTES), "term").sortWithinPartitions("term", "tier").write
         forward = found.groupBy("id", "length").agg(F.collect_list("term").alias("terms"), F.count_if(F.col("term").isNull()).alias("rows"))
-        forward.withColumn("id_bucket", self._id_bucket()).repartition(self.buckets, "id_bucket").sortWithinPartitions("id_bucket", "id").write.partitionBy("id_bucket").parquet(self._at(name, "forward"))
+        forward = forward.withColumn("id_bucket", self._id_bucket()).repartition(self.buckets, "id_bucket").sortWithinPartitions("id_bucket", "id").write.partitionBy("id_bucket")
+        with ThreadPoolExecutor(3) as pool:
+            list(pool.map(lambda x: x[0].parquet(self._at(name, x[1])), ((rows, "postings"), (terms, "terms"), (forward, "forward"))))
 
     def _remove(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,22 +3,19 @@
 Two ways of threading.  ``linked`` connects messages by their headers whatever their order
 of arrival.  ``arrival`` is the ordered fold: a message joins the thread of the first
 ancestor already seen, else one with its subject in its folder (newest first, ten at most,
-a participant in common, within 60 days), else it starts one; threads never merge.  The
-fold runs for each component of header and (folder, subject) edges: threads of different
-components cannot meet, so components are independent tasks.
+a participant in common, within 60 days), else it starts one; threads never merge.  See
+:mod:`threadloom.operators.arrival`.
 """
 
 from __future__ import annotations
 
-from datetime import timedelta
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import canonical_addr, normalize_subject, trimmed, truncate_to_tokens
 from threadloom.functions.vectors import thread_vectors
+from threadloom.operators import arrival
 from threadloom.sources.shared import shared_dir
 
 #: Days and number of candidates of the subject fallback; characters of a message in a thread's texts; tokens of these.
@@ -178,29 +175,6 @@ def linked_threads(messages: DataFrame) -> DataFrame:
     return rows.join(name, "root").select("message_id", "thread_id")
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["arrival", "message_id"], kind="stable")
-    home: dict[str, str] = {}
-    threads: dict[str, dict] = {}
-    by_subject: dict[tuple, list[str]] = {}
-    for row in group.itertuples(index=False):
-        refs = [] if row.references is None else list(row.references)
-        ancestors = ([row.in_reply_to] if row.in_reply_to else []) + refs[::-1]
-        found = next((home[a] for a in ancestors if a in home), None)
-        people = set(row.people if row.people is not None else ())
-        if found is None:
-            near = sorted(by_subject.get((row.folder, row.norm_subject), []), key=lambda t: threads[t]["last"], reverse=True)[:SUBJECT_CANDIDATES]
-            found = next((t for t in near if people & threads[t]["people"] and abs(row.date - threads[t]["last"]) <= timedelta(days=SUBJECT_DAYS)), None)
-        if found is None:
-            found = row.message_id
-            threads[found] = {"people": set(), "last": row.date}
-            by_subject.setdefault((row.folder, row.norm_subject), []).append(found)
-        threads[found]["people"] |= people
-        threads[found]["last"] = max(threads[found]["last"], row.date)
-        home[row.message_id] = found
-    return pd.DataFrame({"message_id": list(home), "thread_id": list(home.values())})
-
-
 def subject_candidates(threads: DataFrame, messages: DataFrame, days: int = SUBJECT_DAYS, most: int = SUBJECT_CANDIDATES) -> DataFrame:
     """(message_id, thread_id): the thread of a message's subject and folder that it may join: of the ``most`` newest, the newest
     with a participant in common and not more than ``days`` away.
@@ -217,18 +191,5 @@ def subject_candidates(threads: DataFrame, messages: DataFrame, days: int = SUBJ
 
 
 def arrival_threads(messages: DataFrame) -> DataFrame:
-    """(message_id, thread_id) by the ordered fold; ``arrival`` orders messages, ``addresses`` lists their people.
-
-    A message's subject ties it only to the next ones of its folder and subject within ``SUBJECT_DAYS``: a thread's last date
-    is a message's date, so over a longer gap no fallback reaches.  A message without a date has the newest date of all.
-    """
-    rows = messages.withColumn("norm_subject", normalize_subject(F.col("subject"))).withColumn("people", F.filter(F.transform("addresses", canonical_addr), lambda x: x != ""))
-    newest = rows.agg(F.max("date").alias("_newest"))  # one row
-    rows = rows.crossJoin(F.broadcast(newest)).withColumn("date", F.coalesce("date", "_newest", F.lit("1970-01-01").cast(rows.schema["date"].dataType))).drop("_newest")
-    series = W.partitionBy("folder", "norm_subject").orderBy("date", "message_id")
-    before = rows.select(F.col("message_id").alias("a"), F.lag("message_id").over(series).alias("b"), "date", F.lag("date").over(series).alias("was"))
-    near = before.where(F.col("b").isNotNull() & (F.col("date") <= F.col("was") + F.make_dt_interval(days=F.lit(SUBJECT_DAYS)))).select("a", "b")
-    edges = header_edges(rows).select(F.col("message_id").alias("a"), F.col("parent").alias("b")).union(near)
-    parts = components(rows.select(F.col("message_id").alias("id")), edges)
-    joined = rows.join(parts, F.col("message_id") == F.col("id")).select("root", "arrival", "message_id", "in_reply_to", "references", "folder", "norm_subject", "people", "date")
-    return joined.groupBy("root").applyInPandas(_fold, "message_id string, thread_id string")
+    """(message_id, thread_id) by the ordered fold; ``arrival`` orders messages, ``addresses`` lists their people."""
+    return arrival.arrival_threads(messages, SUBJECT_DAYS, SUBJECT_CANDIDATES)
