@@ -22,6 +22,7 @@ from threadloom.operators.fusion import Filters, Reranker
 from threadloom.operators.keyword import KeywordIndex, like_fallback
 from threadloom.operators.rag import clamp
 from threadloom.operators.vector_index import VectorIndex
+from threadloom.sources.shared import written
 
 #: The most threads that one search returns, and the modes of a search.
 MOST_RESULTS, MODES = 50, ("hybrid", "semantic", "keyword")
@@ -79,7 +80,7 @@ class Mailbox:
     def upsert(self, messages: DataFrame) -> Mailbox:
         """The mailbox after new messages of known or new threads: only their threads are made anew, and only these are indexed."""
         touched = messages.select("thread_id").distinct()
-        grown = merge.upsert_threads(self.threads.join(touched, "thread_id", "left_semi"), messages)
+        grown = written(merge.upsert_threads(self.threads.join(touched, "thread_id", "left_semi"), messages), "grown")
         kept = self.threads.join(touched, "thread_id", "left_anti")
         return replace(self, threads=kept.unionByName(grown), thread_index=self.thread_index.update(indexed(grown)))
 
@@ -89,6 +90,7 @@ class Mailbox:
         gone = removed.select("message_id").distinct()
         touched = messages.join(gone, "message_id", "left_semi").select("thread_id").distinct()
         left, vectors = threads.reap_threads(self.threads, messages, removed, self.chunks, self.thread_vectors, dim, backend)
+        left, vectors = written(left, "threads"), written(vectors, "vectors")
         fresh = left.join(touched, "thread_id", "left_semi")
         index = self.thread_index.update(indexed(fresh), touched.select(F.col("thread_id").alias("id")))
         return replace(self, threads=left, thread_vectors=vectors, chunks=self.chunks.join(gone, "message_id", "left_anti"), thread_index=index)

@@ -14,7 +14,7 @@ from threadloom.operators import attachments, fusion, lookups, merge, queue, rag
 from threadloom.operators.keyword import KeywordIndex
 from threadloom.plans.catalog import BLOCK, BODIES, DIST, MAIL, PROBE, REDACTED, bm25_sql, mail, once, query, table
 from threadloom.sources.mail import parse_mail
-from threadloom.sources.shared import fresh_dir, spread
+from threadloom.sources.shared import fresh_dir, spread, written
 from threadloom.sources.snapshot import Snapshots
 from threadloom.streaming.ingest import windowed_counts
 
@@ -208,7 +208,7 @@ SELECT id AS thread_id, round(score, 6) AS score FROM k""")
 def index_upsert(spark, d):
     """An index of threads as they began, then their later messages, then threads that go."""
     rows = messages(spark, d)
-    before = threads.thread_rows(rows.where(_early(rows)))
+    before = written(threads.thread_rows(rows.where(_early(rows))), "early")
     box = search.Mailbox(before, KeywordIndex.build(search.indexed(before), "thread_id", "subject", "_people", "body_text")).upsert(rows)
     index = box.thread_index.update(deleted=rows.where(REAPED).select(F.col("thread_id").alias("id")).distinct())
     return index.bm25(QUESTION).select(F.col("id").alias("thread_id"), F.round("score", 6).alias("score"))

@@ -38,3 +38,16 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over enough tasks for work on its texts: a small file is one split, whatever its texts cost."""
     size = expected_bytes(df)
     return df.repartition(size // TASK_BYTES + 1) if TASK_BYTES < size < LARGE else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what reads it several times does not make it again."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
