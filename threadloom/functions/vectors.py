@@ -87,9 +87,10 @@ def fetch_vectors(vectors: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 def thread_vectors(threads: DataFrame, chunks: DataFrame, prior: DataFrame | None, dim: int, backend: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """(thread_id, embedding, origin): the mean of a thread's chunks, else its earlier vector if that is not zero, else its subject's, else zero.
 
-    ``threads`` has thread_id and subject, ``chunks`` thread_id and embedding, ``prior`` thread_id and embedding.
+    ``threads`` has thread_id and subject, ``chunks`` thread_id and embedding, ``prior`` thread_id and embedding.  A chunk's vector of
+    another length than ``dim`` is an error.
     """
-    means = mean_vector(chunks, ["thread_id"], "embedding").withColumnRenamed("embedding", "_mean")
+    means = mean_vector(with_dimension(chunks, "embedding", dim), ["thread_id"], "embedding").withColumnRenamed("embedding", "_mean")
     rows = threads.select("thread_id", "subject").join(means, "thread_id", "left")
     if prior is None:
         rows = rows.withColumn("_prior", F.lit(None).cast("array<double>"))

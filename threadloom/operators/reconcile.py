@@ -75,9 +75,3 @@ def reap(messages: DataFrame, tombstones: DataFrame, now: Column, grace_days: in
     many = doomed.agg(F.count_if(F.col("_due")).alias("_many")).crossJoin(total)  # one row
     allowed = F.lit(force) | (F.col("_many") <= F.greatest(F.lit(BATCH_FLOOR), F.floor(F.col("_total") * percent / 100)))
     return doomed.crossJoin(F.broadcast(many)).where(F.col("_due").isNull() | ~allowed).select(*messages.columns)
-
-
-def surviving_threads(messages: DataFrame, survivors: DataFrame) -> DataFrame:
-    """(thread_id, left): messages left in each thread; 0 means that the thread goes."""
-    left = survivors.groupBy("thread_id").agg(F.count(F.lit(1)).alias("left"))
-    return messages.select("thread_id").distinct().join(left, "thread_id", "left").select("thread_id", F.coalesce("left", F.lit(0)).alias("left"))

@@ -400,11 +400,20 @@ def sweep_counts(spark, d):
     return reconcile.sweep(indexed.drop("m"), listing, indexed.where("m = 3").select("filepath")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id FROM documents WHERE NOT (doc_id % 40 = 1) UNION ALL SELECT doc_id FROM documents WHERE doc_id % 40 = 1 AND (SELECT count(*) FILTER (WHERE doc_id % 40 = 1) > greatest(10, floor(count(*) * 5 / 100)) FROM documents)")
+_REAPED = """SELECT doc_id, '{0}' AS marked FROM documents WHERE doc_id % {1} <> 1 OR (SELECT count(*) FILTER (WHERE doc_id % {1} = 1) > greatest(10, floor(count(*) * 5 / 100)) FROM documents)"""
+
+
+@query(f"{_REAPED.format('few', 40)} UNION ALL {_REAPED.format('many', 10)}")
 def reap_brake(spark, d):
+    """A fortieth of the messages may go; a tenth is too many at once, so all stay."""
     rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("filepath"))
-    marks = rows.where("doc_id % 40 = 1").select("filepath", F.lit("2024-01-01").cast("timestamp").alias("marked_at"))
-    return reconcile.reap(rows, marks, F.lit("2024-02-01").cast("timestamp")).select("doc_id")
+    old, now = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")
+
+    def left(marked: str, every: int) -> DataFrame:
+        marks = rows.where(F.col("doc_id") % every == 1).select("filepath", old.alias("marked_at"))
+        return reconcile.reap(rows, marks, now).select("doc_id", F.lit(marked).alias("marked"))
+
+    return left("few", 40).unionByName(left("many", 10))
 
 
 @query("SELECT event_type AS stage, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM events GROUP BY event_type")

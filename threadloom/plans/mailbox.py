@@ -5,14 +5,13 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.functions import vectors as V
 from threadloom.operators import attachments, fusion, lookups, merge, queue, rag, reconcile, search, threads
 from threadloom.operators.keyword import KeywordIndex
-from threadloom.plans.catalog import BLOCK, BODIES, DIST, MAIL, PROBE, REDACTED, bm25_sql, mail, once, query, table
+from threadloom.plans.catalog import BLOCK, BODIES, MAIL, PROBE, REDACTED, bm25_sql, mail, once, query, table
 from threadloom.sources.mail import parse_mail
 from threadloom.sources.shared import fresh_dir, spread, written
 from threadloom.sources.snapshot import Snapshots
@@ -241,14 +240,22 @@ def reap_vectors(spark, d):
     return vectors.select("thread_id", F.round(F.get("embedding", 0), 6).alias("first"), F.round(F.get("embedding", 63), 6).alias("last"))
 
 
-@query(f"""WITH {MAIL}, {CHUNKS}, t AS (SELECT DISTINCT thread_id, CAST(substr(thread_id, 2) AS BIGINT) AS n FROM mail), k AS (SELECT DISTINCT thread_id FROM chunks WHERE CAST(substr(thread_id, 2) AS BIGINT) % 3 = 0)
-SELECT thread_id, CASE WHEN k.thread_id IS NOT NULL THEN 'chunks' WHEN n % 3 = 1 AND n IN (SELECT vec_id FROM embeddings) THEN 'prior' ELSE 'none' END AS origin FROM t LEFT JOIN k USING (thread_id)""")
+_SCALED = "CASE WHEN norm = 0 OR abs(norm - 1) <= 1e-6 THEN {0} ELSE {0} / norm END"
+
+
+@query(f"""WITH {MAIL}, {CHUNKS}, t AS (SELECT DISTINCT thread_id, CAST(substr(thread_id, 2) AS BIGINT) AS n FROM mail),
+m AS (SELECT thread_id, i, avg(x) AS x FROM (SELECT thread_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM chunks WHERE CAST(substr(thread_id, 2) AS BIGINT) % 3 = 0) GROUP BY ALL),
+p AS (SELECT 'c' || vec_id AS thread_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 3 = 1),
+v AS (SELECT thread_id, 'chunks' AS origin, sqrt(sum(x * x)) AS norm, max(x) FILTER (WHERE i = 1) AS a, max(x) FILTER (WHERE i = 64) AS z FROM m GROUP BY thread_id
+  UNION ALL SELECT thread_id, 'prior', sqrt(sum(x * x)), max(x) FILTER (WHERE i = 1), max(x) FILTER (WHERE i = 64) FROM p GROUP BY thread_id)
+SELECT t.thread_id, coalesce(origin, 'none') AS origin, round(coalesce({_SCALED.format("a")}, 0.0), 5) AS first, round(coalesce({_SCALED.format("z")}, 0.0), 5) AS last FROM t LEFT JOIN v USING (thread_id)""")
 def thread_vector(spark, d):
     rows = mail(spark, d).select("thread_id", "subject").dropDuplicates(["thread_id"])
     third = F.expr("CAST(substr(thread_id, 2) AS BIGINT) % 3")
     prior = table(spark, d, "embeddings").select(F.concat(F.lit("c"), "vec_id").alias("thread_id"), "embedding").where(third == 1)
     zero = prior.select("thread_id", F.transform("embedding", lambda x: x * 0).alias("embedding")).withColumn("thread_id", F.concat(F.lit("c"), F.expr("CAST(substr(thread_id, 2) AS BIGINT) + 1")))
-    return V.thread_vectors(rows, chunk_table(spark, d).where(third == 0), prior.unionByName(zero), 64).select("thread_id", "origin")
+    found = V.thread_vectors(rows, chunk_table(spark, d).where(third == 0), prior.unionByName(zero), 64)
+    return found.select("thread_id", "origin", F.round(F.get("embedding", 0), 5).alias("first"), F.round(F.get("embedding", 63), 5).alias("last"))
 
 
 @query(f"""WITH {MAIL}, f AS (SELECT thread_id, CASE WHEN message_id LIKE '%-0' THEN 'list' ELSE addr END AS k, min((date, message_id)) AS m, arg_min(CASE WHEN message_id LIKE '%-0' THEN ' LIST ' ELSE from_addr END, (date, message_id)) AS who FROM mail GROUP BY ALL)
