@@ -315,23 +315,26 @@ def test_substring_dedup_matches_brute_force(spark, docs, nothing, odd):
     pool = [" ".join(r.choice(["alpha", "Beta", "gamma", "delta-x", "eps"]) for _ in range(r.randint(3, 30))) + r.choice([". ", "!\t", "?\n", "\n", ".x ", "。"]) for _ in range(40)]
     rows = ROWS + [(100 + i, "".join(r.choice(pool) for _ in range(r.randint(1, 12))), "en", "a", 1) for i in range(60)]
     key = lambda x: " ".join(words(lower(x)))
-    seen, dropped = set(), 0
+    size = lambda k: max(len(k.split(" ")), len(k) // substring_dedup.WORD_CHARS) if k else 0
+    seen, dropped, single = set(), 0, 0
     got = {r.doc_id: r for r in substring_dedup.dedup_units(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     for i, text, *_ in sorted(rows, key=lambda r: r[0]):
-        kept, spans, at = [], [], 0
-        for unit in sentence_units(text or ""):
-            k = key(unit)
-            big = len(k.split(" ")) >= substring_dedup.MIN_WORDS or len(k) >= substring_dedup.MIN_CHARS
-            if big and k in seen:
-                spans.append(f"{at}-{at + len(unit)}")
-            else:
-                kept.append(unit)
-            if big:
-                seen.add(k)
-            at += len(unit)
-        assert (got[i].text, got[i].spans, got[i].n_units) == ("".join(kept), ",".join(spans), len(sentence_units(text or ""))) or (text is None and got[i].text == "")
+        cut = sentence_units(text or "")
+        keys, gone = [key(u) for u in cut], set()
+        for a in range(len(cut)):
+            ends = [b for b in range(a + 1, len(cut) + 1) if sum(map(size, keys[a:b])) >= substring_dedup.MIN_WORDS]
+            if ends and keys[a]:
+                run = " ".join(keys[a : ends[0]])
+                if run in seen:
+                    gone |= set(range(a, ends[0]))
+                    single += ends[0] == a + 1
+                seen.add(run)
+        places = [sum(map(len, cut[:a])) for a in range(len(cut))]
+        spans = [f"{places[a]}-{places[a] + len(cut[a])}" for a in sorted(gone)]
+        kept = "".join(u for a, u in enumerate(cut) if a not in gone)
+        assert (got[i].text, got[i].spans, got[i].n_units) == (kept, ",".join(spans), len(cut)) or (text is None and got[i].text == "")
         dropped += len(spans)
-    assert dropped > 50
+    assert single > 20 and dropped > single
     assert substring_dedup.dedup_units(nothing).count() == 0
     got = substring_dedup.dedup_units(odd).collect()
     assert len(got) == 5 and all(r.text == (t or "") for r, t in zip(sorted(got, key=lambda r: r.kept), ["some text here to keep as it is", "", *["again and again the same"] * 2, "again and again the same"], strict=False))
@@ -341,10 +344,31 @@ def test_substring_dedup_takes_units_without_spaces(spark):
     han, thai = "人工智能正在改变世界" * 4, "ประเทศไทยมีชาย" * 3
     units = [han, thai, "https://example.com/" + "a/very/long/path" * 10, "QUJD" * 50 + "=="]
     short = ["人工", "one two three four", "x" * 159, " ".join("w" * 15)]
-    df = spark.createDataFrame([(i, "\n".join([f"only in row {i} of this small table", *units, *short])) for i in (1, 2)], "doc_id long, text string")
+    own = lambda i, k: f"only in row {i} at {k} of this table"
+    df = spark.createDataFrame([(i, "\n".join(x for k, u in enumerate([*units, *short]) for x in (own(i, k), u))) for i in (1, 2)], "doc_id long, text string")
     got = {r.doc_id: r for r in substring_dedup.dedup_units(df).collect()}
     assert (got[1].n_dropped, got[2].n_dropped) == (0, len(units))
-    assert got[2].text.split("\n")[1:] == short
+    assert got[2].text.split("\n") == [*[own(2, k) for k in range(4)], *[x for k, u in enumerate(short, 4) for x in (own(2, k), u)]]
+
+
+def test_substring_dedup_finds_passages_wherever_they_stand(spark):
+    """A passage of 51 words that another document has before is caught; documents without a repeated one of 20 words stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((x.doc_id, words(lower(x.text or ""))) for x in docs.collect())
+    windows = lambda w, n: {hash(tuple(w[k : k + n])) for k in range(len(w) - n + 1)}
+    held, later, often, seen = set(), set(), set(), set()
+    for i, w in rows:
+        here = windows(w, 51)
+        if here & held:
+            later.add(i)
+        held |= here
+        short = [hash(tuple(w[k : k + 20])) for k in range(len(w) - 19)]
+        if len(set(short)) < len(short) or seen & set(short):
+            often.add(i)
+        seen |= set(short)
+    cut = {x.doc_id for x in substring_dedup.dedup_units(docs).where("n_dropped > 0").collect()}
+    assert len(later) > 50 and len(cut & later) >= 0.95 * len(later)
+    assert len(cut - often) <= 0.01 * len(rows)
 
 
 def test_token_output_round_trip(spark, docs, nothing, odd, tmp_path):

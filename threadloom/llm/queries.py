@@ -153,8 +153,18 @@ WITH l AS (
 ), s AS (
   SELECT *, length(key) - length(replace(key, ' ', '')) + 1 AS words,
     length(regexp_replace(key, '[^\\x{{0E00}}-\\x{{0EFF}}\\x{{1000}}-\\x{{109F}}\\x{{1780}}-\\x{{17FF}}\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{20000}}-\\x{{3FFFF}}]', '', 'g')) AS dense FROM k
+), w AS (
+  SELECT *, CASE WHEN key = '' THEN 0 ELSE greatest(words + dense // 2, length(key) // {substring_dedup.WORD_CHARS}) END AS own FROM s
+), c AS (SELECT *, CAST(sum(own) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM w
+), e AS (
+  SELECT a.doc_id, a.i, min(b.i) AS j FROM c a ASOF JOIN c b ON a.doc_id = b.doc_id AND a.upto - a.own + {substring_dedup.MIN_WORDS} <= b.upto
+  WHERE a.own > 0 GROUP BY ALL
+), g AS (
+  SELECT c.*, e.j, md5(string_agg(key, ' ') OVER (PARTITION BY c.doc_id ORDER BY c.i ROWS BETWEEN CURRENT ROW AND (coalesce(e.j, c.i) - c.i) FOLLOWING)) AS run
+  FROM c LEFT JOIN e USING (doc_id, i)
+), h AS (SELECT *, j IS NOT NULL AND row_number() OVER (PARTITION BY j IS NULL, run ORDER BY doc_id, i) > 1 AS again FROM g
 ), d AS (
-  SELECT *, (words + dense // 2 >= {substring_dedup.MIN_WORDS} OR length(key) >= {substring_dedup.MIN_CHARS}) AND row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1 AS gone FROM s
+  SELECT *, coalesce(max(CASE WHEN again THEN j END) OVER (PARTITION BY doc_id ORDER BY i) >= i, false) AS gone FROM h
 )
 SELECT t.doc_id, count(d.i) AS n_units, count(*) FILTER (WHERE gone) AS n_dropped,
   coalesce(string_agg(CAST(pos AS VARCHAR) || '-' || CAST(pos + length(unit) AS VARCHAR), ',' ORDER BY i) FILTER (WHERE gone), '') AS spans,

@@ -1,20 +1,23 @@
-"""Substring dedup by hashing units: the sentences of lines, or lines that have none.
+"""Substring dedup by hashing paragraphs: runs of whole sentences or lines.
 
 A text is cut behind line ends and behind sentence ends (. ! ? and white space, or an
 ideographic full stop), with the white space that follows.  Every unit is normalised (A-Z
-lower-cased, white space squeezed) and hashed; digests are grouped globally by an aggregation
-that combines on the map side, so a unit that a third of all rows hold costs one row for each
-map task.  The occurrence of the lowest rank (doc_id, then position) stays, all later ones go,
-and their offsets in the original text are returned; what stays is joined as it stood.
-
-Only units of ``min_words`` words or more are grouped: shorter ones repeat by chance in clean
-text.  A unit of ``min_chars`` code points counts whatever its words, as URLs, tables and
-encoded blocks have few spaces; in scripts without spaces two code points count as a word.
-
-Defined results: a null or empty text has no unit; of rows with equal doc_id, each keeps the
-unit that they are the first to hold; a null doc_id ranks last; very long texts are taken
-whole, one at a time; an empty table gives an empty table; other columns pass through, those
-named like a result column are replaced.
+lower-cased, white space squeezed).  A paragraph begins at each unit and is the shortest run
+of units from there that weighs ``min_words`` words; its digest is grouped globally by an
+aggregation that combines on the map side, so a paragraph that a third of all rows hold costs
+one row for each map task.  The occurrence of the lowest rank (doc_id, then position) stays;
+the units of all later ones go, their offsets in the original text are returned, and what
+stays is joined as it stood.  As paragraphs begin everywhere, a passage is found wherever it
+was put, whatever stands before it and however its lines were broken.
+
+Weights: a unit weighs its words, where in scripts without spaces two code points count as a
+word; one with few spaces (a URL, a table, an encoded block) weighs a word for eight code points.
+Runs below ``min_words`` repeat by chance in clean text.
+
+Defined results: a null or empty text has no unit, and a text below ``min_words`` no paragraph;
+of rows with equal doc_id, each keeps the paragraph that they are the first to hold; a null
+doc_id ranks last; very long texts are taken whole, one at a time; an empty table gives an
+empty table; other columns pass through, those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm._common import LOWER, Scratch, free_names, ids_and_text, own_columns, slices, text_buffer
-from threadloom.llm._lines import digest, long_enough, squeeze_key
+from threadloom.llm._lines import digest, squeeze_key
 
-#: The least size of a unit, in words or in code points.
-MIN_WORDS, MIN_CHARS = 16, 160
+#: The least weight of a paragraph, and the code points that weigh a word where there are few spaces.
+MIN_WORDS, WORD_CHARS = 20, 8
 #: What ends a unit (UTF-8; the ideographic full stop, exclamation and question mark are three bytes each).
 _END = re.compile(rb"(?:[.!?][ \t\x0b\x0c\r]|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|\n)[ \t\n\x0b\x0c\r]*")
 #: Thai, Lao, Burmese, Khmer, kana and Han.
@@ -51,11 +54,34 @@ def units(text: bytes) -> Iterator[tuple[int, int]]:
         yield start, len(text)
 
 
-def wanted_unit(key: bytes, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> bool:
-    words = key.count(b" ") + 1
-    if words >= min_words or long_enough(key, min_chars):
-        return True
-    return not key.isascii() and words + len(_UNSPACED.findall(key.decode("utf-8", "replace"))) // 2 >= min_words
+def weight(key: bytes) -> int:
+    """Words of a normalised unit."""
+    if not key:
+        return 0
+    words, chars = key.count(b" ") + 1, len(key)
+    if not key.isascii():
+        text = key.decode("utf-8", "replace")
+        words, chars = words + len(_UNSPACED.findall(text)) // 2, len(text)
+    return max(words, chars // WORD_CHARS)
+
+
+def paragraphs(low: bytes, min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int]], list[tuple[int, bytes | None]]]:
+    """Units of a text in lower case, and for each the end (exclusive) and digest of the paragraph that begins with it.
+
+    The digest is None where no paragraph begins: at a blank unit, or too near to the end.
+    """
+    cut = list(units(low))
+    keys = [squeeze_key(low[a:b]) for a, b in cut]
+    weights = [weight(k) for k in keys]
+    found, end, total = [], 0, 0
+    for i, own in enumerate(weights):
+        while end < len(cut) and total < min_words:
+            total += weights[end]
+            end += 1
+        whole = own and total >= min_words
+        found.append((end, digest(keys[i] if end == i + 1 else b" ".join(keys[i:end])) if whole else None))
+        total -= own
+    return cut, found
 
 
 def _texts(part: pa.Array) -> Iterator[tuple[bytes, bytes]]:
@@ -67,16 +93,15 @@ def _texts(part: pa.Array) -> Iterator[tuple[bytes, bytes]]:
         yield plain[a:b], low[a:b]
 
 
-def _digests(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
-    """(doc_id, key): the distinct wanted units of each row."""
+def _digests(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, key): the distinct paragraphs of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 ids, keys = [], []
                 for doc_id, (_, low) in zip(part.column("doc_id").to_pylist(), _texts(part.column("text")), strict=True):
-                    squeezed = (squeeze_key(low[a:b]) for a, b in units(low))
-                    found = {digest(k) for k in squeezed if wanted_unit(k, min_words, min_chars)}
+                    found = {key for _, key in paragraphs(low, min_words)[1] if key is not None}
                     ids += [doc_id] * len(found)
                     keys += found
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "key"])
@@ -84,8 +109,8 @@ def _digests(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key binary")
 
 
-def _cut(docs: DataFrame, later: DataFrame, min_words: int, min_chars: int) -> DataFrame:
-    """``docs`` without units whose digests ``later`` (doc_id, keys) names for them, and without a document's own repeats."""
+def _cut(docs: DataFrame, later: DataFrame, min_words: int) -> DataFrame:
+    """``docs`` without the paragraphs whose digests ``later`` (doc_id, keys) names for them, and without a document's own repeats."""
     passed = own_columns(docs, list(RESULT))
     id_, keys_ = free_names(docs, "id", "keys")
     right = later.select(F.col("doc_id").alias(id_), F.col("keys").alias(keys_))
@@ -99,21 +124,22 @@ def _cut(docs: DataFrame, later: DataFrame, min_words: int, min_chars: int) -> D
             for part in slices(batch, passed[place]):
                 texts, rows = [], []
                 for (text, low), gone in zip(_texts(part.column(place)), part.column(keys_).to_pylist(), strict=True):
-                    gone, seen, rest, spans, n, at = set(gone or ()), set(), [], [], 0, 0
-                    for a, b in units(low):
-                        n += 1
+                    known, rest, spans, at, until = set(gone or ()), [], [], 0, 0
+                    cut, found = paragraphs(low, min_words)
+                    for i, ((a, b), (end, key)) in enumerate(zip(cut, found, strict=True)):
+                        if key is not None:
+                            if key in known:
+                                until = end
+                            known.add(key)
                         size = len(text[a:b].decode("utf-8", "replace"))
-                        key = squeeze_key(low[a:b])
-                        mark = digest(key) if wanted_unit(key, min_words, min_chars) else None
-                        if mark is not None and (mark in gone or mark in seen):
+                        if i < until:
                             spans.append(f"{at}-{at + size}")
                         else:
                             rest.append(text[a:b])
-                        seen.add(mark)
                         at += size
                     whole = b"".join(rest)
                     texts.append(whole)
-                    rows.append((n, len(spans), ",".join(spans), hashlib.sha256(whole).hexdigest()))
+                    rows.append((len(cut), len(spans), ",".join(spans), hashlib.sha256(whole).hexdigest()))
                 columns = [part.column(i) for i in range(len(passed))]
                 columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
                 columns += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(RESULT.values())]
@@ -122,13 +148,13 @@ def _cut(docs: DataFrame, later: DataFrame, min_words: int, min_chars: int) -> D
     return joined.mapInArrow(run, schema)
 
 
-def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without repeated units, and n_units, n_dropped, spans ("start-end" in code points) and kept_sha256."""
+def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without repeated paragraphs, and n_units, n_dropped, spans ("start-end" in code points) and kept_sha256."""
     scratch = Scratch(docs.sparkSession, "substring-dedup")
-    found = scratch.save(_digests(ids_and_text(docs), min_words, min_chars), "units")
+    found = scratch.save(_digests(ids_and_text(docs), min_words), "paragraphs")
     rank = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     firsts = found.groupBy("key").agg(F.min(rank).alias("first_doc"), F.count(F.lit(1)).alias("n"))
-    # the first holder keeps the unit once; whether it repeats inside that document shows when it is cut
+    # the first holder keeps the paragraph once; whether it repeats inside that document shows when it is cut
     firsts = scratch.save(firsts.where("n > 1").select("key", "first_doc"), "firsts")
     later = found.join(firsts, "key").where(rank != F.col("first_doc")).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    return _cut(docs, later, min_words, min_chars)
+    return _cut(docs, later, min_words)
