@@ -31,11 +31,13 @@ def _hadoop_path(spark: SparkSession, path: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         base = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
