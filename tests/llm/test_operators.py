@@ -452,6 +452,33 @@ def test_very_long_texts(spark, tmp_path):
     assert (got.n_tokens, got.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
+def test_sentencepiece_cuts_scripts_without_spaces():
+    """Ids equal those of the search over whole runs; a line of Chinese is many short units."""
+    import time
+
+    coder = sentencepiece_codec.Viterbi(sentencepiece_codec.load_pieces(tokenizer_path("piece_bpe_32k.model")))
+    r = random.Random(4)
+    signs = ["的一是不了人我在有他这中大来上个国", "ประเทศไทยมีชาย", "カタカナひらがな", "abcDEF123", "éüß", "“”…—", "😀🎉", " \n\t", "абвг"]
+    texts = ["".join(r.choice(r.choice(signs)) for _ in range(r.randint(1, 80))) for _ in range(400)] + ["中" * 300, "", "的 的\n的", "\u2581中\u2581"]
+    got, offsets = coder.encode(pa.array(texts))
+    whole = sentencepiece_codec.Viterbi(coder.table)
+    whole._apart = lambda data: np.zeros(0, np.int64)
+    want, ends = whole.encode(pa.array(texts))
+    assert got.tolist() == want.tolist() and offsets.tolist() == ends.tolist()
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    points = sentencepiece_codec.code_points(data, np.flatnonzero((data & 0xC0) != 0x80))
+    assert points.tolist() == [ord(c) for c in "".join(texts)]
+
+    def rate(make) -> float:
+        text = "\n".join(make() for _ in range(2000))
+        start = time.process_time()
+        coder.encode(pa.array([text]))
+        return len(text.encode()) / (time.process_time() - start)
+
+    english = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(20_000)]
+    assert rate(lambda: "".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(r.randint(30, 900)))) > 0.1 * rate(lambda: " ".join(r.choice(english) for _ in range(150)))
+
+
 def test_sentencepiece_viterbi_and_round_trip(docs, nothing, odd):
     file = tokenizer_path("piece_bpe_32k.model")
     table = sentencepiece_codec.load_pieces(file)

@@ -10,8 +10,10 @@ and takes off the one in front.
 The search runs over distinct units.  A unit is a run of spaces and what follows it up to
 the next space, or a single newline: no piece has a marker after another character, and
 none holds a newline (the model is checked for both), so the best segmentation of a text
-is that of its units, one after the other.  Units of one length go through the trie
-together in numpy, whatever their length.
+is that of its units, one after the other.  A unit also ends between two characters that
+stand side by side in no piece, as nothing can span them; that is looked up where one of
+them has three bytes or more, so Chinese, Japanese or Thai lines are short units too.
+Units of one length go through the trie together in numpy, whatever their length.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a literal
 marker character in a text is taken as a space, as the format has it; repeated rows are
@@ -128,6 +130,21 @@ class DoubleArray:
         self.base, self.check, self.value = (np.concatenate([x, np.full(pad, f, np.int32)]) for x, f in ((self.base, 0), (self.check, -1), (self.value, -1)))
 
 
+def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the characters of valid UTF-8 that begin at ``at``."""
+    wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    b0, b1, b2, b3 = (wide[at + k] for k in range(4))
+    low = [b & 0x3F for b in (b1, b2, b3)]
+    two, three = (b0 & 0x1F) << 6 | low[0], (b0 & 0x0F) << 12 | low[0] << 6 | low[1]
+    return np.select([b0 < 0x80, b0 < 0xE0, b0 < 0xF0], [b0, two, three], (b0 & 0x07) << 18 | low[0] << 12 | low[1] << 6 | low[2])
+
+
+def neighbours(pieces: list[bytes]) -> np.ndarray:
+    """Sorted distinct pairs of characters (first << 21 | second) that stand side by side in a piece."""
+    text = [p.decode() for p in pieces]
+    return np.array(sorted({ord(a) << 21 | ord(b) for t in text for a, b in zip(t, t[1:], strict=False)}), np.int64)
+
+
 class Viterbi:
     """Best segmentations of byte strings over a double-array trie."""
 
@@ -137,6 +154,20 @@ class Viterbi:
         self.trie = DoubleArray([table.pieces[i] for i in ids], ids.tolist())
         self.unknown = float(table.scores[ids].min() if len(ids) else 0.0) - UNKNOWN_PENALTY
         self.pool = SpanPool(self._encode)
+        self.pairs = neighbours([table.pieces[i] for i in ids])
+
+    def _apart(self, data: np.ndarray) -> np.ndarray:
+        """Positions of characters that no piece joins to the one before, where one of both has three bytes or more."""
+        if not len(data) or data.max() < 0xE0:
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        wide = data[at] >= 0xE0
+        second = np.flatnonzero(wide[1:] | wide[:-1]) + 1
+        pair = code_points(data, at[second - 1]) << 21 | code_points(data, at[second])
+        if not len(self.pairs):
+            return at[second]
+        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return at[second[self.pairs[place] != pair]]
 
     def _encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, units), np.int64, len(units))
@@ -251,6 +282,7 @@ class Viterbi:
         cut = np.zeros(len(data) + 1, dtype=bool)
         cut[1:-1] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
         cut[offsets] = True
+        cut[self._apart(data)] = True
         edges = np.flatnonzero(cut)
         units = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         slots = self.pool.look_up(units.dictionary.to_pylist())[units.indices.to_numpy(zero_copy_only=False)]
