@@ -69,3 +69,22 @@ def test_odd_rows(spark):
     got = {r.message_id: r.thread_id for r in arrival.arrival_threads(spark.createDataFrame(rows, SCHEMA), 60, 10).collect()}
     assert got == {"a": "a", "b": "a", "c": "c"}
     assert arrival.arrival_threads(spark.createDataFrame([], SCHEMA), 60, 10).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date", "int"])
+def test_arrival_of_any_type(spark, kind):
+    """Times order messages down to the microsecond; a message without arrival comes last."""
+    day = datetime(2024, 1, 1)
+    came = {"int": [1, 2, 3], "date": [(day + timedelta(days=i)).date() for i in range(3)]}.get(kind) or [day + timedelta(microseconds=i) for i in range(3)]
+    rows = [("c", "b", None, "s", "f", ["p@x"], day, came[0]), ("b", "", None, "t", "f", ["p@x"], day, came[1]), ("a", "b", None, "s", "f", ["q@x"], day, came[2]), ("z", "a", None, "s", "f", ["q@x"], day, None)]
+    got = {r.message_id: r.thread_id for r in arrival.arrival_threads(spark.createDataFrame(rows, SCHEMA.replace("arrival long", f"arrival {kind}")), 60, 10).collect()}
+    assert got == {"c": "c", "b": "b", "a": "b", "z": "b"}
+
+
+def test_the_registered_query(spark):
+    """arrival_threads over the driver's conversations, whose arrival is a time, against the fold."""
+    from threadloom.plans.catalog import _linked_mail, arrival_threads
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = [(m.message_id, m.in_reply_to, m.references, " ".join(m.subject.lower().removeprefix("re: ").split()), m.folder, [m.from_addr], m.date, m.arrival) for m in _linked_mail(spark, sf_dir).collect()]
+    assert {r.message_id: r.thread_id for r in arrival_threads(spark, sf_dir).collect()} == folded(rows)

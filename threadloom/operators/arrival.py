@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -113,12 +113,26 @@ class Known:
     threads: DataFrame
 
 
+def _order(messages: DataFrame) -> Column:
+    """arrival as a long: of times and dates the microseconds, whatever the session's time zone; a message without one comes last."""
+    kind, at = messages.schema["arrival"].dataType.typeName(), F.col("arrival")
+    if kind == "timestamp":
+        number = F.unix_micros(at)
+    elif kind in ("timestamp_ntz", "date"):
+        at = at.cast("timestamp_ntz")
+        second = (F.date_part(F.lit("SECOND"), at) * 1_000_000).cast("long")
+        number = ((F.unix_date(at.cast("date")).cast("long") * 24 + F.hour(at)) * 60 + F.minute(at)) * 60_000_000 + second
+    else:
+        number = at.cast("long")
+    return F.coalesce(number, F.lit((1 << 63) - 1))
+
+
 def _plain(messages: DataFrame) -> DataFrame:
     """Messages as the rounds take them: canonical people, no nulls, one row an id."""
     people = F.filter(F.transform("addresses", canonical_addr), lambda x: x != "")
     plain = messages.select(
         "message_id", F.coalesce("in_reply_to", F.lit("")).alias("in_reply_to"), "references", F.coalesce(normalize_subject(F.col("subject")), F.lit("")).alias("norm_subject"),
-        F.coalesce("folder", F.lit("")).alias("folder"), F.coalesce(people, F.array().cast("array<string>")).alias("people"), F.col("date").cast("timestamp_ntz").alias("date"), F.col("arrival").cast("long").alias("arrival"),
+        F.coalesce("folder", F.lit("")).alias("folder"), F.coalesce(people, F.array().cast("array<string>")).alias("people"), F.col("date").cast("timestamp_ntz").alias("date"), _order(messages).alias("arrival"),
     )
     first = W.partitionBy("message_id").orderBy("arrival", "date")
     plain = plain.where("message_id IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
@@ -129,7 +143,7 @@ def _plain(messages: DataFrame) -> DataFrame:
 def assign(messages: DataFrame, days: int, most: int, block_rows: int = BLOCK_ROWS, known: Known | None = None) -> tuple[DataFrame, DataFrame]:
     """(message_id, thread_id) of the messages that ``known`` has not, and the rows (.., owner, people, date, arrival) that its threads grow by.
 
-    ``messages`` has message_id, in_reply_to, references, subject, folder, addresses, date and arrival; with ``known``, all of them arrive after it.
+    ``messages`` has message_id, in_reply_to, references, subject, folder, addresses, date and arrival (a number, a time or a date); with ``known``, all of them arrive after it.
     A message without a date has the newest date of all; of rows of one id the first to arrive counts; null subjects are empty, and a null id is left out.
     """
     spark = messages.sparkSession
