@@ -148,3 +148,30 @@ def test_mailbox_is_kept_up(spark):
     assert left.thread_index.rows == 3 and left.thread_index.bm25("word3 word1").count() == 0
     assert {r.id for r in left.thread_index.bm25("common word7").collect()} == {r.id for r in whole.thread_index.bm25("common word7").collect()}
     assert {r.thread_id for r in left.thread_vectors.collect()} == {"t0", "t2", "t3"}
+
+
+def test_slices_leave_no_shuffle_files_behind(spark, monkeypatch, tmp_path):
+    """A segment written slice by slice is the same, and neither shuffle files nor rows on their way stay on disk."""
+    import time
+
+    r = random.Random(9)
+    rows = {i // 2: ("o", said(r, r.randrange(40)), None if i % 7 == 0 else said(r, 3)) for i in range(240)}
+    df = fresh(spark, rows).union(fresh(spark, dict(list(rows.items())[:9]))).coalesce(4)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = blocks.getAllBlocks().size()
+    monkeypatch.setattr(keyword, "LEAST_BUCKETS", 6)
+    one = KeywordIndex.build(df, "id", "a", "b", carry=("owner",))
+    monkeypatch.setattr(keyword, "SLICE_BYTES", 1)
+    monkeypatch.setattr(keyword, "LARGE", 1)
+    many = KeywordIndex.build(df, "id", "a", "b", carry=("owner",))
+    until = time.time() + 20
+    while blocks.getAllBlocks().size() > before and time.time() < until:
+        time.sleep(0.2)
+    assert blocks.getAllBlocks().size() <= before
+    assert (one._slices(1 << 30), many._slices(1 << 30)) == (6, 6) and (one.rows, one.total) == (many.rows, many.total)
+    for table in ("postings", "terms", "forward"):
+        a, b = (spark.read.parquet(x._at(x.segments[0], table)) for x in (one, many))
+        if table == "forward":
+            a, b = (x.withColumn("terms", F.array_sort("terms")) for x in (a, b))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count()
+    assert not list(tmp_path.parent.rglob("rows/slice=*"))

@@ -19,7 +19,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -31,26 +30,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.stem import query_phrases, stem, words
-from threadloom.sources.shared import LARGE, expected_bytes, fresh_dir, spread
+from threadloom.sources.shared import LARGE, dropping_shuffles, expected_bytes, fresh_dir, spread
 
 #: BM25 parameters and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Bytes of texts that one bucket holds, about; hot terms of tables beyond LARGE are cut over files by range.
 BUCKET_BYTES, LEAST_BUCKETS = 256 << 20, 8
+#: While a segment is written: slices at most, bytes of texts of one slice, and of one sorting task of a large table.
+SLICES, SLICE_BYTES, SORT_BYTES = 8, 32 << 20, 64 << 20
 #: Segments of one level that are merged; tiers of a term; postings that a search reads without looking at tiers; terms whose counts an index remembers; ids that a search names in a filter.
 FAN, TIERS, SMALL, REMEMBERED, NAMED = 4, 16, 100_000, 10_000, 1000
 
 
+#: Columns of rows on their way to a segment, after id and carried ones.
+RAW = "length int, term string, tf int, positions array<int>, terms array<string>"
+
+
 def postings(df: DataFrame, id_column: str, *texts: str, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, carried columns, length, term, tf, positions): a row for each row and term, and one with a null term for each row.
+    """(id, carried columns, length, term, tf, positions, terms): a row for each row and term, and one with a null term for each row.
 
-    length: terms in all text columns.  Positions go on from column to column with a gap, so
+    length: terms in all text columns; terms: on the row with a null term, all distinct ones of the row, else empty.  Positions go on from column to column with a gap, so
     that no phrase goes over its edge.  Null texts are empty.
     """
     rows = df.select(F.col(id_column).alias("id"), *[F.col(f"`{c}`") for c in carry], F.array(*[F.col(t) for t in texts]).alias("_texts"))
     kept = ["id", *carry]
-    names = [*kept, "length", "term", "tf", "positions"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes) + ", length int, term string, tf int, positions array<int>"
+    names = [*kept, "length", "term", "tf", "positions", "terms"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes) + f", {RAW}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[str, int] = {}  # of a word, the number of its stem
@@ -92,10 +97,11 @@ def postings(df: DataFrame, id_column: str, *texts: str, carry: Sequence[str] =
                 texts_ = pa.array([known[c] for c in used.tolist()], pa.string()).take(pa.array(inverse))
                 nothing = len(part)
                 offsets = np.concatenate([np.zeros(nothing, np.int64), edges]).astype(np.int32)
+                of_row = np.append(np.searchsorted(owner[first], np.arange(nothing + 1)), np.full(len(first), len(first))).astype(np.int32)
                 columns = [part.column(c).take(take) for c in kept]
                 columns += [
                     pa.array(lengths[rows_of], pa.int32()), pa.concat_arrays([pa.nulls(nothing, pa.string()), texts_]), pa.array(np.concatenate([np.zeros(nothing, np.int64), np.diff(edges)]), pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(place, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(place, pa.int32())), pa.ListArray.from_arrays(pa.array(of_row), texts_),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -194,24 +200,47 @@ class KeywordIndex:
     def _id_bucket(self, c: str = "id") -> Column:
         return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
 
-    def _write(self, name: str, found: DataFrame, size: int, mean: float) -> None:
-        """postings, terms and forward of a segment from rows as :func:`postings` makes them (written ones: they are read thrice)."""
+    def _write(self, name: str, rows: DataFrame, size: int | None, mean: float | None = None) -> tuple[tuple[int, int], float]:
+        """postings, terms and forward of a segment from rows as :func:`postings` makes them; ((rows, their terms), mean length used).
+
+        Rows are written once, dealt to slices: those with a term by its bucket, those of texts by the bucket of the id.  A slice is sorted into
+        its folders and then deleted, so shuffle files are those of one slice.  ``size``: bytes of the texts, where known.  The mean is that of the
+        rows unless one is given or they are few beside those of the index.
+        """
+        raw, schema = self._at(name, "rows"), f"{self.schema}, {RAW}"
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        slices = self._slices(expected_bytes(rows) if size is None else size)
+        dealt = F.when(F.col("term").isNull(), slices + self._id_bucket() % slices).otherwise(bucket % slices)
+        rows.withColumn("slice", dealt).write.option("compression", "zstd").partitionBy("slice").parquet(raw)
+        held = self.spark.read.schema(f"{schema}, slice int").parquet(raw)
+        if size is None:
+            size = expected_bytes(held)
+        n, total = held.where(F.col("slice") >= slices).agg(F.count(F.lit(1)), F.sum("length")).first()
+        if mean is None:
+            mean = (total or 0) / n or 1.0 if n and self.rows <= 10 * n else self.mean or 1.0
         tier = F.least(F.floor(TIERS * (1 - _weight(F.col("tf"), F.col("length"), mean))), F.lit(TIERS - 1)).cast("int")
-        rows = found.where("term IS NOT NULL").withColumns({"bucket": bucket, "tier": tier})
-        if size >= LARGE:
-            # by range of (bucket, term, tier, id): a hot term goes over several files, a rare one stays in one
-            rows = rows.repartitionByRange(max(self.buckets, size // BUCKET_BYTES), "bucket", "term", "tier", "id")
-        else:
-            rows = rows.repartition(self.buckets, "bucket")
-        rows = rows.sortWithinPartitions("bucket", "term", "tier", "id").write.partitionBy("bucket")
-        weight = _weight(F.col("tf"), F.col("length"), mean)
-        terms = found.where("term IS NOT NULL").withColumn("tier", tier).groupBy("term", "tier").agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("most"))
-        terms = terms.repartition(max(1, size // BUCKET_BYTES), "term").sortWithinPartitions("term", "tier").write
-        forward = found.groupBy("id", "length").agg(F.collect_list("term").alias("terms"), F.count_if(F.col("term").isNull()).alias("rows"))
-        forward = forward.withColumn("id_bucket", self._id_bucket()).repartition(self.buckets, "id_bucket").sortWithinPartitions("id_bucket", "id").write.partitionBy("id_bucket")
-        with ThreadPoolExecutor(3) as pool:
-            list(pool.map(lambda x: x[0].parquet(self._at(name, x[1])), ((rows, "postings"), (terms, "terms"), (forward, "forward"))))
+        parquet = lambda df, table: df.write.option("compression", "zstd").mode("append").partitionBy("bucket" if table == "postings" else "id_bucket").parquet(self._at(name, table))
+        for i in range(slices):
+            part = held.where(F.col("slice") == i).drop("slice", "terms").withColumns({"bucket": bucket, "tier": tier})
+            if size >= LARGE:
+                # by range of (bucket, term, tier, id): a hot term goes over several files, a rare one stays in one
+                part = part.repartitionByRange(-(-max(self.buckets, size // SORT_BYTES) // slices), "bucket", "term", "tier", "id")
+            else:
+                part = part.repartition(-(-self.buckets // slices), "bucket")
+            parquet(part.sortWithinPartitions("bucket", "term", "tier", "id"), "postings")
+            self._remove(f"{raw}/slice={i}")
+            bare = held.where(F.col("slice") == slices + i).withColumn("id_bucket", self._id_bucket()).repartition(max(1, self.buckets // slices), "id_bucket")
+            forward = bare.groupBy("id_bucket", "id", "length").agg(F.flatten(F.collect_list("terms")).alias("terms"), F.count(F.lit(1)).alias("rows"))
+            parquet(forward.select("id", "length", "terms", "rows", "id_bucket").sortWithinPartitions("id_bucket", "id"), "forward")
+            self._remove(f"{raw}/slice={slices + i}")
+        self._remove(raw)
+        found = self.spark.read.schema(self._schema()).parquet(self._at(name, "postings"))
+        terms = found.groupBy("term", "tier").agg(F.count(F.lit(1)).alias("n"), F.max(_weight(F.col("tf"), F.col("length"), mean)).alias("most"))
+        terms.repartition(max(1, size // BUCKET_BYTES), "term").sortWithinPartitions("term", "tier").write.parquet(self._at(name, "terms"))
+        return (n, total or 0), mean
+
+    def _slices(self, size: int) -> int:
+        return max(1, min(SLICES, self.buckets, size // SLICE_BYTES))
 
     def _remove(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -234,15 +263,8 @@ class KeywordIndex:
             reduce(DataFrame.union, parts).where("id IS NOT NULL").distinct().write.parquet(ids)
             touched = self.spark.read.schema(self._id_schema()).parquet(ids)
         if rows is not None:
-            raw, size = self._at(name, "rows"), expected_bytes(rows)
-            postings(spread(rows), self.id_column, *self.texts, carry=self.carry).write.parquet(raw)
-            found = self.spark.read.schema(f"{self.schema}, length int, term string, tf int, positions array<int>").parquet(raw)
-            n, total = found.where("term IS NULL").agg(F.count(F.lit(1)), F.sum("length")).first()
-            added = (n, total or 0)
-            if n and self.rows <= 10 * n:
-                mean = (total or 0) / n or 1.0
-            self._write(name, found, size, mean)
-            self._remove(raw)
+            with dropping_shuffles(self.spark):
+                added, mean = self._write(name, postings(spread(rows), self.id_column, *self.texts, carry=self.carry), expected_bytes(rows))
         if touched is not None:
             gone = self._bury(name, touched)
             self._remove(self._at(name, "touched"))
@@ -256,8 +278,7 @@ class KeywordIndex:
         return self.schema.split(", `")[0]
 
     def _write_nothing(self, name: str) -> None:
-        none = self.spark.createDataFrame([], f"{self.schema}, length int, term string, tf int, positions array<int>")
-        self._write(name, none, 0, 1.0)
+        self._write(name, self.spark.createDataFrame([], f"{self.schema}, {RAW}"), 0, 1.0)
 
     def _forward(self, buckets: list[int] | None = None) -> DataFrame:
         """(id, length, terms, rows, at) of all segments that count, at being the segment's place."""
@@ -308,18 +329,14 @@ class KeywordIndex:
         """Segments from ``start`` on as one, without rows that no longer count; not yet published."""
         merged = self.segments[start:]
         name = f"segment-{self.version}-{uuid.uuid4().hex[:8]}"
-        raw = self._at(name, "rows")
         columns = [c.strip("`") for c in (x.split(" ")[0] for x in self.schema.split(", "))]
-        kept = self._living(self._postings(range(start, len(self.segments)))).drop("tier", "at", "bucket").select(*columns, "length", "term", "tf", "positions")
+        kept = self._living(self._postings(range(start, len(self.segments)))).drop("tier", "at", "bucket").select(*columns, "length", "term", "tf", "positions", F.array().cast("array<string>").alias("terms"))
         # one row without a term for each text, as postings() makes them
         each = self._forward().where(F.col("at") >= start).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_r"))
         carried = {c: kept.schema[c].dataType for c in columns[1:]}
-        bare = each.select("id", *[F.lit(None).cast(t).alias(c) for c, t in carried.items()], "length", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.lit(None).cast("array<int>").alias("positions"))
-        kept.unionByName(bare).write.parquet(raw)
-        found = self.spark.read.schema(f"{self.schema}, length int, term string, tf int, positions array<int>").parquet(raw)
-        size = expected_bytes(found)
-        self._write(name, found, size, self.mean or 1.0)
-        self._remove(raw)
+        bare = each.select("id", *[F.lit(None).cast(t).alias(c) for c, t in carried.items()], "length", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.lit(None).cast("array<int>").alias("positions"), F.when(F.col("_r") == 1, F.col("terms")).otherwise(F.array().cast("array<string>")).alias("terms"))
+        with dropping_shuffles(self.spark):
+            self._write(name, kept.unionByName(bare), None, self.mean or 1.0)
         older = [s.name for s in self.segments[:start]]
         dead = bool(older) and any(s.dead for s in merged)
         if dead:
