@@ -254,3 +254,22 @@ def test_mixing_keeps_large_ids_beside_null_ones(spark):
     assert Counter((r["doc_id"], r["source"]) for r in plan) == Counter((i, s) for i in big for s in ("x", None))
     taken = mixing.mix_documents(rows).collect()
     assert {r["doc_id"] for r in taken} <= set(big) and len(taken) == sum(r["copies"] * r["n"] + r["more"] for r in plan)
+
+
+def test_ngram_join_drops_its_shuffle_files(spark):
+    """op2_ngram_join leaves no shuffle files of its tables behind, and the session's setting as it was."""
+    import time
+
+    from threadloom.llm.ngram_join import jaccard_components
+    from threadloom.sources.shared import CLEANUP
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, setting = blocks.getAllBlocks().size(), spark.conf.get(CLEANUP, None)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:58])), (3, " ".join(words[::-1])), (4, None)], "doc_id long, text string")
+    out = jaccard_components(docs)
+    until = time.time() + 20
+    while blocks.getAllBlocks().size() > before and time.time() < until:
+        time.sleep(0.2)
+    assert blocks.getAllBlocks().size() <= before and spark.conf.get(CLEANUP, None) == setting
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]

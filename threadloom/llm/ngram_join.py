@@ -47,6 +47,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.llm._common import LOWER, Scratch, Words, buckets_for, free_names, ids_and_text, mix64, prefix, ragged, slices, text_buffer
+from threadloom.sources.shared import dropping_shuffles
 
 WORDS = 5
 _U = np.uint64
@@ -411,6 +412,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+    with dropping_shuffles(docs.sparkSession):
+        return _components_of(docs, words)
+
+
+def _components_of(docs: DataFrame, words: int) -> DataFrame:
     spark = docs.sparkSession
     base = ids_and_text(docs)
     scratch = Scratch(spark, "ngram-join")
