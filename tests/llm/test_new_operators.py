@@ -273,3 +273,40 @@ def test_ngram_join_drops_its_shuffle_files(spark):
         time.sleep(0.2)
     assert blocks.getAllBlocks().size() <= before and spark.conf.get(CLEANUP, None) == setting
     assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def test_suffix_dedup_sorts_only_what_may_repeat(spark, monkeypatch, tmp_path):
+    """op3_suffix_dedup: windows that stand once, and copies of what is left, do not reach the suffix sorting."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from threadloom.llm import suffix_dedup
+    from threadloom.llm._induced import Room, later_windows
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choices("abcdefgh \u00e9", k=n))
+    passage, other = text(300), text(250)
+    bodies = [(text(200) + (passage if i % 3 else other[i % 40 :]) + text(200)).encode() for i in range(60)]
+    names = ["doc_id", "mark", "pos", "body"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([0] * 60, pa.int64()), pa.array([0] * 60, pa.int32()), pa.array(bodies)], names=names)
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "later_windows", lambda text, width, room: sizes.append(len(text)) or later_windows(text, width, room))
+    for memory in (64 << 20, 1 << 10):
+        shard = suffix_dedup._Shard(Room(memory, str(tmp_path)))
+        shard.add(batch.slice(0, 25))
+        shard.add(batch.slice(24))  # a row that repeats is one
+        got = {(d, p + k) for t in shard.repeats(100) for d, ps, rs in zip(*(t[c].to_pylist() for c in ("doc_id", "pos", "run")), strict=True) for p, r in zip(ps, rs, strict=True) for k in range(r)}
+        seen, want = set(), set()
+        for d, b in enumerate(bodies):
+            for p in range(len(b) - 99):
+                if (w := b[p : p + 100]) in seen:
+                    want.add((d, p))
+                seen.add(w)
+        assert got == want
+    assert sizes and max(sizes) < sum(map(len, bodies)) / 2
+    hashes = np.array([rng.choice([rng.getrandbits(64), 7, 2**63 + 1]) for _ in range(5000)], np.uint64)
+    value, count = np.unique(hashes, return_counts=True)
+    for memory in (1 << 20, 1 << 10):
+        assert (suffix_dedup.met_again(hashes, Room(memory)) == np.isin(hashes, value[count > 1])).all()

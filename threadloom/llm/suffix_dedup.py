@@ -11,9 +11,11 @@ What a third of all documents repeat costs one entry for each map task.  A minim
 runs all have the same bytes is done; most have one run only.
 
 Sorting.  The bytes of the runs that are left (different runs with one minimizer) are
-fetched and stream into their shard in document order.  The suffixes of a shard are put in
-order by external induced sorting (:mod:`threadloom.llm._induced`): disk-backed priority
-queues carry suffixes and common prefixes.  Neighbours that share ``width`` bytes are a
+fetched and stream into their shard in document order.  Windows whose 64-bit hash no other
+window of the shard has start nowhere else, so they leave before the sorting; what is left
+of the runs is collapsed as above, as long as that takes a tenth of the text away.  The
+suffixes of what stays are put in order by external induced sorting
+(:mod:`threadloom.llm._induced`): disk-backed priority queues carry suffixes and common prefixes.  Neighbours that share ``width`` bytes are a
 class, of which all but the earliest are marked.  A shard may be larger than the memory.
 
 Defined results: a null or empty text has no bytes and loses none; documents rank by
@@ -32,15 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm._common import Scratch, buckets_for, ids_and_text, mix64, prefix, ragged, release, slices, text_buffer
-from threadloom.llm._induced import Room, later_windows
+from threadloom.llm._induced import BLOCK, Room, later_windows
+from threadloom.sources.shared import dropping_shuffles
 
 WIDTH, GRAM = 100, 32
-PACK_BYTES = 1 << 20  # text hashed at once, of long ones a piece: its windows take some 100 times as much
+PACK_BYTES = 1 << 20  # text packed at once, of long ones a piece: its windows take some 100 times as much
+CACHE_BYTES = 1 << 18  # text hashed at once, if not one document's: its arrays stay in the processor's cache
 _U = np.uint64
 _STEP, _UNSTEP = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
@@ -93,6 +98,17 @@ def runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int =
     return doc[start], start - offsets[doc[start]], run, grams[at[start]], body
 
 
+def _runs_of(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """:func:`runs`, a few documents at a time."""
+    found, a = [], 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CACHE_BYTES, side="right")) - 1)
+        doc, *rest = runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width, gram)
+        found.append((doc + a, *rest))
+        a = b
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
 def _marks(text: pa.Array) -> np.ndarray:
     data, offsets = text_buffer(text)
     raw = memoryview(data.tobytes())
@@ -160,7 +176,7 @@ def _pack(docs: DataFrame, buckets: int, width: int, gram: int, limit: int) -> D
                 marks = _marks(part.column("text"))
                 ids = part.column("doc_id").fill_null(_LAST).to_numpy()
                 for data, offsets, start in _pieces(part.column("text"), width, limit):
-                    doc, pos, length, mini, body = runs(data, offsets, width, gram)
+                    doc, pos, length, mini, body = _runs_of(data, offsets, width, gram)
                     yield _blobs(doc, pos + start, length, mini, body, ids, marks, buckets)
 
     return docs.mapInArrow(run_, _PACKED)
@@ -224,6 +240,49 @@ def _room(folder: str) -> Room:
     return Room(folder=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
 
 
+def substring_hashes(text: np.ndarray, place: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """64-bit hashes of text[p : p + size] for each place."""
+    power, back = (np.full(len(text) + 1, x, np.uint64) for x in (_STEP, _UNSTEP))
+    power[0] = back[0] = 1
+    np.multiply.accumulate(power, out=power)
+    np.multiply.accumulate(back, out=back)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_BYTE[text] * power[:-1], out=sums[1:])
+    return mix64((sums[place + size] - sums[place]) * back[place])
+
+
+def met_again(hashes: np.ndarray, room: Room) -> np.ndarray:
+    """Whether a hash stands at two places or more; those of one range at a time are sorted, so that they fit the room's memory."""
+    again = room.array(len(hashes), np.bool_)
+    ranges = max(1, -(-hashes.nbytes // room.memory))
+    for k in range(ranges):
+        if ranges == 1:
+            some = np.sort(hashes)
+        else:
+            blocks = (np.asarray(hashes[a : a + BLOCK]) for a in range(0, len(hashes), BLOCK))
+            some = np.sort(np.concatenate([b[b % _U(ranges) == k] for b in blocks]))
+        twice = np.unique(some[1:][some[1:] == some[:-1]])
+        if not len(twice):
+            continue
+        bits = max(16, int(8 * len(twice)).bit_length())
+        may = np.zeros(1 << bits, dtype=bool)
+        may[twice >> _U(64 - bits)] = True
+        for a in range(0, len(hashes), BLOCK):
+            block = np.asarray(hashes[a : a + BLOCK])
+            maybe = np.flatnonzero(may[block >> _U(64 - bits)])
+            found = np.minimum(np.searchsorted(twice, block[maybe]), len(twice) - 1)
+            again[a + maybe[twice[found] == block[maybe]]] = True
+    return again
+
+
+def _stretches(place: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, number of places, owner) of neighbouring places with one owner."""
+    head = np.ones(len(place), dtype=bool)
+    head[1:] = (place[1:] != place[:-1] + 1) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(head)
+    return place[first], np.diff(np.append(first, len(place))), owner[first]
+
+
 class _Shard:
     """Runs of one shard in document order; what exceeds the room's memory is on disk."""
 
@@ -231,14 +290,28 @@ class _Shard:
         self.room, self.last = room, None
         self.text, self.runs = (tempfile.SpooledTemporaryFile(room.memory, dir=room.folder) for _ in range(2))  # noqa: SIM115
 
-    def add(self, doc: list[int], mark: list[int], pos: list[int], body: list[bytes]) -> None:
-        held = []
-        for d, m, p, b in zip(doc, mark, pos, body, strict=True):
-            if (d, m, p) != self.last:  # rows repeat where documents do
-                self.last = (d, m, p)
-                held.append((d, m, p, len(b)))
-                self.text.write((np.frombuffer(b, np.uint8) + np.uint8(2)).tobytes() + b"\1")  # UTF-8 has no byte above 244
-        self.runs.write(np.array(held, _RUN).tobytes())
+    def add(self, batch: pa.RecordBatch) -> None:
+        runs = np.empty(len(batch), _RUN)
+        for c in ("doc", "mark", "pos"):
+            runs[c] = batch.column("doc_id" if c == "doc" else c).to_numpy()
+        fresh = np.ones(len(runs), dtype=bool)  # rows repeat where documents do
+        same = np.ones(len(runs) - 1, dtype=bool)
+        for c in ("doc", "mark", "pos"):
+            same &= runs[c][1:] == runs[c][:-1]
+        fresh[1:] = ~same
+        last, self.last = self.last, tuple(runs[["doc", "mark", "pos"]][-1].tolist())
+        fresh[0] = tuple(runs[["doc", "mark", "pos"]][0].tolist()) != last
+        data, offsets = text_buffer(batch.column("body").filter(pa.array(fresh)))
+        runs = runs[fresh]
+        runs["size"] = np.diff(offsets)
+        self._put(data + np.uint8(2), runs)  # UTF-8 has no byte above 244
+
+    def _put(self, data: np.ndarray, runs: np.ndarray) -> None:
+        """Symbols of some runs, one after the other; a separator goes behind each."""
+        out = np.ones(len(data) + len(runs), np.uint8)
+        out[np.arange(len(data)) + np.repeat(np.arange(len(runs)), runs["size"])] = data
+        self.text.write(out.tobytes())
+        self.runs.write(runs.tobytes())
 
     def _array(self, file: tempfile.SpooledTemporaryFile, dtype: np.dtype) -> np.ndarray:
         size = file.tell()
@@ -249,31 +322,73 @@ class _Shard:
         file.flush()
         return np.memmap(file._file, dtype, "r", shape=(size // dtype.itemsize,))
 
+    def _places(self, runs: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(runs, their starts in the text, starts of their windows, the windows' runs), block by block."""
+        start = 0
+        for a in range(0, len(runs), 1 << 12):
+            some = np.array(runs[a : a + (1 << 12)])
+            begin = start + prefix(some["size"] + 1)
+            start = int(begin[-1])
+            length = some["size"] - width + 1
+            yield some, begin, ragged(begin[:-1], length), np.repeat(np.arange(len(some)), length)
+
+    def shared(self, width: int) -> tuple[_Shard, list[pa.Table]]:
+        """What is left of the runs without windows whose hash no other window has, and without later ones of equal stretches; the windows of these."""
+        text, runs = self._array(self.text, np.dtype(np.uint8)), self._array(self.runs, _RUN)
+        total = sum(int((runs["size"][a : a + BLOCK] - width + 1).sum()) for a in range(0, len(runs), BLOCK))
+        hashes, at = self.room.array(total, np.uint64), 0
+        for _, begin, place, _ in self._places(runs, width):
+            hashes[at : at + len(place)] = substring_hashes(np.asarray(text[begin[0] : begin[-1]]), place - begin[0], width)
+            at += len(place)
+        again = met_again(hashes, self.room)
+        left, sure, at, seen = _Shard(self.room), [], 0, np.zeros(0, np.uint64)
+        for some, begin, place, owner in self._places(runs, width):
+            keep = np.flatnonzero(again[at : at + len(place)])
+            at += len(place)
+            first, run, who = _stretches(place[keep], owner[keep])
+            if not len(first):
+                continue
+            here = np.asarray(text[begin[0] : begin[-1]])
+            rest = np.empty(len(first), _RUN)
+            rest["doc"], rest["mark"], rest["pos"], rest["size"] = some["doc"][who], some["mark"][who], some["pos"][who] + first - begin[who], run + width - 1
+            whole = substring_hashes(here, first - begin[0], rest["size"]) + mix64(rest["size"].view(np.uint64))
+            fresh = np.zeros(len(rest), dtype=bool)
+            fresh[np.unique(whole, return_index=True)[1]] = True
+            fresh &= ~np.isin(whole, seen, kind="sort")
+            # stretches that are not remembered any more go to the sorting, which tells them too
+            seen = np.concatenate([seen, whole[fresh]])[-(self.room.memory >> 6) :]
+            if not fresh.all():
+                later = rest[~fresh]
+                sure.append(_rows(later["doc"], later["mark"].view(np.uint64), np.zeros(len(later), dtype=bool), later["pos"], later["size"] - width + 1, np.zeros(len(later), np.uint64)))
+            rest, first = rest[fresh], first[fresh]
+            left.last = ()
+            left._put(here[ragged(first - begin[0], rest["size"])], rest)
+        return left, sure
+
     def repeats(self, width: int) -> Iterator[pa.Table]:
         """Windows that equal one of an earlier run or place, as runs."""
+        shard, before = self, None
+        while shard.last is not None and (before is None or 10 * shard.text.tell() < 9 * before):
+            before = shard.text.tell()
+            left, sure = shard.shared(width)
+            shard.text.close()
+            shard.runs.close()
+            shard = left
+            yield from sure
+        release()
+        yield from shard._sorted(width)
+
+    def _sorted(self, width: int) -> Iterator[pa.Table]:
         if self.last is None:
             return
         self.text.write(b"\0")
         release()
         later = later_windows(self._array(self.text, np.dtype(np.uint8)), width, self.room)
-        runs, start = self._array(self.runs, _RUN), 0
-        for a in range(0, len(runs), 1 << 15):
-            some = np.array(runs[a : a + (1 << 15)])
-            begin = start + prefix(some["size"] + 1)
-            start = int(begin[-1])
-            length = some["size"] - width + 1
-            owner = np.repeat(np.arange(len(some)), length)
-            at = ragged(begin[:-1], length)
-            keep = np.flatnonzero(later[at])
-            if not len(keep):
-                continue
-            at, owner = at[keep], owner[keep]
-            head = np.ones(len(at), dtype=bool)
-            head[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
-            first = np.flatnonzero(head)
-            who = owner[first]
-            run = np.diff(np.append(first, len(at)))
-            yield _rows(some["doc"][who], some["mark"][who].view(np.uint64), np.zeros(len(who), dtype=bool), some["pos"][who] + at[first] - begin[who], run, np.zeros(len(who), np.uint64))
+        for some, begin, place, owner in self._places(self._array(self.runs, _RUN), width):
+            keep = np.flatnonzero(later[place])
+            first, run, who = _stretches(place[keep], owner[keep])
+            if len(first):
+                yield _rows(some["doc"][who], some["mark"][who].view(np.uint64), np.zeros(len(who), dtype=bool), some["pos"][who] + first - begin[who], run, np.zeros(len(who), np.uint64))
 
 
 def _sort_shards(pieces: DataFrame, width: int, folder: str) -> DataFrame:
@@ -290,8 +405,7 @@ def _sort_shards(pieces: DataFrame, width: int, folder: str) -> DataFrame:
                         for t in shard.repeats(width):
                             yield from t.to_batches()
                     shard, number = _Shard(room), numbers[a]
-                part = batch.slice(a, b - a)
-                shard.add(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "pos", "body")))
+                shard.add(batch.slice(a, b - a))
         if shard is not None:
             for t in shard.repeats(width):
                 yield from t.to_batches()
@@ -300,6 +414,17 @@ def _sort_shards(pieces: DataFrame, width: int, folder: str) -> DataFrame:
     return pieces.repartition("shard").sortWithinPartitions("shard", "doc_id", unsigned, "pos").mapInArrow(run_, _FOUND)
 
 
+def _own(found: pa.Array, marks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, *lists) of array<struct<mark, lists of one length>>: a place for each element of the structs with their row's mark."""
+    counts = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+    mark, *lists = found.flatten().flatten()
+    row = np.repeat(np.arange(len(found)), counts)
+    right = mark.to_numpy(zero_copy_only=False).view(np.uint64) == marks[row]
+    each = pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False) if len(mark) else np.zeros(0, np.int64)
+    keep = np.repeat(right, each)
+    return np.repeat(row, each)[keep], *(x.flatten().to_numpy(zero_copy_only=False)[keep] for x in lists)
+
+
 def _fetch(rows: DataFrame, shards: int, width: int) -> DataFrame:
     """Bytes of the wanted runs of (text, wanted array<struct<mark,pos,run,mini>>)."""
     names = ["shard", "doc_id", "mark", "pos", "body"]
@@ -307,16 +432,15 @@ def _fetch(rows: DataFrame, shards: int, width: int) -> DataFrame:
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                marks = _marks(part.column("text")).view(np.int64).tolist()
+                marks, ids = _marks(part.column("text")), part.column("doc_id").fill_null(_LAST).to_numpy()
                 data, offsets = text_buffer(part.column("text"))
-                raw, out = data.tobytes(), []
-                for doc, mark, a, wanted in zip(part.column("doc_id").to_pylist(), marks, offsets.tolist(), part.column("wanted").to_pylist(), strict=False):
-                    for w in wanted:
-                        if w["mark"] == mark:
-                            out += [((m % (1 << 64) >> 20) % shards, _LAST if doc is None else doc, mark, p, raw[a + p : a + p + r + width - 1]) for p, r, m in zip(w["pos"], w["run"], w["mini"], strict=True)]
-                cols = list(zip(*out, strict=True)) if out else [()] * 5
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                doc, pos, run, mini = _own(part.column("wanted"), marks)
+                for a in range(0, len(doc), 1 << 14):
+                    d, p, size = doc[a : a + (1 << 14)], pos[a : a + (1 << 14)], run[a : a + (1 << 14)].astype(np.int64) + width - 1
+                    shard = ((mini[a : a + len(d)].view(np.uint64) >> _U(20)) % _U(shards)).astype(np.int32)
+                    body = data[ragged(offsets[d] + p, size)]
+                    bodies = pa.Array.from_buffers(pa.binary(), len(d), [None, pa.py_buffer(prefix(size).astype(np.int32)), pa.py_buffer(body)])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[d]), pa.array(marks[d].view(np.int64)), pa.array(p), bodies], names=names)
 
     return rows.mapInArrow(run_, "shard int, doc_id long, mark long, pos int, body binary")
 
@@ -325,23 +449,32 @@ def _cut(rows: DataFrame, width: int) -> DataFrame:
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                marks = _marks(part.column("text")).view(np.int64).tolist()
                 data, offsets = text_buffer(part.column("text"))
-                out = []
-                for mark, a, b, gone in zip(marks, offsets.tolist(), offsets.tolist()[1:], part.column("gone").to_pylist(), strict=False):
-                    body = data[a:b]
-                    step = np.zeros(len(body) + 1, np.int32)
-                    for g in gone or ():
-                        if g["mark"] == mark:
-                            np.add.at(step, np.array(g["pos"], np.int64), 1)
-                            np.add.at(step, np.array(g["pos"], np.int64) + np.array(g["run"], np.int64) + width - 1, -1)
-                    covered = np.cumsum(step[:-1]) > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-                    spans = ",".join(f"{x}-{y}" for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-                    out.append((len(body), int(covered.sum()), len(edge) // 2, hashlib.sha256(body[~covered].tobytes()).hexdigest(), spans))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                cols = list(zip(*out, strict=True)) if out else [()] * 5
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+                n = len(part)
+                doc, pos, run = _own(part.column("gone"), _marks(part.column("text")))
+                step = np.zeros(len(data) + 1, np.int32)
+                np.add.at(step, offsets[doc] + pos, 1)
+                np.add.at(step, offsets[doc] + pos + run + width - 1, -1)
+                covered = np.cumsum(step[:-1], dtype=np.int32) > 0
+                edge = np.zeros(len(data) + 1, dtype=bool)  # a span ends with its document
+                edge[offsets] = True
+                head, tail = covered.copy(), covered.copy()
+                head[1:] &= ~covered[:-1] | edge[1:-1]
+                tail[:-1] &= ~covered[1:] | edge[1:-1]
+                start, stop = np.flatnonzero(head), np.flatnonzero(tail) + 1
+                owner = np.searchsorted(offsets, start, side="right") - 1
+                n_spans = np.bincount(owner, minlength=n)
+                removed = prefix(stop - start)[prefix(n_spans)]
+                kept, at = memoryview(data[~covered]), (offsets - removed).tolist()
+                shas = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+                shown = [f"{x}-{y}" for x, y in zip((start - offsets[owner]).tolist(), (stop - offsets[owner]).tolist(), strict=True)]
+                bounds, spans = prefix(n_spans).tolist(), [""] * n
+                for d in np.flatnonzero(n_spans).tolist():
+                    spans[d] = ",".join(shown[bounds[d] : bounds[d + 1]])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(removed)), pa.array(n_spans.astype(np.int64)), pa.array(shas, pa.string()), pa.array(spans, pa.string())],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+                )
 
     return rows.mapInArrow(run_, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
 
@@ -351,6 +484,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
     spans: "start-end" of each maximal removed run, in bytes, end exclusive, joined by commas.
     """
+    with dropping_shuffles(docs.sparkSession):
+        return _without_repeats(docs, width, gram)
+
+
+def _without_repeats(docs: DataFrame, width: int, gram: int) -> DataFrame:
     refused = F.raise_error(F.lit(f"doc_id {_LAST} cannot be taken")).cast("long")
     base = ids_and_text(docs).withColumn("doc_id", F.when(F.col("doc_id") == _LAST, refused).otherwise(F.col("doc_id")))
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
@@ -358,7 +496,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     found = scratch.save(_pack(base, buckets, width, gram, PACK_BYTES).groupBy("bucket").applyInArrow(lambda t: _classify(t), _FOUND), "found")
     real = F.when(F.col("doc_id") != _LAST, F.col("doc_id"))
     wanted = found.where("need").groupBy(real.alias("_d")).agg(F.collect_list(F.struct("mark", "pos", "run", "mini")).alias("wanted"))
-    pieces = _fetch(base.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "wanted"), buckets, width)
+    # a shard has the bytes of several buckets, as a sort of little text costs nearly as much as one of more
+    pieces = _fetch(base.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "text", "wanted"), buckets // 4 + 1, width)
     sorted_ = scratch.save(_sort_shards(pieces, width, scratch.root.rsplit("/", 1)[0]), "sorted")
     gone = found.where("NOT need").select("doc_id", "mark", "pos", "run").union(sorted_.select("doc_id", "mark", "pos", "run"))
     gone = gone.groupBy(real.alias("_d")).agg(F.collect_list(F.struct("mark", "pos", "run")).alias("gone"))
