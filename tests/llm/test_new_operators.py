@@ -310,3 +310,26 @@ def test_suffix_dedup_sorts_only_what_may_repeat(spark, monkeypatch, tmp_path):
     value, count = np.unique(hashes, return_counts=True)
     for memory in (1 << 20, 1 << 10):
         assert (suffix_dedup.met_again(hashes, Room(memory)) == np.isin(hashes, value[count > 1])).all()
+
+
+def test_ngram_join_takes_its_texts_slice_by_slice(spark, monkeypatch):
+    """op2_ngram_join: texts of the sets that stay cross the shuffle in slices, and sets with all their signatures not at all."""
+    from threadloom.llm import _common, ngram_join
+
+    monkeypatch.setattr(ngram_join, "TEXT_BYTES", 1, raising=False)
+    written, save = {}, _common.Scratch.save
+    monkeypatch.setattr(_common.Scratch, "save", lambda self, df, name, *a, **k: written.update({name: df._jdf.queryExecution().executedPlan().toString()}) or save(self, df, name, *a, **k))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(10 * i + j, " ".join([f"g{i}", *words[i:], *[f"x{i}.{k}" for k in range(40)]][: 99 - j])) for i in range(6) for j in range(4)]
+    once = {10 * i + j: 10 * i for i in range(6) for j in range(4)}
+    near = [(None, f"{rows[0][1]} end"), (100, "one two three"), (100, rows[8][1]), (100, None)]
+    for more, twice in ((near, False), ([*near, rows[0], rows[0], (100, rows[8][1])], True)):
+        written.clear()
+        docs = spark.createDataFrame([*rows, *more], "doc_id long, text string")
+        got = Counter((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(docs).collect())
+        want = Counter(once.items()) + Counter({(None, 0): 1, (100, 100): 2, (100, 20): 1})
+        want += Counter({(0, 0): 2, (100, 20): 1}) if twice else Counter()
+        assert got == want
+        assert ("sets/once" in written) == twice
+        assert sum(name.startswith("sets/all") for name in written) == ngram_join.TEXT_SLICES
+        assert not any("hashpartitioning(set_id" in written[name] for name in written if name.startswith("sets/all"))

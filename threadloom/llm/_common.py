@@ -65,6 +65,12 @@ class Scratch:
         writer.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def save_parts(self, parts: list[DataFrame], name: str) -> DataFrame:
+        """One table of ``parts``, which are made and written one after the other."""
+        for k, df in enumerate(parts):
+            self.save(df, f"{name}/{k}")
+        return self.spark.read.schema(parts[0].schema).parquet(*(self.path(f"{name}/{k}") for k in range(len(parts))))
+
     def drop(self, name: str = "") -> None:
         path = _hadoop_path(self.spark, self.path(name) if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadloom.llm._common import LOWER, Scratch, Words, buckets_for, free_names, ids_and_text, mix64, prefix, ragged, slices, text_buffer
+from threadloom.llm._common import LOWER, Scratch, Words, buckets_for, free_names, ids_and_text, mix64, prefix, ragged, size_hint, slices, text_buffer
 from threadloom.sources.shared import dropping_shuffles
 
 WORDS = 5
@@ -58,6 +58,8 @@ _LOW40 = _U((1 << 40) - 1)
 SLICE_ROWS = 4096
 #: Members of an open group that one task compares; larger groups are cut into parts.
 GROUP_ROWS = 2048
+#: Input that is looked through for the sets that stay at a time, at least, and most such slices: the texts cross the shuffle slice by slice.
+TEXT_BYTES, TEXT_SLICES = 128 << 20, 8
 #: Kinds of signatures: of segments, of single shingles, and of segments without one member; the last two for sets with too few segments.
 _EXACT, _SINGLE, _WITHOUT = 0, 1, 2
 
@@ -267,7 +269,7 @@ def _meet(table: pa.Table) -> pa.Table:
 
 # ---- the sets that stay ----------------------------------------------------------------
 
-_SETS = "set_id long, n int, tokens array<long>, signs array<struct<sign:long,below:boolean,kind:int>>, sketch binary, sketch_below binary"
+_SETS = "set_id long, n int, tokens array<long>, signs array<struct<sign:long,below:boolean,kind:int,filled:int>>, sketch binary, sketch_below binary"
 
 
 def _sketches(tokens: np.ndarray, offsets: np.ndarray, top: np.ndarray) -> list[bytes]:
@@ -285,7 +287,7 @@ def _sketches(tokens: np.ndarray, offsets: np.ndarray, top: np.ndarray) -> list[
 
 
 def _expand(texts: DataFrame, words: int) -> DataFrame:
-    """Sets of texts (set_id, text) with all their signatures."""
+    """Sets of texts (set_id, text) with all their signatures; filled: how many of a kind a set has in a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
@@ -293,7 +295,7 @@ def _expand(texts: DataFrame, words: int) -> DataFrame:
             ids, n = set_ids(tokens, offsets), np.diff(offsets)
             right = ids.view(np.int64) == part.column("set_id").to_numpy(zero_copy_only=False)
             top, low = bands(n)
-            owners, signs, below, kinds = [], [], [], []
+            owners, signs, below, kinds, filled = [], [], [], [], []
             for level, tops in ((False, np.where(n > 2, top, 0)), (True, low)):
                 got = Signatures(tokens, offsets, tops)
                 poor = (tops > 0) & (got.filled <= limits(n, tops, level))
@@ -305,10 +307,11 @@ def _expand(texts: DataFrame, words: int) -> DataFrame:
                     signs.append(mix64(sign + _U(kind) * _WHOLE) if kind else sign)
                     below.append(np.full(len(owner), level))
                     kinds.append(np.full(len(owner), kind, np.int32))
-            owner, sign, low_, kind = map(np.concatenate, (owners, signs, below, kinds))
+                    filled.append(np.bincount(owner, minlength=len(n))[owner].astype(np.int32))
+            owner, sign, low_, kind, many = map(np.concatenate, (owners, signs, below, kinds, filled))
             order = np.argsort(owner, kind="stable")
             at = prefix(np.bincount(owner, minlength=len(n)))
-            struct = pa.StructArray.from_arrays([pa.array(sign[order].view(np.int64)), pa.array(low_[order]), pa.array(kind[order])], names=["sign", "below", "kind"])
+            struct = pa.StructArray.from_arrays([pa.array(sign[order].view(np.int64)), pa.array(low_[order]), pa.array(kind[order]), pa.array(many[order])], names=["sign", "below", "kind", "filled"])
             batch = pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids.view(np.int64)), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.view(np.int64))),
@@ -410,6 +413,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
+def _staying_sets(base: DataFrame, stays: DataFrame, words: int, scratch: Scratch, cuts: int) -> DataFrame:
+    """Sets of the texts of ``stays`` (set_id, _d), each once; ``cuts`` slices by a hash of doc_id are worked through one after the other."""
+    parts = []
+    for k in range(cuts):
+        texts, some = (df.where(F.pmod(F.xxhash64(c), F.lit(cuts)) == k) if cuts > 1 else df for df, c in ((base, "doc_id"), (stays, "_d")))
+        parts.append(_expand(texts.join(some, F.col("doc_id").eqNullSafe(F.col("_d"))).select("set_id", "text"), words))
+    sets = scratch.save_parts(parts, "sets/all")
+    # a set comes twice only from rows with equal doc_id
+    if sets.groupBy("set_id").count().where("count > 1").limit(1).count():
+        sets = scratch.save(sets.dropDuplicates(["set_id"]), "sets/once")
+        scratch.drop("sets/all")
+    return sets
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
     with dropping_shuffles(docs.sparkSession):
@@ -437,23 +454,18 @@ def _components_of(docs: DataFrame, words: int) -> DataFrame:
     stays = scratch.save(stays.select("set_id", F.col("least").alias("_d")), "stays")
     rows = scratch.save(rows.select("doc_id", "set_id", "n"), "rows")
     scratch.drop("met")
-    texts = base.join(stays, F.col("doc_id").eqNullSafe(F.col("_d"))).select("set_id", "text")
-    sets = scratch.save(_expand(texts, words).dropDuplicates(["set_id"]), "sets")
+    sets = _staying_sets(base, stays, words, scratch, min(TEXT_SLICES, size_hint(docs) // TEXT_BYTES + 1))
 
     # groups of the sets that stay
-    signs = sets.select("set_id", "n", F.explode("signs").alias("s")).select("set_id", "n", "s.sign", "s.below", "s.kind").distinct()
-    signs = scratch.save(signs, "signs")
+    signs = sets.select("set_id", "n", F.explode("signs").alias("s")).select("set_id", "n", "s.sign", "s.below", "s.kind", "s.filled")
     counts = signs.groupBy("sign").agg(F.count(F.lit(1)).alias("cost")).where("cost > 1")
     members = signs.join(counts, "sign")
     top = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double")))).cast("long")
     most = F.when(F.col("below"), F.floor((F.col("n") + top / 2) / 7)).otherwise(F.floor(F.col("n") / 3))
     own = W.partitionBy("set_id", "below", "kind")
-    filled = signs.groupBy("set_id", "below", "kind").agg(F.count(F.lit(1)).alias("filled"))
-    members = members.join(filled, ["set_id", "below", "kind"])
     # units to buy: H + 1, less the segments that nobody shares; neighbourhoods are taken whole
     members = members.withColumn("alone", F.col("filled") - F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("cost", "sign")))
     members = scratch.save(members.withColumn("probe", (F.col("kind") == _WITHOUT) | (F.col("place") <= most + 1 - F.col("alone"))).withColumn("central", 1 - F.col("alone") / F.col("filled")), "members")
-    scratch.drop("signs")
     # a group none of whose members takes it needs no look
     heads = members.groupBy("sign").agg(F.max("probe").alias("taken"), F.max_by("set_id", F.struct("central", "set_id")).alias("head")).where("taken")
     heads = scratch.save(heads.select("sign", "head"), "heads")
@@ -472,11 +484,15 @@ def _components_of(docs: DataFrame, words: int) -> DataFrame:
     labelled = members.join(heads, "sign").join(known, F.col("set_id") == F.col("_id"), "left").withColumn("label", F.coalesce("_label", "set_id"))
     labelled = scratch.save(labelled.select("sign", "set_id", "below", "label", "probe"), "labelled")
     scratch.drop("members")
+    scratch.drop("heads")
     split = labelled.groupBy("sign").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("probe").alias("p"), F.count(F.lit(1)).alias("size")).where("x <> y AND p").select("sign", "size")
     rest = labelled.join(split, "sign").join(sets.select("set_id", "n", "sketch", "sketch_below"), "set_id")
     rest = rest.select("sign", "size", "set_id", "n", "label", "probe", F.when(F.col("below"), F.col("sketch_below")).otherwise(F.col("sketch")).alias("sketch"))
     pairs = _in_parts(rest, 4 * buckets, GROUP_ROWS).groupBy("bucket").applyInArrow(lambda t: _open_pairs(t), "a long, b long").distinct()
+    pairs = scratch.save(pairs, "pairs")
+    scratch.drop("labelled")
     labels = _merged(labels, _verified(pairs, sets), scratch, "third")
+    scratch.drop("sets")
     named = nodes.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     named = named.join(least, "label").select(F.col("set_id").alias("_s"), "component")
