@@ -175,3 +175,21 @@ def test_slices_leave_no_shuffle_files_behind(spark, monkeypatch, tmp_path):
             a, b = (x.withColumn("terms", F.array_sort("terms")) for x in (a, b))
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count()
     assert not list(tmp_path.parent.rglob("rows/slice=*"))
+
+
+def test_postings_of_a_term_share_rows_and_bounds_hold(spark):
+    """A row of a segment is of all texts that a task met, not of one; what tiers say bounds the postings in them and below, though tasks had other mean lengths."""
+    short = spark.range(200).select(F.col("id"), F.concat(F.lit("hot word"), F.col("id"), F.repeat(F.lit(" filler"), (F.col("id") % 9).cast("int"))).alias("t")).coalesce(1)
+    long = spark.range(200, 500).select(F.col("id"), F.concat(F.lit("hot hot "), F.repeat(F.lit("filler rest "), (F.col("id") % 97 * 3).cast("int"))).alias("t")).coalesce(1)
+    index = KeywordIndex.build(short.union(long), "id", "t", carry=())
+    rows, postings = index._blocks([0]).count(), index._postings([0]).count()
+    assert rows < 200 + 3 * 2 * keyword.TIERS < postings
+    tiers = index.tiers(["hot"])["hot"]
+    assert sum(n for _, n, _ in tiers) == index.frequencies(["hot"])["hot"] == 500 and len(tiers) > 1
+    bounds = [most for _, _, most in tiers]
+    assert bounds == sorted(bounds, reverse=True)
+    weight = keyword._weight(F.col("tf"), F.col("length"), index.mean)
+    found = {r.tier: r.w for r in index._read(["hot"]).groupBy("tier").agg(F.max(weight).alias("w")).collect()}
+    assert all(found[tier] <= most + 1e-12 for tier, _, most in tiers)
+    got = {r.id: (r.tf, len(r.positions)) for r in index.postings(["filler"]).collect()}
+    assert got[8] == (8, 8) and got[201] == (201 % 97 * 3,) * 2

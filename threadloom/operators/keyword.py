@@ -2,9 +2,10 @@
 
 An index is a list of segments below one folder, published by a manifest a version.  A segment holds
 
-* ``postings``: a row for each text and term, in partition folders by a hash of the term, sorted by term, tier and id.
-  A tier is a step of the term's weight in the row (frequency against length); tier 0 is the best.
-* ``terms``: for each term and tier the number of postings and the highest weight, so that counting needs no postings;
+* ``postings``: blocks of the texts that hold a term, in partition folders by a hash of the term, sorted by term and tier.
+  A block is of the texts that one task met together, in arrays.  A tier is a step of the term's weight in the row (frequency against length); tier 0 is the best.
+  A term that few of these texts hold has one block, in the tier of its best row.
+* ``terms``: for each term and tier the number of postings and a weight that none exceeds, so that counting needs no postings;
 * ``forward``: for each row its length and terms, in folders by a hash of the id;
 * ``dead``: ids whose rows in earlier segments no longer count, and ``lost``: how many postings of a term each
   earlier segment lost by that.
@@ -24,86 +25,191 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.stem import query_phrases, stem, words
-from threadloom.sources.shared import LARGE, dropping_shuffles, expected_bytes, fresh_dir, spread
+from threadloom.sources.shared import LARGE, TASK_BYTES, dropping_shuffles, expected_bytes, fresh_dir
 
 #: BM25 parameters and the floor of the inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-#: Bytes of texts that one bucket holds, about; hot terms of tables beyond LARGE are cut over files by range.
+#: Bytes of texts that one bucket holds, about.
 BUCKET_BYTES, LEAST_BUCKETS = 256 << 20, 8
-#: While a segment is written: slices at most, bytes of texts of one slice, and of one sorting task of a large table.
-SLICES, SLICE_BYTES, SORT_BYTES = 8, 32 << 20, 64 << 20
+#: While a segment is written: slices at most, bytes of texts of one slice, of one sorting task, and from which on tasks sort by term and tier and not by bucket.
+SLICES, SLICE_BYTES, SORT_BYTES, SPREAD_BYTES = 8, 16 << 20, 64 << 20, 8 << 20
+#: Bytes of texts of one task at best, and of those whose postings are packed together; postings of a term among these from which on it has tiers; entries of arrays in one batch.
+TEXT_BYTES, GROUP_BYTES, TIERED, BATCH_ENTRIES = 8 << 20, 16 << 20, 64, 1 << 17
 #: Segments of one level that are merged; tiers of a term; postings that a search reads without looking at tiers; terms whose counts an index remembers; ids that a search names in a filter.
 FAN, TIERS, SMALL, REMEMBERED, NAMED = 4, 16, 100_000, 10_000, 1000
 
 
-#: Columns of rows on their way to a segment, after id and carried ones.
-RAW = "length int, term string, tf int, positions array<int>, terms array<string>"
+#: Columns of rows on their way to a segment, beside id and carried ones: a block of postings of one term, or, with a null term, one text.
+RAW = "term string, tier int, most double, mean double, length array<int>, ends array<int>, positions array<int>, terms string"
 
 
-def postings(df: DataFrame, id_column: str, *texts: str, carry: Sequence[str] = ()) -> DataFrame:
-    """(id, carried columns, length, term, tf, positions, terms): a row for each row and term, and one with a null term for each row.
+def blocks(df: DataFrame, id_column: str, *texts: str, carry: Sequence[str] = (), mean: float | None = None) -> DataFrame:
+    """Blocks of postings of some texts each, and a row with a null term for each text.
 
-    length: terms in all text columns; terms: on the row with a null term, all distinct ones of the row, else empty.  Positions go on from column to column with a gap, so
-    that no phrase goes over its edge.  Null texts are empty.
+    A block is of one term and tier: id, carried columns and length are arrays with an entry a posting; positions has the places of one
+    posting after another, ends where each posting's places end.  most is the highest weight in the block at the length ``mean``, by default
+    that of the texts met together.  The row of a text has its id and length alone in their arrays, and its distinct terms, joined by a space.
+    Positions go on from column to column with a gap, so that no phrase goes over its edge.  Null texts are empty.
     """
     rows = df.select(F.col(id_column).alias("id"), *[F.col(f"`{c}`") for c in carry], F.array(*[F.col(t) for t in texts]).alias("_texts"))
     kept = ["id", *carry]
-    names = [*kept, "length", "term", "tf", "positions", "terms"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*kept).dtypes) + f", {RAW}"
+    schema = ", ".join(f"`{c}` array<{t}>" for c, t in rows.select(*kept).dtypes) + f", {RAW}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for part in _together(batches):
+            if len(codes) > 1 << 19:
+                codes = _Codes()
+            found, lengths, total = [], np.zeros(len(part), np.int64), []
+            for i, columns in enumerate(part.column("_texts").to_pylist()):
+                at = 0
+                for text in columns:
+                    got = words(text)
+                    found.extend(map(codes.__getitem__, got))
+                    total.append((i, at, len(got)))
+                    at += len(got) + 1
+                    lengths[i] += len(got)
+            runs = np.array(total, np.int64).reshape(-1, 3)
+            count = runs[:, 2]
+            owner = np.repeat(runs[:, 0], count)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count - runs[:, 1], count)
+            term = np.array(found, np.int64)
+            del found
+            owner, place, term = _ordered(term, owner, place)
+            first = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(term) != 0))) if len(owner) else np.zeros(0, np.int64)
+            tf = np.diff(np.append(first, len(owner)))
+            owner, term = owner[first], term[first]
+            middle = mean or (float(lengths.mean()) if len(part) else 0.0) or 1.0
+            tier, weight = _tiers(tf, lengths[owner], middle)
+            # what few texts hold stays in one block, in its best tier
+            begins = np.flatnonzero(np.append(True, np.diff(term) != 0)) if len(term) else np.zeros(0, np.int64)
+            held = np.diff(np.append(begins, len(term)))
+            if len(begins):
+                tier = np.where(np.repeat(held, held) < TIERED, np.repeat(np.minimum.reduceat(tier, begins), held), tier)
+            # each text's terms, in the order of the texts
+            of_text = np.argsort(owner, kind="stable")
+            edges = np.searchsorted(owner[of_text], np.arange(len(part) + 1))
+            known = pa.array(codes.known, pa.string())
+            for start, stop in _pieces(edges):
+                here = known.take(pa.array(term[of_text[edges[start] : edges[stop]]]))
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges[start : stop + 1] - edges[start], pa.int32()), here), " ")
+                alone = pa.array(np.arange(stop - start + 1), pa.int32())
+                nothing = lambda kind, n=stop - start: pa.nulls(n, kind)
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.ListArray.from_arrays(alone, part.column(c).slice(start, stop - start)) for c in kept], nothing(pa.string()), nothing(pa.int32()), nothing(pa.float64()), nothing(pa.float64()),
+                     pa.ListArray.from_arrays(alone, pa.array(lengths[start:stop], pa.int32())), nothing(pa.list_(pa.int32())), nothing(pa.list_(pa.int32())), joined],
+                    names=[*kept, *NAMES],
+                )
+            # by term, tier and text
+            order = np.argsort(term * TIERS + tier, kind="stable")
+            spots = np.repeat(first[order] - (np.cumsum(tf[order]) - tf[order]), tf[order]) + np.arange(len(place))
+            columns = [part.column(c).take(pa.array(owner[order])) for c in kept]
+            yield from _packed(kept, columns, term[order], known, tier[order], weight[order], middle, lengths[owner[order]], tf[order], place[spots])
+
+    return rows.mapInArrow(run, schema)
+
+
+#: The names in RAW.
+NAMES = [x.split(" ")[0] for x in RAW.split(", ")]
+
+
+class _Codes(dict):
+    """Of a word, the number of its stem; ``known``: the stems."""
+
+    def __init__(self) -> None:
+        self.known: list[str] = []
+        self.stems: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        s = stem(word)
+        code = self.stems.get(s)
+        if code is None:
+            code = self.stems[s] = len(self.known)
+            self.known.append(s)
+        self[word] = code
+        return code
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of some GROUP_BYTES: the more texts a block is of, the fewer rows go to a segment."""
+    held, size = [], 0
+    for batch in batches:
+        rows = max(1, len(batch) * GROUP_BYTES // (4 * max(1, batch.nbytes)))
+        for start in range(0, len(batch), rows):
+            part = batch.slice(start, rows)
+            held.append(part)
+            size += part.nbytes
+            if size >= GROUP_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _ordered(term: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """owner, place and term by term, owner and place; packed into one number each where they fit."""
+    bits = [int(x.max(initial=0)).bit_length() for x in (term, owner, place)]
+    if sum(bits) > 63:
+        order = np.lexsort((place, owner, term))
+        return owner[order], place[order], term[order]
+    key = np.sort((term << (bits[1] + bits[2])) | (owner << bits[2]) | place)
+    return (key >> bits[2]) & ((1 << bits[1]) - 1), key & ((1 << bits[2]) - 1), key >> (bits[1] + bits[2])
+
+
+def _tiers(tf: np.ndarray, length: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+    weight = tf / (tf + K1 * (1 - B + B * length / mean))
+    return np.minimum(np.floor(TIERS * (1 - weight)), TIERS - 1).astype(np.int64), weight
+
+
+def _pieces(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold some BATCH_ENTRIES entries each, or one row."""
+    start, rows = 0, len(edges) - 1
+    while start < rows:
+        stop = int(np.searchsorted(edges, edges[start] + BATCH_ENTRIES, "right")) - 1
+        stop = min(max(stop, start + 1), start + BATCH_ENTRIES // 8)
+        yield start, min(stop, rows)
+        start = min(stop, rows)
+
+
+def _packed(kept: list[str], columns: list[pa.Array], term: np.ndarray, known: pa.Array, tier: np.ndarray, weight: np.ndarray, mean: float, length: np.ndarray, tf: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings that are in order of term (a number in ``known``) and tier."""
+    if not len(term):
+        return
+    begins = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(tier) != 0)))
+    edges = np.append(begins, len(term))
+    until = np.append(0, np.cumsum(tf))  # in place, where postings begin
+    ends = until[1:] - np.repeat(until[begins], np.diff(edges))
+    most = np.maximum.reduceat(weight, begins)
+    for start, stop in _pieces(edges):
+        low, high = edges[start], edges[stop]
+        of = pa.array(edges[start : stop + 1] - low, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.ListArray.from_arrays(of, c.slice(low, high - low)) for c in columns], known.take(pa.array(term[begins[start:stop]])), pa.array(tier[begins[start:stop]], pa.int32()), pa.array(most[start:stop]), pa.array(np.full(stop - start, mean)),
+             pa.ListArray.from_arrays(of, pa.array(length[low:high], pa.int32())), pa.ListArray.from_arrays(of, pa.array(ends[low:high], pa.int32())),
+             pa.ListArray.from_arrays(pa.array(until[edges[start : stop + 1]] - until[low], pa.int32()), pa.array(place[until[low] : until[high]], pa.int32())), pa.nulls(stop - start, pa.string())],
+            names=[*kept, *NAMES],
+        )
+
+
+def _repacked(rows: DataFrame, kept: list[str], schema: str, mean: float) -> DataFrame:
+    """Blocks of postings (id, carried columns, length, term, tf, positions) that are in order of term, tier and id within their partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[str, int] = {}  # of a word, the number of its stem
-        stems: dict[str, int] = {}
-        known: list[str] = []
         for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.slice(start, 256)
-                if len(codes) > 1 << 19:
-                    codes, stems, known = {}, {}, []
-                found, lengths, total = [], np.zeros(len(part), np.int64), []
-                for i, columns in enumerate(part.column("_texts").to_pylist()):
-                    at = 0
-                    for text in columns:
-                        got = words(text)
-                        for w in got:
-                            if w not in codes:
-                                s = stem(w)
-                                if s not in stems:
-                                    stems[s] = len(known)
-                                    known.append(s)
-                                codes[w] = stems[s]
-                        found += [codes[w] for w in got]
-                        total.append((i, at, len(got)))
-                        at += len(got) + 1
-                        lengths[i] += len(got)
-                runs = np.array(total, np.int64).reshape(-1, 3)
-                count = runs[:, 2]
-                owner = np.repeat(runs[:, 0], count)
-                place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count - runs[:, 1], count)
-                term = np.array(found, np.int64)
-                order = np.lexsort((term, owner))  # stable: places stay in order
-                owner, place, term = owner[order], place[order], term[order]
-                first = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(term) != 0))) if len(owner) else np.zeros(0, np.int64)
-                edges = np.append(first, len(owner))
-                rows_of = np.concatenate([np.arange(len(part)), owner[first]])
-                take = pa.array(rows_of)
-                used, inverse = np.unique(term[first], return_inverse=True)
-                texts_ = pa.array([known[c] for c in used.tolist()], pa.string()).take(pa.array(inverse))
-                nothing = len(part)
-                offsets = np.concatenate([np.zeros(nothing, np.int64), edges]).astype(np.int32)
-                of_row = np.append(np.searchsorted(owner[first], np.arange(nothing + 1)), np.full(len(first), len(first))).astype(np.int32)
-                columns = [part.column(c).take(take) for c in kept]
-                columns += [
-                    pa.array(lengths[rows_of], pa.int32()), pa.concat_arrays([pa.nulls(nothing, pa.string()), texts_]), pa.array(np.concatenate([np.zeros(nothing, np.int64), np.diff(edges)]), pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(place, pa.int32())), pa.ListArray.from_arrays(pa.array(of_row), texts_),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            term = batch.column("term").dictionary_encode()
+            number = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731, B023
+            length, tf = number("length"), number("tf")
+            _, weight = _tiers(tf, length, mean)
+            code = term.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            place = batch.column("positions").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            yield from _packed(kept, [batch.column(c) for c in kept], code, term.dictionary, number("tier"), weight, mean, length, tf, place)
 
     return rows.mapInArrow(run, schema)
 
@@ -121,6 +227,13 @@ def _weight(tf: Column, length: Column, mean: float) -> Column:
     return tf / (tf + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` over tasks for its texts, each of enough of them to pack."""
+    size = expected_bytes(df)
+    tasks = max(size // TEXT_BYTES, min(size // TASK_BYTES + 1, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    return df.repartition(tasks) if TASK_BYTES < size < LARGE else df
+
+
 @dataclass(frozen=True)
 class Segment:
     """One batch of rows: folder, level (how often it was merged), mean length when written, whether it has tombstones."""
@@ -197,45 +310,48 @@ class KeywordIndex:
     def _at(self, segment: Segment | str, table: str) -> str:
         return f"{self.path}/{segment if isinstance(segment, str) else segment.name}/{table}"
 
-    def _id_bucket(self, c: str = "id") -> Column:
+    def _id_bucket(self, c: str | Column = "id") -> Column:
         return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
 
     def _write(self, name: str, rows: DataFrame, size: int | None, mean: float | None = None) -> tuple[tuple[int, int], float]:
-        """postings, terms and forward of a segment from rows as :func:`postings` makes them; ((rows, their terms), mean length used).
+        """postings, terms and forward of a segment from rows as :func:`blocks` makes them; ((rows, their terms), mean length used).
 
         Rows are written once, dealt to slices: those with a term by its bucket, those of texts by the bucket of the id.  A slice is sorted into
         its folders and then deleted, so shuffle files are those of one slice.  ``size``: bytes of the texts, where known.  The mean is that of the
         rows unless one is given or they are few beside those of the index.
         """
-        raw, schema = self._at(name, "rows"), f"{self.schema}, {RAW}"
+        raw = self._at(name, "rows")
         bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
         slices = self._slices(expected_bytes(rows) if size is None else size)
-        dealt = F.when(F.col("term").isNull(), slices + self._id_bucket() % slices).otherwise(bucket % slices)
+        id_bucket = self._id_bucket(F.get("id", 0))
+        dealt = F.when(F.col("term").isNull(), slices + id_bucket % slices).otherwise(bucket % slices)
         rows.withColumn("slice", dealt).write.option("compression", "zstd").partitionBy("slice").parquet(raw)
-        held = self.spark.read.schema(f"{schema}, slice int").parquet(raw)
+        held = self.spark.read.schema(f"{self._arrays()}, {RAW}, slice int").parquet(raw)
         if size is None:
             size = expected_bytes(held)
-        n, total = held.where(F.col("slice") >= slices).agg(F.count(F.lit(1)), F.sum("length")).first()
+        n, total = held.where(F.col("slice") >= slices).agg(F.count(F.lit(1)), F.sum(F.get("length", 0))).first()
         if mean is None:
             mean = (total or 0) / n or 1.0 if n and self.rows <= 10 * n else self.mean or 1.0
-        tier = F.least(F.floor(TIERS * (1 - _weight(F.col("tf"), F.col("length"), mean))), F.lit(TIERS - 1)).cast("int")
         parquet = lambda df, table: df.write.option("compression", "zstd").mode("append").partitionBy("bucket" if table == "postings" else "id_bucket").parquet(self._at(name, table))
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-size // SORT_BYTES // slices))
         for i in range(slices):
-            part = held.where(F.col("slice") == i).drop("slice", "terms").withColumns({"bucket": bucket, "tier": tier})
-            if size >= LARGE:
-                # by range of (bucket, term, tier, id): a hot term goes over several files, a rare one stays in one
-                part = part.repartitionByRange(-(-max(self.buckets, size // SORT_BYTES) // slices), "bucket", "term", "tier", "id")
+            part = held.where(F.col("slice") == i).drop("slice", "terms").withColumn("bucket", bucket)
+            if size >= SPREAD_BYTES:
+                # a hot term goes over several files by its tiers
+                part = part.repartition(tasks, "term", "tier")
             else:
                 part = part.repartition(-(-self.buckets // slices), "bucket")
-            parquet(part.sortWithinPartitions("bucket", "term", "tier", "id"), "postings")
+            parquet(part.sortWithinPartitions("bucket", "term", "tier", F.get("id", 0)), "postings")
             self._remove(f"{raw}/slice={i}")
-            bare = held.where(F.col("slice") == slices + i).withColumn("id_bucket", self._id_bucket()).repartition(max(1, self.buckets // slices), "id_bucket")
-            forward = bare.groupBy("id_bucket", "id", "length").agg(F.flatten(F.collect_list("terms")).alias("terms"), F.count(F.lit(1)).alias("rows"))
-            parquet(forward.select("id", "length", "terms", "rows", "id_bucket").sortWithinPartitions("id_bucket", "id"), "forward")
+            bare = held.where(F.col("slice") == slices + i).select(F.get("id", 0).alias("id"), F.get("length", 0).alias("length"), "terms", id_bucket.alias("id_bucket")).repartition(-(-self.buckets // slices), "id_bucket")
+            terms = F.when(F.col("terms") == "", F.array().cast("array<string>")).otherwise(F.split("terms", " "))
+            parquet(bare.sortWithinPartitions("id_bucket", "id").select("id", "length", terms.alias("terms"), F.lit(1).cast("long").alias("rows"), "id_bucket"), "forward")
             self._remove(f"{raw}/slice={slices + i}")
         self._remove(raw)
         found = self.spark.read.schema(self._schema()).parquet(self._at(name, "postings"))
-        terms = found.groupBy("term", "tier").agg(F.count(F.lit(1)).alias("n"), F.max(_weight(F.col("tf"), F.col("length"), mean)).alias("most"))
+        # what the highest weight of a block is at most, at this mean
+        most = 1 / (1 + (1 - F.col("most")) / F.col("most") * F.least(F.lit(1.0), F.col("mean") / F.lit(mean)))
+        terms = found.groupBy("term", "tier").agg(F.sum(F.size("length")).alias("n"), F.max(most).alias("most"))
         terms.repartition(max(1, size // BUCKET_BYTES), "term").sortWithinPartitions("term", "tier").write.parquet(self._at(name, "terms"))
         return (n, total or 0), mean
 
@@ -264,7 +380,7 @@ class KeywordIndex:
             touched = self.spark.read.schema(self._id_schema()).parquet(ids)
         if rows is not None:
             with dropping_shuffles(self.spark):
-                added, mean = self._write(name, postings(spread(rows), self.id_column, *self.texts, carry=self.carry), expected_bytes(rows))
+                added, mean = self._write(name, blocks(_spread(rows), self.id_column, *self.texts, carry=self.carry, mean=self.mean or None), expected_bytes(rows))
         if touched is not None:
             gone = self._bury(name, touched)
             self._remove(self._at(name, "touched"))
@@ -277,8 +393,15 @@ class KeywordIndex:
     def _id_schema(self) -> str:
         return self.schema.split(", `")[0]
 
+    def _arrays(self) -> str:
+        """The schema of id and carried columns in blocks."""
+        return ", `".join("` array<".join(x.rsplit("` ", 1)) + ">" for x in self.schema.split(", `"))
+
+    def _columns(self) -> list[str]:
+        return ["id", *self.carry]
+
     def _write_nothing(self, name: str) -> None:
-        self._write(name, self.spark.createDataFrame([], f"{self.schema}, {RAW}"), 0, 1.0)
+        self._write(name, self.spark.createDataFrame([], f"{self._arrays()}, {RAW}"), 0, 1.0)
 
     def _forward(self, buckets: list[int] | None = None) -> DataFrame:
         """(id, length, terms, rows, at) of all segments that count, at being the segment's place."""
@@ -329,14 +452,17 @@ class KeywordIndex:
         """Segments from ``start`` on as one, without rows that no longer count; not yet published."""
         merged = self.segments[start:]
         name = f"segment-{self.version}-{uuid.uuid4().hex[:8]}"
-        columns = [c.strip("`") for c in (x.split(" ")[0] for x in self.schema.split(", "))]
-        kept = self._living(self._postings(range(start, len(self.segments)))).drop("tier", "at", "bucket").select(*columns, "length", "term", "tf", "positions", F.array().cast("array<string>").alias("terms"))
-        # one row without a term for each text, as postings() makes them
+        mean = self.mean or 1.0
+        tier = F.least(F.floor(TIERS * (1 - _weight(F.col("tf"), F.col("length"), mean))), F.lit(TIERS - 1)).cast("int")
+        living = self._living(self._postings(range(start, len(self.segments)))).select(*[F.col(f"`{c}`") for c in self._columns()], "length", "term", "tf", "positions", tier.alias("tier"))
+        kept = living.repartition(max(self.buckets, self.spark.sparkContext.defaultParallelism), "term", "tier").sortWithinPartitions("term", "tier", "id")
+        kept = _repacked(kept, self._columns(), f"{self._arrays()}, {RAW}", mean)
+        # one row without a term for each text, as blocks() makes them
         each = self._forward().where(F.col("at") >= start).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_r"))
-        carried = {c: kept.schema[c].dataType for c in columns[1:]}
-        bare = each.select("id", *[F.lit(None).cast(t).alias(c) for c, t in carried.items()], "length", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), F.lit(None).cast("array<int>").alias("positions"), F.when(F.col("_r") == 1, F.col("terms")).otherwise(F.array().cast("array<string>")).alias("terms"))
+        made = {"id": F.array("id"), "length": F.array("length"), "terms": F.when(F.col("_r") == 1, F.array_join("terms", " ")).otherwise("")}
+        bare = each.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kept.schema])
         with dropping_shuffles(self.spark):
-            self._write(name, kept.unionByName(bare), None, self.mean or 1.0)
+            self._write(name, kept.unionByName(bare), None, mean)
         older = [s.name for s in self.segments[:start]]
         dead = bool(older) and any(s.dead for s in merged)
         if dead:
@@ -354,24 +480,36 @@ class KeywordIndex:
     # ---- reading ------------------------------------------------------------------------
 
     def _schema(self) -> str:
-        return f"{self.schema}, length int, term string, tf int, positions array<int>, tier int, bucket int"
+        return f"{self._arrays()}, {RAW.rsplit(', ', 1)[0]}, bucket int"
 
-    def _postings(self, places) -> DataFrame:
+    def _blocks(self, places) -> DataFrame:
         found = None
         for at in places:
             rows = self.spark.read.schema(self._schema()).parquet(self._at(self.segments[at], "postings")).withColumn("at", F.lit(at))
             found = rows if found is None else found.union(rows)
         return found if found is not None else self.spark.createDataFrame([], f"{self._schema()}, at int")
 
-    def _read(self, wanted: Sequence[str]) -> DataFrame:
+    def _postings(self, places, wanted: DataFrame | None = None) -> DataFrame:
+        """(tier, at, id, carried columns, length, term, tf, positions) of some segments; ``wanted`` (term): of those terms alone."""
+        rows = self._blocks(places)
+        return self._each(rows if wanted is None else rows.join(wanted, "term", "left_semi"))
+
+    def _each(self, rows: DataFrame, positions: bool = True) -> DataFrame:
+        """The postings of blocks."""
+        begin = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
+        held = [F.col(f"`{c}`") for c in [*self._columns(), "length"]]
+        rows = rows.select("term", "tier", "at", *held, F.transform("ends", lambda e, i: e - begin(i)).alias("tf"), *([F.transform("ends", lambda e, i: F.slice("positions", begin(i) + 1, e - begin(i))).alias("positions")] if positions else []))
+        return rows.select("term", "tier", "at", F.inline(F.arrays_zip(*held, "tf", *["positions"] * positions)))
+
+    def _read(self, wanted: Sequence[str], positions: bool = True) -> DataFrame:
         """Postings of some terms that count, with tier: only their folders and row groups are read."""
         at = {_signed(xxhash.xxh64_intdigest(t.encode(), 42)) % self.buckets for t in wanted}  # as Spark's xxhash64
-        rows = self._postings(range(len(self.segments))).where(F.col("bucket").isin(sorted(at)) & F.col("term").isin(list(wanted)))
-        return self._living(rows).drop("bucket", "at")
+        rows = self._blocks(range(len(self.segments))).where(F.col("bucket").isin(sorted(at)) & F.col("term").isin(list(wanted)))
+        return self._living(self._each(rows, positions)).drop("at")
 
-    def postings(self, wanted: Sequence[str]) -> DataFrame:
+    def postings(self, wanted: Sequence[str], positions: bool = True) -> DataFrame:
         """Postings of some terms."""
-        return self._read(wanted).drop("tier")
+        return self._read(wanted, positions).drop("tier")
 
     def tiers(self, wanted: Sequence[str]) -> dict[str, list[tuple[int, int, float]]]:
         """For each term, (tier, postings, highest weight) from the best tier on; from the dictionaries alone, and remembered.
@@ -411,7 +549,13 @@ class KeywordIndex:
                 rest = (1 - r["most"]) / r["most"] * drift
                 n, most = held[1].get(r["tier"], (0, 0.0))
                 held[1][r["tier"]] = (n + r["n"], max(most, 1 / (1 + rest)))
-        self._counts.update({t: (n, sorted((tier, *x) for tier, x in tiers.items())) for t, (n, tiers) in counts.items()})
+        for t, (n, of_tier) in counts.items():
+            # a tier's bound holds for those below it too: their steps may be of another mean length
+            best, listed = 0.0, []
+            for tier in sorted(of_tier, reverse=True):
+                best = max(best, of_tier[tier][1])
+                listed.append((tier, of_tier[tier][0], best))
+            self._counts[t] = (n, listed[::-1])
 
     def _phrase(self, found: DataFrame, phrase: Sequence[str]) -> DataFrame:
         """Rows that hold the phrase, as postings with tf the number of its places."""
@@ -434,7 +578,7 @@ class KeywordIndex:
         phrases = list(dict.fromkeys(tuple(p) for p in query_phrases(query)))
         if not phrases or not self.rows:
             return []
-        found = self.postings([*dict.fromkeys(t for p in phrases for t in p)])
+        found = self.postings([*dict.fromkeys(t for p in phrases for t in p)], any(len(p) > 1 for p in phrases))
         return [(p, self._phrase(found, p)) for p in phrases]
 
     def bm25(self, query: str) -> DataFrame:
@@ -497,7 +641,7 @@ class KeywordIndex:
         return reduce(lambda a, b: a | b, found) if found else None
 
     def _scored(self, asked: Sequence[str], weights: dict[str, float], where: Column | None, ids: DataFrame | None = None) -> DataFrame:
-        rows = self._read(asked)
+        rows = self._read(asked, False)
         if where is not None:
             rows = rows.where(where)
         if ids is not None:
