@@ -50,3 +50,11 @@ def test_hybrid_of_many_questions(spark, parts):
     expected = spark.createDataFrame([(q, r.id) for q in range(25) for r in index.top_k(asked[q][1], 1).collect()], "question long, id long")
     got = batch.quality(found, expected).first()
     assert 0.5 < got.recall <= 1 and 0 < got.mrr <= got.recall
+
+
+def test_many_questions_open_the_blocks_of_their_terms_alone(spark):
+    index = KeywordIndex.build(spark.createDataFrame([(i, f"word{i} common") for i in range(30)], "id long, text string"), "id", "text")
+    asked = spark.createDataFrame([("a", "word7 common")], "question string, query string")
+    plan = batch.bm25_many(index, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Generate inline" in plan and plan.index("Generate inline") < plan.index("LeftSemi")
+    assert batch.bm25_many(index, asked).count() == 30

@@ -50,8 +50,8 @@ def _frequencies(index: KeywordIndex) -> DataFrame:
 def bm25_many(index: KeywordIndex, questions: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(question, id, carried columns, score) of all rows that hold a phrase of a question (question, query)."""
     asked = phrases(questions)
-    found = index._living(index._postings(range(len(index.segments)))).select("id", *carry, "length", "term", "tf", "positions")
     wanted = asked.select("phrase", "step", "term").distinct()
+    found = index._living(index._postings(range(len(index.segments)), wanted.select("term").distinct())).select("id", *carry, "length", "term", "tf", "positions")
     single = wanted.groupBy("phrase").agg(F.count(F.lit(1)).alias("words"))
     wanted = wanted.join(single, "phrase")
     # one term: its postings as they are, and its frequency from the dictionary
